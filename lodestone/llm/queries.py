@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, packing, token_count
+from lodestone.llm import decontaminate, exact_dedup, ngram_join, packing, quality, token_count
 from lodestone.llm.common import table
 
 
@@ -17,6 +18,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -26,7 +31,20 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_benchmark_decontamination, op5_exact_dedup, op9_token_counts)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = ngram_join.link_documents(table(spark, sf_dir, "documents"))
+    return marked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+_ALL = (
+    op1_best_fit_packing,
+    op2_benchmark_decontamination,
+    op4_quality_classifier,
+    op5_exact_dedup,
+    op9_token_counts,
+    op10_ngram_jaccard_join,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op5_exact_dedup": """
