@@ -26,8 +26,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: int, size: int = SLICE_BYTES
 
 
 def texts_of(column: pa.Array) -> pa.Array:
-    """A column as large strings, null read as the empty text."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """A column as large strings in buffers of their own, null read as the empty text.
+
+    The copy matters: some kernels misread what a cast makes of a slice.
+    """
+    own = column.take(pa.array(np.arange(len(column))))
+    return pc.fill_null(own.cast(pa.large_string()), "")
 
 
 def between_spaces(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
