@@ -1,11 +1,12 @@
 """N-gram Jaccard join: documents link when their word-shingle sets are similar; found by T-occurrence search.
 
-1. Each text becomes the set of its word shingles (64-bit hashes). Texts with equal sets form a class, so exact copies
-   cost nothing further. Shingles that are frequent within a task's texts are counted over all tasks.
-2. Similar sets of sizes n <= m share a shingle among the first n - ceil(s n) + 1 of any common order. The order puts
-   frequent shingles last, so these prefixes hold rare ones. Prefix entries are sorted by shingle and size, in Spark;
-   entries next to each other whose sizes allow a link are joined to the first of their run (a star, not all pairs), and the
-   connected components of these stars are the candidate clusters: every link lies inside one.
+1. Each text becomes the set of its word shingles (56-bit hashes). Texts with equal sets form a class, so exact copies
+   cost nothing further. Words and shingles that are frequent within a task's texts are counted over all tasks.
+2. Similar sets of sizes n <= m share a shingle among the first n - ceil(s n) + 1 of any common order. The order starts
+   with shingles of rare words, which hardly two unrelated texts have in common, and ends with frequent shingles. Prefix
+   entries are sorted by shingle and size, in Spark; entries next to each other whose sizes allow a link are joined to the
+   first of their run (a star, not all pairs), and the connected components of these stars are the candidate clusters:
+   every link lies inside one.
 3. Sets of clusters of two or more are fetched, dealt by cluster, and searched: the T-occurrence problem with DivideSkip.
    Inverted lists of a query's shingles are divided: short ones are merged and counted, and only documents with enough
    occurrences there are looked up in the long ones by binary search. Documents that are already connected are not looked
@@ -16,6 +17,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -28,16 +31,23 @@ from lodestone.llm.components import components
 from lodestone.llm.slices import slices, texts_of
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: A task reports shingles that so many distinct sets of a slice share.
-SLICE_FREQUENT = 3
-#: The most frequent shingles that every task knows: 16 bytes each.
-FREQUENT = 200_000
+#: A task reports shingles that so many distinct sets of a slice share, and words that occur so often in a slice.
+SLICE_FREQUENT, SLICE_WORDS = 3, 8
+#: The most frequent shingles and words that every task knows: 16 bytes each.
+FREQUENT, WORDS = 200_000, 50_000
 #: Shingles shared by fewer sets than this are never called frequent.
 LEAST_FREQUENT = 8
+#: Documents in clusters up to which their keys are broadcast to the scan that fetches their sets (about 50 bytes each).
+BROADCAST_DOCS = 400_000
+_LOW = np.uint64((1 << 56) - 1)
+
 
+def shingle_sets(texts: pa.Array, size: int, levels: tuple[np.ndarray, np.ndarray] | None = None, counted: Counter | None = None) -> list[np.ndarray]:
+    """The sorted distinct shingles of each text; texts with fewer words than ``size`` have one shingle, or none.
 
-def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; texts with fewer words than ``size`` have one shingle, or none."""
+    A shingle is a 56-bit hash; with ``levels`` (sorted word hashes, how frequent each is) the eight bits above it add up
+    the levels of its words, so that shingles of rare words come first. ``counted`` gets the frequent words of the texts.
+    """
     parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     offsets = np.asarray(parts.offsets).astype(np.int64)
     flat = parts.values.slice(int(offsets[0]), int(offsets[-1] - offsets[0])).dictionary_encode()
@@ -46,20 +56,32 @@ def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
     index = flat.indices.to_numpy(zero_copy_only=False)
     there = np.array([bool(w) for w in words], dtype=bool)[index] if len(words) else np.zeros(0, bool)
     bounds = np.concatenate([[0], np.cumsum(there)])[offsets - offsets[0]]
-    code = codes[index[there]]
+    index = index[there]
+    code = codes[index]
+    if counted is not None:
+        n = np.bincount(index, minlength=len(words))
+        often = n >= SLICE_WORDS
+        counted.update(dict(zip(codes[often].tolist(), n[often].tolist(), strict=True)))
     rolled = np.zeros(max(0, len(code) - size + 1), dtype=np.uint64)
     for k in range(size):
         rolled = (rolled ^ code[k : k + len(rolled)]) * _M1
         rolled ^= rolled >> np.uint64(29)
     rolled *= _M2
-    rolled ^= rolled >> np.uint64(32)
+    rolled = (rolled ^ rolled >> np.uint64(32)) & _LOW
+    if levels is not None and len(levels[0]) and len(codes):
+        at = np.minimum(np.searchsorted(levels[0], codes), len(levels[0]) - 1)
+        level = np.where(levels[0][at] == codes, levels[1][at], 0).astype(np.uint64)[index]
+        high = np.zeros(len(rolled), dtype=np.uint64)
+        for k in range(size):
+            high += level[k : k + len(rolled)]
+        rolled |= np.minimum(high, np.uint64(255)) << np.uint64(56)
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= size:
             s = np.sort(rolled[a : b - size + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            out.append(np.array([xxhash.xxh3_64_intdigest(code[a:b].tobytes(), seed=b - a)], dtype=np.uint64))
+            out.append(np.array([xxhash.xxh3_64_intdigest(code[a:b].tobytes(), seed=b - a)], dtype=np.uint64) & _LOW)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out
@@ -75,41 +97,60 @@ def enough(shared, total, percent: int):
     return (100 + percent) * shared >= percent * total
 
 
-def _class_of(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s)) - (1 << 63)
+def class_of(s: np.ndarray) -> int:
+    """A hash of a set, whatever its order."""
+    h = ((s & _LOW) + _M1) * _M2
+    h = (h ^ h >> np.uint64(31)) * _M1
+    h ^= h >> np.uint64(29)
+    return int(((h * _M2).sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64))
 
 
 def _profiles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Rows of two kinds: (id, key, n, class) for each document, and (class as shingle, n as count) for frequent shingles."""
+    """Rows of three kinds: (id, key, n, class) for each document; (count as n, hash as class) of a shingle or word."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for rows in slices(batches, 2):
-            sets = shingle_sets(texts_of(rows.column(2)), size)
+            words: Counter = Counter()
+            sets = shingle_sets(texts_of(rows.column(2)), size, counted=words)
             n = np.array([len(s) for s in sets], dtype=np.int64)
-            classes = np.array([_class_of(s) for s in sets], dtype=np.int64)
+            classes = np.array([class_of(s) for s in sets], dtype=np.int64)
             _, first = np.unique(classes, return_index=True)
             shingles, counts = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
             often = counts >= SLICE_FREQUENT
+            more = [np.fromiter(x, dtype=np.uint64, count=len(words)).view(np.int64) for x in (words.values(), words)]
+            kinds = np.repeat([0, 1, 2], [len(n), int(often.sum()), len(words)]).astype(np.int32)
+            ids, keys = (pa.concat_arrays([rows.column(i), pa.nulls(len(kinds) - len(n), rows.column(i).type)]) for i in (0, 1))
             yield pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([rows.column(0), pa.nulls(int(often.sum()), rows.column(0).type)]), pa.concat_arrays([rows.column(1), pa.nulls(int(often.sum()), pa.int64())]), pa.array(np.concatenate([n, counts[often]])), pa.array(np.concatenate([classes, shingles[often].view(np.int64)])), pa.array(np.concatenate([np.ones(len(n), bool), np.zeros(int(often.sum()), bool)]))],
-                names=["id", "key", "n", "class", "doc"],
+                [ids, keys, pa.array(np.concatenate([n, counts[often], more[0]])), pa.array(np.concatenate([classes, shingles[often].view(np.int64), more[1]])), pa.array(kinds)],
+                names=["id", "key", "n", "class", "kind"],
             )
 
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(text_col)).alias("key"), whole(text_col).alias("text"))
-    return texts.mapInArrow(run, f"id {kind}, key long, n long, class long, doc boolean")
+    return texts.mapInArrow(run, f"id {kind}, key long, n long, class long, kind int")
+
+
+def _top(found: DataFrame, kind: int, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``most`` hashes of a kind with their counts over all tasks, sorted by hash."""
+    often = found.where(F.col("kind") == kind).groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    top = often.orderBy(F.desc("n"), "class").limit(most).toPandas()
+    hashes = top["class"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], top["n"].to_numpy(dtype=np.int64)[order]
 
 
 def prefix(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of a set among which every linked set has one: rare ones by hash, then frequent ones from the rarest."""
+    """The shingles of a set among which every linked set has one: rare ones in their order, then frequent ones from the rarest."""
     length = len(s) - needed(len(s), percent) + 1
     if not len(frequent):
         return s[:length]
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    often = frequent[at] == s
-    rare = s[~often]
-    if len(rare) >= length:
-        return rare[:length]
+    for tried in (s[: 2 * length], s):
+        low = tried & _LOW
+        at = np.minimum(np.searchsorted(frequent, low), len(frequent) - 1)
+        often = frequent[at] == low
+        rare = tried[~often]
+        if len(rare) >= length:
+            return rare[:length]
     common = s[often]
     return np.concatenate([rare, common[np.argsort(rank[at[often]], kind="stable")[: length - len(rare)]]])
 
@@ -241,7 +282,8 @@ def _cells(batches, percent: int):
                     for out, x in zip((a, b), cell(key, held), strict=True):
                         out.append(x)
                 key, held = own, []
-            held.append((block, c, s))
+            if not held or held[-1][1] != c:  # repeated rows bring their class again
+                held.append((block, c, s))
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
             a, b = [], []
@@ -264,16 +306,16 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark: SparkSession = docs.sparkSession
     found = materialise(_profiles(docs, id_col, text_col, size), "profiles")
-    rows = found.where("doc").select("id", "key", "n", "class")
-    often = found.where("not doc").groupBy("class").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_FREQUENT)
-    top = often.orderBy(F.desc("n"), "class").limit(FREQUENT).toPandas()  # bounded by FREQUENT
-    top = top.assign(shingle=top["class"].to_numpy(dtype=np.int64).view(np.uint64)).sort_values("shingle")
-    frequent = spark.sparkContext.broadcast((top["shingle"].to_numpy(dtype=np.uint64), top["n"].to_numpy(dtype=np.int64)))
+    rows = found.where("kind = 0").select("id", "key", "n", "class")
+    frequent = _top(found, 1, LEAST_FREQUENT, FREQUENT)
+    words, counts = _top(found, 2, SLICE_WORDS, WORDS)
+    levels = words, np.clip(2 * np.log2(np.maximum(counts, 1) / SLICE_WORDS), 0, 255 // size)
+    known = spark.sparkContext.broadcast((frequent, (levels[0], levels[1].astype(np.uint8))))
 
     def prefixes(batches):
-        shingles, rank = frequent.value
+        (shingles, rank), levels = known.value
         for part in slices(batches, 0):
-            sets = {_class_of(s): s for s in shingle_sets(texts_of(part.column(0)), size) if len(s)}
+            sets = {class_of(s): s for s in shingle_sets(texts_of(part.column(0)), size, levels) if len(s)}
             out = [prefix(s, percent, shingles, rank) for s in sets.values()]
             n = [len(p) for p in out]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(np.array([len(s) for s in sets.values()], dtype=np.int64), n)), pa.array(np.repeat(np.array(list(sets), dtype=np.int64), n))], names=["shingle", "n", "class"])
@@ -286,15 +328,17 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = clusters.join(blocks, "cluster").select("class", "cluster", "blocks")
 
     # One row of each class in a cluster brings its set.
-    bearers = rows.join(member, "class").groupBy("class", "cluster", "blocks").agg(F.min("key").alias("key"))
+    bearers = materialise(rows.join(member, "class").groupBy("class", "cluster", "blocks").agg(F.min(F.struct("key", "id")).alias("one")).select("class", "cluster", "blocks", F.col("one.key").alias("own_key"), F.col("one.id").alias("own_id")), "bearers")
+    if bearers.count() <= BROADCAST_DOCS:
+        bearers = F.broadcast(bearers)
 
     def sets_of(batches):
         for part in slices(batches, 3):
             sets = shingle_sets(texts_of(part.column(3)), size)
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "cluster", "blocks", "set"])
 
-    text = docs.select(F.xxhash64(whole(text_col)).alias("key"), whole(text_col).alias("text"))
-    wanted = text.join(bearers, "key").select("class", "cluster", "blocks", "text")
+    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(text_col)).alias("key"), whole(text_col).alias("text"))
+    wanted = text.join(bearers, (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id"))).select("class", "cluster", "blocks", "text")
     sets = wanted.mapInArrow(sets_of, "class long, cluster long, blocks int, set binary")
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     cells = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
