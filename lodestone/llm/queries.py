@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, quality, token_count
+from lodestone.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, pii, quality, token_count
 from lodestone.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"), columns=["doc_id"])
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
 
@@ -45,6 +49,7 @@ _ALL = (
     op2_benchmark_decontamination,
     op4_quality_classifier,
     op5_exact_dedup,
+    op6_personal_data,
     op8_html_extraction,
     op9_token_counts,
     op10_ngram_jaccard_join,
