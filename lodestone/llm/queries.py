@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, exact_dedup, html_text, ngram_join, packing, pii, quality, token_count
+from lodestone.llm import chat, decontaminate, exact_dedup, html_text, ngram_join, packing, pii, quality, token_count, warc
 from lodestone.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.rotate(table(spark, sf_dir, "conversations"))
+    mask = F.expr("array_join(transform(mask, m -> concat(m.start, ':', m.end)), ',')")
+    return made.select(F.col("conv").alias("conv_id"), "part", "speaker", "n_turns", "rendered", mask.alias("mask"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
 
@@ -31,6 +37,12 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(warc.records_of_pages(table(spark, sf_dir, "pages")))
+    headers = F.array_join(F.array_sort(F.transform(F.map_entries("headers"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return found.withColumn("headers", headers)
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"), columns=["page_id", "url"])
 
@@ -47,9 +59,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_best_fit_packing,
     op2_benchmark_decontamination,
+    op3_chat_perspectives,
     op4_quality_classifier,
     op5_exact_dedup,
     op6_personal_data,
+    op7_warc_revisits,
     op8_html_extraction,
     op9_token_counts,
     op10_ngram_jaccard_join,
@@ -57,6 +71,8 @@ _ALL = (
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
+    "op3_chat_perspectives": chat.ORACLE,
+    "op7_warc_revisits": warc.ORACLE,
     "op5_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
           doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
