@@ -2,11 +2,12 @@
 
 1. Each text becomes the set of its word shingles (56-bit hashes). Texts with equal sets form a class, so exact copies
    cost nothing further. Words and shingles that are frequent within a task's texts are counted over all tasks.
-2. Similar sets of sizes n <= m share a shingle among the first n - ceil(s n) + 1 of any common order. The order starts
-   with shingles of rare words, which hardly two unrelated texts have in common, and ends with frequent shingles. Prefix
-   entries are sorted by shingle and size, in Spark; entries next to each other whose sizes allow a link are joined to the
-   first of their run (a star, not all pairs), and the connected components of these stars are the candidate clusters:
-   every link lies inside one.
+2. A set of n shares l shingles with any similar one among the first n - ceil(s n) + l of a common order, in both. The order
+   starts with shingles of rare words, which hardly two unrelated texts have in common, and ends with frequent shingles.
+   Prefix entries are sorted by shingle and size, in Spark; entries next to each other whose sizes allow a link are a run.
+   Documents with fewer than l entries in runs of two or more link with nothing and go; this is done twice. What is left of
+   each run is joined to its first (a star, not all pairs), and the connected components of these stars are the candidate
+   clusters: every link lies inside one.
 3. Sets of clusters of two or more are fetched, dealt by cluster, and searched: the T-occurrence problem with DivideSkip.
    Inverted lists of a query's shingles are divided: short ones are merged and counted, and only documents with enough
    occurrences there are looked up in the long ones by binary search. Documents that are already connected are not looked
@@ -40,6 +41,8 @@ LEAST_FREQUENT = 8
 #: Documents in clusters up to which their keys are broadcast to the scan that fetches their sets (about 50 bytes each).
 BROADCAST_DOCS = 400_000
 _LOW = np.uint64((1 << 56) - 1)
+#: Prefixes are longer by one shingle for so many of a set; as many must be shared.
+EXTRA = 20
 
 
 def shingle_sets(texts: pa.Array, size: int, levels: tuple[np.ndarray, np.ndarray] | None = None, counted: Counter | None = None) -> list[np.ndarray]:
@@ -92,6 +95,11 @@ def needed(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def extra(n: int) -> int:
+    """How many shingles two linked sets must share in their prefixes, if neither is smaller than ``n``."""
+    return max(1, n // EXTRA)
+
+
 def enough(shared, total, percent: int):
     """Whether sets with ``shared`` elements in common and sizes adding up to ``total`` link: shared / union >= percent / 100."""
     return (100 + percent) * shared >= percent * total
@@ -140,8 +148,8 @@ def _top(found: DataFrame, kind: int, least: int, most: int) -> tuple[np.ndarray
 
 
 def prefix(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The shingles of a set among which every linked set has one: rare ones in their order, then frequent ones from the rarest."""
-    length = len(s) - needed(len(s), percent) + 1
+    """The first shingles of a set, rare ones in their order, then frequent ones from the rarest; see ``extra``."""
+    length = min(len(s), len(s) - needed(len(s), percent) + extra(len(s)))
     if not len(frequent):
         return s[:length]
     for tried in (s[: 2 * length], s):
@@ -155,8 +163,32 @@ def prefix(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray)
     return np.concatenate([rare, common[np.argsort(rank[at[often]], kind="stable")[: length - len(rare)]]])
 
 
+def _runs(t: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Where runs start in sorted entries: at a new shingle, or where sizes are too far apart to link across."""
+    start = np.ones(len(t), dtype=bool)
+    start[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])
+    return start
+
+
+def _shared(batches, percent: int):
+    """The entries (shingle, n, class) of a sorted stream that lie in runs of two or more."""
+    held = [np.zeros(0, dtype=np.int64)] * 3
+    joined = False  # whether the row that was held back has one of its run before it
+    for rows in batches:
+        if rows.num_rows:
+            t, n, c = (np.concatenate([h, rows.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
+            start = _runs(t, n, percent)
+            near = ~start
+            near[:-1] |= ~start[1:]
+            near[0] |= joined
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][near[:-1]]) for x in (t, n, c)], names=["shingle", "n", "class"])
+            held, joined = [x[-1:] for x in (t, n, c)], bool(near[-1])
+    if joined:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["shingle", "n", "class"])
+
+
 def _stars(batches, percent: int):
-    """Edges from each entry of a sorted run of prefix entries to the first of its run. Columns: shingle, n, class."""
+    """Edges from each entry of a sorted stream to the first of its run. Columns: shingle, n, class."""
     last = None
     for rows in batches:
         if not rows.num_rows:
@@ -164,8 +196,7 @@ def _stars(batches, percent: int):
         t, n, c = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         if last is not None:
             t, n, c = (np.concatenate([[x], y]) for x, y in zip(last[:3], (t, n, c), strict=True))
-        start = np.ones(len(t), dtype=bool)
-        start[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])
+        start = _runs(t, n, percent)
         head = c[np.maximum.accumulate(np.where(start, np.arange(len(t)), 0))]
         if last is not None:
             head[: len(t) if start[1:].sum() == 0 else 1 + int(np.argmax(start[1:]))] = last[3]
@@ -174,6 +205,21 @@ def _stars(batches, percent: int):
         last = (t[-1], n[-1], c[-1], head[-1])
 
 
+def _sorted(entries: DataFrame) -> DataFrame:
+    return entries.repartition("shingle").sortWithinPartitions("shingle", "n", "class")
+
+
+def candidates(entries: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """The prefix entries (shingle, n, class) of documents that may link; see the module's text."""
+    schema = "shingle long, n long, class long"
+    least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / EXTRA))
+    for _ in range(rounds):
+        near = materialise(_sorted(entries).mapInArrow(lambda batches: _shared(batches, percent), schema), "entries")
+        alive = near.groupBy("class", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("class")
+        entries = near.join(alive, "class").select("shingle", "n", "class")
+    return entries
+
+
 class _Forest:
     """Union-find over the documents of a cell."""
 
@@ -321,8 +367,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(np.array([len(s) for s in sets.values()], dtype=np.int64), n)), pa.array(np.repeat(np.array(list(sets), dtype=np.int64), n))], names=["shingle", "n", "class"])
 
     texts = docs.select(whole(text_col).alias("text"))
-    entries = texts.mapInArrow(prefixes, "shingle long, n long, class long").repartition("shingle").sortWithinPartitions("shingle", "n", "class")
-    stars = entries.mapInArrow(lambda batches: _stars(batches, percent), "a long, b long")
+    entries = candidates(texts.mapInArrow(prefixes, "shingle long, n long, class long"), percent)
+    stars = _sorted(entries).mapInArrow(lambda batches: _stars(batches, percent), "a long, b long")
     clusters = materialise(components(stars).withColumnsRenamed({"node": "class", "root": "cluster"}), "clusters")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / cell_docs).cast("int").alias("blocks"))
     member = clusters.join(blocks, "cluster").select("class", "cluster", "blocks")

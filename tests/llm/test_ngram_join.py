@@ -91,14 +91,27 @@ def test_search(seed):
 def test_prefixes_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     for _ in range(300):
-        n = int(rng.integers(1, 60))
-        a = np.unique(rng.integers(0, 200, size=n).astype(np.uint64))
+        n = int(rng.integers(1, 160))
+        a = np.unique(rng.integers(0, 400, size=n).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 200, size=3).astype(np.uint64)]))
         frequent = np.unique(rng.integers(0, 200, size=50).astype(np.uint64))
         rank = rng.integers(0, 9, size=len(frequent))
         k = len(np.intersect1d(a, b))
         if len(b) and ngram_join.enough(k, len(a) + len(b), 80):
-            assert len(np.intersect1d(ngram_join.prefix(a, 80, frequent, rank), ngram_join.prefix(b, 80, frequent, rank)))
+            least = ngram_join.extra(min(len(a), len(b)))
+            assert len(np.intersect1d(ngram_join.prefix(a, 80, frequent, rank), ngram_join.prefix(b, 80, frequent, rank))) >= least
+
+
+def test_shared_entries_of_any_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    rows = sorted({(int(t), int(n), int(c)) for t, n, c in zip(rng.integers(0, 40, 150), rng.integers(1, 30, 150), rng.integers(0, 99, 150), strict=True)})
+    want = [r for i, r in enumerate(rows) if any(0 <= j < len(rows) and rows[j][0] == r[0] and 100 * min(rows[j][1], r[1]) >= 80 * max(rows[j][1], r[1]) for j in (i - 1, i + 1))]
+    for step in (1, 2, 7, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + step], strict=True)], names=["t", "n", "c"]) for i in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in ngram_join._shared(iter(parts), 80) for r in b.to_pylist()]
+        assert got == want
 
 
 def test_components(spark):
