@@ -117,14 +117,16 @@ def merge(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return boxes.select("page_id", "x1", "y1", "x2", "y2").groupBy("page_id").applyInPandas(fold, "page_id long, region long, x1 long, y1 long, x2 long, y2 long")
 
 
-def context(boxes: DataFrame, least: float = 0.35) -> DataFrame:
-    """Of each proposal: the share that true boxes cover (added up, at most 1), the best overlap, and the box that holds most of it."""
+def context(boxes: DataFrame, least: int = 350_000) -> DataFrame:
+    """Of each proposal, in millionths: the share that true boxes cover (added up, at most all), the best overlap, and the box that holds most of it."""
     _, proposed = _sides(boxes)
-    near = pairs(boxes).withColumns({"covered": F.bround(F.col("shared") / box_area("p_"), 6), "best": F.bround(F.col("shared") / F.least(box_area("t_"), box_area("p_")), 6)})
+    part = lambda of: F.call_function("div", F.col("shared") * 1_000_000, of)
+    near = pairs(boxes).withColumns({"covered": part(box_area("p_")), "best": part(F.least(box_area("t_"), box_area("p_")))})
     found = near.groupBy("page_id", "p_id").agg(
-        F.bround(F.least(F.lit(1.0), F.sum(F.when(F.col("best") >= least, F.col("covered")))), 4).alias("coverage"), F.max("best").alias("best_overlap"), F.max_by("t_id", F.struct("covered", "t_id")).alias("container")
+        F.least(F.lit(1_000_000), F.sum(F.when(F.col("best") >= least, F.col("covered")))).alias("coverage"), F.max("best").alias("best_overlap"), F.max_by("t_id", F.struct("covered", "t_id")).alias("container")
     )
-    return proposed.select("page_id", "p_id").join(found, ["page_id", "p_id"], "left").select("page_id", "p_id", F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.coalesce("best_overlap", F.lit(0.0)).alias("best_overlap"), "container")
+    zero = F.lit(0).cast("long")
+    return proposed.select("page_id", "p_id").join(found, ["page_id", "p_id"], "left").select("page_id", "p_id", F.coalesce("coverage", zero).alias("coverage"), F.coalesce("best_overlap", zero).alias("best_overlap"), "container")
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
@@ -135,9 +137,9 @@ def reading_order(boxes: DataFrame) -> DataFrame:
 
 def clamp(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """Boxes held to a page, with an error code where nothing is left or something was cut."""
-    held = boxes.withColumns({k: F.least(F.greatest(F.col(k), F.lit(0)), F.lit(width if k[0] == "x" else height)) for k in ("x1", "x2", "y1", "y2")})
     cut = (F.col("x1") < 0) | (F.col("y1") < 0) | (F.col("x2") > width) | (F.col("y2") > height)
-    return held.join(boxes.select("page_id", "box_id", cut.alias("cut")), ["page_id", "box_id"]).select("page_id", "box_id", "x1", "y1", "x2", "y2", ladder("", ((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), "empty_box"), (F.col("cut"), "outside_page")).alias("error"))
+    held = boxes.withColumn("cut", cut).withColumns({k: F.least(F.greatest(F.col(k), F.lit(0)), F.lit(width if k[0] == "x" else height)) for k in ("x1", "x2", "y1", "y2")})
+    return held.select("page_id", "box_id", "x1", "y1", "x2", "y2", ladder("", ((F.col("x2") <= F.col("x1")) | (F.col("y2") <= F.col("y1")), "empty_box"), (F.col("cut"), "outside_page")).alias("error"))
 
 
 def risks(boxes: DataFrame, page_size: int = 400) -> DataFrame:

@@ -18,7 +18,7 @@ def consensus(candidates: DataFrame) -> DataFrame:
     tried = (c("status") == "success") & c("canonical_key").isNotNull()
     valid = tried & c("valid")
     groups = candidates.where(valid).groupBy("sample_id", "canonical_key").agg(F.count("*").alias("n"), F.min("priority").alias("first"), F.min_by("backend", "priority").alias("lead"))
-    best = groups.groupBy("sample_id").agg(F.max_by(F.struct("canonical_key", "n", "lead"), F.struct("n", -c("first"))).alias("best"), F.count("*").alias("n_keys"), F.sum("n").alias("n_valid"))
+    best = groups.groupBy("sample_id").agg(F.max_by(F.struct("canonical_key", "n", "lead"), F.struct("n", -c("first"), "canonical_key")).alias("best"), F.count("*").alias("n_keys"), F.sum("n").alias("n_valid"))
     all_ = candidates.groupBy("sample_id").agg(F.count("*").alias("n_candidates"), count_if(tried).alias("n_tried"))
     both = all_.join(best, "sample_id", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
     status = ladder("disagreement", (c("n_tried") == 0, "all_failed"), (c("n_valid") == 0, "invalid_candidates"), (c("best.n") > 1, "agreement"), (c("n_valid") == 1, "single_valid"))
@@ -35,7 +35,7 @@ def consensus(candidates: DataFrame) -> DataFrame:
 def best_attempt(candidates: DataFrame) -> DataFrame:
     """The best valid attempt of each sample: fewest atoms off first, then the first tried; and whether all valid ones agree."""
     good = candidates.where("status = 'success' and valid")
-    return good.groupBy("sample_id").agg(F.max_by(F.struct("backend", "canonical_key"), F.struct("atom_count", -F.col("priority"))).alias("b"), F.count("*").alias("n_valid"), F.count_distinct("canonical_key").alias("n_keys")).select(
+    return good.groupBy("sample_id").agg(F.max_by(F.struct("backend", "canonical_key"), F.struct("atom_count", -F.col("priority"), "canonical_key")).alias("b"), F.count("*").alias("n_valid"), F.count_distinct("canonical_key").alias("n_keys")).select(
         "sample_id", F.col("b.backend").alias("backend"), F.col("b.canonical_key").alias("canonical_key"), "n_valid", F.when(F.col("n_valid") >= 2, F.col("n_keys") == 1).alias("agree")
     )
 
