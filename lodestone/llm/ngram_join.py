@@ -11,7 +11,7 @@
 3. Sets of clusters of two or more are fetched, dealt by cluster, and searched: the T-occurrence problem with DivideSkip.
    Inverted lists of a query's shingles are divided: short ones are merged and counted, and only documents with enough
    occurrences there are looked up in the long ones by binary search. Documents that are already connected are not looked
-   up again. A cluster of more than ``cell_docs`` documents is split into blocks and searched block against block, so
+   up again. A cluster of more than ``cell_docs`` documents, or a million shingles, is split into blocks and searched block against block, so
    no task holds a cluster of any size.
 4. Links of all cells give the components.
 """
@@ -41,6 +41,8 @@ LEAST_FREQUENT = 8
 #: Documents in clusters up to which their keys are broadcast to the scan that fetches their sets (about 50 bytes each).
 BROADCAST_DOCS = 400_000
 _LOW = np.uint64((1 << 56) - 1)
+#: Shingles of a block of a cluster, about: 8 bytes each.
+CELL_SHINGLES = 1_000_000
 #: Prefixes are longer by one shingle for so many of a set; as many must be shared.
 EXTRA = 20
 
@@ -370,12 +372,13 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     entries = candidates(texts.mapInArrow(prefixes, "shingle long, n long, class long"), percent)
     stars = _sorted(entries).mapInArrow(lambda batches: _stars(batches, percent), "a long, b long")
     clusters = materialise(components(stars).withColumnsRenamed({"node": "class", "root": "cluster"}), "clusters")
-    blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / cell_docs).cast("int").alias("blocks"))
-    member = clusters.join(blocks, "cluster").select("class", "cluster", "blocks")
-
     # One row of each class in a cluster brings its set.
-    bearers = materialise(rows.join(member, "class").groupBy("class", "cluster", "blocks").agg(F.min(F.struct("key", "id")).alias("one")).select("class", "cluster", "blocks", F.col("one.key").alias("own_key"), F.col("one.id").alias("own_id")), "bearers")
-    if bearers.count() <= BROADCAST_DOCS:
+    one = rows.where("n > 0").groupBy("class", "n").agg(F.min(F.struct("key", "id")).alias("one"))
+    member = materialise(one.join(clusters, "class").select("class", "n", "cluster", F.col("one.key").alias("own_key"), F.col("one.id").alias("own_id")), "members")
+    parts = F.greatest(F.ceil(F.count("*") / cell_docs), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int")
+    blocks = member.groupBy("cluster").agg(parts.alias("blocks"))
+    bearers = member.join(blocks, "cluster").select("class", "cluster", "blocks", "own_key", "own_id")
+    if member.count() <= BROADCAST_DOCS:
         bearers = F.broadcast(bearers)
 
     def sets_of(batches):
