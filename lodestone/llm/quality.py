@@ -13,13 +13,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh, whole
-from lodestone.llm.slices import slices, texts_of
+from lodestone.llm.common import whole
+from lodestone.llm.slices import slices
 
 BITS = 18
 
@@ -83,8 +83,8 @@ def log_count_ratio(docs: list[np.ndarray], y: np.ndarray, smooth: float = 1.0)
 def descend(docs: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: float, epochs: int, seed: int) -> tuple[np.ndarray, float]:
     """Hinge loss with an L2 penalty by dual coordinate descent over rows; each class has half of the cost."""
     rng = np.random.default_rng(seed)
-    values = [ratio[d] / max(1.0, len(d) ** 0.5) for d in docs]
-    square = np.array([float(v @ v) + 1.0 for v in values])
+    values = [(ratio[d] / max(1.0, len(d) ** 0.5)).astype(np.float32) for d in docs]
+    square = np.array([float(v.astype(float) @ v) + 1.0 for v in values])
     most = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum())))
     alpha, w, bias = np.zeros(len(y)), np.zeros(1 << BITS), 0.0
     for _ in range(epochs):
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return Model(np.frombuffer(learnt[0]["weights"], dtype=np.float32), *learnt[0]["rest"]) if learnt else Model(np.zeros(1 << BITS, dtype=np.float32))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 12_000, threshold: float = 0.7, folds: int = 4, held_out: int = 2, columns: list[str] | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8_000, threshold: float = 0.7, folds: int = 4, held_out: int = 2, columns: list[str] | None = None) -> DataFrame:
     """All rows of ``docs``, with all columns or those named, with ``held_out``, ``score`` and ``predicted``.
 
     Labels are learnt only where crc32 of the id as text, modulo ``folds``, is not ``held_out``. Scores are probabilities of
@@ -180,20 +180,15 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     away = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % folds == held_out, F.lit(False))
     model = train(docs, labels.where(~away(f"`{id_col}`")), id_col, text_col, label_col, sample)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    text, out = fresh(docs, "whole_text"), fresh(docs, "away")
-    named = [c for c in (docs.columns if columns is None else columns) if c not in ("held_out", "score", "predicted")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in named], away(f"`{id_col}`").alias(out), whole(text_col).alias(text))
-    n = len(named)
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
         model = sent.value
-        for part in slices(batches, n + 1):
-            margins = np.array([model.margin(features(t.encode("utf-8", "surrogatepass"))) for t in texts_of(part.column(n + 1)).to_pylist()])
-            scores = model.score(margins)
-            yield pa.RecordBatch.from_arrays([*part.columns[: n + 1], pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], names=[f.name for f in schema.fields])
+        return pd.Series(model.score(np.array([model.margin(features(t.encode("utf-8", "surrogatepass"))) for t in texts])))
 
-    schema = T.StructType([*rows.schema.fields[:n], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return rows.mapInArrow(run, schema)
+    named = [c for c in (docs.columns if columns is None else columns) if c not in ("held_out", "score", "predicted")]
+    scored = docs.select(*[F.col(f"`{c}`") for c in named], away(f"`{id_col}`").alias("held_out"), score(whole(text_col)).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
