@@ -5,18 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the folder that ``spark.checkpoint.dir`` names and read back; a local folder only where it is unset."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not known:
         known = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", known)
-    path = f"{known.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return known.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
