@@ -10,6 +10,7 @@ from pathlib import PurePosixPath
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Names of the value and name columns of a delimited list.
 VALUE_NAMES = ("smiles", "canonical_smiles", "structure", "molecule")
@@ -41,7 +42,7 @@ def decoded(content: bytes) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(content: pd.Series) -> pd.Series:
     """Texts of file contents; see ``decoded``."""
     return content.map(decoded)
