@@ -47,10 +47,11 @@ def repeated_bits(prints: DataFrame, words: int) -> DataFrame:
     return folded.where("rep <> 0")
 
 
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 64 << 20) -> DataFrame:
-    """All rows and columns of ``docs`` with ``keep_id``, ``group_size`` (long), ``kept`` (boolean) and ``text_sha256``.
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """All rows of ``docs``, with all columns or those named, with ``keep_id``, ``group_size`` (long), ``kept`` (boolean) and ``text_sha256``.
 
-    Texts are equal when their UTF-8 bytes are. Of equal texts the row with the largest id stays.
+    Texts are equal when their UTF-8 bytes are. Of equal texts the row with the largest id stays. With ``columns`` the texts
+    are read once, and what is decided on is a table of these columns and fingerprints; otherwise whole rows are carried.
 
     - A null text counts as the empty text. Empty texts are equal to each other.
     - A null id is smaller than any id; ``keep_id`` is null where all ids of a group are.
@@ -58,30 +59,32 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     - An empty table gives an empty result.
     - Columns of ``docs`` named like a new one are replaced by it.
     """
-    docs = docs.drop("keep_id", "group_size", "kept", "text_sha256")
-    prints = materialise(docs.select(F.unhex(F.sha2(whole(text_col), 256)).alias("sha")), "prints")
-    rows = prints.count()
-    words = max(1, -(-rows * BITS_PER_ROW // WORD_BITS))
+    named = [c for c in (docs.columns if columns is None else columns) if c not in ("keep_id", "group_size", "kept", "text_sha256")]
+    own, sha = fresh(docs, "row_id"), fresh(docs, "sha")
+    rows = docs.select(*[F.col(f"`{c}`") for c in named], F.col(f"`{id_col}`").alias(own), F.unhex(F.sha2(whole(text_col), 256)).alias(sha))
+    if columns is not None:
+        rows = materialise(rows, "prints")
+    prints = (rows if columns is not None else materialise(rows.select(sha), "prints")).select(F.col(sha).alias("sha"))
+    words = max(1, -(-prints.count() * BITS_PER_ROW // WORD_BITS))
     rep = repeated_bits(prints, words)
     if words * BROADCAST_WORD_BYTES <= broadcast_bytes:
         rep = F.broadcast(rep)
-    word, mask, bits, ties, turn = (fresh(docs, n) for n in ("word", "mask", "rep", "ties", "turn"))
-    probed = _with_bits(docs.withColumn("text_sha256", F.sha2(whole(text_col), 256)).withColumn(bits, F.unhex("text_sha256")), bits, words, word, mask)
-    probed = probed.drop(bits).join(rep.select(F.col("word").alias(word), F.col("rep").alias(bits)), word, "left")
+    word, mask, bits, ties, turn = (fresh(rows, n) for n in ("word", "mask", "rep", "ties", "turn"))
+    probed = _with_bits(rows, sha, words, word, mask).join(rep.select(F.col("word").alias(word), F.col("rep").alias(bits)), word, "left")
     maybe = F.coalesce(F.col(bits), F.lit(0).cast("long")).bitwiseAND(F.col(mask)) == F.col(mask)
-    out = [*docs.columns, "keep_id", "group_size", "kept", "text_sha256"]
+    out = [*[F.col(f"`{c}`") for c in named], "keep_id", "group_size", "kept", F.lower(F.hex(sha)).alias("text_sha256")]
 
     # Rows that no other row can equal.
-    alone = probed.where(~maybe).withColumns({"keep_id": F.col(f"`{id_col}`"), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
+    alone = probed.where(~maybe).withColumns({"keep_id": F.col(own), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
 
     again = probed.where(maybe)
-    ids = again.groupBy("text_sha256", F.col(f"`{id_col}`").alias("id")).agg(F.count("*").alias("n"))
-    groups = ids.groupBy("text_sha256").agg(F.max(F.struct("id", "n")).alias("top"), F.sum("n").alias("group_size"))
-    groups = groups.select("text_sha256", F.col("top.id").alias("keep_id"), "group_size", F.col("top.n").alias(ties))
-    decided = again.join(groups, "text_sha256").withColumn("kept", F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")))
+    ids = again.groupBy(sha, F.col(own).alias("id")).agg(F.count("*").alias("n"))
+    groups = ids.groupBy(sha).agg(F.max(F.struct("id", "n")).alias("top"), F.sum("n").alias("group_size"))
+    groups = groups.select(sha, F.col("top.id").alias("keep_id"), "group_size", F.col("top.n").alias(ties))
+    decided = again.join(groups, sha).withColumn("kept", F.col(own).eqNullSafe(F.col("keep_id")))
     tied = F.col("kept") & (F.col(ties) > 1)
     plain = decided.where(~tied)
-    turns = decided.where(tied).withColumn(turn, F.row_number().over(Window.partitionBy("text_sha256").orderBy("keep_id"))).withColumn("kept", F.col(turn) == 1)
+    turns = decided.where(tied).withColumn(turn, F.row_number().over(Window.partitionBy(sha).orderBy("keep_id"))).withColumn("kept", F.col(turn) == 1)
     return alone.select(out).unionByName(plain.select(out)).unionByName(turns.select(out))
 
 

@@ -29,8 +29,7 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"))
-    return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.mark_duplicates(table(spark, sf_dir, "documents"), columns=["doc_id"])
 
 
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

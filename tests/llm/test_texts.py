@@ -111,6 +111,10 @@ def test_token_counts(spark, docs):
 
 def test_exact_dedup(spark, docs):
     got = exact_dedup.mark_duplicates(docs).collect()
+    narrow = exact_dedup.mark_duplicates(docs, columns=["doc_id"])
+    digest = lambda r: (r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256)
+    assert narrow.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    assert Counter(map(digest, narrow.collect())) == Counter(map(digest, got))
     by_text = defaultdict(list)
     for r in docs.collect():
         by_text[r.text or ""].append(-1 if r.doc_id is None else r.doc_id)
