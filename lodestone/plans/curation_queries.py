@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.columns import codes, count_if, ladder
 from lodestone.operators import boxes, consensus, dedup, metrics, review, similarity, splits
+from lodestone.operators.order import numbered
 from lodestone.plans.registry import query
 from lodestone.sources.adapters import records, twin
 
@@ -178,8 +179,8 @@ def w15(spark, d):
 
 @query("w16_round_robin", twin("SELECT category, sample_id, CAST((row_number() OVER (PARTITION BY category ORDER BY sample_id) - 1) % 8 AS INTEGER) AS label FROM samples", "samples"))
 def w16(spark, d):
-    turn = F.row_number().over(Window.partitionBy("category").orderBy("sample_id")) - 1
-    return records(spark, d, "samples").select("category", "sample_id", F.pmod(turn, F.lit(8)).alias("label"))
+    rows = numbered(records(spark, d, "samples").select("category", "sample_id"), "category", "sample_id")
+    return rows.select("category", "sample_id", F.pmod("place", F.lit(8)).cast("int").alias("label"))
 
 
 VALID = "v AS (SELECT * FROM candidates WHERE status = 'success' AND canonical_key IS NOT NULL AND valid)"
@@ -474,8 +475,7 @@ def s13(spark, d):
 
 @query("s15_chunks", twin("r AS (SELECT category, sample_id, (row_number() OVER (PARTITION BY category ORDER BY sample_id) - 1) // 75 AS chunk FROM samples) SELECT category, chunk, count(*) AS n, min(sample_id) AS first, max(sample_id) AS last FROM r GROUP BY 1, 2", "samples"))
 def s15(spark, d):
-    turn = F.row_number().over(Window.partitionBy("category").orderBy("sample_id")) - 1
-    rows = records(spark, d, "samples").select("category", "sample_id", F.floor(turn / 75).alias("chunk"))
+    rows = numbered(records(spark, d, "samples").select("category", "sample_id"), "category", "sample_id").withColumn("chunk", F.floor(F.col("place") / 75))
     return rows.groupBy("category", "chunk").agg(F.count("*").alias("n"), F.min("sample_id").alias("first"), F.max("sample_id").alias("last"))
 
 

@@ -11,6 +11,7 @@ from lodestone.functions.columns import tanimoto
 from lodestone.functions.rules import license_allowed, license_key, tidy_message
 from lodestone.operators import boxes, confusion, consensus, dedup, edits, metrics, review, similarity, splits
 from lodestone.operators.graph import components
+from lodestone.operators.order import numbered
 
 BOX = "page_id long, side string, box_id long, x1 long, y1 long, x2 long, y2 long, decision string"
 
@@ -213,3 +214,15 @@ def test_two_orders_of_sampling(spark):
     assert by == {"x": 9, "y": 1}
     assert splits.hash_sample(df, "id", 5, 3).where("part = 'train'").count() == 3
     assert splits.holdout(df, "s", 0.2).where("part = 'test'").count() == 1
+
+
+def test_numbered(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.randrange(1000)) for _ in range(500)]
+    got = numbered(spark.createDataFrame(rows, "g string, v long").repartition(7), "g", "v").collect()
+    by = defaultdict(list)
+    for r in got:
+        by[r.g].append((r.place, r.v))
+    for g, own in by.items():
+        own.sort()
+        assert [p for p, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for h, v in rows if h == g)
