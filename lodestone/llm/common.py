@@ -31,6 +31,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand texts to Python in batches of at most so many rows.
+
+    Texts run from nothing to hundreds of kilobytes, and a worker holds a batch several times over; Spark's usual 10,000 rows
+    suit numbers. A smaller setting of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fresh(df: DataFrame, name: str, *others: DataFrame) -> str:
     """``name``, or a longer name where a column of these DataFrames already has it (compared without case)."""
     taken = {c.lower() for d in (df, *others) for c in d.columns}

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh, whole
+from lodestone.llm.common import fresh, small_batches, whole
 from lodestone.llm.slices import slices
 
 #: The words, in a text whose A-Z are already in lower case.
@@ -114,6 +114,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     out = docs.select(*[F.col(f"`{c}`") for c in named], whole(text_col).alias(text))
     n = len(named)
     blocks = _blocks(benchmark.select(F.col(f"`{item_col}`").alias("item"), whole(item_text_col).alias("text")), size, block_windows)
+    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     shared = [(f"{id(b)}-{len(b)}-{hashlib.md5(b).hexdigest()}", context.broadcast(b)) for b in blocks]
     schema = T.StructType([*out.schema.fields[:n], *(T.StructField(k, v) for k, v in new.items())])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh, whole
+from lodestone.llm.common import fresh, small_batches, whole
 from lodestone.llm.slices import slices
 
 _RAW = "script|style|noscript|template|iframe|svg|textarea|title|select|button|math|object|canvas|video|audio"
@@ -183,6 +183,7 @@ def extract_text(pages: DataFrame, key_col: str = "page_id", html_col: str = "ht
     - Without labelled pages the weights of unseen contexts hold. Very long pages are read whole, in linear time.
     - An empty table gives an empty result. Columns of ``pages`` named like a new one are replaced by it.
     """
+    small_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(learn(pages, key_col, html_col, sample))  # at most 5,000 weights
     page = fresh(pages, "whole_html")
     named = [c for c in (pages.columns if columns is None else columns) if c not in ("text", "n_chars")]

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, materialise, whole
+from lodestone.llm.common import fresh, materialise, small_batches, whole
 from lodestone.llm.components import components
 from lodestone.llm.slices import slices, texts_of
 
@@ -353,6 +353,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     - Very long texts: memory follows the longest text; an empty table gives an empty result; other columns aren't read.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     found = materialise(_profiles(docs, id_col, text_col, size), "profiles")
     rows = found.where("kind = 0").select("id", "key", "n", "class")
     frequent = _top(found, 1, LEAST_FREQUENT, FREQUENT)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, whole
+from lodestone.llm.common import materialise, small_batches, whole
 from lodestone.llm.slices import between_spaces, slices, texts_of
 
 #: Distinct units whose ids a worker keeps; then it starts anew.
@@ -253,6 +253,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     - An empty table gives an empty result; other columns of ``docs`` are not read.
     """
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
     ranks = ranks or public_tokenizers.path("byte_bpe_50k.tiktoken")
     pieces = materialise(tokenise(docs, id_col, text_col, capacity, end_id, tokenizer, ranks, keep_ids), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))

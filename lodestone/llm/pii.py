@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh, whole
+from lodestone.llm.common import fresh, small_batches, whole
 from lodestone.llm.slices import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -254,6 +254,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     - Without candidates anywhere the field has its first weights. An empty table gives an empty result.
     - Columns of ``docs`` named like a new one are replaced by it.
     """
+    small_batches(docs.sparkSession)
     new = {**{f"n_{k}": T.LongType() for k in KINDS}, "base_sha256": T.StringType(), "spans": T.StringType(), "added": T.LongType()}
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, id_col, text_col, sample))
     text = fresh(docs, "whole_text")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import whole
+from lodestone.llm.common import small_batches, whole
 from lodestone.llm.slices import slices
 
 BITS = 18
@@ -177,6 +177,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     - Without labels of both classes every score is 0.5. An empty table gives an empty result.
     - Columns of ``docs`` named like a new one are replaced by it.
     """
+    small_batches(docs.sparkSession)
     away = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % folds == held_out, F.lit(False))
     model = train(docs, labels.where(~away(f"`{id_col}`")), id_col, text_col, label_col, sample)
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh, whole
+from lodestone.llm.common import fresh, small_batches, whole
 from lodestone.llm.slices import between_spaces, slices, sums, texts_of
 
 MARK = "▁"
@@ -104,6 +104,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", model: str | None = No
     inner = fresh(docs, "whole_text")
     named = [c for c in (docs.columns if columns is None else columns) if c not in ("n_bytes", "n_tokens", "over_limit")]
     docs = docs.select(*[F.col(f"`{c}`") for c in named], whole(text_col).alias(inner))
+    small_batches(docs.sparkSession)
     path = model or public_tokenizers.path("piece_bpe_32k.model")
     one = proven(path)
     n_cols = len(named)
