@@ -42,6 +42,18 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+def join_counted(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, share: int = 1000) -> DataFrame:
+    """Inner join with a table of one row for each key, whose column ``size`` says how many rows of ``left`` have the key.
+
+    Keys with at least one in ``share`` of the ``rows`` of ``left`` are joined by broadcast, where their rows lie: there are
+    ``share`` of them at most (or fewer than that many rows). Only the others are shuffled, so no task gets a large group.
+    """
+    least = max(1, rows // share)
+    large = F.broadcast(right.where(F.col(size) >= least))
+    rest = left.join(large.select(key), key, "left_anti").join(right.where(F.col(size) < least), key)
+    return left.join(large, key).unionByName(rest)
+
+
 def fresh(df: DataFrame, name: str, *others: DataFrame) -> str:
     """``name``, or a longer name where a column of these DataFrames already has it (compared without case)."""
     taken = {c.lower() for d in (df, *others) for c in d.columns}

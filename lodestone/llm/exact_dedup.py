@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, materialise, whole
+from lodestone.llm.common import fresh, join_counted, materialise, whole
 
 BITS_PER_ROW = 16
 WORD_BITS = 64
@@ -65,7 +65,8 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if columns is not None:
         rows = materialise(rows, "prints")
     prints = (rows if columns is not None else materialise(rows.select(sha), "prints")).select(F.col(sha).alias("sha"))
-    words = max(1, -(-prints.count() * BITS_PER_ROW // WORD_BITS))
+    n_rows = prints.count()
+    words = max(1, -(-n_rows * BITS_PER_ROW // WORD_BITS))
     rep = repeated_bits(prints, words)
     if words * BROADCAST_WORD_BYTES <= broadcast_bytes:
         rep = F.broadcast(rep)
@@ -78,10 +79,11 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     alone = probed.where(~maybe).withColumns({"keep_id": F.col(own), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
 
     again = probed.where(maybe)
+    # The groups are used thrice, and there are few: written once.
     ids = again.groupBy(sha, F.col(own).alias("id")).agg(F.count("*").alias("n"))
     groups = ids.groupBy(sha).agg(F.max(F.struct("id", "n")).alias("top"), F.sum("n").alias("group_size"))
-    groups = groups.select(sha, F.col("top.id").alias("keep_id"), "group_size", F.col("top.n").alias(ties))
-    decided = again.join(groups, sha).withColumn("kept", F.col(own).eqNullSafe(F.col("keep_id")))
+    groups = materialise(groups.select(sha, F.col("top.id").alias("keep_id"), "group_size", F.col("top.n").alias(ties)), "groups")
+    decided = join_counted(again, groups, sha, "group_size", n_rows).withColumn("kept", F.col(own).eqNullSafe(F.col("keep_id")))
     tied = F.col("kept") & (F.col(ties) > 1)
     plain = decided.where(~tied)
     turns = decided.where(tied).withColumn(turn, F.row_number().over(Window.partitionBy(sha).orderBy("keep_id"))).withColumn("kept", F.col(turn) == 1)

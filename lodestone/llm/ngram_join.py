@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, materialise, small_batches, whole
+from lodestone.llm.common import fresh, join_counted, materialise, small_batches, whole
 from lodestone.llm.components import components
 from lodestone.llm.slices import slices, texts_of
 
@@ -397,11 +397,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = dealt.mapInArrow(lambda batches: _cells(batches, percent), "a long, b long")
     roots = components(links)
 
-    low = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("first"), F.min("key").alias("key"))
-    own = low.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    least = own.groupBy("root").agg(F.min("id").alias("component_id"), F.min("first").alias("first"), F.min("key").alias("least_key"))
-    named = own.select("class", "root").join(least, "root").select("class", "component_id", "first", "least_key")
-    marked = rows.join(named, "class", "left")
+    total = rows.count()
+    low = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("first"), F.min("key").alias("key"), F.count("*").alias("size"))
+    own = materialise(low.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "classes")
+    least = materialise(own.groupBy("root").agg(F.min("id").alias("component_id"), F.min("first").alias("first"), F.min("key").alias("least_key"), F.count("*").alias("n_classes")), "roots")
+    named = join_counted(own.select("class", "root", "size"), least, "root", "n_classes", total).select("class", "size", "component_id", "first", "least_key")
+    named = materialise(named, "named")
+    empty = rows.where("n = 0").select("*", *[F.lit(None).cast(named.schema[c].dataType).alias(c) for c in named.columns if c != "class"])
+    marked = join_counted(rows.where("n > 0"), named, "class", "size", total).unionByName(empty)
     lone = F.col("n") == 0
     is_first = F.when(F.col("first").isNotNull(), F.col("first") == F.struct("id", "key")).otherwise(F.col("least_key") == F.col("key"))
     return marked.select("id", "key", F.col("n").alias("n_shingles"), F.when(lone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(lone, F.lit(True)).otherwise(F.coalesce(is_first, F.lit(False))).alias("first"))
