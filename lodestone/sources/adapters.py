@@ -59,7 +59,7 @@ SQL = {
           (l_partkey * 37) % 400 + 60 + CAST(l_quantity AS BIGINT) AS x2,
           (l_suppkey * 53 + l_orderkey) % 400 + 60 + CAST(l_quantity AS BIGINT) AS y2,
           CASE l_orderkey % 3 WHEN 0 THEN 'accept_molecule' WHEN 1 THEN 'review_needed' ELSE 'reject_negative' END AS decision
-        FROM lineitem WHERE l_linenumber <= 4
+        FROM lineitem
     """,
     "votes": """
         SELECT event_id - event_id % 6 AS sample_id, user_id AS reviewer, ts AS voted_at, event_id AS seq,
