@@ -22,12 +22,11 @@ from pyspark.sql import types as T
 from lodestone.llm.common import fresh, small_batches, whole
 from lodestone.llm.slices import slices
 
-_RAW = "script|style|noscript|template|iframe|svg|textarea|title|select|button|math|object|canvas|video|audio"
-_TOKEN = re.compile(
-    rf"<!--.*?(?:--!?>|\Z)|<({_RAW})(?=[\s/>])[^>]*+>(?:(?<=/>)|.*?(?:</\1\s*+>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]{0,4000}+\"|'[^']{0,4000}+'|[^\"'>])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page, with what ends each.
+_RAW = {n: re.compile(rf"</{n}\s*+>", re.I) for n in "script style noscript template iframe svg textarea title select button math object canvas video audio".split()}
+_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+#: Attributes as far as the end of the tag or the quote that opens a value; a quote elsewhere is a character like others.
+_STEP = re.compile("(?:[^>=]++|=\\s*+[^\\s\"'>][^\\s>]*+)*+(?:=\\s*+)?+([>\"'])")
 _BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th section article main header footer nav aside blockquote pre figure figcaption hr form fieldset legend address details summary body html head center dialog menu hgroup search option".split())
 _CONTAINERS = frozenset("head body div section article main header footer nav aside form fieldset table ul ol dl figure dialog menu details address".split())
 _INNER = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dt dd figcaption summary".split())
@@ -47,6 +46,25 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(w for groups in found for w in _WORD.findall("".join(groups).lower()) if w.isalpha())
 
 
+def _tag_end(page: str, at: int, dead: set[int]) -> int:
+    """Where the tag whose attributes start at ``at`` ends: after the first > outside quoted values, or else after the first >.
+
+    ``dead`` has the opening quotes from which the page is known to end inside a tag, so each is followed once at most.
+    """
+    opened, here = [], at
+    while m := _STEP.match(page, here):
+        if m[1] == ">":
+            return m.end()
+        quote = m.end() - 1
+        close = -1 if quote in dead else page.find(m[1], quote + 1)
+        opened.append(quote)
+        if close < 0:
+            break
+        here = close + 1
+    dead.update(opened)
+    return page.find(">", at) + 1 or len(page)
+
+
 def tokens(page: str):
     """(is a word run, feature, text or tag, boilerplate by name, depth in labelled elements) in page order."""
     stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
@@ -59,14 +77,21 @@ def tokens(page: str):
     end = page.rfind(">") + 1  # what opens after it has no end
     if opened := re.search("<[a-zA-Z/!?]", page[end:]):
         page = page[: end + opened.start()]
-    for m in _TOKEN.finditer(page):
+    dead: set[int] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             yield words(page[at : m.start()])
         at = m.end()
-        close, name, attributes = (m[2], m[3], m[4]) if m[3] else (m[5], m[6], m[7])
+        close, name = m[1], m[2]
         if not name:
             continue
         name = name.lower()
+        at = _tag_end(page, at, dead)
+        if name in _RAW and not close:
+            if page[at - 2] != "/":
+                at = end.end() if (end := _RAW[name].search(page, at)) else len(page)
+            continue
+        attributes = page[m.end() : at - 1]
         if name == "a":
             links = 0 if close else 1
         if close and name in _CONTAINERS:

@@ -58,3 +58,19 @@ def test_table(spark):
     got = html_text.extract_text(pages).collect()
     assert sorted((r.text, r.n_chars) for r in got) == sorted([(WANT, len(WANT))] * 3 + [("", 0)] * 2)
     assert html_text.extract_text(pages.limit(0)).count() == 0
+
+
+def test_attribute_values_of_any_length():
+    for size in (10, 5_000, 200_000):
+        value = "x" * size + "<b>inner words ...> and />"
+        for quote in "\"'":
+            assert html_text.extract(f"<p data-x={quote}{value}{quote}>real</p>", {}) == "real"
+            assert html_text.extract(f"<button title = {quote}{value}{quote}>Buy</button><p>real", {}) == "real"
+    assert html_text.extract("<p class=it's>real</p><p>isn't</p>", {}) == "real\nisn't"
+    assert html_text.extract("<p title='open>real</p>", {}) == "real"
+
+
+def test_odd_quotes_take_linear_time():
+    for unit in ('<p a="=>', '<p a=">x="', "<p a=\"'>", "<p a='\"=>", '<button a="', "<p a=\">x=\" b='"):
+        for tail in (">", "'>", '">', '=">'):
+            html_text.extract(unit * 50_000 + tail, {})
