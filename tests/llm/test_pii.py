@@ -70,3 +70,23 @@ def test_table(spark):
     assert pii.find_personal_data(docs.limit(0)).count() == 0
     quiet = spark.createDataFrame([(1, "nothing")], "doc_id long, text string")
     assert [r.spans for r in pii.find_personal_data(quiet).collect()] == [""]
+
+
+def test_labels_cross_long_chains():
+    labels, weight = len(pii.KINDS) + 1, 10.0
+    field = pii.Field(np.zeros((labels, pii._FEATURES)), np.stack([np.zeros((labels, labels)), weight * np.eye(labels)]))
+    for n in (10, 60, 400):
+        got = field.posteriors([[0]] * n, [(i, i + 1, 1) for i in range(n - 1)], [4] + [None] * (n - 1))
+        fade = (np.exp(weight) - 1) / (np.exp(weight) + labels - 1)
+        assert np.allclose(got[:, 4], 1 / labels + (1 - 1 / labels) * fade ** np.arange(n), atol=1e-3)
+
+
+def test_spans_are_added_at_the_usual_threshold(spark):
+    known = [f"555-{1000 + i} or write to a{i}@b.example.com" for i in range(150)]
+    texts = [f"Call +1 (706) {t} now, or +1 706 {t} today. Order {7654321 + 13 * i} of {20240000 + i} came." for i, t in enumerate(known)]
+    texts += [f"Call +1 (706) 555-{3000 + i} now. Later call 706 555 {3000 + i} again. Order {31415926 + 7 * i} came." for i in range(30)]
+    rows = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        number = f"706 555 {2850 + r.doc_id}"
+        at = r.text.find(number)
+        assert r.added == (at >= 0) and (at < 0 or f"phone:{at}:{at + len(number)}" in r.spans.split(",")), (r.text, r.spans)
