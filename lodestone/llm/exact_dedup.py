@@ -7,7 +7,7 @@ few per cent of false positives, are shuffled by their fingerprint and decided e
 
 The number of words follows the number of rows (``BITS_PER_ROW``), so the share of false positives does not grow with the
 table. The filter is broadcast only while its size, bounded by the number of words, is under ``broadcast_bytes``; beyond
-that the narrow probe rows are joined with it by a shuffle.
+that all rows are joined with it by a shuffle: narrow ones with ``columns``, otherwise whole rows with their texts.
 """
 
 from __future__ import annotations
