@@ -1,46 +1,53 @@
-"""Connected components of an edge table, as a job of joins and aggregations."""
+"""Connected components of an edge table, by alternating large and small stars.
 
-from __future__ import annotations
+Each round replaces edges by edges to smaller nodes, so paths halve; the table of edges is written after each round and
+read back, which cuts the lineage, and the one before it is deleted. A node with very many edges meets them in a partial
+minimum and in a join that the engine can split, never in one group.
+"""
 
-import tempfile
-import uuid
+from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.tables import discard, materialise, shared_dir  # noqa: F401
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a local one only where it is unset."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        known = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
+def _large(edges: DataFrame) -> DataFrame:
+    """Each node links its larger neighbours to the smallest of its neighbours and itself."""
+    both = _both(edges)
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _small(edges: DataFrame) -> DataFrame:
+    """Each node links itself and its smaller neighbours to the smallest of them. Edges run from larger to smaller nodes."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    turned = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return turned.unionByName(least.select("a", F.col("m").alias("b")))
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b): the smallest node that each reaches.
+    """(node, root) for every node of ``edges`` (columns a, b): the root is the smallest node that it reaches.
 
-    Every round a node takes the least label among its own, its neighbours' and that of its label (a jump along the path),
-    so long chains fold up; the labels are written each round.
+    Loops and repeated edges do no harm; an edge with a null end is left out. No edge gives an empty result. A node whose
+    only edge is a loop has no row.
     """
-    both = edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialise(both, "edges")
-    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "node"), "labels")
+    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialise(ordered.distinct(), "edges")
+    state = None
     for _ in range(rounds):
-        near = both.join(labels, both.a == labels.node).groupBy("b").agg(F.min("root").alias("least"))
-        stepped = labels.join(near, labels.node == near.b).select("node", "root", F.least("root", "least").alias("next"))
-        hop = labels.select(F.col("node").alias("at"), F.col("root").alias("jump"))
-        moved = materialise(stepped.join(hop, stepped.next == hop.at, "left").select("node", "root", F.least("next", F.coalesce("jump", "next")).alias("next")), "labels")
-        if moved.where("next <> root").limit(1).count() == 0:
-            return labels
-        labels = moved.select("node", F.col("next").alias("root"))
-    raise RuntimeError(f"components have not settled in {rounds} rounds")
+        stepped = materialise(_small(_large(now).distinct()).distinct(), "edges")
+        discard(now)
+        now = stepped
+        after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(after) == state:
+            break
+        state = tuple(after)
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
