@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.tables import discard, materialise, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a local one only where that is unset (tests)."""
-    known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not known:
-        known = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", known)
-    return known.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, and survives the loss of an executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Let Spark hand texts to Python in batches of at most so many rows.
 
@@ -42,6 +25,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
+_kept: dict = {}
+
+
+def resident(name: str, make):
+    """What a worker process keeps between tasks under ``name``, such as a tokenizer and its cache; made where it is missing.
+
+    Worker processes live on through all stages, so only one operator's is kept: that of another operator goes first.
+    """
+    if name not in _kept:
+        _kept.clear()
+        pa.default_memory_pool().release_unused()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def join_counted(left: DataFrame, right: DataFrame, key: str, size: str, rows: int, share: int = 1000) -> DataFrame:
     """Inner join with a table of one row for each key, whose column ``size`` says how many rows of ``left`` have the key.
 

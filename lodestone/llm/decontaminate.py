@@ -3,15 +3,16 @@
 Both sides are normalised alike: A-Z in lower case, words joined by single spaces. The automaton holds each window once,
 between spaces, so that it matches whole words only. Matches are mapped to words, and words to places in the text as given.
 
-The automaton is broadcast, so its size is checked: the benchmark is cut into blocks of at most ``block_windows`` windows,
-and a text is scanned once for each block. A benchmark of ordinary size is a single block.
+The automaton is broadcast, so its size is bounded: it holds about ``block_windows`` windows. A benchmark of ordinary size is
+one block, and each text is scanned once. A larger one is cut into blocks, one after another on the driver and in a worker:
+after each the table is written with what was found so far, and read again for the next.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh, small_batches, whole
+from lodestone.llm.common import discard, fresh, materialise, resident, small_batches, whole
 from lodestone.llm.slices import slices
 
 #: The words, in a text whose A-Z are already in lower case.
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Each byte that no word has (all of them ASCII) becomes a space; A-Z become a-z.
 _TABLE = bytes((b | 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32) for b in range(256))
-_automata: dict = {}
 
 
 def normalise(text: str) -> str:
@@ -109,57 +109,55 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     - Columns of ``docs`` named like a new one are replaced by it.
     """
     new = {"n_words": T.LongType(), "n_hit": T.LongType(), "n_items": T.LongType(), "items_sha256": T.StringType(), "contaminated": T.BooleanType(), "hit_spans": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))}
-    text = fresh(docs, "whole_text")
     named = [c for c in (docs.columns if columns is None else columns) if c not in new]
-    out = docs.select(*[F.col(f"`{c}`") for c in named], whole(text_col).alias(text))
+    text, runs, items = (fresh(docs, n) for n in ("whole_text", "hit_runs", "hit_items"))
     n = len(named)
-    blocks = _blocks(benchmark.select(F.col(f"`{item_col}`").alias("item"), whole(item_text_col).alias("text")), size, block_windows)
+    out = docs.select(*[F.col(f"`{c}`") for c in named], whole(text_col).alias(text))
     small_batches(docs.sparkSession)
-    context = docs.sparkSession.sparkContext
-    shared = [(f"{id(b)}-{len(b)}-{hashlib.md5(b).hexdigest()}", context.broadcast(b)) for b in blocks]
-    schema = T.StructType([*out.schema.fields[:n], *(T.StructField(k, v) for k, v in new.items())])
+    blocks, n_blocks = _blocks(benchmark.select(F.col(f"`{item_col}`").alias("item"), whole(item_text_col).alias("text")), size, block_windows)
+    for k in range(n_blocks - 1):
+        earlier = out
+        out = materialise(_scanned(out, n, blocks(k), size, T.StructType([*out.schema.fields[: n + 1], T.StructField(runs, T.ArrayType(T.LongType())), T.StructField(items, T.ArrayType(T.StringType()))]), False), "scanned")
+        if k:
+            discard(earlier)
+    return _scanned(out, n, blocks(n_blocks - 1), size, T.StructType([*out.schema.fields[:n], *(T.StructField(k, v) for k, v in new.items())]), True)
+
+
+def _scanned(rows: DataFrame, n: int, items: list[tuple], size: int, schema: T.StructType, last: bool) -> DataFrame:
+    """Scan the texts (column ``n``) with the automaton of ``items``; columns after it have what earlier blocks found."""
+    sent, name = rows.sparkSession.sparkContext.broadcast(items), f"windows {uuid.uuid4().hex}"
     spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), spans_type) if last else (pa.list_(pa.int64()), pa.list_(pa.string()))
 
     def run(batches):
-        tables = []
-        for key, sent in shared:
-            if key not in _automata:
-                if len(_automata) >= len(shared):
-                    _automata.clear()
-                _automata[key] = automaton(pickle.loads(sent.value), size)  # noqa: S301
-            tables.append(_automata[key])
-        for rows in slices(batches, n):
-            made = ([], [], [], [], [], [])
-            for t in rows.column(n).to_pylist():
-                n_words, runs, items = 0, [], set()
-                for found, owners in tables or [(None, [])]:
-                    n_words, more, own = scan(t, found, owners)
-                    runs += more
-                    items |= own
-                runs = joined(runs)
-                hit = sum(b - a for a, b in runs)
-                places = word_spans(t) if runs else []
-                spans = [{"start": places[a][0], "end": places[b - 1][1]} for a, b in runs]
-                names = ",".join(sorted(str(i) for i in items))
-                for column, value in zip(made, (n_words, hit, len(items), hashlib.sha256(names.encode()).hexdigest(), hit > 0, spans), strict=True):
+        found, owners = resident(name, lambda: automaton(sent.value, size))
+        for part in slices(batches, n):
+            known = [c.to_pylist() for c in part.columns[n + 1 :]] or [[()] * part.num_rows] * 2
+            made = tuple([] for _ in kinds)
+            for t, more, names in zip(part.column(n).to_pylist(), *known, strict=True):
+                n_words, runs, own = scan(t, found, owners)
+                runs = joined([*runs, *zip(more[::2], more[1::2], strict=True)])
+                own = sorted({*map(str, own), *names})
+                values = [x for r in runs for x in r], own
+                if last:
+                    hit = sum(b - a for a, b in runs)
+                    places = word_spans(t) if runs else []
+                    spans = [{"start": places[a][0], "end": places[b - 1][1]} for a, b in runs]
+                    values = n_words, hit, len(own), hashlib.sha256(",".join(own).encode()).hexdigest(), hit > 0, spans
+                for column, value in zip(made, values, strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), spans_type)
-            yield pa.RecordBatch.from_arrays([*rows.columns[:n], *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=[f.name for f in schema.fields])
-
-    return out.mapInArrow(run, schema)
-
-
-def _blocks(items: DataFrame, size: int, most: int) -> list[bytes]:
-    """The benchmark in pickled blocks of at most ``most`` windows (one text may have more)."""
-    blocks, block, count = [], [], 0
-    for row in items.toLocalIterator():
-        n = max(1, row["text"].count(" ") + 1)
-        if block and count + n > most:
-            blocks.append(pickle.dumps(block))
-            block, count = [], 0
-        block.append((row["item"], row["text"]))
-        count += n
-    return [*blocks, pickle.dumps(block)] if block else blocks
+            yield pa.RecordBatch.from_arrays([*part.columns[: n if last else n + 1], *(pa.array(c, k) for c, k in zip(made, kinds, strict=True))], names=[f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _blocks(items: DataFrame, size: int, most: int):
+    """The benchmark in blocks of about ``most`` windows: (block by number, as a list on the driver; how many there are)."""
+    n_words = F.size(F.split("text", " "))
+    total = items.agg(F.sum(n_words)).first()[0] or 0
+    n_blocks = max(1, -(-total // most))
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
+    return lambda k: [(r["item"], r["text"]) for r in items.where(block == k).collect()], n_blocks
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

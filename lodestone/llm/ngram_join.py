@@ -6,14 +6,15 @@
    starts with shingles of rare words, which hardly two unrelated texts have in common, and ends with frequent shingles.
    Prefix entries are sorted by shingle and size, in Spark; entries next to each other whose sizes allow a link are a run.
    Documents with fewer than l entries in runs of two or more link with nothing and go; this is done twice. What is left of
-   each run is joined to its first (a star, not all pairs), and the connected components of these stars are the candidate
-   clusters: every link lies inside one.
-3. Sets of clusters of two or more are fetched, dealt by cluster, and searched: the T-occurrence problem with DivideSkip.
-   Inverted lists of a query's shingles are divided: short ones are merged and counted, and only documents with enough
-   occurrences there are looked up in the long ones by binary search. Documents that are already connected are not looked
-   up again. A cluster of more than ``cell_docs`` documents, or a million shingles, is split into blocks and searched block against block, so
-   no task holds a cluster of any size.
-4. Links of all cells give the components.
+   each run is joined to its first (a star, not all pairs); the connected components of these stars, the clusters, say which
+   documents are searched near each other. Entries of a very frequent shingle are dealt over several tasks; their stars meet
+   in a node of the shingle.
+3. The sets of a cluster are dealt over blocks of bounded size, and each block is searched within, together with a few
+   leaders of the cluster: T-occurrence search with DivideSkip (``t_occurrence``). What links to a leader is connected
+   across blocks, so a group of near copies of any size costs one look-up each.
+4. Documents of a cluster that are not connected to its largest component then go to those other blocks that hold a document
+   which shares l prefix entries with them, and are searched there. So sets are sent by open candidates, not by all blocks.
+5. Links of all blocks give the components.
 """
 
 from __future__ import annotations
@@ -27,9 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, join_counted, materialise, small_batches, whole
-from lodestone.llm.components import components
+from lodestone.llm.common import discard, fresh, join_counted, materialise, small_batches, whole
+from lodestone.llm.filters import bloom, tested
 from lodestone.llm.slices import slices, texts_of
+from lodestone.llm.t_occurrence import Across, search, smallest
+from lodestone.operators.graph import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: A task reports shingles that so many distinct sets of a slice share, and words that occur so often in a slice.
@@ -38,11 +41,13 @@ SLICE_FREQUENT, SLICE_WORDS = 3, 8
 FREQUENT, WORDS = 200_000, 50_000
 #: Shingles shared by fewer sets than this are never called frequent.
 LEAST_FREQUENT = 8
-#: Documents in clusters up to which their keys are broadcast to the scan that fetches their sets (about 50 bytes each).
-BROADCAST_DOCS = 400_000
 _LOW = np.uint64((1 << 56) - 1)
-#: Shingles of a block of a cluster, about: 8 bytes each.
-CELL_SHINGLES = 1_000_000
+#: Documents of a block, and shingles of a block (8 bytes each), about.
+CELL_DOCS, CELL_SHINGLES = 256, 250_000
+#: Leaders of a cluster that are searched with each of its blocks.
+LEADERS = 4
+#: Entries of one shingle that a task gets, about.
+SHINGLE_ENTRIES = 8_192
 #: Prefixes are longer by one shingle for so many of a set; as many must be shared.
 EXTRA = 20
 
@@ -92,21 +97,11 @@ def shingle_sets(texts: pa.Array, size: int, levels: tuple[np.ndarray, np.ndarra
     return out
 
 
-def needed(n: int, percent: int) -> int:
-    """The least intersection that a set of ``n`` has with any set it links to."""
-    return -(-n * percent // 100)
-
-
 def extra(n: int) -> int:
     """How many shingles two linked sets must share in their prefixes, if neither is smaller than ``n``."""
     return max(1, n // EXTRA)
 
 
-def enough(shared, total, percent: int):
-    """Whether sets with ``shared`` elements in common and sizes adding up to ``total`` link: shared / union >= percent / 100."""
-    return (100 + percent) * shared >= percent * total
-
-
 def class_of(s: np.ndarray) -> int:
     """A hash of a set, whatever its order."""
     h = ((s & _LOW) + _M1) * _M2
@@ -151,7 +146,7 @@ def _top(found: DataFrame, kind: int, least: int, most: int) -> tuple[np.ndarray
 
 def prefix(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """The first shingles of a set, rare ones in their order, then frequent ones from the rarest; see ``extra``."""
-    length = min(len(s), len(s) - needed(len(s), percent) + extra(len(s)))
+    length = min(len(s), len(s) - smallest(len(s), percent) + extra(len(s)))
     if not len(frequent):
         return s[:length]
     for tried in (s[: 2 * length], s):
@@ -165,186 +160,187 @@ def prefix(s: np.ndarray, percent: int, frequent: np.ndarray, rank: np.ndarray)
     return np.concatenate([rare, common[np.argsort(rank[at[often]], kind="stable")[: length - len(rare)]]])
 
 
-def _runs(t: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
-    """Where runs start in sorted entries: at a new shingle, or where sizes are too far apart to link across."""
+def _runs(t: np.ndarray, part: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Where runs start in sorted entries: at a new shingle or part, or where sizes are too far apart to link across."""
     start = np.ones(len(t), dtype=bool)
-    start[1:] = (t[1:] != t[:-1]) | (100 * n[:-1] < percent * n[1:])
+    start[1:] = (t[1:] != t[:-1]) | (part[1:] != part[:-1]) | (100 * n[:-1] < percent * n[1:])
     return start
 
 
 def _shared(batches, percent: int):
-    """The entries (shingle, n, class) of a sorted stream that lie in runs of two or more."""
-    held = [np.zeros(0, dtype=np.int64)] * 3
+    """The entries (shingle, part, n, class) of a sorted stream that lie in runs of two or more, and all of split shingles."""
+    held = [np.zeros(0, dtype=np.int64)] * 4
+    names = ["shingle", "part", "n", "class"]
     joined = False  # whether the row that was held back has one of its run before it
     for rows in batches:
         if rows.num_rows:
-            t, n, c = (np.concatenate([h, rows.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held))
-            start = _runs(t, n, percent)
+            own = [np.concatenate([h, rows.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            start = _runs(*own[:3], percent)
             near = ~start
             near[:-1] |= ~start[1:]
+            near |= own[1] > 0
             near[0] |= joined
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][near[:-1]]) for x in (t, n, c)], names=["shingle", "n", "class"])
-            held, joined = [x[-1:] for x in (t, n, c)], bool(near[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][near[:-1]]) for x in own], names=names)
+            held, joined = [x[-1:] for x in own], bool(near[-1])
     if joined:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["shingle", "n", "class"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
 
 def _stars(batches, percent: int):
-    """Edges from each entry of a sorted stream to the first of its run. Columns: shingle, n, class."""
+    """Edges from each entry (shingle, part, n, class) of a sorted stream to the first of its run; see ``_node``."""
     last = None
     for rows in batches:
         if not rows.num_rows:
             continue
-        t, n, c = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        t, part, n, c = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
         if last is not None:
-            t, n, c = (np.concatenate([[x], y]) for x, y in zip(last[:3], (t, n, c), strict=True))
-        start = _runs(t, n, percent)
+            t, part, n, c = (np.concatenate([[x], y]) for x, y in zip(last[:4], (t, part, n, c), strict=True))
+        start = _runs(t, part, n, percent)
         head = c[np.maximum.accumulate(np.where(start, np.arange(len(t)), 0))]
         if last is not None:
-            head[: len(t) if start[1:].sum() == 0 else 1 + int(np.argmax(start[1:]))] = last[3]
-        found = np.unique(np.stack([c, head])[:, head != c], axis=1)
+            head[: len(t) if start[1:].sum() == 0 else 1 + int(np.argmax(start[1:]))] = last[4]
+        split = np.flatnonzero(start & (part > 0))
+        found = np.unique(np.concatenate([np.stack([c, head])[:, head != c], np.stack([head[split], _node(t[split])])], axis=1), axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
-        last = (t[-1], n[-1], c[-1], head[-1])
+        last = (t[-1], part[-1], n[-1], c[-1], head[-1])
 
 
-def _sorted(entries: DataFrame) -> DataFrame:
-    return entries.repartition("shingle").sortWithinPartitions("shingle", "n", "class")
+def _node(shingles: np.ndarray) -> np.ndarray:
+    """A node for each split shingle, to which the stars of its parts are joined. It is no class: joins with classes drop it."""
+    return shingles ^ np.int64(0x5BD1E9955BD1E995)
 
 
-def candidates(entries: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
-    """The prefix entries (shingle, n, class) of documents that may link; see the module's text."""
-    schema = "shingle long, n long, class long"
-    least = F.greatest(F.lit(1), F.floor(F.floor((F.col("n") * percent + 99) / 100) / EXTRA))
-    for _ in range(rounds):
-        near = materialise(_sorted(entries).mapInArrow(lambda batches: _shared(batches, percent), schema), "entries")
-        alive = near.groupBy("class", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= least).select("class")
-        entries = near.join(alive, "class").select("shingle", "n", "class")
-    return entries
+def _sorted(entries: DataFrame) -> DataFrame:
+    return entries.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "class")
 
 
-class _Forest:
-    """Union-find over the documents of a cell."""
+def _least_shared(n, percent: int):
+    """As a column: how many prefix entries a set of ``n`` shares with any set it links to, at least."""
+    return F.greatest(F.lit(1), F.floor(F.floor((n * percent + 99) / 100) / EXTRA))
 
-    def __init__(self, n: int):
-        self.up = np.arange(n)
 
-    def root(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = int(up[x])
-        return x
+def candidates(entries: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+    """The prefix entries (shingle, part, n, class) of documents that may link, as a table; see the module's text."""
+    schema = "shingle long, part long, n long, class long"
+    done = None
+    for _ in range(rounds):
+        near = materialise(_sorted(entries).mapInArrow(lambda batches: _shared(batches, percent), schema), "entries")
+        if done is not None:
+            discard(done)
+        alive = near.groupBy("class", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("class")
+        entries, done = near.join(alive, "class").select("shingle", "part", "n", "class"), near
+    kept = materialise(entries, "entries")
+    discard(done)
+    return kept
 
-    def roots(self) -> np.ndarray:
-        while True:
-            higher = self.up[self.up]
-            if (higher == self.up).all():
-                return self.up
-            self.up = higher
 
-    def join(self, x: int, ys) -> None:
-        for y in ys:
-            a, b = self.root(x), self.root(int(y))
-            if a != b:
-                self.up[max(a, b)] = min(a, b)
+_CELL = ("cluster", "block", "part")
 
 
-def search(sets: list[np.ndarray], percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Roots of the components that links among ``sets`` give; with ``side``, only links between sides 0 and 1 are sought.
+def _cells(batches, percent: int, across: bool):
+    """Search each cell of a stream of (cluster, block, part, side, root, class, set), sorted in this order. Yields links (a, b).
 
-    For each query, from the smallest set on, against the sets before it (T-occurrence with DivideSkip).
+    Without ``across`` the sets of a cell are searched among themselves. With it those of side 0 are the block, held in memory,
+    and those of side 1 queries, taken one by one.
     """
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    forest = _Forest(len(sets))
-    order = np.argsort(sizes, kind="stable")
-    place = np.empty(len(sets), dtype=np.int64)
-    place[order] = np.arange(len(sets))
-    sizes = sizes[order]
-    sides = None if side is None else side[order]
-    tokens = np.concatenate([sets[i] for i in order])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    by = np.argsort(tokens, kind="stable")
-    tokens, owner = tokens[by], owner[by]
-    first = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-    lengths = np.diff(first, append=len(tokens))
-    number = np.empty(len(tokens), dtype=np.int64)
-    number[by] = np.repeat(np.arange(len(first)), lengths)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    for q in range(1, len(sets)):
-        low = int(np.searchsorted(sizes, needed(int(sizes[q]), percent)))
-        if low >= q:
-            continue
-        known = forest.roots()
-        if (known[low:q] == known[q]).all():
-            continue
-        lists = number[starts[q] : starts[q + 1]]
-        lists = lists[lengths[lists] > 1]
-        lists = lists[np.argsort(lengths[lists], kind="stable")]
-        least = int(-(-percent * (sizes[q] + sizes[low]) // (100 + percent)))
-        if len(lists) < least:
-            continue
-        # T - 1 lists, the longest, may be left out at first: what is in none of the others has too few.
-        short, long = lists[: len(lists) - least + 1], lists[len(lists) - least + 1 :]
-        counts = np.bincount(_merged(owner, first, lengths, short), minlength=q)[:q]
-        counts[:low] = 0
-        open_ = (counts > 0) & (known[:q] != known[q])
-        if sides is not None:
-            open_ &= sides[:q] != sides[q]
-        found = np.flatnonzero(open_)
-        if not len(found):
-            continue
-        if len(found) * len(long) * 12 < int(lengths[long].sum()):
-            for k in long.tolist():  # binary search in each long list
-                entries = owner[first[k] : first[k] + lengths[k]]
-                counts[found] += entries[np.minimum(np.searchsorted(entries, found), len(entries) - 1)] == found
-        else:
-            counts = counts + np.bincount(_merged(owner, first, lengths, long), minlength=q)[:q]
-        forest.join(q, found[enough(counts[found], sizes[found] + sizes[q], percent)])
-    return order[forest.roots()][place]
-
-
-def _merged(owner, first, lengths, lists) -> np.ndarray:
-    """The entries of several inverted lists together."""
-    n = lengths[lists]
-    ends = np.cumsum(n)
-    return owner[np.repeat(first[lists] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+    key, classes, roots, sets, block = None, [], [], [], None
+    a: list[int] = []
+    b: list[int] = []
 
+    def close() -> None:
+        if not across and len(sets) > 1:
+            found = search(sets, percent)
+            linked = np.flatnonzero(found != np.arange(len(found))).tolist()
+            a.extend(classes[i] for i in linked)
+            b.extend(classes[i] for i in found[linked])
 
-def _cells(batches, percent: int):
-    """Search each cell of a stream sorted by cell. Columns: cluster, i, j, block, class, set. Yields links to a root."""
-
-    def cell(key, held):
-        classes = np.array([c for _, c, _ in held], dtype=np.int64)
-        sets = [np.frombuffer(s, dtype=np.uint64) for _, _, s in held]
-        side = None if key[1] == key[2] else np.array([int(b == key[2]) for b, _, _ in held])
-        roots = search(sets, percent, side)
-        linked = np.flatnonzero(roots != np.arange(len(roots)))
-        return classes[linked], classes[roots[linked]]
-
-    key, held, a, b = None, [], [], []
     for rows in batches:
-        columns = [rows.column(i).to_pylist() for i in range(5)]
-        for *own, block, c, s in zip(*columns, rows.column(5).to_pylist(), strict=True):
+        columns = [rows.column(i).to_pylist() for i in range(6)]
+        for *own, side, root, c, s in zip(*columns, rows.column(6).to_pylist(), strict=True):
             if own != key:
-                if len(held) > 1:
-                    for out, x in zip((a, b), cell(key, held), strict=True):
-                        out.append(x)
-                key, held = own, []
-            if not held or held[-1][1] != c:  # repeated rows bring their class again
-                held.append((block, c, s))
+                close()
+                key, classes, roots, sets, block = own, [], [], [], None
+            if side:
+                block = block or Across(sets, roots, percent)
+                for x in block.links(np.frombuffer(s, dtype=np.uint64), root):
+                    a.append(c)
+                    b.append(classes[x])
+            elif not classes or classes[-1] != c:  # repeated rows bring their class again
+                classes.append(c)
+                roots.append(root)
+                sets.append(np.frombuffer(s, dtype=np.uint64))
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-            a, b = [], []
-    if len(held) > 1:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in cell(key, held)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            a.clear()
+            b.clear()
+    close()
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
+def _searched(cells: DataFrame, percent: int, across: bool) -> DataFrame:
+    dealt = cells.select(*_CELL, "side", "root", "class", "set").repartition(*_CELL).sortWithinPartitions(*_CELL, "side", "class")
+    return dealt.mapInArrow(lambda batches: _cells(batches, percent, across), "a long, b long")
 
-def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, cell_docs: int = 2048) -> DataFrame:
+
+def _placed(member: DataFrame, cell_docs: int, total: int) -> DataFrame:
+    """Members of clusters with the number of their cluster's blocks, their own block, and whether they lead.
+
+    The first leader is a set of the greatest share of prefix entries in common with others, the rest have the least hashes.
+    """
+    n_blocks = F.greatest(F.ceil(F.count("*") / cell_docs), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int")
+    by_hash = [F.min_by("class", F.xxhash64("class", F.lit(k))) for k in range(1, LEADERS)]
+    best = F.max_by("class", F.struct(F.col("shared") / F.col("n"), F.xxhash64("class")))
+    clusters = member.groupBy("cluster").agg(F.count("*").alias("size"), n_blocks.alias("blocks"), F.array(best, *by_hash).alias("leaders"))
+    joined = join_counted(member, clusters, "cluster", "size", total)
+    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
+    return joined.withColumns({"block": block, "leads": F.array_contains("leaders", F.col("class")) & (F.col("blocks") > 1)}).drop("leaders")
+
+
+def _asked(entries: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
+    """(class, cluster, block): the other blocks in which a member that is not in its cluster's main component must be searched."""
+    own = spread.select("class", "cluster", "block", "open")
+    at = entries.select("class", "n", "shingle").distinct().join(own, "class")
+    holders = at.select("shingle", "cluster", F.col("block").alias("other")).distinct()
+    shared = at.where("open").join(holders, ["shingle", "cluster"]).where("block <> other")
+    counted = shared.groupBy("class", "n", "cluster", "other").agg(F.count("*").alias("shared"))
+    return counted.where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("class", "cluster", F.col("other").alias("block"))
+
+
+def _links(sets: DataFrame, entries: DataFrame, placed: DataFrame, percent: int, total: int) -> DataFrame:
+    """Links (a, b) between classes, enough to connect all that links connect. ``sets``: (class, cluster, blocks, block, leads, set)."""
+    to = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    plain = {"part": F.lit(0), "side": F.lit(0), "root": F.col("class")}
+    first = materialise(_searched(sets.withColumns(plain).withColumn("block", F.explode(to)), percent, False), "links")
+    wide = placed.where("blocks > 1").select("class", "cluster", "block", "size")
+    if wide.isEmpty():
+        return first
+
+    roots = components(first).withColumnRenamed("node", "class")
+    rooted = materialise(wide.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class")), "rooted")
+    main = rooted.groupBy("cluster", "root", "size").agg(F.count("*").alias("n")).groupBy("cluster", "size").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    spread = join_counted(rooted.drop("size"), main, "cluster", "size", total)
+    spread = materialise(spread.select("class", "cluster", "block", "root", (F.col("root") != F.col("main")).alias("open")), "spread")
+    asked = materialise(_asked(entries, spread, percent), "asked")
+    if asked.isEmpty():
+        return first
+    # The queries of a block are dealt over several cells, each with a copy of the block.
+    targets = asked.groupBy("cluster", "block").agg(F.ceil(F.count("*") / (4 * CELL_DOCS)).cast("int").alias("parts"))
+    known = sets.select("class", "set").join(spread, "class")
+    block = known.join(targets, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(0))
+    queries = known.where("open").drop("cluster", "block").join(asked.join(targets, ["cluster", "block"]), "class")
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).withColumn("side", F.lit(1))
+    columns = [*_CELL, "side", "root", "class", "set"]
+    return first.unionByName(materialise(_searched(block.select(columns).unionByName(queries.select(columns)), percent, True), "links"))
+
+
+def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, cell_docs: int = CELL_DOCS) -> DataFrame:
     """(id, key, n_shingles, component_id, first) for each row of ``docs``.
 
     Two documents link when the sets of their ``size``-word shingles have an intersection of at least ``percent`` per cent
-    of their union, exactly; ``component_id`` is the smallest id that links reach. ``key`` is a hash of the text; ``first``
-    marks the smallest (id, key) of the component.
+    of their union; ``component_id`` is the smallest id that links reach. ``key`` is a hash of the text; ``first`` marks the
+    smallest (id, key) of the component. No candidate is left out; what is compared are hashes, of 56 bits for a shingle and
+    64 for a set: of a thousand million different sets, some pair is taken for equal with a chance of about 3 in 100.
 
     - Words are lower case in A-Z and end at ASCII white space. A text of fewer words than ``size`` is one shingle.
     - Null and empty texts, and texts without a word, have the empty set and link with nothing, not even each other.
@@ -367,37 +363,37 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sets = {class_of(s): s for s in shingle_sets(texts_of(part.column(0)), size, levels) if len(s)}
             out = [prefix(s, percent, shingles, rank) for s in sets.values()]
             n = [len(p) for p in out]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*out, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(np.repeat(np.array([len(s) for s in sets.values()], dtype=np.int64), n)), pa.array(np.repeat(np.array(list(sets), dtype=np.int64), n))], names=["shingle", "n", "class"])
+            shingle, classes = np.concatenate([*out, np.zeros(0, np.uint64)]), np.repeat(np.array(list(sets), dtype=np.int64), n)
+            parts = np.zeros(len(shingle), dtype=np.int64)
+            if len(shingles) and len(shingle):
+                at = np.minimum(np.searchsorted(shingles, shingle & _LOW), len(shingles) - 1)
+                split = np.where(shingles[at] == shingle & _LOW, 1 + rank[at] // SHINGLE_ENTRIES, 1)
+                parts = np.where(split > 1, 1 + classes % split, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(shingle.view(np.int64)), pa.array(parts), pa.array(np.repeat(np.array([len(s) for s in sets.values()], dtype=np.int64), n)), pa.array(classes)], names=["shingle", "part", "n", "class"])
 
     texts = docs.select(whole(text_col).alias("text"))
-    entries = candidates(texts.mapInArrow(prefixes, "shingle long, n long, class long"), percent)
-    stars = _sorted(entries).mapInArrow(lambda batches: _stars(batches, percent), "a long, b long")
-    clusters = materialise(components(stars).withColumnsRenamed({"node": "class", "root": "cluster"}), "clusters")
+    entries = candidates(texts.mapInArrow(prefixes, "shingle long, part long, n long, class long"), percent)
+    total = rows.count()
+    clusters = components(_sorted(entries).mapInArrow(lambda batches: _stars(batches, percent), "a long, b long")).withColumnsRenamed({"node": "class", "root": "cluster"})
     # One row of each class in a cluster brings its set.
     one = rows.where("n > 0").groupBy("class", "n").agg(F.min(F.struct("key", "id")).alias("one"))
-    member = materialise(one.join(clusters, "class").select("class", "n", "cluster", F.col("one.key").alias("own_key"), F.col("one.id").alias("own_id")), "members")
-    parts = F.greatest(F.ceil(F.count("*") / cell_docs), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int")
-    blocks = member.groupBy("cluster").agg(parts.alias("blocks"))
-    bearers = member.join(blocks, "cluster").select("class", "cluster", "blocks", "own_key", "own_id")
-    if member.count() <= BROADCAST_DOCS:
-        bearers = F.broadcast(bearers)
+    often = entries.groupBy("class").agg(F.count("*").alias("shared"))
+    member = one.join(clusters, "class").join(often, "class").select("class", "n", "shared", "cluster", F.col("one.key").alias("own_key"), F.col("one.id").alias("own_id"))
+    placed = materialise(_placed(materialise(member, "members"), cell_docs, total), "placed")
 
     def sets_of(batches):
-        for part in slices(batches, 3):
-            sets = shingle_sets(texts_of(part.column(3)), size)
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "cluster", "blocks", "set"])
+        for part in slices(batches, 5):
+            sets = shingle_sets(texts_of(part.column(5)), size)
+            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "cluster", "blocks", "block", "leads", "set"])
 
+    # Texts that bring no set are ruled out where they lie.
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(text_col)).alias("key"), whole(text_col).alias("text"))
-    wanted = text.join(bearers, (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id"))).select("class", "cluster", "blocks", "text")
-    sets = wanted.mapInArrow(sets_of, "class long, cluster long, blocks int, set binary")
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    cells = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "set")
-    dealt = cells.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "class")
-    links = dealt.mapInArrow(lambda batches: _cells(batches, percent), "a long, b long")
-    roots = components(links)
+    bearers = bloom(placed.select(F.xxhash64("own_key", "own_id").alias("h")), placed.count())
+    bearing = tested(text, F.xxhash64("key", "id"), bearers, "bears").where("bears")
+    wanted = bearing.join(placed, (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id"))).select("class", "cluster", "blocks", "block", "leads", "text")
+    sets = materialise(wanted.mapInArrow(sets_of, "class long, cluster long, blocks int, block int, leads boolean, set binary"), "sets")
+    roots = components(_links(sets, entries, placed, percent, total))
 
-    total = rows.count()
     low = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("first"), F.min("key").alias("key"), F.count("*").alias("size"))
     own = materialise(low.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")), "classes")
     least = materialise(own.groupBy("root").agg(F.min("id").alias("component_id"), F.min("first").alias("first"), F.min("key").alias("least_key"), F.count("*").alias("n_classes")), "roots")
@@ -413,9 +409,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` whose document is the first of its component, with all columns; see ``link_documents``.
 
-    Rows with equal id and text are one document and stay together.
+    Rows with equal id and text are one document and stay together. Columns may have any names. A filter of the documents
+    that go rules out most others where they lie; only what it may hold is joined.
     """
-    key = fresh(docs, "key")
-    first = link_documents(docs, id_col, text_col, **options).where("first").select(F.col("id").alias("_id"), F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn(key, F.xxhash64(whole(text_col)))
-    return keyed.join(first, (F.col(key) == F.col("_key")) & F.col(f"`{id_col}`").eqNullSafe(F.col("_id")), "left_semi").drop(key)
+    gone = materialise(link_documents(docs, id_col, text_col, **options).where("not first").select(F.col("id").alias("gone_id"), F.col("key").alias("gone_key")).distinct(), "gone")
+    safe = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_col, text_col = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    keyed = safe.withColumn("key", F.xxhash64(whole(text_col)))
+    marked = tested(keyed, F.xxhash64("key", id_col), bloom(gone.select(F.xxhash64("gone_key", "gone_id").alias("h")), gone.count()), "may_go")
+    asked = marked.where("may_go").join(gone, (F.col("key") == F.col("gone_key")) & F.col(id_col).eqNullSafe(F.col("gone_id")), "left_anti")
+    kept = marked.where("not may_go").unionByName(asked)
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

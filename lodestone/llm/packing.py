@@ -24,13 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialise, small_batches, whole
+from lodestone.llm.common import materialise, resident, small_batches, whole
 from lodestone.llm.slices import between_spaces, slices, texts_of
 
-#: Distinct units whose ids a worker keeps; then it starts anew.
-CACHE = 600_000
+#: Distinct units whose ids a worker keeps (about 200 bytes each); then it starts anew.
+CACHE = 200_000
 _SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_encoders: dict = {}
 
 
 class ByteBpe:
@@ -57,7 +56,7 @@ class ByteBpe:
 
     def forget(self) -> None:
         self.at: dict[str, tuple[int, int]] = {}
-        self.pool, self.used = np.empty(1 << 20, dtype=np.uint32), 0
+        self.pool, self.used = np.empty(1 << 18, dtype=np.uint32), 0
 
     def add(self, ids: np.ndarray) -> int:
         while self.used + len(ids) > len(self.pool):
@@ -109,12 +108,6 @@ class ByteBpe:
         return out
 
 
-def _encoder(path: str, ranks: str) -> ByteBpe:
-    if path not in _encoders:
-        _encoders[path] = ByteBpe(path, ranks)
-    return _encoders[path]
-
-
 def cut(n: int, capacity: int) -> list[int]:
     """Lengths of the pieces of a document of ``n`` tokens: the first may be shorter, the rest are full."""
     first = n % capacity or capacity
@@ -219,7 +212,7 @@ def tokenise(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id:
     """A row for each piece of each document: id, piece, start, length, ids_crc32 (and ids), and its task and turn there."""
 
     def run(batches):
-        encoder, part, turns = _encoder(tokenizer, ranks), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
+        encoder, part, turns = resident(f"packing {tokenizer} {ranks}", lambda: ByteBpe(tokenizer, ranks)), TaskContext.get().partitionId(), np.zeros(capacity + 1, dtype=np.int64)
         for rows in slices(batches, 1):
             out = ([], [], [], [], [], [], [])
             for r, ids in enumerate(encoder.encode(texts_of(rows.column(1)))):

@@ -23,21 +23,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.common import fresh, small_batches, whole
+from lodestone.llm.common import fresh, resident, small_batches, whole
 from lodestone.llm.slices import between_spaces, slices, sums, texts_of
 
 MARK = "▁"
-#: Distinct pre-tokens that a worker keeps the counts of; then it starts anew.
-CACHE = 1_000_000
-_models: dict = {}
+#: Distinct pre-tokens that a worker keeps the counts of (about 150 bytes each); then it starts anew.
+CACHE = 300_000
 
 
 def _model(path: str):
-    if path not in _models:
-        import sentencepiece
+    import sentencepiece
 
-        _models[path] = sentencepiece.SentencePieceProcessor(model_file=path)
-    return _models[path]
+    return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
 def proven(path: str) -> frozenset[str]:
@@ -87,9 +84,6 @@ class _Counter:
         return total
 
 
-_counters: dict = {}
-
-
 def count_tokens(docs: DataFrame, text_col: str = "text", model: str | None = None, limit: int = 4096, columns: list[str] | None = None) -> DataFrame:
     """All rows of ``docs``, with all columns or those named, and with ``n_bytes``, ``n_tokens`` (long) and ``over_limit`` (``n_tokens`` > ``limit``).
 
@@ -110,7 +104,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", model: str | None = No
     n_cols = len(named)
 
     def run(batches):
-        counter = _counters[path] = _counters.get(path) or _Counter(path, one)
+        counter = resident(f"token counts {path}", lambda: _Counter(path, one))
         for part in slices(batches, n_cols):
             texts = texts_of(part.column(n_cols))
             n = counter.texts(texts)

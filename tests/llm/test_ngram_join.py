@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lodestone.llm import ngram_join
-from lodestone.llm.components import components
+from lodestone.operators.graph import components
 
 
 def plain(rows, size=5, percent=80):
@@ -49,8 +49,11 @@ def corpus(seed, n=150):
     return rows + [(900, None), (901, ""), (902, " \n\t"), (903, "a b"), (904, "A  b "), (905, "a b c"), (None, "x y z u v w"), (None, "x y z u v w"), (906, rows[0][1]), (0, rows[3][1]), (907, "a\xa0b c"), (908, "z " * 4000)]
 
 
-@pytest.mark.parametrize(("seed", "cell"), [(1, 2048), (2, 2048), (3, 7)])
+@pytest.mark.parametrize(("seed", "cell"), [(1, 2048), (2, 40), (3, 7)])
 def test_links(spark, seed, cell, monkeypatch):
+    if cell == 7:  # parts of frequent shingles, one leader, and queries of blocks
+        monkeypatch.setattr(ngram_join, "SHINGLE_ENTRIES", 10)
+        monkeypatch.setattr(ngram_join, "LEADERS", 1)
     rows = corpus(seed)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, class string, n int").repartition(5)
     got = ngram_join.link_documents(docs, cell_docs=cell).collect()
@@ -61,6 +64,23 @@ def test_links(spark, seed, cell, monkeypatch):
     assert {i for i in ids if i is not None} == {c for _, n, c in plain(rows) if c is not None}
 
 
+def test_chains_over_blocks(spark):
+    """Each text links to the next one only, so few are connected to a leader and most are sent as queries."""
+    words = [f"v{i}" for i in range(400)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 60])) for i in range(80)] + [(200 + i, " ".join(words[::-1][4 * i : 4 * i + 60])) for i in range(40)]
+    got = ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), cell_docs=5).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in got) == sorted(plain(rows))
+
+
+def test_very_long_texts_and_column_names(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, long, "a", 0, 0), (2, long.replace("w777 ", "x "), "b", 0, 0), (3, long[: len(long) // 2], "c", 0, 0), (4, "e f g h i j", None, 0, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _id string, _key int, may_go int")
+    kept = ngram_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._id) for r in kept.collect()) == [(1, "a"), (3, "c"), (4, None)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.link_documents(none).count() == 0
@@ -97,7 +117,7 @@ def test_prefixes_of_linked_sets_meet():
         frequent = np.unique(rng.integers(0, 200, size=50).astype(np.uint64))
         rank = rng.integers(0, 9, size=len(frequent))
         k = len(np.intersect1d(a, b))
-        if len(b) and ngram_join.enough(k, len(a) + len(b), 80):
+        if len(b) and 100 * k >= 80 * (len(a) + len(b) - k):
             least = ngram_join.extra(min(len(a), len(b)))
             assert len(np.intersect1d(ngram_join.prefix(a, 80, frequent, rank), ngram_join.prefix(b, 80, frequent, rank))) >= least
 
@@ -106,12 +126,32 @@ def test_shared_entries_of_any_batches():
     import pyarrow as pa
 
     rng = np.random.default_rng(2)
-    rows = sorted({(int(t), int(n), int(c)) for t, n, c in zip(rng.integers(0, 40, 150), rng.integers(1, 30, 150), rng.integers(0, 99, 150), strict=True)})
-    want = [r for i, r in enumerate(rows) if any(0 <= j < len(rows) and rows[j][0] == r[0] and 100 * min(rows[j][1], r[1]) >= 80 * max(rows[j][1], r[1]) for j in (i - 1, i + 1))]
+    rows = sorted({(int(t), int(t % 5 == 0) * int(rng.integers(1, 3)), int(n), int(c)) for t, n, c in zip(rng.integers(0, 40, 150), rng.integers(1, 30, 150), rng.integers(0, 99, 150), strict=True)})
+    fits = lambda x, y: x[:2] == y[:2] and 100 * min(x[2], y[2]) >= 80 * max(x[2], y[2])
+    want = [r for i, r in enumerate(rows) if r[1] or any(0 <= j < len(rows) and fits(rows[j], r) for j in (i - 1, i + 1))]
     for step in (1, 2, 7, 1000):
-        parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + step], strict=True)], names=["t", "n", "c"]) for i in range(0, len(rows), step)]
+        parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + step], strict=True)], names=["t", "part", "n", "c"]) for i in range(0, len(rows), step)]
         got = [tuple(r.values()) for b in ngram_join._shared(iter(parts), 80) for r in b.to_pylist()]
         assert got == want
+        # Stars connect what runs connect, and the parts of a split shingle.
+        edges = {tuple(r.values()) for b in ngram_join._stars(iter(parts), 80) for r in b.to_pylist()}
+        up = {x: x for r in rows for x in (r[3], int(ngram_join._node(np.int64(r[0]))))}
+        plainly = dict(up)
+
+        def merge(u, a, b):
+            a, b = u[a], u[b]
+            return {k: min(a, b) if v in (a, b) else v for k, v in u.items()}
+
+        for a, b in edges:
+            up = merge(up, a, b)
+        for x, y in zip(rows, rows[1:], strict=False):
+            if fits(x, y):
+                plainly = merge(plainly, x[3], y[3])
+        for r in rows:
+            if r[1]:
+                plainly = merge(plainly, r[3], int(ngram_join._node(np.int64(r[0]))))
+        classes = sorted({r[3] for r in rows})
+        assert [[up[x] == up[y] for y in classes] for x in classes] == [[plainly[x] == plainly[y] for y in classes] for x in classes]
 
 
 def test_components(spark):
