@@ -3,8 +3,10 @@
 A page is a sequence of tags and words. Words of a main text score positive, tags negative; the weights come from labelled
 pages, those that mark their main text with a single ``article`` or ``main`` element: how often words of a context (the
 container they stand in, the block, whether inside a link) and tags lie inside it or outside. One linear scan finds the
-contiguous run with the greatest sum. Of this run, blocks in containers that the weights or the list below call boilerplate
-are left out, and the rest is joined block by block.
+contiguous run with the greatest sum. What the run holds of menus, notices, comments and the like is left out, and the rest
+is joined block by block. Such containers are known by their element, or by a class, id or role of which every part is a
+word of the list below (``cookie-notice``, but not ``with-sidebar``); one that encloses an article, or all that a page has,
+is a wrapper and not left out.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from lodestone.llm.common import fresh, small_batches, whole
 from lodestone.llm.slices import slices
 
 #: Elements whose content is no text of the page, with what ends each.
-_RAW = {n: re.compile(rf"</{n}\s*+>", re.I) for n in "script style noscript template iframe svg textarea title select button math object canvas video audio".split()}
+_RAW = {n: re.compile(rf"</{n}\s*+>", re.I) for n in "script style noscript template iframe svg textarea title select button object canvas video audio".split()}
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
 #: Attributes as far as the end of the tag or the quote that opens a value; a quote elsewhere is a character like others.
 _STEP = re.compile("(?:[^>=]++|=\\s*+[^\\s\"'>][^\\s>]*+)*+(?:=\\s*+)?+([>\"'])")
@@ -34,8 +36,12 @@ _INNER = frozenset("p h1 h2 h3 h4 h5 h6 li td th pre blockquote dt dd figcaption
 _NEVER = frozenset("head header footer nav aside form fieldset dialog menu".split())
 #: Words of class, id or role names that mark containers without main text.
 _MARKS = frozenset("ad ads adv advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form header login masthead menu modal nav navbar navigation newsletter notice popup promo related reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+#: Words that may stand beside one of those in a name.
+_BESIDE = frozenset("area bar block body bottom box container content global inner item items left link links list main page panel primary right section site text title top widget wrap wrapper".split())
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile("[a-z]+|[0-9]+")
+#: Features that have a learnt weight, at most: the most usual ones.
+FEATURES = 5_000
 #: What a word, and a tag, of an unseen context score.
 WORD, BAD_WORD, TAG = 1.0, -1.0, -0.05
 
@@ -46,6 +52,41 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(w for groups in found for w in _WORD.findall("".join(groups).lower()) if w.isalpha())
 
 
+def _marked(attributes: str) -> bool:
+    """Whether a class, id or role names a container without main text: all parts of one name are words of the lists."""
+    for groups in _ATTRIBUTE.findall(attributes) if "=" in attributes else ():
+        for name in "".join(groups).lower().split():
+            parts = [w for w in _WORD.findall(name) if w.isalpha()]
+            if not _MARKS.isdisjoint(parts) and all(w in _MARKS or w in _BESIDE for w in parts):
+                return True
+    return False
+
+
+class _Marked:
+    """Containers of a page that are marked as boilerplate, as a forest: what each lies in, where it starts and ends."""
+
+    def __init__(self):
+        self.inside, self.start, self.end, self.wraps = [], [], [], []
+
+    def open(self, inside: int, at: int) -> int:
+        for column, value in ((self.inside, inside), (self.start, at), (self.end, None), (self.wraps, False)):
+            column.append(value)
+        return len(self.inside) - 1
+
+    def wrap(self, k: int) -> None:
+        """An article opens in container ``k``: neither it nor what it lies in is boilerplate."""
+        while k >= 0 and not self.wraps[k]:
+            self.wraps[k] = True
+            k = self.inside[k]
+
+    def dropped(self) -> list[bool]:
+        """For each container, and for none (the last), whether it is left out."""
+        out = []
+        for k, inside in enumerate(self.inside):
+            out.append(not self.wraps[k] or (inside >= 0 and out[inside]))
+        return [*out, False]
+
+
 def _tag_end(page: str, at: int, dead: set[int]) -> int:
     """Where the tag whose attributes start at ``at`` ends: after the first > outside quoted values, or else after the first >.
 
@@ -65,10 +106,11 @@ def _tag_end(page: str, at: int, dead: set[int]) -> int:
     return page.find(">", at) + 1 or len(page)
 
 
-def tokens(page: str):
-    """(is a word run, feature, text or tag, boilerplate by name, depth in labelled elements) in page order."""
-    stack: list[tuple[str, str, bool, bool]] = [("", "", False, False)]
-    inner, links, at = "", 0, 0
+def tokens(page: str, marked: _Marked | None = None):
+    """(is a word run, feature, text or tag, innermost container in ``marked`` or -1, in a labelled element) in page order."""
+    marked = _Marked() if marked is None else marked
+    stack: list[tuple[str, str, int, bool]] = [("", "", -1, False)]
+    inner, links, at, n_tokens = "", 0, 0, 0
 
     def words(raw):
         name, label, never, main = stack[-1]
@@ -80,6 +122,7 @@ def tokens(page: str):
     dead: set[int] = set()
     while m := _TOKEN.search(page, at):
         if m.start() > at:
+            n_tokens += 1
             yield words(page[at : m.start()])
         at = m.end()
         close, name = m[1], m[2]
@@ -99,12 +142,19 @@ def tokens(page: str):
             main = stack[k][3] if k else False
             label = stack[k][1]
             if k:
+                for *_, never, _main in stack[k:]:
+                    if never >= 0 and marked.end[never] is None and never != stack[k - 1][2]:
+                        marked.end[never] = n_tokens
                 del stack[k:]
             inner, links = "", 0
         elif not close and name in _CONTAINERS:
             marks = _names(attributes)
             label = ".".join((name, *marks[:3])) if name in ("div", "section") or not stack[-1][1] or name in _NEVER or name in ("article", "main") else stack[-1][1]
-            never = stack[-1][2] or name in _NEVER or (name != "body" and not _MARKS.isdisjoint(marks))
+            never, own = stack[-1][2], name in _NEVER or (name != "body" and _marked(attributes))
+            if own:
+                never = marked.open(never, n_tokens)
+            elif name in ("article", "main"):
+                marked.wrap(never)
             main = stack[-1][3] or name in ("article", "main")
             stack.append((name, label, never, main))
             inner, links = "", 0
@@ -112,6 +162,7 @@ def tokens(page: str):
             label, main = stack[-1][1], stack[-1][3]
             if name in _INNER:
                 inner = "" if close else name
+        n_tokens += 1
         yield False, f"{label}|{'/' if close else ''}{name}", name, stack[-1][2], main
     if at < len(page):
         yield words(page[at:])
@@ -133,7 +184,7 @@ def observe(pages, seen: Counter) -> None:
                     seen[is_text, feature, main] += n
 
 
-def weights(seen: Counter, most: int = 5000) -> dict[tuple[bool, str], float]:
+def weights(seen: Counter, most: int = FEATURES) -> dict[tuple[bool, str], float]:
     """Weights of the ``most`` usual features: log-odds of lying inside, held to positive words, negative words and small costs of tags."""
     total = {main: sum(n for (_, _, m), n in seen.items() if m == main) + 1 for main in (True, False)}
     by = Counter()
@@ -146,21 +197,8 @@ def weights(seen: Counter, most: int = 5000) -> dict[tuple[bool, str], float]:
     return found
 
 
-def extract(page: str, known: dict[tuple[bool, str], float]) -> str:
-    """The main text of a page: blocks joined by line ends; empty if no words score positive."""
-    sequence, scores = [], []
-    for is_text, feature, text, never, _ in tokens(page):
-        if is_text:
-            n = len(text.split())
-            weight = known.get((True, feature), BAD_WORD if never or feature.endswith("|a") else WORD)
-            if never:
-                weight = min(weight, BAD_WORD)
-            # White space alone belongs to whatever run it stands in.
-            sequence.append((True, text, never))
-            scores.append(n * weight)
-        else:
-            sequence.append((False, text, never))
-            scores.append(known.get((False, feature), TAG))
+def _best_run(scores: list[float]) -> tuple[int, int]:
+    """The contiguous run with the greatest sum, as [start, end); empty if no score is positive."""
     best, start, end, total, first = 0.0, 0, 0, 0.0, 0
     for k, s in enumerate(scores):
         if total <= 0:
@@ -168,10 +206,39 @@ def extract(page: str, known: dict[tuple[bool, str], float]) -> str:
         total += s
         if total > best:
             best, start, end = total, first, k + 1
+    return start, end
+
+
+def extract(page: str, known: dict[tuple[bool, str], float]) -> str:
+    """The main text of a page: blocks joined by line ends; empty if no words score positive."""
+    marked = _Marked()
+    sequence = [(is_text, feature, text, never) for is_text, feature, text, never, _ in tokens(page, marked)]
+
+    def scored(dropped: list[bool]) -> tuple[int, int]:
+        scores = []
+        for is_text, feature, text, never in sequence:
+            if is_text:
+                weight = known.get((True, feature), BAD_WORD if dropped[never] or feature.endswith("|a") else WORD)
+                # White space alone belongs to whatever run it stands in.
+                scores.append(len(text.split()) * (min(weight, BAD_WORD) if dropped[never] else weight))
+            else:
+                scores.append(known.get((False, feature), TAG))
+        return _best_run(scores)
+
+    dropped = marked.dropped()
+    start, end = scored(dropped)
+    if start == end and any(dropped):
+        # Nothing is left: what encloses the best run by the weights alone is a wrapper.
+        start, end = scored([False] * len(dropped))
+        for k in range(len(marked.start)):
+            if start < end and marked.start[k] <= start and end <= (len(sequence) if marked.end[k] is None else marked.end[k]):
+                marked.wraps[k] = True
+        dropped = marked.dropped()
+        start, end = scored(dropped)
     blocks, block = [], []
-    for is_text, text, never in sequence[start:end]:
+    for is_text, _, text, never in sequence[start:end]:
         if is_text:
-            if not never:
+            if not dropped[never]:
                 block.append(text)
         elif text in _BLOCKS:
             blocks.append("".join(block))
@@ -195,13 +262,14 @@ def learn(pages: DataFrame, key_col: str, html_col: str, sample: int) -> dict[tu
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.bool_()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([k[2] for k, _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["is_text", "feature", "main", "n"])
 
     counted = own.select("html").mapInArrow(run, "is_text boolean, feature string, main boolean, n long").groupBy("is_text", "feature", "main").agg(F.sum("n").alias("n"))
-    return weights(Counter({(r.is_text, r.feature, r.main): r.n for r in counted.orderBy(F.desc("n"), "feature", "is_text", "main").limit(20_000).collect()}))
+    return weights(Counter({(r.is_text, r.feature, r.main): r.n for r in counted.orderBy(F.desc("n"), "feature", "is_text", "main").limit(4 * FEATURES).collect()}))  # a bounded table
 
 
 def extract_text(pages: DataFrame, key_col: str = "page_id", html_col: str = "html", sample: int = 2000, columns: list[str] | None = None) -> DataFrame:
     """All rows of ``pages``, with all columns or those named, with ``text`` and ``n_chars`` (its code points).
 
-    White space inside a block becomes one space, blocks are joined by one line end; ``br`` is white space inside a block.
+    Weights are learnt when this is called: from at most ``sample`` pages, for at most ``FEATURES`` contexts; others have the
+    weights of unseen ones. White space inside a block becomes one space, blocks are joined by one line end; ``br`` is white space inside a block.
 
     - A null or empty page, and one without main text, has the empty text.
     - Pages that are repeated, or have no key, are extracted alike; of equal keys one page at most is learnt from.
