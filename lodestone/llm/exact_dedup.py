@@ -1,62 +1,48 @@
 """Exact deduplication by two-pass Bloom filtering, with DataFrame operations only.
 
-Pass one reads every text and keeps a fingerprint; a Bloom filter whose blocks are single 64-bit words is filled with them.
-A second filter holds the bits that at least two rows have set. Pass two tests each row against the second filter: a row
-with one clear bit has a text that no other row has and passes straight through; only the others, the repeated rows and a
-few per cent of false positives, are shuffled by their fingerprint and decided exactly.
-
-The number of words follows the number of rows (``BITS_PER_ROW``), so the share of false positives does not grow with the
-table. The filter is broadcast only while its size, bounded by the number of words, is under ``broadcast_bytes``; beyond
-that all rows are joined with it by a shuffle: narrow ones with ``columns``, otherwise whole rows with their texts.
+Pass one puts the hash of every text into a filter of ``BITS_PER_ROW`` bits a row, and finds the bits that more than one row
+has set. As a table this filter is sparse: a row for each bit set, counted in the tasks first, so one text with a third of
+all rows is one row a task. (Whole bitmaps, one a task, would be larger from about a dozen tasks on: 2 bytes a row of the table
+for each task, against one narrow row for each row of the table.) The hashes whose bit is set more than once fill a Bloom
+filter that is broadcast.
+
+Pass two tests every row against it where it lies. Rows that it rules out have a text that no other row has, and pass straight
+through; only the others, repeated rows and a few false positives, are joined with the groups of equal texts. The filter
+has at most ``filter_bytes``: beyond about two million repeated hashes a MB its false positives rise slowly. No plan changes
+with the size of the table, and the texts of rows that are ruled out are in no join.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fresh, join_counted, materialise, whole
+from lodestone.llm.common import discard, fresh, materialise, whole
+from lodestone.llm.filters import FILTER_BYTES, bloom, tested
 
 BITS_PER_ROW = 16
-WORD_BITS = 64
-#: Memory of one word of the filter in a broadcast hash table, at most.
-BROADCAST_WORD_BYTES = 48
-
-
-def _with_bits(df: DataFrame, sha: str, words: int, word: str, mask: str) -> DataFrame:
-    """Add the word and the three-bit mask of each fingerprint."""
-    seed = f"xxhash64(`{sha}`, 'bits')"
-    bit = "shiftleft(1L, cast(shiftright({}, {}) & 63 as int))".format
-    return df.withColumns({
-        word: F.expr(f"pmod(xxhash64(`{sha}`), {words}L)"),
-        mask: F.expr(f"{bit(seed, 0)} | {bit(seed, 6)} | {bit(seed, 12)}"),
-    })
 
 
-def repeated_bits(prints: DataFrame, words: int) -> DataFrame:
-    """The second filter: (word, rep) where ``rep`` has the bits that two rows or more have set.
+def _bit(sha: str, n_rows: int) -> Column:
+    return F.expr(f"pmod(xxhash64(`{sha}`), {max(1, n_rows * BITS_PER_ROW)}L)")
 
-    ``prints`` has a column ``sha``. Rows with one mask meet in a partial count first, so a group of copies with a third
-    of all rows costs one row for each task.
-    """
-    masks = _with_bits(prints.select("sha"), "sha", words, "word", "mask").groupBy("word", "mask").agg(F.count("*").alias("n"))
-    folded = masks.groupBy("word").agg(F.collect_list(F.struct("mask", "n")).alias("masks")).select("word", F.expr(
-        "aggregate(masks, named_struct('seen', 0L, 'rep', 0L), "
-        "(a, m) -> named_struct('seen', a.seen | m.mask, 'rep', a.rep | (a.seen & m.mask) | if(m.n > 1, m.mask, 0L)), a -> a.rep)"
-    ).alias("rep"))
-    return folded.where("rep <> 0")
 
+def repeated_bits(prints: DataFrame, n_rows: int) -> DataFrame:
+    """The bits (bit) of a filter for ``n_rows`` rows that more than one row of ``prints`` (column ``sha``) has set."""
+    return prints.groupBy(_bit("sha", n_rows).alias("bit")).agg(F.count("*").alias("n")).where("n > 1").select("bit")
 
-def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, broadcast_bytes: int = 64 << 20) -> DataFrame:
+
+def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """All rows of ``docs``, with all columns or those named, with ``keep_id``, ``group_size`` (long), ``kept`` (boolean) and ``text_sha256``.
 
-    Texts are equal when their UTF-8 bytes are. Of equal texts the row with the largest id stays. With ``columns`` the texts
-    are read once, and what is decided on is a table of these columns and fingerprints; otherwise whole rows are carried.
+    Texts are equal when their UTF-8 bytes are (their SHA-256 is compared). Of equal texts the row with the largest id stays.
+    With ``columns`` the texts are read once, and what is decided on is a table of these columns and fingerprints; otherwise
+    whole rows are carried.
 
     - A null text counts as the empty text. Empty texts are equal to each other.
     - A null id is smaller than any id; ``keep_id`` is null where all ids of a group are.
     - Repeated rows (same text, same id): exactly one of them has ``kept``.
-    - An empty table gives an empty result.
+    - An empty table gives an empty result. Very long texts are hashed like others.
     - Columns of ``docs`` named like a new one are replaced by it.
     """
     named = [c for c in (docs.columns if columns is None else columns) if c not in ("keep_id", "group_size", "kept", "text_sha256")]
@@ -64,30 +50,44 @@ def mark_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(*[F.col(f"`{c}`") for c in named], F.col(f"`{id_col}`").alias(own), F.unhex(F.sha2(whole(text_col), 256)).alias(sha))
     if columns is not None:
         rows = materialise(rows, "prints")
-    prints = (rows if columns is not None else materialise(rows.select(sha), "prints")).select(F.col(sha).alias("sha"))
-    n_rows = prints.count()
-    words = max(1, -(-n_rows * BITS_PER_ROW // WORD_BITS))
-    rep = repeated_bits(prints, words)
-    if words * BROADCAST_WORD_BYTES <= broadcast_bytes:
-        rep = F.broadcast(rep)
-    word, mask, bits, ties, turn = (fresh(rows, n) for n in ("word", "mask", "rep", "ties", "turn"))
-    probed = _with_bits(rows, sha, words, word, mask).join(rep.select(F.col("word").alias(word), F.col("rep").alias(bits)), word, "left")
-    maybe = F.coalesce(F.col(bits), F.lit(0).cast("long")).bitwiseAND(F.col(mask)) == F.col(mask)
-    out = [*[F.col(f"`{c}`") for c in named], "keep_id", "group_size", "kept", F.lower(F.hex(sha)).alias("text_sha256")]
-
-    # Rows that no other row can equal.
-    alone = probed.where(~maybe).withColumns({"keep_id": F.col(own), "group_size": F.lit(1).cast("long"), "kept": F.lit(True)})
-
-    again = probed.where(maybe)
-    # The groups are used thrice, and there are few: written once.
-    ids = again.groupBy(sha, F.col(own).alias("id")).agg(F.count("*").alias("n"))
-    groups = ids.groupBy(sha).agg(F.max(F.struct("id", "n")).alias("top"), F.sum("n").alias("group_size"))
-    groups = materialise(groups.select(sha, F.col("top.id").alias("keep_id"), "group_size", F.col("top.n").alias(ties)), "groups")
-    decided = join_counted(again, groups, sha, "group_size", n_rows).withColumn("kept", F.col(own).eqNullSafe(F.col("keep_id")))
-    tied = F.col("kept") & (F.col(ties) > 1)
-    plain = decided.where(~tied)
-    turns = decided.where(tied).withColumn(turn, F.row_number().over(Window.partitionBy(sha).orderBy("keep_id"))).withColumn("kept", F.col(turn) == 1)
-    return alone.select(out).unionByName(plain.select(out)).unionByName(turns.select(out))
+    prints = rows if columns is not None else materialise(rows.select(own, sha), "prints")
+    narrow = prints.select(F.col(own).alias("id"), F.col(sha).alias("sha"))
+    n_rows = narrow.count()
+    bits = materialise(repeated_bits(narrow, n_rows), "bits")
+    known = bloom(bits.select(F.xxhash64("bit").alias("h")), bits.count(), filter_bytes)
+    tests = lambda df, sha, name: tested(df, F.xxhash64(_bit(sha, n_rows)), known, name)
+
+    # Groups of two rows or more: narrow, few, and used twice, so written once.
+    again = tests(narrow, "sha", "maybe").where("maybe").groupBy("sha", "id").agg(F.count("*").alias("n"))
+    groups = again.groupBy("sha").agg(F.max(F.struct("id", "n")).alias("top"), F.sum("n").alias("group_size")).where("group_size > 1")
+    size, top, ties, maybe, task, turn = (fresh(rows, n) for n in ("group_size_", "top_id", "ties", "maybe", "task", "turn"))
+    groups = materialise(groups.select(F.col("sha").alias(sha), F.col("top.id").alias(top), F.col("group_size").alias(size), F.col("top.n").alias(ties)), "groups")
+    if columns is None:
+        discard(prints)
+
+    # Groups with a thousandth of all rows or more, a thousand at most, are told to the rows where they lie.
+    large = F.col(size) >= max(1, n_rows // 1000)
+    probed = tests(rows, sha, maybe).join(F.broadcast(groups.where(large)), sha, "left")
+    here = ~F.col(maybe) | F.col(size).isNotNull()
+    moved = probed.where(~here).drop(size, top, ties).join(groups.where(~large), sha, "left")
+    known_rows = probed.where(here).unionByName(moved)
+    alone = F.col(size).isNull()
+    decided = known_rows.withColumns({
+        "keep_id": F.when(alone, F.col(own)).otherwise(F.col(top)),
+        "group_size": F.coalesce(F.col(size), F.lit(1)).cast("long"),
+        "kept": alone | F.col(own).eqNullSafe(F.col(top)),
+        "text_sha256": F.lower(F.hex(sha)),
+    })
+    out = [*[F.col(f"`{c}`") for c in named], "keep_id", "group_size", "kept", "text_sha256"]
+    if groups.where(F.col(ties) > 1).isEmpty():
+        return decided.select(out)
+    # Repeated rows that share the id that stays: the first of each task, then the first of these.
+    tied = F.col("kept") & (F.coalesce(F.col(ties), F.lit(1)) > 1)
+    turns = decided.where(tied).withColumn(task, F.spark_partition_id())
+    turns = turns.withColumn(turn, F.row_number().over(Window.partitionBy(sha, task).orderBy("keep_id")))
+    turns = turns.withColumn(task, F.when(F.col(turn) == 1, -1).otherwise(F.col(task)))
+    turns = turns.withColumn("kept", (F.row_number().over(Window.partitionBy(sha, task).orderBy("keep_id")) == 1) & (F.col(turn) == 1))
+    return decided.where(~tied).select(out).unionByName(turns.select(out))
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -128,7 +128,7 @@ def test_exact_dedup(spark, docs):
     assert kept.columns == docs.columns and kept.count() == len(by_text)
     assert exact_dedup.mark_duplicates(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "t"), (1, "t"), (None, "u"), (None, "u")], "doc_id long, text string")
-    marked = exact_dedup.mark_duplicates(twice, broadcast_bytes=0).collect()
+    marked = exact_dedup.mark_duplicates(twice, filter_bytes=0).collect()
     assert sorted((r.text, r.kept) for r in marked) == [("t", False), ("t", True), ("u", False), ("u", True)]
 
 
