@@ -2,7 +2,7 @@
 
 Each round replaces edges by edges to smaller nodes, so paths halve; the table of edges is written after each round and
 read back, which cuts the lineage, and the one before it is deleted. A node with very many edges meets them in a partial
-minimum and in a join that the engine can split, never in one group.
+minimum, and is told to them by broadcast; there are a thousand such nodes at most.
 """
 
 from __future__ import annotations
@@ -10,24 +10,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.tables import discard, materialise, shared_dir  # noqa: F401
+from lodestone.operators.tables import discard, join_counted, materialise, shared_dir  # noqa: F401
 
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, n: int) -> DataFrame:
     """Each node links its larger neighbours to the smallest of its neighbours and itself."""
     both = _both(edges)
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    return join_counted(both.where("b > a"), least, "a", "n", 2 * n).select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, n: int) -> DataFrame:
     """Each node links itself and its smaller neighbours to the smallest of them. Edges run from larger to smaller nodes."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    turned = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+    turned = join_counted(edges, least, "a", "n", n).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return turned.unionByName(least.select("a", F.col("m").alias("b")))
 
 
@@ -38,16 +38,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     only edge is a loop has no row.
     """
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    now = materialise(ordered.distinct(), "edges")
-    state = None
+    now, state = materialise(ordered.distinct(), "edges"), None
     for _ in range(rounds):
-        stepped = materialise(_small(_large(now).distinct()).distinct(), "edges")
+        after = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if after == state:
+            break
+        state = after
+        stepped = materialise(_small(_large(now, after[0]).distinct(), after[0]).distinct(), "edges")
         discard(now)
         now = stepped
-        after = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(after) == state:
-            break
-        state = tuple(after)
     else:
         raise RuntimeError(f"components have not settled in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
