@@ -1,12 +1,11 @@
 """N-gram Jaccard join: documents link when their word-shingle sets are similar; found by T-occurrence search.
 
 1. Each text becomes the set of its word shingles (56-bit hashes). Texts with equal sets form a class, so exact copies
-   cost nothing further. Words and shingles that are frequent within a task's texts are counted over all tasks.
+   cost nothing further. Words and shingles that a task meets often are counted over all tasks.
 2. A set of n shares l shingles with any similar one among the first n - ceil(s n) + l of a common order, in both. The order
    starts with shingles of rare words, which hardly two unrelated texts have in common, and ends with frequent shingles.
    Prefix entries are sorted by shingle and size, in Spark; entries next to each other whose sizes allow a link are a run.
-   Documents with fewer than l entries in runs of two or more link with nothing and go; this is done twice. What is left of
-   each run is joined to its first (a star, not all pairs); the connected components of these stars, the clusters, say which
+   Documents with fewer than l entries in runs of two or more link with nothing and go. What is left of each run is joined to its first (a star, not all pairs); the connected components of these stars, the clusters, say which
    documents are searched near each other. Entries of a very frequent shingle are dealt over several tasks; their stars meet
    in a node of the shingle.
 3. The sets of a cluster are dealt over blocks of bounded size, and each block is searched within, together with a few
@@ -35,10 +34,12 @@ from lodestone.llm.t_occurrence import Across, search, smallest
 from lodestone.operators.graph import components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-#: A task reports shingles that so many distinct sets of a slice share, and words that occur so often in a slice.
-SLICE_FREQUENT, SLICE_WORDS = 3, 8
+#: A task reports shingles that it meets so often in a window of its texts, and words that occur so often in a slice.
+WINDOW_FREQUENT, SLICE_WORDS = 3, 8
+#: Shingles of a window, about, and counters for them (two bytes each).
+WINDOW, COUNTERS = 2_000_000, 1 << 23
 #: The most frequent shingles and words that every task knows: 16 bytes each.
-FREQUENT, WORDS = 200_000, 50_000
+FREQUENT, WORDS = 500_000, 50_000
 #: Shingles shared by fewer sets than this are never called frequent.
 LEAST_FREQUENT = 8
 _LOW = np.uint64((1 << 56) - 1)
@@ -110,11 +111,32 @@ def class_of(s: np.ndarray) -> int:
     return int(((h * _M2).sum(dtype=np.uint64) ^ np.uint64(len(s))).view(np.int64))
 
 
+class _Often:
+    """Which shingles a task meets often, by two small tables of counters: no count is too low but where two new ones collide."""
+
+    def __init__(self):
+        self.tables, self.met = np.zeros((2, COUNTERS), dtype=np.uint8), 0
+
+    def met_often(self, shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """How often to report each of the distinct ``shingles`` of a slice; 0 for those that are not frequent."""
+        if self.met > WINDOW:
+            self.tables[:], self.met = 0, 0
+        self.met += len(shingles)
+        least = None
+        for k, table in enumerate(self.tables):
+            at = (shingles >> np.uint64(24 * k) & np.uint64(COUNTERS - 1)).astype(np.int64)
+            table[at] = np.minimum(table[at] + counts, 255)
+            least = table[at].astype(np.int64) if least is None else np.minimum(least, table[at])
+        # What was met before a shingle became frequent is reported with it.
+        return np.where(least >= WINDOW_FREQUENT, np.where(least - counts < WINDOW_FREQUENT, np.maximum(least, counts), counts), 0)
+
+
 def _profiles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Rows of three kinds: (id, key, n, class) for each document; (count as n, hash as class) of a shingle or word."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        frequent = _Often()
         for rows in slices(batches, 2):
             words: Counter = Counter()
             sets = shingle_sets(texts_of(rows.column(2)), size, counted=words)
@@ -122,7 +144,8 @@ def _profiles(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
             classes = np.array([class_of(s) for s in sets], dtype=np.int64)
             _, first = np.unique(classes, return_index=True)
             shingles, counts = np.unique(np.concatenate([sets[i] for i in first]), return_counts=True)
-            often = counts >= SLICE_FREQUENT
+            counts = frequent.met_often(shingles, counts)
+            often = counts > 0
             more = [np.fromiter(x, dtype=np.uint64, count=len(words)).view(np.int64) for x in (words.values(), words)]
             kinds = np.repeat([0, 1, 2], [len(n), int(often.sum()), len(words)]).astype(np.int32)
             ids, keys = (pa.concat_arrays([rows.column(i), pa.nulls(len(kinds) - len(n), rows.column(i).type)]) for i in (0, 1))
@@ -219,7 +242,7 @@ def _least_shared(n, percent: int):
     return F.greatest(F.lit(1), F.floor(F.floor((n * percent + 99) / 100) / EXTRA))
 
 
-def candidates(entries: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def candidates(entries: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
     """The prefix entries (shingle, part, n, class) of documents that may link, as a table; see the module's text."""
     schema = "shingle long, part long, n long, class long"
     done = None
