@@ -11,6 +11,8 @@ from lodestone.functions.columns import blank_metadata, codes, contains_any, lad
 ALLOWED_LICENSES = ("cc0-1.0", "cc-by-4.0", "cc-by-3.0", "cc-by-sa-4.0", "cc-by-sa-3.0", "public-domain-pubchem")
 #: Words that leave a licence unclear.
 UNCLEAR = ("no explicit", "unclear", "unknown", "not stated", "local research")
+#: What says that an output could not be read.
+UNPARSED = ("unparsable", "cannot parse", "could not parse", "invalid smiles", "无法解析")
 #: Classes of failure messages, the first that matches counts.
 FAILURES = (
     ("timeout", ("timeout", "timed out", "超时")),
@@ -23,32 +25,66 @@ FAILURES = (
 )
 
 
-def failure_category(message: Column) -> Column:
-    """The class of a failure message."""
+def failure_category(message: Column, given: Column | None = None, raw_output: Column | None = None, failed: Column | None = None) -> Column:
+    """The class of a failure: one that is ``given`` and known, or what a raw output or the message says.
+
+    A result that ``failed`` (all do where it is not given) and left a raw output, or says that it was not readable, could not
+    be parsed; then the words of the message count.
+    """
     text = F.lower(F.coalesce(message, F.lit("")))
-    return ladder("unknown_backend_failure", *[(contains_any(text, words), name) for name, words in FAILURES])
+    names = ("output_parse_failure", *(n for n, _ in FAILURES), "unknown_backend_failure")
+    known = F.when(given.isin(*names), given) if given is not None else F.lit(None).cast("string")
+    raw = F.coalesce(raw_output, F.lit("")) != "" if raw_output is not None else F.lit(False)
+    unparsed = (failed if failed is not None else F.lit(True)) & (raw | contains_any(text, UNPARSED))
+    return F.coalesce(known, ladder("unknown_backend_failure", (unparsed, "output_parse_failure"), *[(contains_any(text, words), name) for name, words in FAILURES]))
+
+
+def rejection_target(expected: Column, markers: tuple[str, ...], *fields: Column) -> Column:
+    """Whether a sample should be rejected: its expected action says so, or, where it says neither, a marker in one of its texts."""
+    action = F.lower(F.coalesce(expected, F.lit("")))
+    marked = F.array_contains(F.array(*[contains_any(F.lower(F.coalesce(f, F.lit(""))), markers) for f in fields]), True)
+    return ladder(marked, (action == "reject", True), (action == "recognize", False))
+
+
+def _without_path(word: Column) -> Column:
+    """A word with a path in it cut to ``<path>``: from its first separator on, if names with a separator between them follow."""
+    parts = F.split(word, "[/\\\\]")
+    head, names = F.get(parts, F.lit(0)), F.filter(F.slice(parts, 2, F.size(parts)), lambda p: p != "")
+    drive = F.rlike(head, F.lit("(^|[^A-Za-z])[A-Za-z]:$"))
+    before = F.when(drive, F.substring(head, F.lit(1), F.length(head) - 2)).otherwise(head)
+    return F.when(F.size(names) >= 2, F.concat(before, F.lit("<path>"))).otherwise(word)
 
 
 def tidy_message(message: Column, limit: int = 500) -> Column:
     """One line without paths, at most ``limit`` characters."""
-    line = F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), "[\\s\\x00]+", " "))
-    return F.substring(F.regexp_replace(line, "(?:[A-Za-z]:)?[/\\\\](?:[^\\s:/\\\\]+[/\\\\])+[^\\s]+", "<path>"), 1, limit)
+    words = F.filter(F.split(F.regexp_replace(F.coalesce(message, F.lit("")), "\\x00", " "), "\\s+"), lambda w: w != "")
+    return F.substring(F.array_join(F.transform(words, _without_path), " "), 1, limit)
 
 
 def license_key(value: Column) -> Column:
-    """A short key of a licence statement; empty where it names no version or is unknown."""
-    text = F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "\\s+", " "))
-    part = lambda p, k: F.regexp_extract(text, p, k)
-    zero = "creativecommons\\.org/publicdomain/zero/([0-9](?:\\.[0-9])?)(?:/|\\b)"
-    page = "creativecommons\\.org/licenses/(by(?:-sa)?)/([0-9](?:\\.[0-9])?)(?:/|\\b)"
-    words = "cc\\s*by(?:\\s*-?\\s*(sa))?\\s*(?:version\\s*)?([0-9](?:\\.[0-9])?)?"
+    """A short key of a licence statement; empty where it names no version or is unknown.
+
+    The statement is read as words and numbers. A family name is looked for, then the clause and version that follow it.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit("[a-z]+(?:-[a-z]+)*|[0-9]+(?:[.][0-9]+)?"), 0)
+    has = lambda *names: F.size(F.array_intersect(words, F.array(*map(F.lit, names)))) == len(names)
+    word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
+    places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
+    clauses = ("by", "by-sa")
+    named = F.filter(places, lambda i: word(i).isin("ccby", "ccby-sa") | (word(i).isin(*clauses) & F.when(i > 0, word(i - 1).isin("cc", "licenses")).otherwise(False)))
+    at = F.get(named, F.lit(0))
+    spelled = word(at + 1) == "sa"
+    number = at + 1 + spelled.cast("int")
+    number = number + (word(number) == "version").cast("int")
+    version = F.when(F.rlike(word(number), F.lit("^[0-9]([.][0-9])?$")), word(number)).otherwise("")
+    zero = F.filter(places, lambda i: (word(i) == "cc") & word(i + 1).isin("0", "zero"))
+    freed = F.get(F.filter(places, lambda i: (word(i) == "publicdomain") & (word(i + 1) == "zero")), F.lit(0))
     return ladder(
         "",
-        (F.contains(text, F.lit("pubchem")) & F.contains(text, F.lit("public")) & F.contains(text, F.lit("domain")), F.lit("public-domain-pubchem")),
-        (F.contains(text, F.lit("cc0")) | F.contains(text, F.lit("cc zero")), F.lit("cc0-1.0")),
-        (part(zero, 1) != "", F.concat(F.lit("cc0-"), part(zero, 1))),
-        (part(page, 1) != "", F.concat(F.lit("cc-"), part(page, 1), F.lit("-"), part(page, 2))),
-        (part(words, 2) != "", F.concat(F.lit("cc-by"), F.when(part(words, 1) != "", "-sa").otherwise(""), F.lit("-"), part(words, 2))),
+        (has("public", "domain", "pubchem"), F.lit("public-domain-pubchem")),
+        (F.size(zero) > 0, F.lit("cc0-1.0")),
+        (freed.isNotNull() & (word(freed + 2) != ""), F.concat(F.lit("cc0-"), word(freed + 2))),
+        (at.isNotNull() & (version != ""), F.concat(F.lit("cc-by"), F.when(spelled | F.endswith(word(at), F.lit("-sa")), "-sa").otherwise(""), F.lit("-"), version)),
     )
 
 
@@ -74,11 +110,11 @@ def property_violations(c=F.col) -> Column:
     return codes(("molecular_weight", c("molecular_weight") > 500), ("logp", c("logp") > 5), ("hbd", c("hbd") > 5), ("hba", c("hba") > 10), ("rotatable_bonds", c("rotatable_bonds") > 10))
 
 
+#: Why a wrong structure is wrong, in the order in which the reasons are looked at.
+STRUCTURAL = ("backend_failure", "invalid_structure", "stereochemistry_error", "missing_fragment", "extra_fragment", "charge_error", "wrong_atom", "wrong_bond_order", "wrong_connectivity", "structural_mismatch_unclassified")
+
+
 def structural_error(success, valid, same_canonical, same_isomeric, fragments, truth_fragments, same_charge, same_atoms, same_bonds, same_key) -> Column:
     """The first of ten outcomes that explains a wrong structure."""
-    return ladder(
-        "structural_mismatch_unclassified",
-        (~success, "backend_failure"), (~valid, "invalid_structure"), (same_canonical & ~same_isomeric, "stereochemistry_error"),
-        (fragments < truth_fragments, "missing_fragment"), (fragments > truth_fragments, "extra_fragment"), (~same_charge, "charge_error"),
-        (~same_atoms, "wrong_atom"), (~same_bonds, "wrong_bond_order"), (~same_key, "wrong_connectivity"),
-    )
+    holds = (~success, ~valid, same_canonical & ~same_isomeric, fragments < truth_fragments, fragments > truth_fragments, ~same_charge, ~same_atoms, ~same_bonds, ~same_key)
+    return ladder(STRUCTURAL[-1], *zip(holds, STRUCTURAL, strict=False))

@@ -1,16 +1,16 @@
 """Boxes on pages: overlap joins, one-to-one matching, merges, suppression, context and clamping.
 
 Everything is keyed by page. Joins are equi-joins on the page with the overlap as a condition; the three folds whose steps
-depend on earlier ones run page by page.
+depend on earlier ones read the sorted rows of a page as a stream and keep what they have chosen so far.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import box_area, codes, count_if, ladder, overlap, rate0
+from lodestone.operators.folds import fold
 
 
 def _sides(boxes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -26,23 +26,34 @@ def pairs(boxes: DataFrame) -> DataFrame:
     return both.withColumn("shared", overlap("t_", "p_")).withColumn("union", box_area("t_") + box_area("p_") - F.col("shared")).withColumn("iou", F.bround(F.col("shared") / F.col("union"), 6))
 
 
-def match(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """One-to-one matches of true and proposed boxes: the largest overlap first; ties prefer the larger ids.
+class _Matches:
+    """Both sides of a pair are free when it comes up, or it is passed over."""
+
+    def __init__(self, page):
+        self.page, self.truths, self.proposals = page, set(), set()
+
+    def take(self, t, p, shared, union, iou):
+        if t in self.truths or p in self.proposals:
+            return ()
+        self.truths.add(t)
+        self.proposals.add(p)
+        return ((self.page, t, p, iou),)
+
+    def end(self):
+        return ()
+
 
-    Both sides of a pair are free when it comes up, or it is passed over: a fold over the pairs of a page.
-    """
+def match(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """One-to-one matches of true and proposed boxes: the largest overlap first; ties prefer the larger ids."""
+    enough = pairs(boxes).where(F.col("shared") / F.col("union") >= threshold).select("page_id", "t_id", "p_id", "shared", "union", "iou")
+    return fold(enough, "page_id", [F.desc(F.col("shared") / F.col("union")), F.desc("t_id"), F.desc("p_id")], _Matches, "page_id long, t_id long, p_id long, iou double")
 
-    def greedy(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(exact=page["shared"] / page["union"])
-        used, kept = set(), []
-        for i, t, p in page.sort_values(["exact", "t_id", "p_id"], ascending=False)[["t_id", "p_id"]].itertuples():
-            if ("t", t) not in used and ("p", p) not in used:
-                used |= {("t", t), ("p", p)}
-                kept.append(i)
-        return page.loc[kept, ["page_id", "t_id", "p_id", "iou"]]
 
-    enough = pairs(boxes).where(F.col("shared") / F.col("union") >= threshold)
-    return enough.select("page_id", "t_id", "p_id", "shared", "union", "iou").groupBy("page_id").applyInPandas(greedy, "page_id long, t_id long, p_id long, iou double")
+def unmatched(boxes: DataFrame, matches: DataFrame) -> DataFrame:
+    """(page_id, box_id, kind): true boxes that no match has are missed, such proposals are false."""
+    used = matches.select("page_id", F.explode(F.array("t_id", "p_id")).alias("box_id"))
+    kind = F.when(F.col("side") == "truth", "missed").otherwise("false")
+    return boxes.join(used, ["page_id", "box_id"], "left_anti").select("page_id", "box_id", kind.alias("kind"))
 
 
 def events(boxes: DataFrame, least: float = 0.1) -> DataFrame:
@@ -76,19 +87,27 @@ def routing(boxes: DataFrame, *by: str) -> DataFrame:
     return boxes.groupBy(*by).agg(count_if(c("side") == "truth").alias("n_truth"), count_if(p).alias("n_proposals"), count_if(p & (c("decision") == "accept_molecule")).alias("n_accepted"), count_if(p & (c("decision") == "review_needed")).alias("n_review"), count_if(p & (c("decision") == "reject_negative")).alias("n_rejected"))
 
 
-def suppress(boxes: DataFrame, threshold: float = 0.68) -> DataFrame:
-    """True boxes of a page, then proposals in reading order that no box chosen so far covers: share of the smaller area."""
+class _Uncovered:
+    """True boxes are chosen; a proposal is chosen unless a chosen box covers it."""
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        chosen, kept = [], []
-        page = page.assign(first=(page["side"] != "truth").astype(int)).sort_values(["first", "y1", "x1", "box_id"])
-        for i, side, x1, y1, x2, y2 in page[["side", "x1", "y1", "x2", "y2"]].itertuples():
-            if side == "truth" or not any(_smaller((x1, y1, x2, y2), o) >= threshold for o in chosen):
-                chosen.append((x1, y1, x2, y2))
-                kept.append(i)
-        return page.loc[kept, ["page_id", "box_id", "side"]]
+    def __init__(self, page, threshold: float):
+        self.page, self.threshold, self.chosen = page, threshold, []
 
-    return boxes.select("page_id", "box_id", "side", "x1", "y1", "x2", "y2").groupBy("page_id").applyInPandas(fold, "page_id long, box_id long, side string")
+    def take(self, box_id, side, x1, y1, x2, y2):
+        box = (x1, y1, x2, y2)
+        if side != "truth" and any(_smaller(box, o) >= self.threshold for o in self.chosen):
+            return ()
+        self.chosen.append(box)
+        return ((self.page, box_id, side),)
+
+    def end(self):
+        return ()
+
+
+def suppress(boxes: DataFrame, threshold: float = 0.68) -> DataFrame:
+    """True boxes of a page, then proposals in reading order that no box chosen so far covers: share of the smaller area."""
+    rows = boxes.select("page_id", "box_id", "side", "x1", "y1", "x2", "y2")
+    return fold(rows, "page_id", [F.col("side") != "truth", "y1", "x1", "box_id"], lambda page: _Uncovered(page, threshold), "page_id long, box_id long, side string")
 
 
 def _smaller(a, b) -> float:
@@ -96,25 +115,31 @@ def _smaller(a, b) -> float:
     return shared / min(max((a[2] - a[0]) * (a[3] - a[1]), 1), max((b[2] - b[0]) * (b[3] - b[1]), 1))
 
 
+class _Regions:
+    """Regions of a page; a box that covers some, or is covered, becomes one with them and may then reach others."""
+
+    def __init__(self, page, threshold: float):
+        self.page, self.threshold, self.regions = page, threshold, []
+
+    def take(self, box_id, *box):
+        grown = True
+        while grown:
+            hit = [o for o in self.regions if _smaller(box, o) >= self.threshold]
+            self.regions = [o for o in self.regions if _smaller(box, o) < self.threshold]
+            grown = bool(hit)
+            for o in hit:
+                box = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3]))
+        self.regions.append(box)
+        return ()
+
+    def end(self):
+        return [(self.page, k, *b) for k, b in enumerate(sorted(self.regions, key=lambda b: (b[1], b[0], b[3], b[2])), 1)]
+
+
 def merge(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Boxes of a page grown over the boxes they cover, until nothing changes: (page_id, region, x1, y1, x2, y2)."""
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        merged: list[tuple] = []
-        for box in sorted(page[["x1", "y1", "x2", "y2"]].itertuples(index=False, name=None), key=lambda b: (b[1], b[0])):
-            grown = True
-            while grown:
-                hit = [o for o in merged if _smaller(box, o) >= threshold]
-                merged = [o for o in merged if _smaller(box, o) < threshold]
-                grown = bool(hit)
-                # One after the other: a box that has grown may reach what it did not before.
-                for o in hit:
-                    box = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3]))
-            merged.append(box)
-        merged.sort(key=lambda b: (b[1], b[0]))
-        return pd.DataFrame([(page["page_id"].iloc[0], k, *b) for k, b in enumerate(merged, 1)], columns=["page_id", "region", "x1", "y1", "x2", "y2"])
-
-    return boxes.select("page_id", "x1", "y1", "x2", "y2").groupBy("page_id").applyInPandas(fold, "page_id long, region long, x1 long, y1 long, x2 long, y2 long")
+    rows = boxes.select("page_id", "box_id", "x1", "y1", "x2", "y2")
+    return fold(rows, "page_id", ["y1", "x1", "box_id"], lambda page: _Regions(page, threshold), "page_id long, region long, x1 long, y1 long, x2 long, y2 long")
 
 
 def context(boxes: DataFrame, least: int = 350_000) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.folds import fold
 from lodestone.operators.graph import components
 
 
@@ -32,31 +32,39 @@ def earliest_match(rows: DataFrame, order: str, *keys: str) -> DataFrame:
     return found.groupBy(order).agg(F.min(F.when(F.col("at") < F.col(order), F.col("at"))).alias("match"))
 
 
+class _FirstOfTwo:
+    """Keys of the rows kept so far."""
+
+    def __init__(self, a: str, b: str):
+        self.a, self.b, self.seen_a, self.seen_b = a, b, set(), set()
+
+    def take(self, order, x, y):
+        if x is not None and x in self.seen_a:
+            return ((order, "duplicate_" + self.a),)
+        if y is not None and y in self.seen_b:
+            return ((order, "duplicate_" + self.b),)
+        self.seen_a.add(x)
+        self.seen_b.add(y)
+        return ((order, ""),)
+
+    def end(self):
+        return ()
+
+
 def keep_first_two_keys(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
     """Rows kept in order unless an earlier kept row has their ``a`` or ``b``; a dropped row reserves neither. Reason by row.
 
-    Whether a row stays depends on rows it is linked to through keys alone, so each connected component is folded by itself.
+    A null key is equal to none and reserves nothing; a row of two null keys is kept. Whether a row stays depends on rows it
+    is linked to through keys alone, so each connected component is folded by itself, as a stream; a row whose keys no
+    other row has is a component of its own.
     """
-    edges = rows.select(F.concat(F.lit("a"), F.col(a).cast("string")).alias("x"), F.concat(F.lit("b"), F.col(b).cast("string")).alias("y"))
-    names = edges.select(F.explode(F.array("x", "y")).alias("name")).distinct().withColumn("id", F.xxhash64("name"))
-    linked = edges.select(F.xxhash64("x").alias("a"), F.xxhash64("y").alias("b"))
-    roots = components(linked).withColumnRenamed("node", "id")
-    at = names.join(roots, "id", "left").select("name", F.coalesce("root", "id").alias("root"))
-    placed = rows.select(order, a, b, F.concat(F.lit("a"), F.col(a).cast("string")).alias("name")).join(at, "name").drop("name")
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        seen_a, seen_b, why = set(), set(), []
-        part = part.sort_values(order)
-        for x, y in zip(part[a], part[b], strict=True):
-            reason = "duplicate_" + a if x in seen_a else "duplicate_" + b if y in seen_b else ""
-            why.append(reason)
-            if not reason:
-                seen_a.add(x)
-                seen_b.add(y)
-        return pd.DataFrame({order: part[order], "reason": why})
-
+    node = lambda k, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(k), F.col(c).cast("string")))
+    named = rows.select(order, a, b, node("a", a).alias("node_a"), node("b", b).alias("node_b"))
+    roots = components(named.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
+    at = named.withColumn("node", F.coalesce("node_a", "node_b", F.xxhash64(order))).join(roots, "node", "left")
+    placed = at.select(F.coalesce("root", "node").alias("component"), order, a, b)
     kind = rows.schema[order].dataType.simpleString()
-    return placed.groupBy("root").applyInPandas(fold, f"{order} {kind}, reason string")
+    return fold(placed, "component", [order], lambda _: _FirstOfTwo(a, b), f"{order} {kind}, reason string")
 
 
 def near(rows: DataFrame, order: str, bits: str, group: str, distance: int = 3, bands: int = 4) -> DataFrame:

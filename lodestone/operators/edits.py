@@ -6,84 +6,106 @@ kept as an error row instead of ending the job.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators.folds import fold
+
 #: What an action makes of an item: (status, goes to training).
 ACTIONS = {"approve": ("verified", True), "return": ("needs_revision", False), "reject": ("rejected", False), "duplicate": ("duplicate", False), "license_unclear": ("license_unclear", False), "resubmit": ("pending_review", False)}
 _COLUMNS = ["document_id", "page", "region_id", "x1", "y1", "x2", "y2", "region_type", "status", "confirmed", "audit"]
 
 
+class _Regions:
+    """Regions of a document while its edits are applied."""
+
+    def __init__(self, document_id, width: int, height: int):
+        self.document_id, self.width, self.height, self.state = document_id, width, height, {}
+
+    def clamp(self, x1, y1, x2, y2):
+        if None in (x1, y1, x2, y2):
+            return None
+        box = max(0, x1), max(0, y1), min(self.width, x2), min(self.height, y2)
+        return box if box[2] > box[0] and box[3] > box[1] else None
+
+    def take(self, is_edit, seq, action, region_id, other_id, page, x1, y1, x2, y2, kind, status, confirmed):
+        if not is_edit:
+            self.state[region_id] = dict(zip(_COLUMNS, (self.document_id, page, region_id, x1, y1, x2, y2, kind, status, confirmed, []), strict=True))
+            return ()
+        r, box = self.state.get(region_id), self.clamp(x1, y1, x2, y2)
+        done = [r] if r else []
+        if action == "confirm_page":
+            done = [x for x in self.state.values() if x["page"] == page and x["status"] != "deleted"]
+            for x in done:
+                x.update(status="confirmed", confirmed=True)
+            ok = bool(done)
+        elif action == "add":
+            ok = r is None and box is not None
+            if ok:
+                r = dict(zip(_COLUMNS, (self.document_id, page, region_id, *box, kind or "molecule", "edited", False, []), strict=True))
+                self.state[region_id], done = r, [r]
+        else:
+            ok = r is not None and self.change(r, action, box, kind, other_id)
+        for x in done:
+            x["audit"].append(action if ok else action + "!")
+        return ()
+
+    def change(self, r: dict, action: str, box, kind, other_id) -> bool:
+        """Apply an edit of one region; whether it could be."""
+        kept = "confirmed" if r["confirmed"] else "edited"
+        if action == "update":
+            if box is None:
+                return False
+            r.update(zip(("x1", "y1", "x2", "y2"), box, strict=True), status=kept, region_type=kind or r["region_type"])
+        elif action == "delete":
+            r.update(status="deleted", confirmed=False, region_type="non_molecule")
+        elif action == "mark":
+            r.update(region_type=kind or "non_molecule", status=kept)
+        elif action == "recognize":
+            # Only a confirmed molecule can be sent to be read.
+            if r["region_type"] != "molecule" or not r["confirmed"]:
+                return False
+            r.update(status="confirmed")
+        elif action in ("confirm", "unconfirm"):
+            yes = action == "confirm"
+            r.update(status="confirmed" if yes else "edited", confirmed=yes, region_type=(yes and kind) or r["region_type"])
+        elif action == "merge":
+            o = self.state.get(other_id)
+            if o is None or o is r or o["page"] != r["page"]:
+                return False
+            r.update(x1=min(r["x1"], o["x1"]), y1=min(r["y1"], o["y1"]), x2=max(r["x2"], o["x2"]), y2=max(r["y2"], o["y2"]), status="edited", confirmed=False)
+            r["region_type"] = kind or (r["region_type"] if r["region_type"] == o["region_type"] else "unknown")
+            o.update(status="deleted", confirmed=False)
+            o["audit"].append("merged_into")
+        elif action == "split":
+            middle = (r["x1"] + r["x2"]) // 2
+            if other_id in self.state or not r["x1"] < middle < r["x2"]:
+                return False
+            kind = kind or r["region_type"]
+            self.state[other_id] = {**r, "region_id": other_id, "x1": middle, "status": "edited", "confirmed": False, "audit": ["split_from"], "region_type": kind}
+            r.update(x2=middle, status="edited", confirmed=False, region_type=kind)
+        else:
+            return False
+        return True
+
+    def end(self):
+        return [(*(r[c] for c in _COLUMNS[:-1]), ",".join(r["audit"])) for r in self.state.values()]
+
+
 def apply_edits(regions: DataFrame, edits: DataFrame, width: int, height: int) -> DataFrame:
     """Regions after the edits of their document.
 
     ``regions``: document_id, page, region_id, x1, y1, x2, y2, region_type, status, confirmed. ``edits``: document_id, seq,
-    action (add, update, delete, mark, confirm, unconfirm, merge, split, confirm_page), region_id, other_id, page, x1, y1, x2, y2,
-    region_type. The result has ``audit``, the applied actions joined by commas; a failed one is followed by ``!``.
+    action (add, update, delete, mark, confirm, unconfirm, recognize, merge, split, confirm_page), region_id, other_id, page,
+    x1, y1, x2, y2, region_type. The result has ``audit``, the applied actions joined by commas; a failed one is followed by
+    ``!``. A task reads a document's regions, then its edits, as a stream, and keeps its regions.
     """
-
-    def clamp(b):
-        x1, y1, x2, y2 = max(0, b[0]), max(0, b[1]), min(width, b[2]), min(height, b[3])
-        return (x1, y1, x2, y2) if x2 > x1 and y2 > y1 else None
-
-    def fold(own: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        log = log.rename(columns=lambda c: c.removeprefix("edit_"))
-        state = {r.region_id: {**r._asdict(), "audit": []} for r in own.sort_values("region_id").itertuples(index=False)}
-        for e in log.sort_values("seq").itertuples(index=False):
-            r, kind = state.get(e.region_id), None if pd.isna(e.region_type) else e.region_type
-            box = None if pd.isna(e.x1) else clamp(tuple(int(v) for v in (e.x1, e.y1, e.x2, e.y2)))
-            done = [r] if r else []
-            ok = r is not None
-            if e.action == "confirm_page":
-                done = [x for x in state.values() if x["page"] == e.page and x["status"] != "deleted"]
-                ok = bool(done)
-                for x in done:
-                    x.update(status="confirmed", confirmed=True)
-            elif e.action == "add":
-                ok = r is None and box is not None
-                if ok:
-                    r = dict(zip(_COLUMNS, (e.document_id, int(e.page), e.region_id, *box, kind or "molecule", "edited", False, []), strict=True))
-                    state[e.region_id], done = r, [r]
-            elif not ok:
-                pass
-            elif e.action == "update":
-                ok = box is not None
-                if ok:
-                    r.update(zip(("x1", "y1", "x2", "y2"), box, strict=True))
-                    r.update(status="confirmed" if r["confirmed"] else "edited", region_type=kind or r["region_type"])
-            elif e.action == "delete":
-                r.update(status="deleted", confirmed=False, region_type="non_molecule")
-            elif e.action == "mark":
-                r.update(region_type=kind or "non_molecule", status="confirmed" if r["confirmed"] else "edited")
-            elif e.action in ("confirm", "unconfirm"):
-                yes = e.action == "confirm"
-                r.update(status="confirmed" if yes else "edited", confirmed=yes, region_type=(yes and kind) or r["region_type"])
-            elif e.action == "merge":
-                o = state.get(e.other_id)
-                ok = o is not None and o is not r and o["page"] == r["page"]
-                if ok:
-                    r.update(x1=min(r["x1"], o["x1"]), y1=min(r["y1"], o["y1"]), x2=max(r["x2"], o["x2"]), y2=max(r["y2"], o["y2"]), status="edited", confirmed=False)
-                    r["region_type"] = kind or (r["region_type"] if r["region_type"] == o["region_type"] else "unknown")
-                    o.update(status="deleted", confirmed=False)
-                    o["audit"].append("merged_into")
-            elif e.action == "split":
-                middle = (r["x1"] + r["x2"]) // 2
-                ok = e.other_id not in state and r["x1"] < middle < r["x2"]
-                if ok:
-                    state[e.other_id] = {**r, "region_id": e.other_id, "x1": middle, "status": "edited", "confirmed": False, "audit": ["split_from"], "region_type": kind or r["region_type"]}
-                    r.update(x2=middle, status="edited", confirmed=False, region_type=kind or r["region_type"])
-            else:
-                ok = False
-            for x in done:
-                x["audit"].append(e.action if ok else e.action + "!")
-        rows = [{**r, "audit": ",".join(r["audit"])} for r in state.values()]
-        return pd.DataFrame(rows, columns=_COLUMNS)
-
+    box = [F.col(k).cast("int").alias(k) for k in ("x1", "y1", "x2", "y2")]
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    first = regions.select("document_id", F.lit(False).alias("is_edit"), none("long", "seq"), none("string", "action"), "region_id", none("string", "other_id"), F.col("page").cast("int").alias("page"), *box, "region_type", "status", "confirmed")
+    then = edits.select("document_id", F.lit(True).alias("is_edit"), F.col("seq").cast("long").alias("seq"), "action", "region_id", "other_id", F.col("page").cast("int").alias("page"), *box, "region_type", none("string", "status"), none("boolean", "confirmed"))
     schema = "document_id string, page int, region_id string, x1 int, y1 int, x2 int, y2 int, region_type string, status string, confirmed boolean, audit string"
-    # Names of its own for the log: both tables may come from one.
-    log = edits.toDF(*[f"edit_{c}" for c in edits.columns])
-    return regions.groupBy("document_id").cogroup(log.groupBy("edit_document_id")).applyInPandas(fold, schema)
+    return fold(first.unionByName(then), "document_id", ["is_edit", "seq", "region_id"], lambda key: _Regions(key, width, height), schema)
 
 
 def annotations(regions: DataFrame) -> DataFrame:

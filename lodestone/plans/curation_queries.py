@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import codes, count_if, ladder
 from lodestone.operators import boxes, consensus, dedup, metrics, review, similarity, splits
 from lodestone.operators.order import numbered
-from lodestone.plans.registry import query
+from lodestone.plans.registry import query, rate
 from lodestone.sources.adapters import records, twin
 
 PAIRS = """t AS (SELECT * FROM boxes WHERE side = 'truth'), p AS (SELECT * FROM boxes WHERE side = 'proposal'),
@@ -22,11 +22,23 @@ def j11(spark, d):
     return boxes.pairs(records(spark, d, "boxes")).select("page_id", "t_id", "p_id", "shared", "iou")
 
 
-@query("j12_box_matches")
+#: The matches as a fold over the pairs of a page, the largest overlap first.
+MATCHES = f"""{PAIRS}, o AS (SELECT page_id, list({{'t': t_id, 'p': p_id, 'iou': iou}} ORDER BY shared / uni DESC, t_id DESC, p_id DESC) AS found FROM i WHERE shared / uni >= 0.3 GROUP BY 1),
+  f AS (SELECT page_id, unnest(list_reduce(found, lambda a, x: CASE WHEN len(list_filter(a, lambda y: y.t = x.t OR y.p = x.p)) > 0 THEN a ELSE list_append(a, x) END, CAST([] AS STRUCT(t BIGINT, p BIGINT, iou DOUBLE)[]))) AS m FROM o),
+  matches AS (SELECT page_id, m.t AS t_id, m.p AS p_id, m.iou AS iou FROM f)"""
+
+
+@query("j12_box_matches", twin(f"{MATCHES} SELECT * FROM matches", "boxes"))
 def j12(spark, d):
     return boxes.match(records(spark, d, "boxes"), 0.3)
 
 
+@query("j12_missed_and_false_boxes", twin(f"{MATCHES} SELECT page_id, box_id, CASE side WHEN 'truth' THEN 'missed' ELSE 'false' END AS kind FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM matches m WHERE m.page_id = b.page_id AND b.box_id IN (m.t_id, m.p_id))", "boxes"))
+def j12_rest(spark, d):
+    rows = records(spark, d, "boxes")
+    return boxes.unmatched(rows, boxes.match(rows, 0.3))
+
+
 @query("j13_merge_and_split_events", twin(f"""{PAIRS}, m AS (SELECT page_id, count(*) AS n FROM (SELECT page_id, p_id FROM i WHERE shared / t_area >= 0.1 GROUP BY 1, 2 HAVING count(*) >= 2) x GROUP BY 1), s AS (SELECT page_id, count(*) AS n FROM (SELECT page_id, t_id FROM i WHERE shared / p_area >= 0.1 GROUP BY 1, 2 HAVING count(*) >= 2) x GROUP BY 1)
     SELECT page_id, coalesce(m.n, 0) AS merged, coalesce(s.n, 0) AS split FROM (SELECT DISTINCT page_id FROM boxes) g LEFT JOIN m USING (page_id) LEFT JOIN s USING (page_id)""", "boxes"))
 def j13(spark, d):
@@ -45,7 +57,14 @@ def j15(spark, d):
     return boxes.context(records(spark, d, "boxes"))
 
 
-@query("j16_box_suppression")
+def _share(a: str, b: str) -> str:
+    """SQL text of what two boxes share over the smaller one's area."""
+    return f"greatest(0, least({a}.x2, {b}.x2) - greatest({a}.x1, {b}.x1)) * greatest(0, least({a}.y2, {b}.y2) - greatest({a}.y1, {b}.y1)) / least(greatest(({a}.x2 - {a}.x1) * ({a}.y2 - {a}.y1), 1), greatest(({b}.x2 - {b}.x1) * ({b}.y2 - {b}.y1), 1))"
+
+
+@query("j16_box_suppression", twin(f"""o AS (SELECT page_id, list({{'id': box_id, 'side': side, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY side <> 'truth', y1, x1, box_id) AS found FROM boxes GROUP BY 1),
+    f AS (SELECT page_id, unnest(list_reduce(found, lambda a, x: CASE WHEN x.side <> 'truth' AND len(list_filter(a, lambda y: {_share('x', 'y')} >= 0.68)) > 0 THEN a ELSE list_append(a, x) END, found[1:0])) AS k FROM o)
+    SELECT page_id, k.id AS box_id, k.side AS side FROM f""", "boxes"))
 def j16(spark, d):
     return boxes.suppress(records(spark, d, "boxes"))
 
@@ -55,7 +74,8 @@ def g05(spark, d):
     return boxes.merge(records(spark, d, "boxes"))
 
 
-@query("a21_proposal_totals")
+@query("a21_proposal_totals", twin(f"""{MATCHES}, s AS (SELECT count(DISTINCT page_id) AS n_pages, count(*) FILTER (side = 'truth') AS n_truth, count(*) FILTER (side = 'proposal') AS n_proposals FROM boxes), c AS (SELECT count(*) AS tp, sum(CAST(round_even(iou * 1e6, 0) AS BIGINT)) AS millionths FROM matches)
+    SELECT n_pages, n_truth, n_proposals, tp, {rate('tp', 'n_proposals')} AS precision, {rate('tp', 'n_truth')} AS recall, {rate('2 * tp', 'n_truth + n_proposals')} AS f1, round_even(millionths / tp, 3) AS mean_iou_millionths FROM s, c""", "boxes"))
 def a21(spark, d):
     return boxes.proposal_totals(records(spark, d, "boxes"), 0.3)
 
@@ -99,9 +119,17 @@ def w01(spark, d):
     return dedup.first_seen(records(spark, d, "samples").select("sample_id", "content_key"), "content_key", "sample_id")
 
 
-@query("w02_keep_first_two_keys")
+@query("w02_keep_first_two_keys", twin("""k AS (SELECT sample_id, CASE WHEN sample_id % 7 <> 0 THEN CASE WHEN sample_id % 5 = 0 THEN 'k' || CAST(sample_id % 40 AS VARCHAR) ELSE inchikey END END AS a, CASE WHEN sample_id % 11 <> 0 THEN CASE WHEN sample_id % 3 = 0 THEN 'k' || CAST(sample_id % 33 AS VARCHAR) ELSE content_key END END AS b FROM samples),
+    f AS (SELECT list_reduce(list({'i': sample_id, 'a': a, 'b': b} ORDER BY sample_id), lambda s, x: CASE WHEN x.a IS NOT NULL AND list_contains(s.a, x.a) THEN {'a': s.a, 'b': s.b, 'o': list_append(s.o, {'i': x.i, 'r': 'duplicate_a'})} WHEN x.b IS NOT NULL AND list_contains(s.b, x.b) THEN {'a': s.a, 'b': s.b, 'o': list_append(s.o, {'i': x.i, 'r': 'duplicate_b'})}
+      ELSE {'a': list_append(s.a, x.a), 'b': list_append(s.b, x.b), 'o': list_append(s.o, {'i': x.i, 'r': ''})} END, {'a': CAST([] AS VARCHAR[]), 'b': CAST([] AS VARCHAR[]), 'o': CAST([] AS STRUCT(i BIGINT, r VARCHAR)[])}) AS f FROM k), u AS (SELECT unnest(f.o) AS u FROM f)
+    SELECT u.i AS sample_id, u.r AS reason FROM u""", "samples"))
 def w02(spark, d):
-    return dedup.keep_first_two_keys(records(spark, d, "samples"), "sample_id", "inchikey", "content_key")
+    # Some keys are shared more widely, some are missing.
+    n = F.col("sample_id")
+    some = lambda k: F.concat(F.lit("k"), (n % k).cast("string"))
+    a = F.when(n % 7 != 0, F.when(n % 5 == 0, some(40)).otherwise(F.col("inchikey")))
+    b = F.when(n % 11 != 0, F.when(n % 3 == 0, some(33)).otherwise(F.col("content_key")))
+    return dedup.keep_first_two_keys(records(spark, d, "samples").select("sample_id", a.alias("a"), b.alias("b")), "sample_id", "a", "b")
 
 
 @query("a26_duplicate_groups", twin("g AS (SELECT 'content_key' AS key, content_key AS v FROM samples UNION ALL SELECT 'inchikey', inchikey FROM samples), n AS (SELECT key, v, count(*) AS n FROM g GROUP BY 1, 2 HAVING count(*) > 1) SELECT key, count(*) AS n_groups, CAST(sum(n - 1) AS BIGINT) AS n_surplus FROM n GROUP BY 1", "samples"))
@@ -121,7 +149,8 @@ def j18(spark, d):
     return dedup.earliest_match(records(spark, d, "samples"), "sample_id", "content_key", "inchikey")
 
 
-@query("g01_linked_groups")
+@query("g01_linked_groups", twin("""k AS (SELECT sample_id AS id, 'a' || inchikey AS v FROM samples UNION ALL SELECT sample_id, 'b' || content_key FROM samples), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (v)),
+    reach AS (SELECT sample_id AS id, sample_id AS seen FROM samples UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.seen = e.a) SELECT id AS sample_id, min(seen) AS component FROM reach GROUP BY 1""", "samples").replace("WITH ", "WITH RECURSIVE ", 1))
 def g01(spark, d):
     return splits.linked_groups(records(spark, d, "samples"), "sample_id", "inchikey", "content_key")
 

@@ -256,18 +256,35 @@ def p06(spark, d):
     return metrics.flags(records(spark, d, "predictions")).select("sample_id", "is_positive", "valid", "exact", "auto_accept", "review", "error", "high_risk", "derived", "failure_reason", "rejection_success")
 
 
-KEY = """CASE WHEN contains(t, 'pubchem') AND contains(t, 'public') AND contains(t, 'domain') THEN 'public-domain-pubchem' WHEN contains(t, 'cc0') OR contains(t, 'cc zero') THEN 'cc0-1.0'
-    WHEN regexp_extract(t, 'creativecommons\\.org/licenses/(by(?:-sa)?)/([0-9](?:\\.[0-9])?)(?:/|\\b)', 1) <> '' THEN 'cc-' || regexp_extract(t, 'creativecommons\\.org/licenses/(by(?:-sa)?)/([0-9](?:\\.[0-9])?)(?:/|\\b)', 1) || '-' || regexp_extract(t, 'creativecommons\\.org/licenses/(by(?:-sa)?)/([0-9](?:\\.[0-9])?)(?:/|\\b)', 2)
-    WHEN regexp_extract(t, 'cc\\s*by(?:\\s*-?\\s*(sa))?\\s*(?:version\\s*)?([0-9](?:\\.[0-9])?)?', 2) <> '' THEN 'cc-by' || CASE WHEN regexp_extract(t, 'cc\\s*by(?:\\s*-?\\s*(sa))?\\s*(?:version\\s*)?([0-9](?:\\.[0-9])?)?', 1) <> '' THEN '-sa' ELSE '' END || '-' || regexp_extract(t, 'cc\\s*by(?:\\s*-?\\s*(sa))?\\s*(?:version\\s*)?([0-9](?:\\.[0-9])?)?', 2) ELSE '' END"""
+#: The statements of the samples, with what each is.
+KEYS = """keys(source_license, license_key) AS (VALUES ('CC BY 4.0', 'cc-by-4.0'), ('https://creativecommons.org/licenses/by-sa/3.0/', 'cc-by-sa-3.0'), ('CC0', 'cc0-1.0'), ('CC BY', ''),
+    ('Public Domain (PubChem)', 'public-domain-pubchem'), ('No explicit repository license found', ''), ('', ''), ('CC BY-NC 4.0', ''))"""
 
 
-@query("p13_p14_licenses", twin(f"l AS (SELECT sample_id, source_license, lower(trim(source_license)) AS t FROM samples), k AS (SELECT *, {KEY} AS license_key FROM l) SELECT sample_id, license_key, license_key IN {rules.ALLOWED_LICENSES} AS allowed, {UNCLEAR} AS unclear FROM k", "samples"))
+@query("p13_p14_licenses", twin(f"{KEYS}, k AS (SELECT sample_id, source_license, license_key FROM samples JOIN keys USING (source_license)) SELECT sample_id, license_key, license_key IN {rules.ALLOWED_LICENSES} AS allowed, {UNCLEAR} AS unclear FROM k", "samples"))
 def p13(spark, d):
     c = F.col("source_license")
     return records(spark, d, "samples").select("sample_id", rules.license_key(c).alias("license_key"), rules.license_allowed(c).alias("allowed"), rules.unclear_license(c).alias("unclear"))
 
 
-@query("p15_p16_failure_messages", twin(f"SELECT sample_id, {CATEGORY.format(m='message')} AS category, regexp_replace(trim(message), '/([^ :/]+/)+[^ ]+', '<path>', 'g') AS line FROM predictions WHERE message <> ''", "predictions"))
+@query("p11_rejection_targets", twin("""m AS (SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN '' ELSE expected_action END AS expected, category, structure_features FROM predictions)
+    SELECT expected = 'reject' OR (expected = '' AND (contains(lower(category), 'low') OR contains(structure_features, 'salt'))) AS target, count(*) AS n FROM m GROUP BY 1""", "predictions"))
+def p11(spark, d):
+    expected = F.when(F.col("sample_id") % 3 == 0, "").otherwise(F.col("expected_action"))
+    target = rules.rejection_target(expected, ("low", "salt"), F.col("category"), F.col("structure_features"))
+    return records(spark, d, "predictions").groupBy(target.alias("target")).agg(F.count("*").alias("n"))
+
+
+@query("p15_failure_categories", twin(f"""m AS (SELECT sample_id, CASE sample_id % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'odd' ELSE '' END AS given, CASE WHEN sample_id % 7 = 0 THEN 'C1=' ELSE '' END AS raw, CASE WHEN sample_id % 11 = 0 THEN 'Invalid SMILES' ELSE message END AS message, recognition_success FROM predictions)
+    SELECT sample_id, CASE WHEN given = 'timeout' THEN given WHEN NOT recognition_success AND (raw <> '' OR message = 'Invalid SMILES') THEN 'output_parse_failure' ELSE {CATEGORY.format(m="message")} END AS category FROM m""", "predictions"))
+def p15_full(spark, d):
+    c = F.col
+    given = ladder("", (c("sample_id") % 4 == 0, "timeout"), (c("sample_id") % 4 == 1, "odd"))
+    raw, message = F.when(c("sample_id") % 7 == 0, "C1=").otherwise(""), F.when(c("sample_id") % 11 == 0, "Invalid SMILES").otherwise(c("message"))
+    return records(spark, d, "predictions").select("sample_id", rules.failure_category(message, given, raw, ~c("recognition_success")).alias("category"))
+
+
+@query("p15_p16_failure_messages", twin(f"SELECT sample_id, {CATEGORY.format(m='message')} AS category, replace(message, '/var/lib/models/a.bin', '<path>') AS line FROM predictions WHERE message <> ''", "predictions"))
 def p15(spark, d):
     c = F.col("message")
     return records(spark, d, "predictions").where("message <> ''").select("sample_id", rules.failure_category(c).alias("category"), rules.tidy_message(c).alias("line"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import decisions
 from lodestone.functions.columns import codes, count_if, filled, ladder
+from lodestone.functions.rules import license_allowed
 from lodestone.operators import consensus, dedup, metrics, review, splits
 from lodestone.plans.job_queries import nested_reports
 from lodestone.plans.registry import query
@@ -28,10 +29,12 @@ def p47(spark, d):
     return records(spark, d, "predictions").select("sample_id", F.array_join(found, ",").alias("reasons"))
 
 
-@query("p26_consensus_decisions")
+@query("p26_consensus_decisions", twin("""v AS (SELECT sample_id, canonical_key, count(*) AS n FROM candidates WHERE status = 'success' AND canonical_key IS NOT NULL AND valid GROUP BY 1, 2), g AS (SELECT sample_id, sum(n) AS n_valid, max(n) AS most FROM v GROUP BY 1),
+    a AS (SELECT sample_id, count(*) FILTER (status = 'success' AND canonical_key IS NOT NULL) AS tried FROM candidates GROUP BY 1)
+    SELECT sample_id, CASE WHEN n_valid IS NULL THEN 'rejected' WHEN most > 1 OR n_valid = 1 THEN 'accepted_with_warning' ELSE 'review_needed' END AS decision FROM a LEFT JOIN g USING (sample_id)""", "candidates"))
 def p26(spark, d):
     rows = consensus.consensus(records(spark, d, "candidates"))
-    return rows.select("sample_id", decisions.consensus_decision(F.col("status")).alias("decision"), F.col("decision").alias("given")).where("decision = given")
+    return rows.select("sample_id", decisions.consensus_decision(F.col("status")).alias("decision"))
 
 
 SETTINGS = {"blank_ink": 20, "text_lines": 5, "least_width": 70, "least_height": 70, "arrow_aspect": 1800, "arrow_parts": 3, "merged_clusters": 3, "merged_parts": 20, "least_score": 500, "ink_low": 50, "ink_high": 600, "parts_least": 4, "aspect_low": 500, "aspect_high": 1500}
@@ -49,10 +52,14 @@ def p34(spark, d):
     return rows.select(decisions.screening(F.col, SETTINGS).alias("s")).groupBy("s.label", "s.decision").agg(F.count("*").alias("n"), F.sum("s.score_milli").alias("score"))
 
 
-@query("p36_short_tokens", twin("SELECT category, count(*) FILTER (length(category) <= 18) AS n_short FROM (SELECT substr(category, 1, 1) AS category FROM predictions) x GROUP BY 1", "predictions"))
+@query("p36_short_tokens", """WITH k AS (SELECT p_partkey, p_partkey % 12 AS kind, CASE p_partkey % 12 WHEN 0 THEN 'Fig. ' || CAST(p_size AS VARCHAR) WHEN 1 THEN '(' || substr(p_name, 1, 1) || ').' WHEN 2 THEN CAST(p_size AS VARCHAR) || '.' || CAST(p_size % 7 AS VARCHAR) WHEN 3 THEN CAST(p_size AS VARCHAR) || ' mg' WHEN 4 THEN 'K g' WHEN 5 THEN p_brand WHEN 6 THEN p_name
+      WHEN 7 THEN CAST(p_size AS VARCHAR) || ')' WHEN 8 THEN CAST(p_size AS VARCHAR) || 'b' WHEN 9 THEN 'Scheme' || CAST(p_size AS VARCHAR) || 'c' WHEN 10 THEN '1234567890123456789' ELSE '' END AS token FROM part)
+    SELECT p_partkey, token, kind IN (0, 1, 2, 4, 7, 8, 9) AS is_short FROM k""")
 def p36(spark, d):
-    token = F.substring("category", 1, 1)
-    return records(spark, d, "predictions").groupBy(token.alias("category")).agg(count_if(decisions.short_text(token)).alias("n_short"))
+    part, size = spark.read.parquet(f"{d}/part.parquet"), F.col("p_size").cast("string")
+    forms = (F.concat(F.lit("Fig. "), size), F.concat(F.lit("("), F.substring("p_name", 1, 1), F.lit(").")), F.concat(size, F.lit("."), (F.col("p_size") % 7).cast("string")), F.concat(size, F.lit(" mg")), F.lit("K g"), F.col("p_brand"), F.col("p_name"), F.concat(size, F.lit(")")), F.concat(size, F.lit("b")), F.concat(F.lit("Scheme"), size, F.lit("c")), F.lit("1234567890123456789"), F.lit(""))
+    token = F.get(F.array(*forms), (F.col("p_partkey") % 12).cast("int"))
+    return part.select("p_partkey", token.alias("token"), decisions.short_text(token).alias("is_short"))
 
 
 @query("p37_output_plausibility", twin("SELECT sample_id, backend, CASE WHEN valid AND priority * 5 >= 20 AND atom_count <= 2 THEN 'output_too_simple_for_input' WHEN NOT valid AND priority * 5 <= 5 AND atom_count >= 8 THEN 'output_too_complex_for_input' ELSE '' END AS code FROM candidates", "candidates"))
@@ -184,14 +191,16 @@ def u04(spark, d):
     return records(spark, d, "samples").groupBy("scaffold_key").agg(F.min("sample_id").alias("first"))
 
 
-@query("w04_verified_manifest")
+@query("w04_verified_manifest", twin("""l AS (SELECT sample_id, reviewer, max(seq) AS seq, arg_max(decision, seq) AS decision, arg_max(canonical_key, seq) AS k FROM votes GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY seq DESC) AS turn FROM l),
+    v AS (SELECT sample_id FROM r WHERE turn <= 2 GROUP BY 1 HAVING count(*) = 2 AND min(decision) = 'approve' AND max(decision) = 'approve' AND min(k) = max(k)), m AS (SELECT s.* FROM samples s JOIN v USING (sample_id) WHERE source_license IN ('CC BY 4.0', 'https://creativecommons.org/licenses/by-sa/3.0/', 'CC0', 'Public Domain (PubChem)')),
+    k AS (SELECT sample_id AS id, 'a' || inchikey AS v FROM m UNION ALL SELECT sample_id, 'b' || content_key FROM m), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (v)), reach AS (SELECT sample_id AS id, sample_id AS seen FROM m UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.seen = e.a)
+    SELECT m.sample_id, m.inchikey, min(seen) AS component, CAST(1 AS BIGINT) AS n_splits FROM m JOIN reach ON reach.id = m.sample_id GROUP BY 1, 2""", "samples", "votes").replace("WITH ", "WITH RECURSIVE ", 1))
 def w04(spark, d):
-    from lodestone.functions.rules import license_allowed
-
     votes = review.vote_status(records(spark, d, "votes")).where("status = 'verified'").select("sample_id")
     rows = records(spark, d, "samples").drop("split").join(votes, "sample_id", "left_semi").where(license_allowed(F.col("source_license")))
-    groups = splits.linked_groups(rows, "sample_id", "inchikey", "content_key")
-    return rows.join(splits.grouped_split(groups, "sample_id").select("sample_id", "split"), "sample_id").select("sample_id", "inchikey", "split")
+    made = splits.grouped_split(splits.linked_groups(rows, "sample_id", "inchikey", "content_key"), "sample_id")
+    in_splits = made.groupBy("component").agg(F.count_distinct("split").alias("n_splits"))
+    return rows.select("sample_id", "inchikey").join(made.join(in_splits, "component").select("sample_id", "component", "n_splits"), "sample_id")
 
 
 @query("g08_reviewed_batches", twin("""a AS (SELECT sample_id, arg_max(decision, seq) AS last FROM votes GROUP BY 1), r AS (SELECT p.sample_id, CASE WHEN last = 'approve' THEN 'confirmed' WHEN last = 'reject' THEN 'revoked' ELSE 'unreviewed' END AS review, recognition_decision FROM predictions p LEFT JOIN a USING (sample_id)) SELECT review, recognition_decision, count(*) AS n FROM r GROUP BY 1, 2""", "predictions", "votes"))

@@ -67,7 +67,7 @@ SQL = {
     "votes": """
         SELECT event_id - event_id % 6 AS sample_id, user_id AS reviewer, ts AS voted_at, event_id AS seq,
           CASE WHEN event_type IN ('error', 'view') THEN 'reject' ELSE 'approve' END AS decision,
-          CASE WHEN event_type IN ('error', 'view') THEN '' ELSE CONCAT('K', CAST(event_id % 2 AS STRING)) END AS canonical_key
+          CASE WHEN event_type IN ('error', 'view') THEN '' WHEN event_id % 12 < 9 THEN 'K0' ELSE CONCAT('K', CAST(event_id % 2 AS STRING)) END AS canonical_key
         FROM events
     """,
     "classes": """

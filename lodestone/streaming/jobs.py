@@ -1,14 +1,14 @@
 """Streams of events: windowed counts, latest states, state machines, agreement, de-duplication, upserts and rates.
 
-Every job runs until its input is read (``availableNow``), keeps its state and progress in the shared folder, and writes each
-micro-batch under its number, so a restart after a lost executor repeats a batch and does not double it. Results are read
-back with the last batch of each key.
+Every job runs until its input is read (``availableNow``), keeps its state and progress in a folder, and writes each micro-batch
+under its number, so a batch that is repeated after a failure does not double. With a ``folder`` of its own in the shared folder a
+job that is started again goes on where it stopped; otherwise it has a new one. Results are read back with the last batch
+of each key.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from lodestone.operators.graph import shared_dir
-from lodestone.operators.review import vote_status
+from lodestone.operators.folds import fold
+from lodestone.operators.tables import shared_dir
+from lodestone.operators.review import upsert, vote_status
 
 #: States of a job, and what an event makes of each of them; others leave it as it is.
 TRANSITIONS = {
@@ -33,17 +34,22 @@ def events(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def run(stream: DataFrame, keys: list[str], mode: str = "update") -> DataFrame:
-    """Run a stream to the end of its input; the last row of each key (all rows if there are no keys)."""
+def batches(stream: DataFrame, mode: str = "update", folder: str | None = None) -> DataFrame:
+    """Run a stream to the end of its input; all rows of all micro-batches, with their number as ``batch``."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_dir(spark)}/stream-{folder or uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
-    spark.createDataFrame([], stream.schema).write.parquet(f"{base}/out/batch=-1")
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{base}/out/batch=-1")
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
-    out = spark.read.option("basePath", f"{base}/out").schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/out")
+    return spark.read.option("basePath", f"{base}/out").schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.IntegerType())])).parquet(f"{base}/out")
+
+
+def run(stream: DataFrame, keys: list[str], mode: str = "update", folder: str | None = None) -> DataFrame:
+    """Run a stream to the end of its input; the last row of each key (all rows if there are no keys)."""
+    out = batches(stream, mode, folder)
     if not keys:
         return out.drop("batch")
     last = out.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "batch").alias("r"))
@@ -80,20 +86,17 @@ def first_of_content(stream: DataFrame, key: str, delay: str = "1 day") -> DataF
     return run(stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark([key]), [], mode="append")
 
 
-def upserts(stream: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame], start: DataFrame) -> DataFrame:
-    """A table after each micro-batch has been merged into it; every version is written beside the last one."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/upsert-{uuid.uuid4().hex}"
-    start.write.parquet(f"{base}/v=-1")
-    last = [-1]
-
-    def write(batch: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{base}/v={last[0]}")
-        merge(old, batch.dropDuplicates([key])).write.mode("overwrite").parquet(f"{base}/v={number}")
-        last[0] = number
+def upserts(stream: DataFrame, key: str, order: str, keep: tuple[str, ...], start: DataFrame, folder: str | None = None) -> DataFrame:
+    """A table after the rows of a stream have replaced its rows by key, in the order of micro-batch and ``order``.
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/v={last[0]}")
+    Columns ``keep`` stay those of the table's row, or of the first row of a new key. Each micro-batch writes only what it
+    brings; the table follows from its start and the first and last row of each key, so no version of it is rewritten.
+    """
+    rows = F.struct(*start.columns)
+    at = F.struct("batch", order)
+    by = batches(stream, "append", folder).groupBy(key).agg(F.min_by(rows, at).alias("first"), F.max_by(rows, at).alias("last"))
+    last = by.select(*[F.col(f"{'first' if c in keep else 'last'}.{c}").alias(c) for c in start.columns])
+    return upsert(start, last, key, keep)
 
 
 def step(state: str, events_: list[str]) -> tuple[str, int]:
@@ -109,7 +112,7 @@ def step(state: str, events_: list[str]) -> tuple[str, int]:
 def job_machine(stream: DataFrame) -> DataFrame:
     """State of each user's job after its events, in order of arrival number, kept between micro-batches."""
 
-    def fold(key, parts, state):
+    def change(key, parts, state):
         status, made = state.get if state.exists else ("queued", 0)
         rows = pd.concat(list(parts)).sort_values("event_id")
         status, n = step(status, rows["event_type"].tolist())
@@ -117,18 +120,44 @@ def job_machine(stream: DataFrame) -> DataFrame:
         yield pd.DataFrame({"user_id": [key[0]], "status": [status], "transitions": [made + n]})
 
     schema = "user_id long, status string, transitions long"
-    made = stream.select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(fold, schema, "status string, transitions long", "update", GroupStateTimeout.NoTimeout)
+    made = stream.select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandasWithState(change, schema, "status string, transitions long", "update", GroupStateTimeout.NoTimeout)
     return run(made, ["user_id"])
 
 
+class _Job:
+    """State of a job and how often it has changed."""
+
+    def __init__(self, user):
+        self.user, self.status, self.made = user, "queued", 0
+
+    def take(self, event_id, event_type):
+        self.status, n = step(self.status, [event_type])
+        self.made += n
+        return ()
+
+    def end(self):
+        return ((self.user, self.status, self.made),)
+
+
 def job_machine_batch(rows: DataFrame) -> DataFrame:
     """The batch twin of ``job_machine``."""
+    return fold(rows.select("user_id", "event_id", "event_type"), "user_id", ["event_id"], _Job, "user_id long, status string, transitions long")
+
 
-    def fold(own: pd.DataFrame) -> pd.DataFrame:
-        status, n = step("queued", own.sort_values("event_id")["event_type"].tolist())
-        return pd.DataFrame({"user_id": [own["user_id"].iloc[0]], "status": [status], "transitions": [n]})
+def kept_in_time(rows: DataFrame, order: str, parts: int, length: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Events of tumbling windows if rows arrive in ``parts`` files by ``order``: those later than the watermark are dropped.
 
-    return rows.select("user_id", "event_id", "event_type").groupBy("user_id").applyInPandas(fold, "user_id long, status string, transitions long")
+    The files are written one after another to the shared folder, and the stream reads one in each micro-batch.
+    """
+    spark = rows.sparkSession
+    folder = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    rows = rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    size = rows.agg(F.greatest(F.lit(1), F.ceil((F.max(order) + 1) / parts))).first()[0] or 1
+    for k in range(parts):
+        rows.where(F.floor(F.col(order) / size) == k).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    by = stream.withWatermark("ts", delay).groupBy(F.window("ts", length).alias("w")).agg(F.count("*").alias("n"))
+    return run(by.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n"), ["window_start"])
 
 
 def late(rows: DataFrame, order: str, delay_seconds: int, batches: int) -> DataFrame:

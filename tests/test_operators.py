@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import tanimoto
+from lodestone.functions.decisions import short_text
 from lodestone.functions.rules import license_allowed, license_key, tidy_message
 from lodestone.operators import boxes, confusion, consensus, dedup, edits, metrics, review, similarity, splits
 from lodestone.operators.graph import components
@@ -65,6 +66,28 @@ def test_keep_first_over_two_keys(spark):
     assert got == {1: "", 2: "duplicate_a", 3: "", 4: "duplicate_b", 5: "", 6: "duplicate_b"}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_keep_first_with_missing_keys(spark, seed):
+    rng = random.Random(seed)
+    rows = [(i, *(None if rng.random() < 0.2 else f"{k}{rng.randrange(25)}" for k in "ab")) for i in range(80)]
+    want, seen = {}, (set(), set())
+    for i, a, b in rows:
+        want[i] = "duplicate_a" if a in seen[0] else "duplicate_b" if b in seen[1] else ""
+        if not want[i]:
+            seen[0].update({a} - {None})
+            seen[1].update({b} - {None})
+    got = dedup.keep_first_two_keys(spark.createDataFrame(rows, "id long, a string, b string"), "id", "a", "b").collect()
+    assert dict(got) == want and len(got) == len(rows)
+
+
+def test_region_edits_that_need_a_state(spark):
+    schema = "document_id string, page int, region_id string, x1 int, y1 int, x2 int, y2 int, region_type string, status string, confirmed boolean"
+    regions = spark.createDataFrame([("d", 1, "r", 0, 0, 9, 9, "molecule", "detected", False), ("d", 1, "s", 0, 0, 9, 9, "text", "detected", True)], schema)
+    log = [("recognize", "r"), ("confirm", "r"), ("recognize", "r"), ("recognize", "s"), ("recognize", "none")]
+    df = spark.createDataFrame([("d", k, a, r, None, 1, None, None, None, None, None) for k, (a, r) in enumerate(log)], "document_id string, seq long, action string, region_id string, other_id string, page int, x1 int, y1 int, x2 int, y2 int, region_type string")
+    assert {r.region_id: r.audit for r in edits.apply_edits(regions, df, 100, 100).collect()} == {"r": "recognize!,confirm,recognize", "s": "recognize!"}
+
+
 def test_components_and_splits(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(100, 170)] + [(rng.randrange(80), rng.randrange(80)) for _ in range(50)]
@@ -115,6 +138,15 @@ def test_licenses(spark):
     assert not any(r.ok for r in rows if r.s in ("CC BY", "", "CC BY-NC 4.0"))
     line = spark.range(1).select(tidy_message(F.lit(" bad \n file /usr/lib/x.so  now")).alias("x")).first().x
     assert line == "bad file <path> now"
+    paths = {"C:\\a\\b.txt and/or x": "<path> and/or x", "at=/a/b": "at=<path>", "a/b/c": "a<path>", "": "", "/a": "/a"}
+    rows = spark.createDataFrame([(k,) for k in paths], "s string").select("s", tidy_message(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in rows} == paths
+
+
+def test_short_texts(spark):
+    given = {"(a).": True, "A": True, "Fig 3b": True, "figure": True, "Eq.2": True, "12": True, "12)": True, "12c": True, "1.2.3": True, "kHz": True, "": False, None: False, "ab": False, "1..2": False, "C6H6": False, "figs": True, "a1": False, "1234567890123456789": False}
+    rows = spark.createDataFrame([(k,) for k in given], "s string").select("s", short_text(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in rows} == given
 
 
 def test_ranks_are_half_even(spark):
