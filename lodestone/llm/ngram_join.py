@@ -198,6 +198,10 @@ def _shared(batches, percent: int):
     for rows in batches:
         if rows.num_rows:
             own = [np.concatenate([h, rows.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            # Exact copies in several tasks bring an entry several times.
+            new = np.ones(len(own[0]), dtype=bool)
+            new[1:] = np.logical_or.reduce([x[1:] != x[:-1] for x in own])
+            own = [x[new] for x in own]
             start = _runs(*own[:3], percent)
             near = ~start
             near[:-1] |= ~start[1:]
@@ -242,18 +246,14 @@ def _least_shared(n, percent: int):
     return F.greatest(F.lit(1), F.floor(F.floor((n * percent + 99) / 100) / EXTRA))
 
 
-def candidates(entries: DataFrame, percent: int, rounds: int = 1) -> DataFrame:
+def candidates(entries: DataFrame, percent: int) -> DataFrame:
     """The prefix entries (shingle, part, n, class) of documents that may link, as a table; see the module's text."""
     schema = "shingle long, part long, n long, class long"
-    done = None
-    for _ in range(rounds):
-        near = materialise(_sorted(entries).mapInArrow(lambda batches: _shared(batches, percent), schema), "entries")
-        if done is not None:
-            discard(done)
-        alive = near.groupBy("class", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("class")
-        entries, done = near.join(alive, "class").select("shingle", "part", "n", "class"), near
-    kept = materialise(entries, "entries")
-    discard(done)
+    near = materialise(_sorted(entries).mapInArrow(lambda batches: _shared(batches, percent), schema), "entries")
+    alive = materialise(near.groupBy("class", "n").agg(F.count("*").alias("shared")).where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("class"), "alive")
+    # A filter, so that no entry moves; the few that it lets through are candidates more.
+    kept = materialise(tested(near, F.xxhash64("class"), bloom(alive.select(F.xxhash64("class").alias("h")), alive.count()), "alive").where("alive").select("shingle", "part", "n", "class"), "entries")
+    discard(near, alive)
     return kept
 
 
@@ -331,10 +331,12 @@ def _asked(entries: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(sets: DataFrame, entries: DataFrame, placed: DataFrame, percent: int, total: int) -> DataFrame:
-    """Links (a, b) between classes, enough to connect all that links connect. ``sets``: (class, cluster, blocks, block, leads, set)."""
+    """Links (a, b) between classes, enough to connect all that links connect. ``sets``: (class, set)."""
+    # The plan that large inputs have, at any size.
+    dealt = sets.join(placed.select("class", "cluster", "blocks", "block", "leads").hint("merge"), "class")
     to = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     plain = {"part": F.lit(0), "side": F.lit(0), "root": F.col("class")}
-    first = materialise(_searched(sets.withColumns(plain).withColumn("block", F.explode(to)), percent, False), "links")
+    first = materialise(_searched(dealt.withColumns(plain).withColumn("block", F.explode(to)), percent, False), "links")
     wide = placed.where("blocks > 1").select("class", "cluster", "block", "size")
     if wide.isEmpty():
         return first
@@ -349,7 +351,7 @@ def _links(sets: DataFrame, entries: DataFrame, placed: DataFrame, percent: int,
         return first
     # The queries of a block are dealt over several cells, each with a copy of the block.
     targets = asked.groupBy("cluster", "block").agg(F.ceil(F.count("*") / (4 * CELL_DOCS)).cast("int").alias("parts"))
-    known = sets.select("class", "set").join(spread, "class")
+    known = sets.join(spread.hint("merge"), "class")
     block = known.join(targets, ["cluster", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("side", F.lit(0))
     queries = known.where("open").drop("cluster", "block").join(asked.join(targets, ["cluster", "block"]), "class")
     queries = queries.withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")).withColumn("side", F.lit(1))
@@ -405,16 +407,15 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     placed = materialise(_placed(materialise(member, "members"), cell_docs, total), "placed")
 
     def sets_of(batches):
-        for part in slices(batches, 5):
-            sets = shingle_sets(texts_of(part.column(5)), size)
-            yield pa.RecordBatch.from_arrays([*part.columns[:5], pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "cluster", "blocks", "block", "leads", "set"])
+        for part in slices(batches, 0):
+            sets = shingle_sets(texts_of(part.column(0)), size)
+            yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["class", "set"])
 
     # Texts that bring no set are ruled out where they lie.
-    text = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(whole(text_col)).alias("key"), whole(text_col).alias("text"))
+    text = docs.select(F.xxhash64(F.xxhash64(whole(text_col)), F.col(f"`{id_col}`")).alias("own"), whole(text_col).alias("text"))
     bearers = bloom(placed.select(F.xxhash64("own_key", "own_id").alias("h")), placed.count())
-    bearing = tested(text, F.xxhash64("key", "id"), bearers, "bears").where("bears")
-    wanted = bearing.join(placed, (F.col("key") == F.col("own_key")) & F.col("id").eqNullSafe(F.col("own_id"))).select("class", "cluster", "blocks", "block", "leads", "text")
-    sets = materialise(wanted.mapInArrow(sets_of, "class long, cluster long, blocks int, block int, leads boolean, set binary"), "sets")
+    bearing = tested(text, F.col("own"), bearers, "bears").where("bears").select("text")
+    sets = materialise(bearing.mapInArrow(sets_of, "class long, set binary"), "sets")
     roots = components(_links(sets, entries, placed, percent, total))
 
     low = rows.where("n > 0").groupBy("class").agg(F.min("id").alias("id"), F.min(F.when(F.col("id").isNotNull(), F.struct("id", "key"))).alias("first"), F.min("key").alias("key"), F.count("*").alias("size"))

@@ -4,7 +4,8 @@ Each text is the set of its byte n-grams (hashed to a fixed number of features).
 smoothed log-counts among good and bad documents; a linear hinge-loss model over these values is fitted by dual coordinate
 descent, and its margin is turned into a probability by a logistic curve fitted on margins of documents left out.
 
-The fit takes a bounded sample of labelled documents (``sample`` rows, chosen by a hash of the id), in one task. The weights
+The fit takes a bounded sample of labelled documents (``sample`` rows and ``sample_grams`` n-grams, chosen by a hash of the
+id), in one task. The weights
 have a fixed size, so they are broadcast; every text is scored where it lies, without a shuffle.
 """
 
@@ -31,8 +32,7 @@ def _hashed(codes: np.ndarray, salt: int) -> np.ndarray:
 def features(text: bytes) -> np.ndarray:
     """The distinct hashed n-grams of a text; none for an empty text.
 
-    These are its byte 2- and 3-grams; the runs of 1, 2, 4 and 8 repeats (n-grams over whether a word equals the one
-    before); and the powers of two that its length reaches.
+    These are its byte 2- and 3-grams, and the runs of 1, 2, 4 and 8 repeats: n-grams over whether a word equals the one before.
     """
     b = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
     if len(b) < 2:
@@ -42,7 +42,6 @@ def features(text: bytes) -> np.ndarray:
     words = text.split()
     same = "".join("R" if x == y else "." for x, y in zip(words, words[1:], strict=False))
     shape = [k for k, run in enumerate(("R", "RR", "RRRR", "RRRRRRRR")) if run in same]
-    shape += range(16, 16 + len(b).bit_length())
     codes = [_hashed(two, 1 << 24), _hashed(three, 0), _hashed(np.array(shape, dtype=np.uint32), 1 << 25)]
     if len(b) > 20_000:
         seen = np.zeros(1 << BITS, dtype=bool)
@@ -139,8 +138,8 @@ def fit(docs: list[np.ndarray], good: np.ndarray, cost: float = 1.0, epochs: int
     return Model(weights, bias, *logistic(margins, good))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> Model:
-    """Fit on at most ``sample`` labelled documents, those whose ids have the least hashes."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_grams: int) -> Model:
+    """Fit on at most ``sample`` labelled documents with ``sample_grams`` n-grams together, those whose ids have the least hashes."""
     named = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").alias("good")).where("id is not null and good is not null")
     chosen = named.groupBy("id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), whole(text_col).alias("text")).join(F.broadcast(chosen), "id")
@@ -151,10 +150,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1).cast(pa.int32()), pa.array([features(t.encode("utf-8", "surrogatepass")).tobytes() for t in part.column(2).to_pylist()], pa.binary())], names=["id", "good", "features"])
 
     def learn(batches):
-        good, own = [], []
+        good, own, held = [], [], 0
         for rows in batches:
-            good += rows.column(1).to_pylist()
-            own += [np.frombuffer(x, dtype=np.uint32) for x in rows.column(2).to_pylist()]
+            for y, x in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                held += len(x) // 4
+                if held <= sample_grams or not own:
+                    good.append(y)
+                    own.append(np.frombuffer(x, dtype=np.uint32))
         if own:
             model = fit(own, np.array(good) == 1)
             yield pa.RecordBatch.from_arrays([pa.array([model.weights.astype(np.float32).tobytes()], pa.binary()), pa.array([[model.bias, model.slope, model.shift]], pa.list_(pa.float64()))], names=["weights", "rest"])
@@ -165,12 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return Model(np.frombuffer(learnt[0]["weights"], dtype=np.float32), *learnt[0]["rest"]) if learnt else Model(np.zeros(1 << BITS, dtype=np.float32))
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8_000, threshold: float = 0.7, folds: int = 4, held_out: int = 2, columns: list[str] | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = 8_000, sample_grams: int = 40_000_000, threshold: float = 0.7, folds: int = 4, held_out: int = 2, columns: list[str] | None = None) -> DataFrame:
     """All rows of ``docs``, with all columns or those named, with ``held_out``, ``score`` and ``predicted``.
 
     Labels are learnt only where crc32 of the id as text, modulo ``folds``, is not ``held_out``. Scores are probabilities of
     label 1 and depend on the text alone.
 
+    The model is fitted when this is called, in one task of bounded size: on ``sample`` documents at most, and ``sample_grams``
+    n-grams (4 bytes each, and as many for their values).
+
     - Null and empty texts have no n-gram: their score is that of the intercept. A null id is never held out.
     - Labels without id or value are left out; of several labels for one id the least counts; of several texts of a
       labelled id the least is learnt, each is scored. Ids of labels that no document has are left out.
@@ -179,7 +184,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     small_batches(docs.sparkSession)
     away = lambda c: F.coalesce(F.crc32(F.col(c).cast("string")) % folds == held_out, F.lit(False))
-    model = train(docs, labels.where(~away(f"`{id_col}`")), id_col, text_col, label_col, sample)
+    model = train(docs, labels.where(~away(f"`{id_col}`")), id_col, text_col, label_col, sample, sample_grams)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -1,6 +1,7 @@
 """Perspectives and revisits against plain versions, with odd rows."""
 
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -11,29 +12,31 @@ from lodestone.llm import chat, warc
 def plain_rotation(rows, part_turns):
     by = defaultdict(list)
     for c, t, r, x in rows:
-        by[c].append((t if t is not None else -1, (r or "").strip() or "unknown", x or ""))
+        name = re.sub("[\r\n]+", " ", r or "").replace("<|", "< |").replace("|>", "| >").strip()
+        by[c].append((t if t is not None else -1, name or "unknown", (x or "").replace("<|", "< |")))
     out = {}
     for c, turns in by.items():
         turns.sort()
         speakers = {r for _, r, _ in turns if r != "system"}
-        for k in range(0, len(turns), part_turns):
+        step = part_turns or len(turns)
+        for k in range(0, len(turns), step):
             for s in speakers:
                 text, mask = "", []
-                for _, r, x in turns[k : k + part_turns]:
-                    r_, x_ = r.replace("<|", "< |"), x.replace("<|", "< |")
-                    text += "<|system|>\n" if r == "system" else "<|assistant|>\n" if r == s else f"<|user name={r_}|>\n"
+                for _, r, x in turns[k : k + step]:
+                    text += "<|system|>\n" if r == "system" else "<|assistant|>\n" if r == s else f"<|user name={r}|>\n"
                     if r == s:
-                        mask.append((len(text), len(text) + len(x_) + 7))
-                    text += x_ + "<|end|>\n"
-                out[c, k // part_turns, s.replace("<|", "< |")] = (len(turns[k : k + part_turns]), text, mask)
+                        mask.append((len(text), len(text) + len(x) + 7))
+                    text += x + "<|end|>\n"
+                out[c, k // step, s] = (len(turns[k : k + step]), text, mask)
     return out
 
 
-@pytest.mark.parametrize("part_turns", [3, 64])
+@pytest.mark.parametrize("part_turns", [3, 64, None])
 def test_rotation(spark, part_turns):
-    rng = random.Random(part_turns)
+    rng = random.Random(part_turns or 0)
     rows = [(rng.randrange(6), rng.randrange(9), rng.choice(["ann", "bob", "cy", "system", None, "  "]), rng.choice(["hi", "", None, "é😀 <|end|> x", "long " * 50])) for _ in range(120)]
-    rows += [(None, 0, "ann", "lost"), (None, 1, "bob", "too"), (7, 0, "system", "alone"), (8, None, "ann", "no number"), (8, None, "ann", "no number"), (9, 1, "<|x", "odd name")]
+    rows += [(None, 0, "ann", "lost"), (None, 1, "bob", "too"), (7, 0, "system", "alone"), (8, None, "ann", "no number"), (8, None, "ann", "no number"), (9, 1, "<|x", "odd name"), (9, 2, "a|>\nFAKE", "forged")]
+    rows += [(10, k, rng.choice(["ann", "bob", "system"]), "turn " * (5000 if k == 70 else 3)) for k in range(200)]
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, rank string, part int").repartition(4)
     got = {(r.conv, r.part, r.speaker): (r.n_turns, r.rendered, [(m.start, m.end) for m in r["mask"]]) for r in chat.rotate(df, part_turns=part_turns).collect()}
     want = plain_rotation(rows, part_turns)
