@@ -212,3 +212,12 @@ def histogram(rows: DataFrame, value: str, bins: int = 10) -> DataFrame:
     ends = rows.agg(F.min(value).alias("low"), F.max(value).alias("high"))  # one row
     at = F.when(F.col("low") == F.col("high"), 0).otherwise(F.least(F.floor((F.col(value) - F.col("low")) * bins / (F.col("high") - F.col("low"))), F.lit(bins - 1)))
     return rows.where(F.col(value).isNotNull()).crossJoin(F.broadcast(ends)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def counters(rows: DataFrame, *columns: str, tags: str | None = None, separator: str = ";") -> DataFrame:
+    """(kind, value, n): how often each value of some columns, and each of the tags in one, occurs."""
+    named = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    one = F.array(*[named(c, F.col(c).cast("string")) for c in columns])
+    all_ = F.concat(one, F.transform(F.split(tags, separator), lambda t: named(tags, t))) if tags else one
+    long = rows.select(F.explode(all_).alias("x")).select("x.*")
+    return long.where((F.col("kind") != F.lit(tags or "")) | (F.col("value") != "")).groupBy("kind", "value").agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import filled
@@ -32,3 +32,33 @@ def history_record(reports: DataFrame) -> DataFrame:
     c = F.col
     decision = filled(c("recognition.decision"), F.when(c("status") == "failed", "rejected"), F.lit("review_needed"))
     return reports.select("analysis_id", filled(c("input.filename"), F.lit("unnamed")).alias("filename"), "status", decision.alias("decision"), filled(c("final.text"), c("ocsr.predicted"), c("ocsr.text")).alias("result"), F.lit(False).alias("is_favorite"))
+
+
+#: What a report says of a correction, a final result and a human review that it does not have.
+CORRECTION = {"applied": "false", "corrected_smiles": None, "corrected_canonical_smiles": None, "corrected_standardized_smiles": None, "corrected_at": None, "source": None, "last_error": None}
+FINAL = {"smiles": None, "raw_smiles": None, "canonical_smiles": None, "standardized_smiles": None, "source": None}
+
+
+def _filled(reports: DataFrame, block: str, defaults: dict[str, str | None]) -> Column:
+    """A block with its own fields where it has them, and the defaults for the rest, whether the block is there or not."""
+    own = {f.name for f in reports.schema[block].dataType.fields} if block in reports.columns else set()
+    value = lambda k, v: F.coalesce(F.col(f"{block}.{k}").cast("string"), F.lit(v).cast("string")) if k in own else F.lit(v).cast("string")
+    return F.struct(*[value(k, v).alias(k) for k, v in defaults.items()], *[F.col(f"{block}.{k}").alias(k) for k in sorted(own - set(defaults))])
+
+
+def upgraded(reports: DataFrame) -> DataFrame:
+    """Reports of any age with all blocks: ``correction`` and ``final`` have all fields, the prediction falls back to its older name."""
+    named = filled(F.col("ocsr.predicted"), F.col("ocsr.text"))
+    return reports.withColumns({"ocsr": F.col("ocsr").withField("predicted", named), "correction": _filled(reports, "correction", CORRECTION), "final": _filled(reports, "final", FINAL)})
+
+
+def annotation(reports: DataFrame, first: DataFrame, review_status: str, include: Column) -> DataFrame:
+    """(analysis_id, annotation): the nested record that feedback keeps of an upgraded report. ``first``: the first analysis of each image."""
+    c = F.col
+    joined = reports.join(first.select(c("image_sha256").alias("sha"), c("analysis_id").alias("first_id")), c("input.image_sha256") == c("sha"), "left")
+    of = F.when(c("first_id") != c("analysis_id"), c("first_id"))
+    return joined.select("analysis_id", F.struct(
+        "analysis_id", c("input.image_sha256").alias("image_sha256"), F.struct(c("input.filename").alias("filename")).alias("original_input"),
+        F.struct(c("ocsr.predicted").alias("predicted"), c("ocsr.backend").alias("backend")).alias("prediction"), "correction", "final",
+        F.struct(F.lit(review_status).alias("review_status"), include.alias("include_in_training"), of.isNotNull().alias("duplicate_image"), of.alias("duplicate_of"), F.lit(1).alias("revision")).alias("feedback"),
+    ).alias("annotation"))

@@ -54,6 +54,12 @@ def replace(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+def resumed(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Stored rows, and the rows that are not stored yet, with ``origin``: work that goes on after a checkpoint."""
+    fresh = rows.join(stored.select(key), key, "left_anti").withColumn("origin", F.lit("new"))
+    return stored.withColumn("origin", F.lit("stored")).unionByName(fresh)
+
+
 def search(history: DataFrame, text: str | None = None, status: str | None = None, favorites: bool = False) -> DataFrame:
     """Rows of a history whose file name has a text (any case; % and _ as wildcards), of a status, or marked."""
     if text:

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import PurePosixPath
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,17 @@ def manifest(spark: SparkSession, path: str, required: tuple[str, ...] = (), def
     return df
 
 
+def manifest_or_none(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """The named columns of a CSV manifest as texts, empty where they or their values are missing; no rows where there is no file."""
+    try:
+        found = manifest(spark, path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in columns))
+    return found.select(*[F.col(f"`{c}`") if c in found.columns else F.lit("").alias(c) for c in columns])
+
+
 def decoded(content: bytes) -> str | None:
     """A text in UTF-8, with or without a mark, or else GB18030; None if it is neither."""
     for name in ("utf-8-sig", "gb18030"):
@@ -115,25 +127,36 @@ def checksum_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> ''").select(parts[0].alias("sha256"), F.regexp_replace(parts[1], "^[*]", "").alias("name"))
 
 
-def archive_entries(spark: SparkSession, path: str, most_bytes: int = 100 << 20, most_ratio: int = 200) -> DataFrame:
-    """(archive, entry, size, code) of zip files; the code says what is wrong with an entry, empty if nothing."""
+def archive_entries(spark: SparkSession, path: str, **limits) -> DataFrame:
+    """(archive, entry, size, code) of zip files; see ``entries_of``."""
+    files = spark.read.format("binaryFile").load(path)
+    return entries_of(files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "length", "content"), **limits)
+
+
+def entries_of(files: DataFrame, most_archive: int = 1 << 30, most_bytes: int = 100 << 20, most_ratio: int = 200) -> DataFrame:
+    """(archive, entry, size, code) of zip files given as (archive, length, content).
+
+    The code says what is wrong with an entry or archive, and is empty if nothing is. Archives of more than ``most_archive``
+    bytes are not opened: a worker holds one archive.
+    """
 
     def rows(batches):
         for files in batches:
-            out = []
-            for name, content in zip(files["path"], files["content"], strict=True):
-                own = name.rsplit("/", 1)[-1]
+            for name, content in zip(files["archive"], files["content"], strict=True):
+                out = []
                 try:
                     found = zipfile.ZipFile(io.BytesIO(content)).infolist()
                 except (zipfile.BadZipFile, OSError):
-                    out.append((own, "", 0, "bad_archive"))
-                    continue
+                    found = []
+                    out.append((name, "", 0, "bad_archive"))
                 for e in found:
                     pure = PurePosixPath(e.filename.replace("\\", "/"))
                     unsafe, locked = pure.is_absolute() or ".." in pure.parts, e.flag_bits & 1
                     code = "unsafe_path" if unsafe else "encrypted" if locked else "too_large" if e.file_size > most_bytes else "odd_ratio" if e.file_size > most_ratio * max(1, e.compress_size) else ""
                     if not e.is_dir():
-                        out.append((own, e.filename, e.file_size, code))
-            yield pd.DataFrame(out, columns=["archive", "entry", "size", "code"])
+                        out.append((name, e.filename, e.file_size, code))
+                yield pd.DataFrame(out, columns=["archive", "entry", "size", "code"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "archive string, entry string, size long, code string")
+    opened = files.where(F.col("length") <= most_archive).select("archive", "content").mapInPandas(rows, "archive string, entry string, size long, code string")
+    large = files.where(F.col("length") > most_archive).select("archive", F.lit("").alias("entry"), F.col("length").alias("size"), F.lit("archive_too_large").alias("code"))
+    return opened.unionByName(large)

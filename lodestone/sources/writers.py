@@ -39,6 +39,26 @@ def routed(df: DataFrame, folder: str, routes: dict[str, Column]) -> None:
         df.where(condition).write.parquet(f"{folder}/{name}")
 
 
+#: Visual states that turn a crop down.
+VISUAL_REJECTED = ("reaction", "multiple_molecules", "text", "table", "figure", "logo", "blank", "invalid_crop")
+
+
+def outcome_routes(visual: Column, structure: Column, rejected: tuple[str, ...] = VISUAL_REJECTED) -> dict[str, Column]:
+    """The six outputs of a review, by the visual and the structure status of a row; a row may go to several."""
+    good, verified = visual == "valid_single_molecule_crop", structure == "structure_ground_truth_verified"
+    return {
+        "visual_verified": good, "visual_rejected": visual.isin(*rejected), "detector_training_manifest": good | visual.isin(*rejected),
+        "missing_files": visual == "missing_source_file", "structure_ground_truth_verified": verified, "chemistry_review_required": good & ~verified,
+    }
+
+
+#: The fields of a history as a flat file, in their order.
+HISTORY_FIELDS = [
+    "analysis_id", "created_at", "input_type", "filename", "image_sha256", "backend", "decision", "status", "final_smiles", "inchikey", "report_path", "is_favorite",
+    "delete_status", "delete_errors", "delete_requested_at", "delete_updated_at", "artifact_status", "artifact_reason",
+]
+
+
 def by_status(df: DataFrame, path: str, status: str) -> None:
     """One folder for each status."""
     df.write.partitionBy(status).parquet(path)
