@@ -90,3 +90,33 @@ def test_spans_are_added_at_the_usual_threshold(spark):
         number = f"706 555 {2850 + r.doc_id}"
         at = r.text.find(number)
         assert r.added == (at >= 0) and (at < 0 or f"phone:{at}:{at + len(number)}" in r.spans.split(",")), (r.text, r.spans)
+
+
+def test_other_forms_are_found_and_other_numbers_left_alone():
+    """Fitted on some documents; in others, forms that no pattern has are found beside numbers of the same forms."""
+    rng = random.Random(8)
+    number = lambda form: re.sub("d", lambda _: str(rng.randrange(10)), form)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(80)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    texts = [f"{some(20)} {number('+1 (ddd) 555-dddd')} {some(9)} {some(5)}{i}@mail{i % 9}.example.com {some(4)} {number('dd.1dd.dd.7')} {some(5)} {number('dddddddd')} {some(3)}" for i in range(260)]
+    field = pii.fit(texts[:200])
+    field.cut = pii.calibrate(texts[:200], 0.95)
+    assert field.cut is not None
+    right = missed = wrong = 0
+    for t in texts[200:]:
+        s, e, _ = next(x for x in pii.base_spans(t) if x[2] == 3)
+        d = re.sub("[^0-9]", "", t[s:e])[-10:]
+        form = rng.choice((f"{d[:3]} {d[3:6]} {d[6:]}", f"({d[:3]}) {d[3:6]}-{d[6:]}", f"{d[:3]}.{d[3:6]}.{d[6:]}"))
+        other = number(re.sub("[0-9]", "d", form))
+        text = f"{t} {some(3)} {other} {some(4)} {form} {some(2)}"
+        at = text.rindex(form)
+        got = pii.find(text, field, 0.95)[1]
+        right += (at, at + len(form), 3) in got
+        missed += (at, at + len(form), 3) not in got
+        wrong += len([g for g in got if g != (at, at + len(form), 3)])
+    assert right >= 0.85 * (right + missed) and wrong <= 0.05 * right, (right, missed, wrong)
+
+
+def test_runs_of_several_numbers_are_taken_apart():
+    text = "a 7536784127813050 4845168114407329 b"
+    assert [text[s:e] for s, e, _ in pii.units(text, pii.base_spans(text))] == ["7536784127813050", "4845168114407329"]
