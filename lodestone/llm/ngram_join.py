@@ -5,9 +5,11 @@
 2. A set of n shares l shingles with any similar one among the first n - ceil(s n) + l of a common order, in both. The order
    starts with shingles of rare words, which hardly two unrelated texts have in common, and ends with frequent shingles.
    Prefix entries are sorted by shingle and size, in Spark; entries next to each other whose sizes allow a link are a run.
-   Documents with fewer than l entries in runs of two or more link with nothing and go. What is left of each run is joined to its first (a star, not all pairs); the connected components of these stars, the clusters, say which
-   documents are searched near each other. Entries of a very frequent shingle are dealt over several tasks; their stars meet
-   in a node of the shingle.
+   Documents with fewer than l entries in runs of two or more link with nothing and go. The pairs of short runs are counted:
+   two documents may link only if they meet l times, or if both also lie in long runs. A long run is joined to its first
+   entry (a star, not all pairs). The connected components of these pairs and stars, the clusters, say which documents
+   are searched near each other. Entries of a very frequent shingle are dealt over several tasks; their stars meet in a node
+   of the shingle.
 3. The sets of a cluster are dealt over blocks of bounded size, and each block is searched within, together with a few
    leaders of the cluster: T-occurrence search with DivideSkip (``t_occurrence``). What links to a leader is connected
    across blocks, so a group of near copies of any size costs one look-up each.
@@ -47,6 +49,8 @@ _LOW = np.uint64((1 << 56) - 1)
 CELL_DOCS, CELL_SHINGLES = 256, 250_000
 #: Leaders of a cluster that are searched with each of its blocks.
 LEADERS = 4
+#: Entries of a short run, at most: its pairs are counted.
+SHORT = 8
 #: Entries of one shingle that a task gets, about.
 SHINGLE_ENTRIES = 8_192
 #: Prefixes are longer by one shingle for so many of a set; as many must be shared.
@@ -213,23 +217,72 @@ def _shared(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=names)
 
 
-def _stars(batches, percent: int):
-    """Edges from each entry (shingle, part, n, class) of a sorted stream to the first of its run; see ``_node``."""
-    last = None
-    for rows in batches:
-        if not rows.num_rows:
-            continue
-        t, part, n, c = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-        if last is not None:
-            t, part, n, c = (np.concatenate([[x], y]) for x, y in zip(last[:4], (t, part, n, c), strict=True))
+def _meetings(batches, percent: int):
+    """Where entries (shingle, part, n, class) of a sorted stream meet: rows (kind, a, b, least).
+
+    Kind 0 is a pair of a short run, with how often it must meet; kind 1 joins an entry of a long run to the run's first, or that
+    to the shingle's node; kind 2 is a class in a long run. All runs of split shingles are long.
+    """
+    held, long = [np.zeros(0, dtype=np.int64)] * 4, None  # rows of a run that may go on; (shingle, part, n, first) of a long one
+
+    def met(own, last):
+        nonlocal held, long
+        t, part, n, c = own
+        if not len(t):
+            return None
         start = _runs(t, part, n, percent)
-        head = c[np.maximum.accumulate(np.where(start, np.arange(len(t)), 0))]
-        if last is not None:
-            head[: len(t) if start[1:].sum() == 0 else 1 + int(np.argmax(start[1:]))] = last[4]
-        split = np.flatnonzero(start & (part > 0))
-        found = np.unique(np.concatenate([np.stack([c, head])[:, head != c], np.stack([head[split], _node(t[split])])], axis=1), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["a", "b"])
-        last = (t[-1], part[-1], n[-1], c[-1], head[-1])
+        goes_on = long is not None and t[0] == long[0] and part[0] == long[1] and 100 * long[2] >= percent * n[0]
+        first = np.flatnonzero(start)
+        length = np.diff(first, append=len(t))
+        is_long = (length > SHORT) | (part[first] > 0)
+        is_long[0] |= goes_on
+        if not last and not is_long[-1]:
+            held = [x[first[-1] :] for x in own]
+            t, part, n, c = (x[: first[-1]] for x in own)
+            first, length, is_long = first[:-1], length[:-1], is_long[:-1]
+            if not len(t):
+                return None
+        else:
+            held = [x[:0] for x in own]
+        run = np.repeat(np.arange(len(first)), length)
+        far = is_long[run]
+        head = c[first]
+        if goes_on:
+            head[0] = long[3]
+        long = (t[-1], part[-1], n[-1], head[-1]) if far[-1] else None
+        found = []
+        for d in range(1, SHORT):
+            i = np.flatnonzero((run[d:] == run[:-d]) & ~far[d:] & (c[d:] != c[:-d])) if len(t) > d else np.zeros(0, np.int64)
+            x, y = c[i], c[i + d]
+            least = np.maximum(1, np.minimum(n[i], n[i + d]) // EXTRA)
+            found.append(np.stack([np.zeros(len(i), np.int64), np.minimum(x, y), np.maximum(x, y), least]))
+        joined = np.flatnonzero(far & (c != head[run]))
+        split = np.flatnonzero(is_long & (part[first] > 0))
+        for kind, x, y in ((1, c[joined], head[run[joined]]), (1, head[split], _node(t[first[split]])), (2, c[far], c[far])):
+            found.append(np.stack([np.full(len(x), kind), x, y, np.zeros(len(x), np.int64)]))
+        return np.concatenate(found, axis=1)
+
+    def batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["kind", "a", "b", "least"])
+
+    for rows in batches:
+        if rows.num_rows and (found := met([np.concatenate([h, rows.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)], False)) is not None:
+            yield batch(found)
+    if (found := met(held, True)) is not None:
+        yield batch(found)
+
+
+def edges(entries: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) whose components hold every link: pairs that meet often enough, and the stars of long runs."""
+    rows = _sorted(entries).mapInArrow(lambda batches: _meetings(batches, percent), "kind long, a long, b long, least long")
+    counted = materialise(rows.groupBy("kind", "a", "b", "least").agg(F.count("*").alias("n")), "meetings")
+    far = counted.where("kind = 2")
+    n_far = far.count()
+    # Whether both of a pair lie in long runs: by a filter, so that no pair moves. Where it errs, a pair is kept.
+    known = bloom(far.select(F.xxhash64("a").alias("h")), n_far)
+    pairs = counted.where("kind = 0")
+    asked = tested(tested(pairs.where("n < least"), F.xxhash64("a"), known, "a_far"), F.xxhash64("b"), known, "b_far").where("a_far and b_far")
+    return pairs.where("n >= least").select("a", "b").unionByName(asked.select("a", "b")).unionByName(counted.where("kind = 1").select("a", "b"))
 
 
 def _node(shingles: np.ndarray) -> np.ndarray:
@@ -322,10 +375,14 @@ def _placed(member: DataFrame, cell_docs: int, total: int) -> DataFrame:
 
 def _asked(entries: DataFrame, spread: DataFrame, percent: int) -> DataFrame:
     """(class, cluster, block): the other blocks in which a member that is not in its cluster's main component must be searched."""
-    own = spread.select("class", "cluster", "block", "open")
-    at = entries.select("class", "n", "shingle").distinct().join(own, "class")
-    holders = at.select("shingle", "cluster", F.col("block").alias("other")).distinct()
-    shared = at.where("open").join(holders, ["shingle", "cluster"]).where("block <> other")
+    of = lambda rows, column: bloom(rows.select(F.xxhash64(column).alias("h")), rows.count())
+    opened = spread.where("open")
+    asking = tested(entries, F.xxhash64("class"), of(opened, "class"), "asks").where("asks").select("class", "n", "shingle").distinct()
+    asking = materialise(asking.join(opened.select("class", "cluster", "block"), "class"), "asking")
+    # Only entries of shingles that are asked for, and of members of spread clusters, are joined.
+    near = tested(tested(entries, F.xxhash64("shingle"), of(asking, "shingle"), "wanted").where("wanted"), F.xxhash64("class"), of(spread, "class"), "spread").where("spread")
+    holders = near.select("class", "shingle").join(spread.select("class", "cluster", F.col("block").alias("other")), "class").select("shingle", "cluster", "other").distinct()
+    shared = asking.join(holders, ["shingle", "cluster"]).where("block <> other")
     counted = shared.groupBy("class", "n", "cluster", "other").agg(F.count("*").alias("shared"))
     return counted.where(F.col("shared") >= _least_shared(F.col("n"), percent)).select("class", "cluster", F.col("other").alias("block"))
 
@@ -399,7 +456,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(whole(text_col).alias("text"))
     entries = candidates(texts.mapInArrow(prefixes, "shingle long, part long, n long, class long"), percent)
     total = rows.count()
-    clusters = components(_sorted(entries).mapInArrow(lambda batches: _stars(batches, percent), "a long, b long")).withColumnsRenamed({"node": "class", "root": "cluster"})
+    clusters = components(edges(entries, percent)).withColumnsRenamed({"node": "class", "root": "cluster"})
     # One row of each class in a cluster brings its set.
     one = rows.where("n > 0").groupBy("class", "n").agg(F.min(F.struct("key", "id")).alias("one"))
     often = entries.groupBy("class").agg(F.count("*").alias("shared"))

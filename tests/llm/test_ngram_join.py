@@ -133,25 +133,34 @@ def test_shared_entries_of_any_batches():
         parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + step], strict=True)], names=["t", "part", "n", "c"]) for i in range(0, len(rows), step)]
         got = [tuple(r.values()) for b in ngram_join._shared(iter(parts), 80) for r in b.to_pylist()]
         assert got == want
-        # Stars connect what runs connect, and the parts of a split shingle.
-        edges = {tuple(r.values()) for b in ngram_join._stars(iter(parts), 80) for r in b.to_pylist()}
-        up = {x: x for r in rows for x in (r[3], int(ngram_join._node(np.int64(r[0]))))}
-        plainly = dict(up)
-
-        def merge(u, a, b):
-            a, b = u[a], u[b]
-            return {k: min(a, b) if v in (a, b) else v for k, v in u.items()}
-
-        for a, b in edges:
-            up = merge(up, a, b)
-        for x, y in zip(rows, rows[1:], strict=False):
-            if fits(x, y):
-                plainly = merge(plainly, x[3], y[3])
-        for r in rows:
-            if r[1]:
-                plainly = merge(plainly, r[3], int(ngram_join._node(np.int64(r[0]))))
-        classes = sorted({r[3] for r in rows})
-        assert [[up[x] == up[y] for y in classes] for x in classes] == [[plainly[x] == plainly[y] for y in classes] for x in classes]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_meetings_of_any_batches(seed):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    rows = sorted({(int(t), int(t % 5 == 0) * int(rng.integers(1, 3)), int(n), int(c)) for t, n, c in zip(rng.integers(0, 30, 400), rng.integers(20, 60, 400), rng.integers(0, 60, 400), strict=True)})
+    runs = [[rows[0]]]
+    for r in rows[1:]:
+        x = runs[-1][-1]
+        if x[:2] == r[:2] and 100 * x[2] >= 80 * r[2]:
+            runs[-1].append(r)
+        else:
+            runs.append([r])
+    want = []
+    for run in runs:
+        if len(run) > ngram_join.SHORT or run[0][1]:
+            want += [(1, r[3], run[0][3], 0) for r in run if r[3] != run[0][3]] + [(2, r[3], r[3], 0) for r in run]
+            want += [(1, run[0][3], int(ngram_join._node(np.int64(run[0][0]))), 0)] if run[0][1] else []
+        else:
+            want += [(0, min(x[3], y[3]), max(x[3], y[3]), max(1, min(x[2], y[2]) // ngram_join.EXTRA)) for i, x in enumerate(run) for y in run[:i] if x[3] != y[3]]
+    assert any(w[0] == 0 for w in want) and any(w[0] == 1 for w in want)
+    for step in (1, 2, 7, 1000):
+        parts = [pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows[i : i + step], strict=True)], names=["t", "part", "n", "c"]) for i in range(0, len(rows), step)]
+        got = [tuple(r.values()) for b in ngram_join._meetings(iter(parts), 80) for r in b.to_pylist()]
+        # The node of a split run that goes over batches may come again.
+        assert sorted(set(got)) == sorted(set(want)) and sorted(g for g in got if g[0] == 0) == sorted(w for w in want if w[0] == 0)
 
 
 def test_components(spark):
