@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,22 +69,25 @@ def keep_first_two_keys(rows: DataFrame, order: str, a: str, b: str) -> DataFram
     return fold(placed, "component", [order], lambda _: _FirstOfTwo(a, b), f"{order} {kind}, reason string")
 
 
-def near(rows: DataFrame, order: str, bits: str, group: str, distance: int = 3, bands: int = 4) -> DataFrame:
+def near(rows: DataFrame, order: str, bits: str, group: str, distance: int = 3, spare: int = 3) -> DataFrame:
     """For each row whose 64-bit hash is within ``distance`` bits of an earlier row's of its group: the earliest such row.
 
-    Hashes that differ in at most ``bands - 1`` bits agree in one of ``bands`` equal parts: a join on the part, then the
-    exact distance. Equal hashes of a group meet once, through their first row.
+    Hashes are cut into ``distance + spare`` parts. Those that differ in at most ``distance`` bits agree in some ``spare`` parts:
+    a join for each choice of so many parts (with 3 of 6, twenty keys of about 32 bits), then the exact distance. Equal hashes
+    of a group meet once, through their first row, and of two hashes only the later looks for the earlier.
     """
-    if distance >= bands:
-        raise ValueError("more bands than bits are needed")
-    width = 64 // bands
+    n = distance + spare
+    ends = [64 * k // n for k in range(n + 1)]
+    masks = [sum(((1 << (ends[k + 1] - ends[k])) - 1) << ends[k] for k in chosen) for chosen in combinations(range(n), spare)]
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
     firsts = rows.groupBy(group, bits).agg(F.min(order).alias("first"))
-    part = lambda k: F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.col(bits), k * width).bitwiseAND((1 << width) - 1).alias("part"))
-    cut = firsts.withColumn("p", F.explode(F.array(*[part(k) for k in range(bands)]))).select(group, bits, "first", "p.band", "p.part")
+    parts = F.array(*[F.struct(F.lit(k).alias("choice"), F.col(bits).bitwiseAND(F.lit(signed(m)).cast("long")).alias("part")) for k, m in enumerate(masks)])
+    cut = firsts.withColumn("p", F.explode(parts)).select(group, bits, "first", "p.choice", "p.part")
     x, y = cut.alias("x"), cut.alias("y")
-    close = x.join(y, [group, "band", "part"]).where(F.bit_count(F.col(f"x.{bits}").bitwiseXOR(F.col(f"y.{bits}"))) <= distance)
-    least = close.groupBy(group, F.col(f"x.{bits}").alias(bits)).agg(F.min("y.first").alias("match"))
-    return rows.join(least, [group, bits]).where(F.col("match") < F.col(order)).select(order, "match")
+    close = x.join(y, [group, "choice", "part"]).where((F.col("y.first") < F.col("x.first")) & (F.bit_count(F.col(f"x.{bits}").bitwiseXOR(F.col(f"y.{bits}"))) <= distance))
+    least = close.groupBy(group, F.col(f"x.{bits}").alias(bits)).agg(F.min("y.first").alias("earlier"))
+    known = firsts.join(least, [group, bits], "left").select(group, bits, F.least("first", "earlier").alias("match"))
+    return rows.join(known, [group, bits]).where(F.col("match") < F.col(order)).select(order, "match")
 
 
 def sign_bits(vector: str, n: int = 64) -> Column:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import RandomForestRegressor
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.similarity import bit_sets, nearest
+from lodestone.operators.similarity import bit_sets, domain, nearest
 
 
 def cleaned(rows: DataFrame, label: str, vector: str, least: int = 20) -> DataFrame:
@@ -20,6 +21,39 @@ def cleaned(rows: DataFrame, label: str, vector: str, least: int = 20) -> DataFr
     return good
 
 
+def fit_numbers(train: DataFrame, target: str, vector: str, trees: int = 300, depth: int = 8, seed: int = 42) -> PipelineModel:
+    """A forest for numbers."""
+    forest = RandomForestRegressor(labelCol=target, featuresCol="features", numTrees=trees, maxDepth=depth, seed=seed)
+    return Pipeline(stages=[forest]).fit(train.withColumn("features", array_to_vector(F.col(vector).cast("array<double>"))))
+
+
+def evaluate(scored: DataFrame, label: str) -> dict[str, float]:
+    """Accuracy and macro precision, recall and F1 of scored rows, from their confusion counts."""
+    cells = {(r[label], int(r["prediction"])): r["n"] for r in scored.groupBy(label, "prediction").agg(F.count("*").alias("n")).collect()}  # classes squared
+    total, classes = sum(cells.values()), {k for pair in cells for k in pair}
+    each = []
+    for k in classes:
+        hit, said, true = cells.get((k, k), 0), sum(n for (_, p), n in cells.items() if p == k), sum(n for (t, _), n in cells.items() if t == k)
+        p, r = hit / said if said else 0.0, hit / true if true else 0.0
+        each.append((p, r, 2 * p * r / (p + r) if p + r else 0.0))
+    macro = [sum(x) / len(each) if each else 0.0 for x in zip(*each, strict=True)] or [0.0] * 3
+    return {"n": total, "accuracy": sum(n for (t, p), n in cells.items() if t == p) / total if total else 0.0, "macro_precision": macro[0], "macro_recall": macro[1], "macro_f1": macro[2]}
+
+
+def baseline(rows: DataFrame, test: Column, label: str, vector: str, least_accuracy: float, share: float = 0.05, **options) -> tuple[DataFrame, dict[str, float]]:
+    """(scores of the test rows, measures): trained, evaluated, gated, and held to the domain of the training rows.
+
+    The model is qualified if it reaches ``least_accuracy`` on the test rows; a row is inside the domain from the similarity
+    that a ``share`` of the test rows stays below.
+    """
+    train, held = rows.where(~test), rows.where(test)
+    model = fit(train, label, vector, **options)
+    measures = evaluate(score(model, held, vector), label)
+    measures["threshold"] = domain(nearest(bit_sets(held), bit_sets(train)), share).first()["threshold"]
+    measures["qualified"] = measures["accuracy"] >= least_accuracy
+    return batch_scores(model, held, train, measures["qualified"], measures["threshold"]), measures
+
+
 def fit(train: DataFrame, label: str, vector: str, trees: int = 300, depth: int = 8, seed: int = 42) -> PipelineModel:
     """A forest with classes weighted by the inverse of their share."""
     shares = train.groupBy(label).agg(F.count("*").alias("n"))  # one row for each class

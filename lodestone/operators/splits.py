@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators.graph import components
+from lodestone.operators.order import numbered
 
 LABELS = ("train", "validation", "test")
 
@@ -93,7 +94,7 @@ def holdout(rows: DataFrame, group: str, share: float = 0.2) -> DataFrame:
     by = sizes.groupBy("n").agg(F.count("*").alias("groups"))
     before = by.withColumn("above", F.coalesce(F.sum(F.col("n") * F.col("groups")).over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("n", "above")
     total = sizes.agg(F.greatest(F.lit(1), F.bround(F.sum("n") * share, 0).cast("long")).alias("target"))  # one row
-    ranked = sizes.join(before, "n").withColumn("turn", F.row_number().over(Window.partitionBy("n").orderBy(group)) - 1)
+    ranked = numbered(sizes.join(before, "n"), "n", group, name="turn")
     return ranked.crossJoin(F.broadcast(total)).select(group, "n", F.when(F.col("above") + F.col("turn") * F.col("n") < F.col("target"), "test").otherwise("train").alias("part"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import edits, forest, reports, review
+from lodestone.operators import confusion, edits, forest, reports, review
 from lodestone.plans.registry import query
 from lodestone.sources.adapters import records, twin
 from lodestone.streaming import jobs
@@ -166,8 +166,25 @@ def t08_kept(spark, d):
     return jobs.kept_in_time(shuffled, "arrival", 4, delay="3 days")
 
 
+def _vectors(spark, d):
+    return forest.cleaned(spark.read.parquet(f"{d}/embeddings.parquet"), "label", "embedding")
+
+
 @query("l03_l04_forest_scores")
 def l03(spark, d):
-    rows = forest.cleaned(spark.read.parquet(f"{d}/embeddings.parquet"), "label", "embedding")
-    train, test = rows.where("vec_id % 5 <> 0"), rows.where("vec_id % 5 = 0")
-    return forest.batch_scores(forest.fit(train, "label", "embedding", trees=100, depth=6), test, train, qualified=True, threshold=0.2)
+    scores, _ = forest.baseline(_vectors(spark, d), F.col("vec_id") % 5 == 0, "label", "embedding", least_accuracy=0.5, trees=100, depth=6)
+    return scores
+
+
+@query("l03_forest_measures")
+def l03_measures(spark, d):
+    _, measures = forest.baseline(_vectors(spark, d), F.col("vec_id") % 5 == 0, "label", "embedding", least_accuracy=0.5, trees=50, depth=6)
+    return spark.createDataFrame([(k, float(v)) for k, v in measures.items()], "measure string, value double")
+
+
+@query("l02_forest_numbers")
+def l02(spark, d):
+    rows = _vectors(spark, d).withColumn("target", F.col("embedding")[0].cast("double") * 10)
+    model = forest.fit_numbers(rows.where("vec_id % 5 <> 0"), "target", "embedding", trees=50, depth=5)
+    scored = forest.score(model, rows.where("vec_id % 5 = 0"), "embedding").withColumn("guess", F.bround("prediction", 3))
+    return confusion.regression(scored, "target", "guess")

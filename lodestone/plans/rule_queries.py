@@ -8,6 +8,7 @@ from lodestone.functions import decisions
 from lodestone.functions.columns import codes, count_if, filled, ladder
 from lodestone.functions.rules import license_allowed
 from lodestone.operators import consensus, dedup, metrics, review, splits
+from lodestone.operators.tables import materialise
 from lodestone.plans.job_queries import nested_reports
 from lodestone.plans.registry import query
 from lodestone.sources.adapters import records, twin
@@ -197,8 +198,8 @@ def u04(spark, d):
     SELECT m.sample_id, m.inchikey, min(seen) AS component, CAST(1 AS BIGINT) AS n_splits FROM m JOIN reach ON reach.id = m.sample_id GROUP BY 1, 2""", "samples", "votes").replace("WITH ", "WITH RECURSIVE ", 1))
 def w04(spark, d):
     votes = review.vote_status(records(spark, d, "votes")).where("status = 'verified'").select("sample_id")
-    rows = records(spark, d, "samples").drop("split").join(votes, "sample_id", "left_semi").where(license_allowed(F.col("source_license")))
-    made = splits.grouped_split(splits.linked_groups(rows, "sample_id", "inchikey", "content_key"), "sample_id")
+    rows = materialise(records(spark, d, "samples").drop("split").join(votes, "sample_id", "left_semi").where(license_allowed(F.col("source_license"))), "verified")
+    made = materialise(splits.grouped_split(splits.linked_groups(rows, "sample_id", "inchikey", "content_key"), "sample_id"), "splits")
     in_splits = made.groupBy("component").agg(F.count_distinct("split").alias("n_splits"))
     return rows.select("sample_id", "inchikey").join(made.join(in_splits, "component").select("sample_id", "component", "n_splits"), "sample_id")
 
