@@ -40,6 +40,22 @@ def best_attempt(candidates: DataFrame) -> DataFrame:
     )
 
 
+def selected_attempt(attempts: DataFrame) -> DataFrame:
+    """The attempt of each sample that counts, and whether all valid ones agree (null for fewer than two).
+
+    ``attempts``: sample_id, attempt, status, valid, canonical_key, confidence, retry_codes. Of valid ones, those without a code of
+    image quality come first, then those not of low confidence, then the most confident, then the first (and the greatest key,
+    where an attempt is there twice).
+    """
+    c = F.col
+    good = attempts.where((c("status") == "success") & c("valid"))
+    clear = ~F.exists("retry_codes", lambda x: F.startswith(x, F.lit("image_quality_")))
+    score = F.struct(clear, ~F.array_contains("retry_codes", "low_confidence"), F.coalesce(c("confidence"), F.lit(0.0)), -c("attempt"), c("canonical_key"))
+    keyed = F.when(c("canonical_key") != "", c("canonical_key"))
+    by = good.groupBy("sample_id").agg(F.max_by(F.struct("attempt", "canonical_key"), score).alias("b"), F.count(keyed).alias("n_keyed"), F.count_distinct(keyed).alias("n_keys"))
+    return by.select("sample_id", "b.attempt", "b.canonical_key", F.when(c("n_keyed") >= 2, c("n_keys") == 1).alias("agree"))
+
+
 def pairwise(candidates: DataFrame) -> DataFrame:
     """Each pair of candidates of a sample, by priority: same key, and differences in atoms and charge. A sample has few candidates."""
     a, b = candidates.alias("a"), candidates.alias("b")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import decisions
+from lodestone.functions import decisions, measures
 from lodestone.functions.columns import codes, count_if, filled, ladder
 from lodestone.functions.rules import license_allowed
 from lodestone.operators import consensus, dedup, metrics, review, splits
@@ -14,13 +14,41 @@ from lodestone.plans.registry import query
 from lodestone.sources.adapters import records, twin
 
 
-@query("p25_recognition_decisions", twin("""x AS (SELECT sample_id, CASE WHEN NOT recognition_success THEN 'rejected,high,no_valid_result' WHEN predicted_key IS NULL THEN 'rejected,high,invalid' WHEN sample_id % 10 = 0 THEN 'review_needed,high,strategy_disagreement' WHEN inference_time_ms > 16000 THEN 'review_needed,high,low_image_quality'
-    WHEN sample_id % 4 <> 0 AND confidence_milli >= 800 AND structure_features = '' THEN 'accepted,low,calibrated_confidence_passed' WHEN sample_id % 4 <> 0 AND confidence_milli < 300 THEN 'review_needed,high,calibrated_confidence_low' WHEN structure_features <> '' THEN 'review_needed,medium,structure_requires_review' ELSE 'review_needed,medium,calibrated_confidence_missing' END AS d FROM predictions)
-    SELECT sample_id, split_part(d, ',', 1) AS decision, split_part(d, ',', 2) AS risk, split_part(d, ',', 3) AS reason FROM x""", "predictions"))
+@query("p25_recognition_decisions", twin("""x AS (SELECT *, CASE WHEN inference_time_ms > 14000 THEN ['blurred'] ELSE [] END AS seen, CASE WHEN structure_features = '' THEN [] ELSE string_split(structure_features, ';') END AS odd FROM predictions),
+    r AS (SELECT sample_id, seen, odd, CASE WHEN sample_id % 23 = 0 THEN 0 WHEN NOT recognition_success THEN 1 WHEN predicted_key IS NULL THEN 2 WHEN sample_id % 10 = 0 THEN 3 WHEN inference_time_ms > 16000 THEN 4 WHEN sample_id % 4 <> 0 AND confidence_milli >= 800 AND structure_features = '' THEN 5 WHEN sample_id % 4 <> 0 AND confidence_milli < 300 THEN 6 WHEN structure_features <> '' THEN 7 ELSE 8 END AS k FROM x)
+    SELECT sample_id, ['accepted', 'rejected', 'rejected', 'review_needed', 'review_needed', 'accepted', 'review_needed', 'review_needed', 'review_needed'][k + 1] AS decision, ['low', 'high', 'high', 'high', 'high', 'low', 'high', 'medium', 'medium'][k + 1] AS risk,
+      CASE WHEN k = 0 THEN 'manual_smiles_input' ELSE array_to_string(list_sort(list_distinct(list_concat(list_concat(seen, CASE WHEN k > 3 THEN odd ELSE [] END), CASE WHEN k = 4 THEN [] ELSE [['', 'no_valid_ocsr_result', 'rdkit_invalid', 'strategy_disagreement', '', 'calibrated_confidence_passed', 'calibrated_confidence_low', 'structure_requires_review', 'calibrated_confidence_missing'][k + 1]] END))), ',') END AS reasons FROM r""", "predictions"))
 def p25(spark, d):
+    c, none = F.col, F.array().cast("array<string>")
+    seen = F.when(c("inference_time_ms") > 14000, F.array(F.lit("blurred"))).otherwise(none)
+    odd = F.when(c("structure_features") == "", none).otherwise(F.split("structure_features", ";"))
+    made = decisions.recognition_decision(c("recognition_success"), c("predicted_key").isNotNull(), c("sample_id") % 10 != 0, 20000 - c("inference_time_ms"), odd, c("confidence_milli"), c("sample_id") % 4 != 0, least_quality=4000, accept=800, review=300, quality_codes=seen, manual=c("sample_id") % 23 == 0)
+    return records(spark, d, "predictions").select("sample_id", made.alias("d")).select("sample_id", "d.decision", "d.risk", F.array_join("d.reasons", ",").alias("reasons"))
+
+
+@query("p32_structure_tags", """WITH m AS (SELECT p_partkey, p_size AS heavy_atoms, p_partkey % 700 AS weight, p_partkey % 5 AS rings, p_partkey % 4 AS aromatic, 1 + p_partkey % 2 AS fragments, p_partkey % 3 AS chiral, p_partkey % 6 - 1 AS charge, p_size % 16 AS plain, ['C', ['Cl', 'N', 'O', 'S', 'P', 'I', 'C'][CAST(p_partkey % 7 AS INTEGER) + 1]] AS el FROM part),
+    t AS (SELECT p_partkey, list_sort(list_filter([CASE WHEN heavy_atoms <= 12 AND weight < 200 THEN 'small_molecule' END, CASE WHEN weight >= 500 THEN 'large_molecular_weight' END, CASE WHEN rings <= 1 AND weight < 350 AND fragments = 1 THEN 'simple_organic' END, CASE WHEN rings >= 3 THEN 'high_ring_count' END, CASE WHEN aromatic >= 2 THEN 'polycyclic_or_fused' END, CASE WHEN chiral > 0 THEN 'stereochemical' END,
+      CASE WHEN charge <> 0 THEN 'formal_charge' END, CASE WHEN fragments > 1 THEN 'salt_or_multifragment' END, CASE WHEN el[2] IN ('Cl', 'I') THEN 'halogen' END, CASE WHEN plain >= 10 AND rings <= 1 THEN 'long_chain' END, CASE WHEN el[2] IN ('N', 'O', 'S', 'P') THEN 'contains_' || el[2] END], lambda x: x IS NOT NULL)) AS tags FROM m)
+    SELECT p_partkey, CASE WHEN len(tags) = 0 THEN 'other' ELSE array_to_string(tags, ',') END AS tags FROM t""")
+def p32_tags(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    at = {"heavy_atoms": size, "weight": k % 700, "rings": k % 5, "aromatic_rings": k % 4, "fragments": 1 + k % 2, "chiral_centers": k % 3, "formal_charge": k % 6 - 1, "plain_carbons": size % 16}
+    elements = F.array(F.lit("C"), F.get(F.array(*map(F.lit, ("Cl", "N", "O", "S", "P", "I", "C"))), (k % 7).cast("int")))
+    return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", F.array_join(measures.structure_tags({**at, "elements": elements}.__getitem__), ",").alias("tags"))
+
+
+@query("p33_image_quality", """WITH m AS (SELECT CAST(l_quantity AS BIGINT) * 8 AS w, l_suppkey % 300 + 20 AS h, l_partkey % 130 AS contrast, l_orderkey % 1000 AS blur, (l_partkey % 700) / 1000.0::DOUBLE AS ink, (l_orderkey % 40) / 100.0::DOUBLE AS border FROM lineitem),
+    s AS (SELECT *, greatest(0.0::DOUBLE, (w * h - 6400) / 83600.0::DOUBLE) AS area, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (contrast - 18) / 102.0::DOUBLE)) AS con, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (blur - 20) / 880.0::DOUBLE)) AS blu,
+      CASE WHEN ink < 0.006 THEN greatest(0.0::DOUBLE, (ink - 0.001) / 0.005::DOUBLE) WHEN ink <= 0.32 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - (ink - 0.32) / 0.33::DOUBLE) END AS ik, 1 - least(1.0::DOUBLE, greatest(0.0::DOUBLE, (border - 0.05) / 0.25::DOUBLE)) AS crop FROM m),
+    q AS (SELECT concat_ws(',', CASE WHEN least(w, h) < 96 THEN 'low_resolution' END, CASE WHEN contrast < 25 THEN 'low_contrast' END, CASE WHEN blur < 35 THEN 'blurred' END, CASE WHEN ink < 0.006 THEN 'too_little_foreground' END, CASE WHEN ink > 0.45 THEN 'too_dense_foreground' END, CASE WHEN border > 0.18 THEN 'possibly_cropped' END) AS codes,
+      round_even(0.26 * least(least(1.0::DOUBLE, greatest(0.0::DOUBLE, (least(w, h) - 64) / 116.0::DOUBLE)), least(1.0::DOUBLE, area)) + 0.22 * con + 0.22 * blu + 0.20 * ik + 0.10 * crop, 4) >= 0.55 AND NOT ink < 0.006 AS passed FROM s)
+    SELECT codes, passed, count(*) AS n FROM q GROUP BY 1, 2""")
+def p33_quality(spark, d):
     c = F.col
-    made = decisions.recognition_decision(c("recognition_success"), c("predicted_key").isNotNull(), c("sample_id") % 10 != 0, 20000 - c("inference_time_ms"), c("structure_features") != "", c("confidence_milli"), c("sample_id") % 4 != 0, least_quality=4000, accept=800, review=300)
-    return records(spark, d, "predictions").select("sample_id", made.alias("d")).select("sample_id", "d.*")
+    at = {"width": c("l_quantity").cast("long") * 8, "height": c("l_suppkey") % 300 + 20, "contrast": c("l_partkey") % 130, "blur": c("l_orderkey") % 1000, "ink": (c("l_partkey") % 700) / 1000.0, "border": (c("l_orderkey") % 40) / 100.0}
+    made = measures.image_quality(at.__getitem__)
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(made.alias("q"))
+    return rows.select(F.array_join("q.reason_codes", ",").alias("codes"), "q.passed").groupBy("codes", "passed").agg(F.count("*").alias("n"))
 
 
 @query("p47_retry_codes", twin("SELECT sample_id, concat_ws(',', CASE WHEN predicted_key IS NOT NULL AND sample_id % 9 = 0 THEN 'invalid' END, CASE WHEN confidence_milli < 300 THEN 'low_confidence' END, CASE WHEN predicted_key IS NULL THEN 'missing_result' END, CASE WHEN NOT recognition_success THEN 'recognition_failed' END, CASE WHEN recognition_decision = 'review_needed' THEN 'result_review_needed' END) AS reasons FROM predictions", "predictions"))
@@ -256,3 +284,38 @@ def p54(spark, d):
 @query("p39_confirmed_rows", twin("SELECT category, count(*) FILTER (recognition_decision = 'accepted' AND NOT manual_review_recommended) AS n_confirmed, count(*) FILTER (manual_review_recommended OR recognition_decision = 'review_needed') AS n_required FROM predictions GROUP BY 1", "predictions"))
 def p39(spark, d):
     return metrics.flags(records(spark, d, "predictions")).groupBy("category").agg(count_if(F.col("auto_accept")).alias("n_confirmed"), count_if(F.col("review")).alias("n_required"))
+
+
+@query("p18_identity_flags", """WITH m AS (SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_partkey % 9 <> 0 THEN 'B' || CAST(l_partkey % 2 AS VARCHAR) || '-' || CAST(l_suppkey % 2 AS VARCHAR) END AS pk, 'B' || CAST(l_orderkey % 2 AS VARCHAR) || '-' || CAST(l_linenumber % 2 AS VARCHAR) AS tk,
+      l_partkey % 2 AS pc, l_orderkey % 2 AS tc, l_suppkey % 2 AS pi, l_linenumber % 2 AS ti, l_partkey % 3 AS pf, l_orderkey % 3 AS tf, l_partkey % 5 AS pq, l_orderkey % 5 AS tq FROM lineitem),
+    f AS (SELECT *, coalesce(pk = tk, false) AS full_match, pc = tc AS canonical_match, pc = tc AND pi = ti AS isomeric_match, pf = tf AS formula_match, coalesce(split_part(pk, '-', 1) = split_part(tk, '-', 1), false) AS connectivity_match FROM m),
+    g AS (SELECT *, connectivity_match AND NOT full_match AND (pq <> tq OR pf <> tf) AS only_charge_differs FROM f)
+    SELECT id, full_match, canonical_match, isomeric_match, formula_match, connectivity_match, canonical_match AND isomeric_match AS stereo_match, only_charge_differs, connectivity_match AND NOT only_charge_differs AND canonical_match AND NOT isomeric_match AS only_stereo_differs FROM g""")
+def p18_flags(spark, d):
+    text, c = lambda x: x.cast("string"), F.col
+    two = lambda a, b: F.concat(text(a), F.lit("/"), text(b))
+    side = lambda a, b, gone: {"key": F.when(~gone, F.concat(F.lit("B"), text(c(a) % 2), F.lit("-"), text(c(b) % 2))), "canonical": c(a) % 2, "isomeric": two(c(a) % 2, c(b) % 2), "formula": c(a) % 3, "charge": c(a) % 5}
+    flags = decisions.identity_flags(side("l_partkey", "l_suppkey", c("l_partkey") % 9 == 0), side("l_orderkey", "l_linenumber", F.lit(False)))
+    return spark.read.parquet(f"{d}/lineitem.parquet").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), flags.alias("f")).select("id", "f.*")
+
+
+@query("p29_machine_status", twin("""m AS (SELECT sample_id, sample_id % 31 = 0 AS bad, sample_id % 5 = 0 AS denied, sample_id % 7 = 0 AS unclear, CASE WHEN sample_id % 11 = 0 THEN 'text' ELSE 'molecule' END AS kind, sample_id % 3 AS n_valid, sample_id % 13 <> 0 AS agree, predicted_key, CASE WHEN sample_id % 2 = 0 THEN truth_key ELSE '' END AS expected, sample_id % 17 = 0 AS edge, structure_features, manual_review_recommended AS seen FROM predictions),
+    s AS (SELECT *, CASE WHEN bad THEN 'rejected_invalid' WHEN denied AND NOT unclear THEN 'rejected_license' WHEN unclear OR kind <> 'molecule' THEN 'pending_human_review' WHEN n_valid = 0 THEN 'pending_machine_review' WHEN NOT agree OR n_valid = 1 OR (expected <> '' AND predicted_key IS DISTINCT FROM expected) OR edge OR structure_features = 'stereo;charge' THEN 'pending_human_review' ELSE 'machine_verified' END AS machine FROM m)
+    SELECT sample_id, machine, CASE WHEN starts_with(machine, 'rejected') THEN machine WHEN seen THEN 'human_verified' ELSE machine END AS final FROM s""", "predictions"))
+def p29_status(spark, d):
+    c, n = F.col, F.col("sample_id")
+    errors = F.when(n % 31 == 0, F.array(F.lit("hash_mismatch"))).otherwise(F.array().cast("array<string>"))
+    risks = F.when(c("structure_features") == "stereo;charge", F.array(F.lit("stereochemistry"), F.lit("charged_structure"))).otherwise(F.array(F.lit("small")))
+    machine = decisions.machine_status(errors, n % 5 != 0, n % 7 == 0, F.when(n % 11 == 0, "text").otherwise("molecule"), n % 13 != 0, n % 3, c("predicted_key"), (F.when(n % 2 == 0, c("truth_key")).otherwise(""), F.lit(None).cast("string")), n % 17 == 0, risks)
+    rows = records(spark, d, "predictions").select("sample_id", machine.alias("machine"), F.when(c("manual_review_recommended"), "verified").otherwise("").alias("human"))
+    return rows.select("sample_id", "machine", decisions.final_status(F.col("machine"), F.col("human")).alias("final"))
+
+
+@query("w06_selected_attempt", twin("""a AS (SELECT sample_id, priority AS attempt, canonical_key, status = 'success' AND valid AS good, (atom_count % 10) / 10.0::DOUBLE AS confidence, atom_count % 4 = 0 AS poor, atom_count % 10 < 3 AS low FROM candidates),
+    b AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY poor, low, confidence DESC, attempt, canonical_key DESC NULLS LAST) AS turn FROM a WHERE good), k AS (SELECT sample_id, CASE WHEN count(canonical_key) >= 2 THEN count(DISTINCT canonical_key) = 1 END AS agree FROM a WHERE good GROUP BY 1)
+    SELECT sample_id, attempt, canonical_key, agree FROM b JOIN k USING (sample_id) WHERE turn = 1""", "candidates"))
+def w06_selected(spark, d):
+    c = F.col
+    retry = codes(("image_quality_blurred", c("atom_count") % 4 == 0), ("low_confidence", c("atom_count") % 10 < 3))
+    rows = records(spark, d, "candidates").select("sample_id", c("priority").alias("attempt"), "status", "valid", "canonical_key", ((c("atom_count") % 10) / 10.0).cast("double").alias("confidence"), retry.alias("retry_codes"))
+    return consensus.selected_attempt(rows)
