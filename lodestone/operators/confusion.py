@@ -58,7 +58,7 @@ def errors(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def binary_scores(rows: DataFrame, truth: str, score: str) -> DataFrame:
-    """Accuracy, MCC and ROC-AUC of whole-number scores against a boolean; a score of at least 500 says yes.
+    """Accuracy, macro precision, recall and F1, MCC, ROC-AUC and PR-AUC of whole-number scores against a boolean; 500 or more says yes.
 
     The area counts pairs by distinct score, so its work after one aggregation depends on the scores, not the rows.
     """
@@ -66,15 +66,23 @@ def binary_scores(rows: DataFrame, truth: str, score: str) -> DataFrame:
 
     by = rows.groupBy(F.col(score).alias("score")).agg(count_if(F.col(truth)).alias("p"), count_if(~F.col(truth)).alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(0))
     at = by.withColumn("below", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    # Of all with a score or a higher one: those that are true, and those that are not.
+    at = at.withColumns({"true_above": F.sum("p").over(every) - F.coalesce(F.sum("p").over(before), F.lit(0)), "false_above": F.sum("n").over(every) - F.col("below")})
     yes, c = F.col("score") >= 500, F.col
     one = at.agg(
         F.sum(F.when(yes, c("p")).otherwise(0)).alias("tp"), F.sum(F.when(yes, c("n")).otherwise(0)).alias("fp"),
         F.sum(F.when(~yes, c("p")).otherwise(0)).alias("fn"), F.sum(F.when(~yes, c("n")).otherwise(0)).alias("tn"),
         F.sum(2 * c("p") * c("below") + c("p") * c("n")).alias("twice"), F.sum("p").alias("pos"), F.sum("n").alias("neg"),
+        F.sum(F.when(c("p") > 0, c("p") * c("true_above") / (c("true_above") + c("false_above")))).alias("precisions"),
     )
+    part = lambda hit, said: F.when(said == 0, 0.0).otherwise(hit / F.when(said != 0, said))
+    p1, r1, p0, r0 = part(c("tp"), c("tp") + c("fp")), part(c("tp"), c("pos")), part(c("tn"), c("tn") + c("fn")), part(c("tn"), c("neg"))
+    f1, f0 = part(2 * c("tp"), c("pos") + c("tp") + c("fp")), part(2 * c("tn"), c("neg") + c("tn") + c("fn"))
+    mean = lambda a, b: F.bround((a + b) / 2, 6)
     spread = F.sqrt((c("tp") + c("fp")).cast("double") * (c("tp") + c("fn")) * (c("tn") + c("fp")) * (c("tn") + c("fn")))
-    return one.select("tp", "fp", "fn", "tn", rate0(c("tp") + c("tn"), c("pos") + c("neg")).alias("accuracy"), rate0(c("tp").cast("double") * c("tn") - c("fp").cast("double") * c("fn"), spread).alias("mcc"), rate0(c("twice"), 2 * c("pos") * c("neg")).alias("roc_auc"))
+    return one.select("tp", "fp", "fn", "tn", rate0(c("tp") + c("tn"), c("pos") + c("neg")).alias("accuracy"), rate0(c("tp").cast("double") * c("tn") - c("fp").cast("double") * c("fn"), spread).alias("mcc"), rate0(c("twice"), 2 * c("pos") * c("neg")).alias("roc_auc"), mean(p1, p0).alias("macro_precision"), mean(r1, r0).alias("macro_recall"), mean(f1, f0).alias("macro_f1"), F.bround(c("precisions") / c("pos"), 6).alias("pr_auc"))
 
 
 def regression(rows: DataFrame, truth: str, predicted: str) -> DataFrame:

@@ -170,6 +170,16 @@ def ensemble(candidates: DataFrame) -> DataFrame:
     return made.withColumns({"success_rate": rate0(c("n_success"), c("n_samples")), "valid_rate": rate0(c("n_valid"), c("n_samples")), "exact_rate": rate0(c("n_exact"), c("n_samples"))})
 
 
+def only_and_missed(candidates: DataFrame) -> DataFrame:
+    """For each backend: samples that it alone has right, and samples that it misses though some backend has them right."""
+    exact = candidates.where("status = 'success' and valid and canonical_key = truth_key").groupBy("sample_id").agg(F.collect_set("backend").alias("right"))
+    total = exact.agg(F.count("*").alias("n_any"))  # one row
+    own = exact.select(F.explode("right").alias("backend"), (F.size("right") == 1).alias("alone")).groupBy("backend").agg(F.count("*").alias("n_right"), count_if(F.col("alone")).alias("n_only"))
+    names = candidates.select("backend").distinct().join(own, "backend", "left").crossJoin(F.broadcast(total))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return names.select("backend", zero("n_only").alias("n_only"), (F.col("n_any") - zero("n_right")).alias("n_missed"))
+
+
 def only_correct(candidates: DataFrame) -> DataFrame:
     """For each ordered pair of backends: in how many samples the first is exact and the second is not.
 

@@ -63,6 +63,37 @@ def trusted_errors(manifest: DataFrame, sources: DataFrame, files: DataFrame, ch
     return made.distinct()
 
 
+#: Fields that a row that should be rejected may leave empty.
+TRUTH_FIELDS = ("ground_truth_smiles", "ground_truth_inchikey")
+
+
+def manifest_errors(manifest: DataFrame, files: DataFrame, required: tuple[str, ...], real: tuple[str, ...] = ()) -> DataFrame:
+    """(line, code) of what is wrong with the rows of a manifest, as texts with their ``line``; a code may name its field.
+
+    ``required`` must not be empty; with ``real``, nor may these, and rows must be verified, by name of annotator and reviewer. A
+    sample's number may come once: later lines are in error. ``files``: path, sha256 of what is there.
+    """
+    c = F.col
+    text = lambda k: F.trim(F.coalesce(c(k), F.lit(""))) if k in manifest.columns else F.lit("")
+    action = F.lower(text("expected_action"))
+    action = F.when(action == "", "recognize").otherwise(action)
+    known = action.isin("recognize", "reject")
+    excused = lambda k: (action == "reject") if k in TRUTH_FIELDS else F.lit(False)
+    firsts = manifest.where(text("sample_id") != "").groupBy(text("sample_id").alias("own_id")).agg(F.min("line").alias("first_line"))
+    rows = manifest.withColumn("own_id", text("sample_id")).join(firsts, "own_id", "left").withColumn("own_path", text("image_path")).join(files.select(c("path").alias("own_path"), F.lower("sha256").alias("found")), "own_path", "left")
+    path, escaped = c("own_path"), c("own_path").rlike("(^|/)[.][.](/|$)") | F.startswith(c("own_path"), F.lit("/"))
+    found = [(f"empty:{k}", (text(k) == "") & ~excused(k)) for k in required if k != "notes"]
+    found += [
+        ("duplicate_sample_id", F.coalesce(c("line") > c("first_line"), F.lit(False))), ("image_path_escapes", (path != "") & escaped), ("image_missing", (path != "") & ~escaped & c("found").isNull()),
+        ("image_sha256_mismatch", (path != "") & ~escaped & F.coalesce((text("image_sha256") != "") & (F.lower(text("image_sha256")) != c("found")), F.lit(False))), ("bad_expected_action", ~known),
+    ]
+    if real:
+        verified = text("review_status") == "verified"
+        found += [(f"real_empty:{k}", (text(k) == "") & ~excused(k)) for k in real]
+        found += [("not_verified", ~verified), *((f"verified_without:{k}", verified & (text(k) == "")) for k in ("annotator", "reviewer"))]
+    return rows.select("line", F.explode(codes(*found)).alias("code"))
+
+
 def input_set(entries: DataFrame, most_files: int, most_bytes: int) -> DataFrame:
     """One row about a set of input files (name, position, sha256, size, valid, message): totals, duplicates and error codes.
 

@@ -376,3 +376,19 @@ def x05(spark, d):
     own = extension.with_profile(rows, known)
     passed = (F.col("logp") <= F.col("settings")["logp"]) & (F.col("molecular_weight") <= F.col("settings")["weight"])
     return own.select("compound_id", "profile", "profile_sha256", passed.alias("passed"))
+
+
+_LINES = """l AS (SELECT sample_id AS line, CASE WHEN sample_id % 40 = 0 THEN '' ELSE CONCAT('s', CAST(sample_id - CASE WHEN sample_id % 30 = 1 THEN 1 ELSE 0 END AS STRING)) END AS sample_id, CONCAT(CASE WHEN sample_id % 9 = 0 THEN '../' ELSE '' END, 'i/', CAST(sample_id AS STRING)) AS image_path, content_key AS image_sha256,
+      CASE WHEN sample_id % 4 = 0 THEN '' ELSE 'C' END AS ground_truth_smiles, CASE WHEN sample_id % 25 = 0 THEN 'maybe' ELSE expected_action END AS expected_action, review_status, CASE WHEN sample_id % 3 = 0 THEN '' ELSE 'ann' END AS annotator, 'bob' AS reviewer, source_license FROM samples),
+    f AS (SELECT image_path AS path, CASE WHEN line % 8 = 0 THEN 'other' ELSE image_sha256 END AS sha256 FROM l WHERE line % 7 <> 0)"""
+
+
+@query("v01_manifest_rows", twin(_LINES + """, r AS (SELECT l.*, f.sha256 AS found, starts_with(image_path, '../') AS escaped, min(line) OVER (PARTITION BY sample_id) AS first FROM l LEFT JOIN f ON f.path = l.image_path)
+    SELECT line, 'empty:sample_id' AS code FROM r WHERE sample_id = '' UNION ALL SELECT line, 'empty:ground_truth_smiles' FROM r WHERE ground_truth_smiles = '' AND expected_action <> 'reject' UNION ALL SELECT line, 'duplicate_sample_id' FROM r WHERE sample_id <> '' AND line > first UNION ALL SELECT line, 'image_path_escapes' FROM r WHERE escaped
+    UNION ALL SELECT line, 'image_missing' FROM r WHERE NOT escaped AND found IS NULL UNION ALL SELECT line, 'image_sha256_mismatch' FROM r WHERE NOT escaped AND image_sha256 IS NOT NULL AND found <> image_sha256 UNION ALL SELECT line, 'bad_expected_action' FROM r WHERE expected_action = 'maybe' UNION ALL SELECT line, 'real_empty:source_license' FROM r WHERE source_license = ''
+    UNION ALL SELECT line, 'not_verified' FROM r WHERE review_status <> 'verified' UNION ALL SELECT line, 'verified_without:annotator' FROM r WHERE review_status = 'verified' AND annotator = ''""", "samples"))
+def v01_rows(spark, d):
+    records(spark, d, "samples").createOrReplaceTempView("manifest_samples")
+    text = _LINES.replace("FROM samples", "FROM manifest_samples")
+    lines, files = (spark.sql(f"WITH {text} SELECT * FROM {name}") for name in "lf")
+    return validation.manifest_errors(lines, files, ("sample_id", "image_path", "ground_truth_smiles", "notes"), ("source_license",))

@@ -95,6 +95,12 @@ def a07_pairs(spark, d):
     return metrics.only_correct(records(spark, d, "candidates"))
 
 
+@query("a07_only_and_missed", twin("""e AS (SELECT DISTINCT sample_id, backend FROM candidates WHERE status = 'success' AND valid AND canonical_key = truth_key), n AS (SELECT sample_id, count(*) AS n FROM e GROUP BY 1), b AS (SELECT DISTINCT backend FROM candidates)
+    SELECT backend, (SELECT count(*) FROM e JOIN n USING (sample_id) WHERE n = 1 AND e.backend = b.backend) AS n_only, (SELECT count(*) FROM n) - (SELECT count(*) FROM e WHERE e.backend = b.backend) AS n_missed FROM b""", "candidates"))
+def a07_only(spark, d):
+    return metrics.only_and_missed(records(spark, d, "candidates"))
+
+
 @query("a08_calibration", twin("""p AS (SELECT image_quality, least(floor(confidence_milli / 100), 9) AS bin, confidence_milli, coalesce(predicted_key = truth_key, false) AS exact FROM predictions WHERE expected_action <> 'reject' AND confidence_milli BETWEEN 0 AND 1000),
     b AS (SELECT image_quality, bin, count(*) AS n, count(*) FILTER (exact) AS correct, CAST(sum(confidence_milli) AS BIGINT) AS milli FROM p GROUP BY 1, 2) SELECT image_quality, CAST(sum(n) AS BIGINT) AS n, round_even(CAST(sum(abs(milli - 1000 * correct)) AS BIGINT) / CAST(1000 * sum(n) AS BIGINT), 6) AS ece FROM b GROUP BY 1""", "predictions"))
 def a08(spark, d):
@@ -238,9 +244,9 @@ def a38(spark, d):
 
 
 @query("a39_classification_scores", twin("""s AS (SELECT coalesce(predicted_key = truth_key, false) AS y, confidence_milli AS s FROM predictions), g AS (SELECT s, count(*) FILTER (y) AS p, count(*) FILTER (NOT y) AS n FROM s GROUP BY 1),
-    a AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g), o AS (SELECT CAST(sum(p) FILTER (s >= 500) AS BIGINT) AS tp, CAST(sum(n) FILTER (s >= 500) AS BIGINT) AS fp, CAST(sum(p) FILTER (s < 500) AS BIGINT) AS fn, CAST(sum(n) FILTER (s < 500) AS BIGINT) AS tn,
-    CAST(sum(2 * p * below + p * n) AS BIGINT) AS twice, CAST(sum(p) AS BIGINT) AS pos, CAST(sum(n) AS BIGINT) AS neg FROM a)
-    SELECT tp, fp, fn, tn, round_even((tp + tn) / (pos + neg), 6) AS accuracy, round_even((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round_even(twice / (2 * pos * neg), 6) AS roc_auc FROM o""", "predictions"))
+    a AS (SELECT *, coalesce(sum(n) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g), b AS (SELECT *, CAST(sum(p) OVER (ORDER BY s DESC) AS BIGINT) AS up, CAST(sum(n) OVER (ORDER BY s DESC) AS BIGINT) AS fup FROM a), o AS (SELECT CAST(sum(p) FILTER (s >= 500) AS BIGINT) AS tp, CAST(sum(n) FILTER (s >= 500) AS BIGINT) AS fp, CAST(sum(p) FILTER (s < 500) AS BIGINT) AS fn, CAST(sum(n) FILTER (s < 500) AS BIGINT) AS tn,
+    CAST(sum(2 * p * below + p * n) AS BIGINT) AS twice, CAST(sum(p) AS BIGINT) AS pos, CAST(sum(n) AS BIGINT) AS neg, sum(CASE WHEN p > 0 THEN p * up / (up + fup) END) AS precisions FROM b)
+    SELECT tp, fp, fn, tn, round_even((tp + tn) / (pos + neg), 6) AS accuracy, round_even((tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc, round_even(twice / (2 * pos * neg), 6) AS roc_auc, round_even((tp / (tp + fp) + tn / (tn + fn)) / 2, 6) AS macro_precision, round_even((tp / pos + tn / neg) / 2, 6) AS macro_recall, round_even((2 * tp / (pos + tp + fp) + 2 * tn / (neg + tn + fn)) / 2, 6) AS macro_f1, round_even(precisions / pos, 6) AS pr_auc FROM o""", "predictions"))
 def a39(spark, d):
     rows = records(spark, d, "predictions").withColumn("exact", F.coalesce(F.col("predicted_key") == F.col("truth_key"), F.lit(False)))
     return confusion.binary_scores(rows, "exact", "confidence_milli")
