@@ -62,3 +62,23 @@ def annotation(reports: DataFrame, first: DataFrame, review_status: str, include
         F.struct(c("ocsr.predicted").alias("predicted"), c("ocsr.backend").alias("backend")).alias("prediction"), "correction", "final",
         F.struct(F.lit(review_status).alias("review_status"), include.alias("include_in_training"), of.isNotNull().alias("duplicate_image"), of.alias("duplicate_of"), F.lit(1).alias("revision")).alias("feedback"),
     ).alias("annotation"))
+
+
+def picked(reports: DataFrame, backend: str) -> DataFrame:
+    """(analysis_id, result, applied, error): the stored candidate of a backend as the final result, the first by priority.
+
+    Where there is none, or it has no result, the report's result stays and the error says why.
+    """
+    c = F.col
+    hits = F.array_sort(F.filter("candidates", lambda x: x["backend"] == backend))
+    hit, current = F.get(hits, F.lit(0)), filled(c("final.text"), c("ocsr.predicted"), c("ocsr.text"))
+    key = F.nullif(hit["canonical_key"], F.lit(""))
+    error = F.when(hit.isNull(), "candidate_missing").when(key.isNull(), "candidate_invalid").otherwise("")
+    return reports.select("analysis_id", F.coalesce(key, current).alias("result"), key.isNotNull().alias("applied"), error.alias("error"))
+
+
+def report_rows(payloads: DataFrame) -> DataFrame:
+    """A row of each report of a payload; one without reports of its own gives those of its regions (regions without one give none)."""
+    own = F.coalesce("reports", F.array())
+    of_regions = F.filter(F.transform(F.coalesce("regions", F.array()), lambda r: r["report"]), lambda r: r.isNotNull())
+    return payloads.select("payload_id", F.explode(F.when(F.size(own) > 0, own).otherwise(of_regions)).alias("r")).select("payload_id", "r.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import decisions, measures
 from lodestone.functions.columns import codes, count_if, filled, ladder
 from lodestone.functions.rules import license_allowed
-from lodestone.operators import consensus, dedup, metrics, review, splits
+from lodestone.operators import consensus, dedup, metrics, reports, review, splits
 from lodestone.operators.tables import materialise
 from lodestone.plans.job_queries import nested_reports
 from lodestone.plans.registry import query
@@ -170,10 +170,20 @@ def p56(spark, d):
     return rows.groupBy("molecular_weight").agg(F.count("*").alias("n"), count_if(F.col("repeats")).alias("n_reused"))
 
 
-@query("j30_picked_candidates", twin("x AS (SELECT sample_id, max(canonical_key) FILTER (backend = 'm2') AS picked, max(backend) FILTER (backend = 'm2') AS b FROM candidates GROUP BY 1) SELECT 'a' || CAST(p.sample_id AS VARCHAR) AS analysis_id, CASE WHEN b IS NULL THEN 'candidate_missing' ELSE '' END AS error FROM predictions p LEFT JOIN x USING (sample_id)", "predictions", "candidates"))
+@query("j30_picked_candidates", twin("""h AS (SELECT sample_id, arg_min(coalesce(canonical_key, ''), (priority, coalesce(canonical_key, ''))) AS k FROM candidates WHERE backend = 'm2' GROUP BY 1), x AS (SELECT p.sample_id, k, coalesce(CASE WHEN sample_id % 5 = 0 THEN truth_key END, predicted_key, 'raw') AS current FROM predictions p LEFT JOIN h USING (sample_id))
+    SELECT 'a' || CAST(sample_id AS VARCHAR) AS analysis_id, coalesce(nullif(k, ''), current) AS result, coalesce(k <> '', false) AS applied, CASE WHEN k IS NULL THEN 'candidate_missing' WHEN k = '' THEN 'candidate_invalid' ELSE '' END AS error FROM x""", "predictions", "candidates"))
 def j30(spark, d):
-    rows = nested_reports(spark, d).withColumn("hit", F.filter(F.coalesce("candidates", F.array().cast("array<struct<priority:int,backend:string,canonical_key:string>>")), lambda x: x["backend"] == "m2"))
-    return rows.select("analysis_id", F.when(F.size("hit") > 0, "").otherwise("candidate_missing").alias("error"))
+    return reports.picked(nested_reports(spark, d), "m2")
+
+
+@query("p03_report_rows", twin("SELECT sample_id - sample_id % 4 AS payload_id, sample_id, predicted_key FROM predictions WHERE (sample_id - sample_id % 4) % 8 = 0 AND sample_id % 4 < 2 OR (sample_id - sample_id % 4) % 8 <> 0 AND sample_id % 4 >= 2 AND sample_id % 3 <> 0", "predictions"))
+def p03_rows(spark, d):
+    n, group = F.col("sample_id"), F.col("sample_id") - F.col("sample_id") % 4
+    report = F.struct("sample_id", "predicted_key")
+    own = F.when((n % 4 < 2) & (group % 8 == 0), report)
+    region = F.when(n % 4 >= 2, F.struct(F.when(n % 3 != 0, report).alias("report")))
+    payloads = records(spark, d, "predictions").groupBy(group.alias("payload_id")).agg(F.collect_list(own).alias("reports"), F.collect_list(region).alias("regions"))
+    return reports.report_rows(payloads)
 
 
 @query("j04_replayed_outputs", twin("r AS (SELECT sample_id, 'images\\' || CAST(sample_id AS VARCHAR) AS path FROM samples), o AS (SELECT 'images/' || CAST(sample_id AS VARCHAR) AS path, predicted_key FROM predictions) SELECT r.sample_id, o.predicted_key, o.path IS NULL AS missing FROM r LEFT JOIN o ON replace(r.path, '\\', '/') = o.path", "samples", "predictions"))
