@@ -92,6 +92,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     - Records with a null URL match nothing; a null time of a response is before all others, that of a revisit has no
       earlier response. Records of other kinds are left out.
     - Repeated revisits each have a row. Null headers are empty. An empty table gives an empty result.
+    - URLs without a scheme and host, empty ones among them, are one URL if they are equal after the same rewriting. URLs and headers of any
+      length are kept whole. Other columns are not read, whatever their names.
     """
     wanted = records.where(F.col("kind").isin("response", "revisit")).select(
         F.col("record_id").alias("id"), canonical_url(F.col("url")).alias("url"), F.coalesce("ts", F.lit(-(1 << 62))).alias("ts"), F.col("ts").alias("given"), (F.col("kind") == "response").alias("full"),

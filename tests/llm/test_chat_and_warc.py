@@ -97,3 +97,14 @@ def test_one_url_over_many_tasks(spark):
         if kind == "revisit":
             earlier = [(t, j) for j, u, t, k, *_ in rows if k == "response" and u == url and t < ts]
             assert got[i] == (max(earlier)[1] if earlier else None)
+
+
+def test_odd_urls_and_columns(spark):
+    long = "http://c.example/" + "p" * 50_000
+    rows = [
+        record(1, "", 1, "response", "e"), record(2, "", 2, "revisit", "e"), record(3, long, 1, "response", "e", headers={"X": "v" * 50_000}), record(4, long + "#f", 2, "revisit", "e"), record(5, long + "q", 3, "revisit", "e"),
+    ]
+    df = spark.createDataFrame([(*r, "x", True, "y", 7) for r in rows], SCHEMA + ", id string, full boolean, own string, answer long")
+    got = {r.record_id: r for r in warc.resolve_revisits(df).collect()}
+    assert {k: (r.status, r.response_id) for k, r in got.items()} == {2: ("resolved", 1), 4: ("resolved", 3), 5: ("no earlier response", None)}
+    assert len(got[4].headers["x"]) == 50_000 and len(got[5].canonical_url) > 50_000

@@ -162,3 +162,24 @@ def test_contamination(spark, docs, block):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_contamination(docs, none).where("contaminated").count() == 0
     assert decontaminate.find_contamination(empty(spark), bench).count() == 0
+
+
+def test_columns_named_like_new_ones_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a b c", "old", "old", 3, "kept")], "doc_id long, text string, n_tokens string, n_hit string, whole_text int, other string")
+    items = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
+    counted = token_count.count_tokens(docs)
+    assert sorted(counted.columns) == sorted(["doc_id", "text", "n_hit", "whole_text", "other", "n_bytes", "n_tokens", "over_limit"])
+    assert counted.first().n_tokens > 0 and counted.first().whole_text == 3
+    found = decontaminate.find_contamination(docs, items)
+    assert sorted(found.columns) == sorted(["doc_id", "text", "n_tokens", "whole_text", "other", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_spans"])
+    assert (found.first().n_hit, found.first().n_tokens, found.first().other) == (3, "old", "kept")
+
+
+def test_benchmark_in_several_blocks(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(14)))) for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + " " + rng.choice(items)[1]) for i in range(60)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, many = (sorted(tuple(r) for r in decontaminate.find_contamination(docs, benchmark, size=4, block_windows=n).collect()) for n in (10**6, 60))
+    assert one == many and any(r[-2] for r in one)
