@@ -17,6 +17,11 @@ def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.join(firsts, key).withColumn("repeats", F.col(order) != F.col("first"))
 
 
+def distinct_in_order(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """The distinct keys with the first row of each, by which they are in order."""
+    return rows.groupBy(key).agg(F.min(order).alias("first"))
+
+
 def duplicate_groups(rows: DataFrame, *keys: str) -> DataFrame:
     """For each key column: groups of two rows or more, and how many rows are surplus."""
     long = rows.select(F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])).alias("k")).select("k.*").where("value is not null and value <> ''")

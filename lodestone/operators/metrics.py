@@ -231,3 +231,13 @@ def counters(rows: DataFrame, *columns: str, tags: str | None = None, separator:
     all_ = F.concat(one, F.transform(F.split(tags, separator), lambda t: named(tags, t))) if tags else one
     long = rows.select(F.explode(all_).alias("x")).select("x.*")
     return long.where((F.col("kind") != F.lit(tags or "")) | (F.col("value") != "")).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+def modification_rate(rows: DataFrame, modified: Column, *by: str) -> DataFrame:
+    """Rows of each group and the share of them that was modified."""
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.bround(count_if(modified) / F.count("*"), 6).alias("modified_rate"))
+
+
+def reasons_once(rows: DataFrame, key: str, reason: Column) -> DataFrame:
+    """How many keys have each reason, however many of a key's rows have it; rows without one don't count."""
+    return rows.select(key, reason.alias("reason")).where("reason is not null").distinct().groupBy("reason").agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions import decisions, measures
+from lodestone.functions import decisions, measures, states
 from lodestone.functions.columns import codes, count_if, filled, ladder
 from lodestone.functions.rules import license_allowed
 from lodestone.operators import consensus, dedup, metrics, reports, review, splits
@@ -99,13 +99,13 @@ def p37(spark, d):
 @query("p22_classes_from_ids", twin("i AS (SELECT 'd_' || truth_class || '_' || CAST(sample_id AS VARCHAR) AS id, truth_class FROM classes) SELECT regexp_extract(id, '_(molecule|text|table|reaction)_[0-9a-f]+$', 1) AS found, truth_class, count(*) AS n FROM i GROUP BY 1, 2", "classes"))
 def p22(spark, d):
     name = F.concat(F.lit("d_"), F.col("truth_class"), F.lit("_"), F.col("sample_id").cast("string"))
-    return records(spark, d, "classes").groupBy(F.regexp_extract(name, "_(molecule|text|table|reaction)_[0-9a-f]+$", 1).alias("found"), "truth_class").agg(F.count("*").alias("n"))
+    return records(spark, d, "classes").groupBy(states.class_from_id(name, ("molecule", "text", "table", "reaction")).alias("found"), "truth_class").agg(F.count("*").alias("n"))
 
 
 @query("p23_perturbation_parameters", """SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 66 THEN 'high' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) >= 33 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM events GROUP BY 1, 2""")
 def p23(spark, d):
-    k = F.get_json_object("props", "$.k").cast("long")
-    return spark.read.parquet(f"{d}/events.parquet").groupBy(k.alias("k"), ladder("low", (k >= 66, "high"), (k >= 33, "medium")).alias("severity")).agg(F.count("*").alias("n"))
+    k = states.json_number(F.col("props"), "k")
+    return spark.read.parquet(f"{d}/events.parquet").groupBy(k.alias("k"), states.severity(k, 33, 66).alias("severity")).agg(F.count("*").alias("n"))
 
 
 @query("p18_identity_comparison", twin("SELECT sample_id, backend, coalesce(canonical_key = truth_key, false) AS full_match, coalesce(substr(canonical_key, 1, 1) = substr(truth_key, 1, 1), false) AS first_block_match, formal_charge <> 0 AS charged FROM candidates", "candidates"))
@@ -116,20 +116,19 @@ def p18(spark, d):
 
 @query("p45_expected_actions", twin("SELECT category, CASE category WHEN 'molecule' THEN 'recognize' WHEN 'reaction' THEN 'recognize' ELSE 'reject' END AS expected_action, n FROM (SELECT truth_class AS category, count(*) AS n FROM classes GROUP BY 1) x", "classes"))
 def p45(spark, d):
-    table = F.create_map(*[F.lit(x) for k in ("molecule", "reaction") for x in (k, "recognize")])
     rows = records(spark, d, "classes").groupBy(F.col("truth_class").alias("category")).agg(F.count("*").alias("n"))
-    return rows.select("category", F.coalesce(table[F.col("category")], F.lit("reject")).alias("expected_action"), "n")
+    return rows.select("category", states.expected_action(F.col("category"), ("molecule", "reaction")).alias("expected_action"), "n")
 
 
 @query("p46_review_changes", twin("b AS (SELECT box_id, page_id, x1 % 3 = 0 AS moved, decision <> 'accept_molecule' AS retyped FROM boxes) SELECT concat_ws(',', CASE WHEN moved THEN 'bbox' END, CASE WHEN retyped THEN 'region_type' END) AS changed, count(*) AS n FROM b GROUP BY 1", "boxes"))
 def p46(spark, d):
-    changed = codes(("bbox", F.col("x1") % 3 == 0), ("region_type", F.col("decision") != "accept_molecule"))
+    changed = states.changed_fields(bbox=F.col("x1") % 3 == 0, region_type=F.col("decision") != "accept_molecule")
     return records(spark, d, "boxes").groupBy(F.array_join(changed, ",").alias("changed")).agg(F.count("*").alias("n"))
 
 
 @query("a32_box_modification_rate", twin("SELECT decision, count(*) AS n, round_even(count(*) FILTER (x1 % 3 = 0) / count(*), 6) AS modified_rate FROM boxes GROUP BY 1", "boxes"))
 def a32(spark, d):
-    return records(spark, d, "boxes").groupBy("decision").agg(F.count("*").alias("n"), F.bround(count_if(F.col("x1") % 3 == 0) / F.count("*"), 6).alias("modified_rate"))
+    return metrics.modification_rate(records(spark, d, "boxes"), F.col("x1") % 3 == 0, "decision")
 
 
 @query("p51_rescreening", twin("SELECT decision, count(*) AS n_eligible, count(*) FILTER (x2 - x1 < 80) AS n_changed FROM boxes WHERE side = 'proposal' AND decision <> 'accept_molecule' GROUP BY 1", "boxes"))
@@ -141,7 +140,7 @@ def p51(spark, d):
 @query("p49_retry_selection", twin("SELECT sample_id, CASE WHEN NOT recognition_success THEN 'failed' WHEN recognition_decision = 'review_needed' THEN 'needs_review' ELSE 'selected' END AS mode FROM predictions WHERE NOT recognition_success OR recognition_decision = 'review_needed' OR sample_id % 100 = 0", "predictions"))
 def p49(spark, d):
     c = F.col
-    mode = F.when(~c("recognition_success"), "failed").when(c("recognition_decision") == "review_needed", "needs_review").when(c("sample_id") % 100 == 0, "selected")
+    mode = states.retry_mode(~c("recognition_success"), c("recognition_decision") == "review_needed", c("sample_id") % 100 == 0)
     return records(spark, d, "predictions").select("sample_id", mode.alias("mode")).where("mode is not null")
 
 
@@ -149,13 +148,13 @@ def p49(spark, d):
 def p44(spark, d):
     rows = records(spark, d, "history")
     files = rows.where("size_bytes % 4 <> 0").select("analysis_id", F.lit(True).alias("there"))
-    state = ladder("missing", (F.col("there"), "available"), (F.col("created_at") < F.lit("1996-01-01").cast("timestamp_ntz"), "expired"))
+    state = states.artifact_state(F.col("there"), F.col("created_at"), F.lit("1996-01-01").cast("timestamp_ntz"))
     return rows.join(files, "analysis_id", "left").select("analysis_id", state.alias("state"))
 
 
 @query("p57_deletion_verdicts", twin("SELECT analysis_id, CASE WHEN size_bytes % 4 = 0 THEN 'missing' WHEN filename NOT LIKE 'file\\_1%' ESCAPE '\\' THEN 'outside_root' WHEN protected THEN 'not_owned' ELSE 'delete' END AS verdict FROM history", "history"))
 def p57(spark, d):
-    verdict = ladder("delete", (F.col("size_bytes") % 4 == 0, "missing"), (~F.startswith("filename", F.lit("file_1")), "outside_root"), (F.col("protected"), "not_owned"))
+    verdict = states.deletion_verdict(F.col("size_bytes") % 4 != 0, F.startswith("filename", F.lit("file_1")), ~F.col("protected"))
     return records(spark, d, "history").select("analysis_id", verdict.alias("verdict"))
 
 
@@ -209,8 +208,8 @@ def j10(spark, d):
 
 @query("a30_reasons_once_per_sample", twin("r AS (SELECT DISTINCT sample_id, CASE WHEN status <> 'success' THEN 'failed' WHEN NOT valid THEN 'invalid' ELSE 'unspecified' END AS reason FROM candidates WHERE status <> 'success' OR NOT valid) SELECT reason, count(*) AS n FROM r GROUP BY 1", "candidates"))
 def a30(spark, d):
-    rows = records(spark, d, "candidates").where("status <> 'success' or not valid")
-    return rows.select("sample_id", F.when(F.col("status") != "success", "failed").otherwise("invalid").alias("reason")).distinct().groupBy("reason").agg(F.count("*").alias("n"))
+    rows = records(spark, d, "candidates")
+    return metrics.reasons_once(rows, "sample_id", F.when(F.col("status") != "success", "failed").when(~F.col("valid"), "invalid"))
 
 
 @query("a46_versioned_counts", twin("SELECT status, CAST(sum(greatest(CASE WHEN size_bytes % 2 = 0 THEN size_bytes % 100 - 10 ELSE size_bytes % 50 END, 0)) AS BIGINT) AS done FROM history GROUP BY 1", "history"))
@@ -227,7 +226,7 @@ def w19(spark, d):
 
 @query("u04_distinct_in_order", twin("SELECT scaffold_key, min(sample_id) AS first FROM samples GROUP BY 1", "samples"))
 def u04(spark, d):
-    return records(spark, d, "samples").groupBy("scaffold_key").agg(F.min("sample_id").alias("first"))
+    return dedup.distinct_in_order(records(spark, d, "samples"), "scaffold_key", "sample_id")
 
 
 @query("w04_verified_manifest", twin("""l AS (SELECT sample_id, reviewer, max(seq) AS seq, arg_max(decision, seq) AS decision, arg_max(canonical_key, seq) AS k FROM votes GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY seq DESC) AS turn FROM l),
@@ -262,7 +261,7 @@ def v03(spark, d):
 @query("v05_annotation_errors", twin("SELECT page_id, box_id, CASE WHEN x2 > 450 OR y2 > 450 THEN 'outside_page' WHEN decision = 'reject_negative' THEN 'unknown_class' ELSE 'incomplete' END AS error FROM boxes WHERE x2 > 450 OR y2 > 450 OR decision = 'reject_negative' OR x1 = y1", "boxes"))
 def v05(spark, d):
     c = F.col
-    error = F.when((c("x2") > 450) | (c("y2") > 450), "outside_page").when(c("decision") == "reject_negative", "unknown_class").when(c("x1") == c("y1"), "incomplete")
+    error = states.annotation_error((c("x2") <= 450) & (c("y2") <= 450), c("decision") != "reject_negative", c("x1") != c("y1"))
     return records(spark, d, "boxes").select("page_id", "box_id", error.alias("error")).where("error is not null")
 
 
