@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import confusion, edits, forest, reports, review
+from lodestone.operators import confusion, edits, forest, reports
 from lodestone.plans.registry import query
 from lodestone.sources.adapters import records, twin
 from lodestone.streaming import jobs
