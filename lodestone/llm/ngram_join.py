@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import discard, fresh, join_counted, materialise, small_batches, whole
+from lodestone.llm.common import discard, join_counted, materialise, small_batches, whole
 from lodestone.llm.filters import bloom, tested
 from lodestone.llm.slices import slices, texts_of
 from lodestone.llm.t_occurrence import Across, search, smallest

@@ -20,7 +20,6 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
