@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, exact_dedup, fill_middle, html_text, ngram_join, packing, pii, quality, token_count, warc
+from lodestone.llm import chat, decontaminate, exact_dedup, fill_middle, html_text, ngram_join, packing, pii, quality, token_count, warc, whitening
 from lodestone.llm.common import table
 
 
@@ -55,6 +55,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"), columns=["vec_id"])
+    # The exact number in full, and as a long where it fits one.
+    return made.withColumnRenamed("deviation", "deviation_exact").withColumn("deviation", F.expr("try_cast(deviation_exact as bigint)"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_middle.restore(fill_middle.fill_in_middle(table(spark, sf_dir, "documents"), columns=["doc_id"]))
     digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
@@ -72,6 +78,7 @@ _ALL = (
     op8_html_extraction,
     op9_token_counts,
     op10_ngram_jaccard_join,
+    op11_embedding_whitening,
     op12_fill_in_middle,
 )
 QUERIES = {f.__name__: f for f in _ALL}
