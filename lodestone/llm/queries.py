@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import chat, decontaminate, exact_dedup, fill_middle, html_text, ngram_join, packing, pii, quality, token_count, warc, whitening
+from lodestone.llm import chat, decontaminate, exact_dedup, fill_middle, fingerprint, html_text, ngram_join, packing, pii, quality, token_count, warc, whitening
 from lodestone.llm.common import table
 
 
@@ -67,6 +67,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
+    return made.withColumns({c: fingerprint.rendered(F.col(c)) for c in ("fingerprint", "edited_fingerprint")})
+
+
 _ALL = (
     op1_best_fit_packing,
     op2_benchmark_decontamination,
@@ -80,12 +85,14 @@ _ALL = (
     op10_ngram_jaccard_join,
     op11_embedding_whitening,
     op12_fill_in_middle,
+    op13_fingerprints,
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op3_chat_perspectives": chat.ORACLE,
     "op7_warc_revisits": warc.ORACLE,
+    "op13_fingerprints": fingerprint.ORACLE,
     "op12_fill_in_middle": """
         WITH a AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
         b AS (SELECT *, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
