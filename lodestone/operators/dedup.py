@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.folds import fold
 from lodestone.operators.graph import components
+from lodestone.operators.tables import discard, materialise
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -58,20 +59,56 @@ class _FirstOfTwo:
         return ()
 
 
-def keep_first_two_keys(rows: DataFrame, order: str, a: str, b: str) -> DataFrame:
-    """Rows kept in order unless an earlier kept row has their ``a`` or ``b``; a dropped row reserves neither. Reason by row.
-
-    A null key is equal to none and reserves nothing; a row of two null keys is kept. Whether a row stays depends on rows it
-    is linked to through keys alone, so each connected component is folded by itself, as a stream; a row whose keys no
-    other row has is a component of its own.
-    """
+def _fold_components(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows (order, a, b) that the fold keeps, each connected component by itself as a stream."""
     node = lambda k, c: F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(k), F.col(c).cast("string")))
-    named = rows.select(order, a, b, node("a", a).alias("node_a"), node("b", b).alias("node_b"))
+    named = rows.select("order", "a", "b", node("a", "a").alias("node_a"), node("b", "b").alias("node_b"))
     roots = components(named.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
-    at = named.withColumn("node", F.coalesce("node_a", "node_b", F.xxhash64(order))).join(roots, "node", "left")
-    placed = at.select(F.coalesce("root", "node").alias("component"), order, a, b)
-    kind = rows.schema[order].dataType.simpleString()
-    return fold(placed, "component", [order], lambda _: _FirstOfTwo(a, b), f"{order} {kind}, reason string")
+    at = named.withColumn("node", F.coalesce("node_a", "node_b")).join(roots, "node", "left")
+    placed = at.select(F.coalesce("root", "node").alias("component"), "order", "a", "b")
+    kept = fold(placed, "component", ["order"], lambda _: _FirstOfTwo(a, b), f"order {rows.schema['order'].dataType.simpleString()}, reason string").where("reason = ''")
+    return rows.join(kept.select("order"), "order", "left_semi")
+
+
+def keep_first_two_keys(rows: DataFrame, order: str, a: str, b: str, rounds: int = 24) -> DataFrame:
+    """Rows kept in order unless an earlier kept row has their ``a`` or ``b``; a dropped row reserves neither. (order, reason)
+
+    Works in rounds over the rows not yet decided: a row that is the first with its ``a`` and the first with its ``b`` stays, and
+    the rows that share a key with it go. Firsts come from partial minima, so no key's rows meet in a task; a key that a third
+    of all rows has is settled in the round that keeps its first row. In an order that has nothing to do with the keys the
+    rows left fall quickly; only chains of keys in rising order take a round for each two links, and what is left after
+    ``rounds`` is folded by connected component.
+
+    ``order`` tells rows apart. A null key is equal to none and reserves nothing; a row of two null keys is kept. The reason is
+    empty for kept rows, else it names ``a`` where an earlier kept row has it, and otherwise ``b``.
+    """
+    named = materialise(rows.select(F.col(order).alias("order"), F.col(a).alias("a"), F.col(b).alias("b")), "two-keys")
+    kept, left = [named.where("a is null and b is null")], named.where("a is not null or b is not null")
+    first = lambda df, k, other: df.where(f"{k} is not null").groupBy(k).agg(F.min_by(other, "order").alias(other), F.min("order").alias("order"))
+    written = None
+    for _ in range(rounds):
+        if left.isEmpty():
+            break
+        by_a, by_b = first(left, "a", "b").select("order", "a", "b"), first(left, "b", "a").select("order", "a", "b")
+        now = by_a.where("b is null").unionByName(by_b.where("a is null")).unionByName(by_a.join(by_b.select("order"), "order", "left_semi"))
+        now = materialise(now, "kept")
+        kept.append(now)
+        after = left.join(now.where("a is not null").select("a"), "a", "left_anti").join(now.where("b is not null").select("b"), "b", "left_anti")
+        left = materialise(after.select("order", "a", "b"), "undecided")
+        if written is not None:
+            discard(written)
+        written = left
+    else:
+        kept.append(_fold_components(left, a, b))
+    stay = kept[0]
+    for k in kept[1:]:
+        stay = stay.unionByName(k)
+    stay = materialise(stay, "stay")
+    by = {c: stay.where(f"{c} is not null").select(F.col(c), F.col("order").alias(f"first_{c}")) for c in ("a", "b")}  # one row for each value
+    told = named.join(by["a"], "a", "left").join(by["b"], "b", "left")
+    earlier = lambda c: F.coalesce(F.col(f"first_{c}") < F.col("order"), F.lit(False))
+    reason = F.when(earlier("a"), f"duplicate_{a}").when(earlier("b"), f"duplicate_{b}").otherwise("")
+    return told.select(F.col("order").alias(order), reason.alias("reason"))
 
 
 def near(rows: DataFrame, order: str, bits: str, group: str, distance: int = 3, spare: int = 3) -> DataFrame:

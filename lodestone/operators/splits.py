@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestone.operators.graph import components
 from lodestone.operators.order import numbered
+from lodestone.operators.tables import materialise
 
 LABELS = ("train", "validation", "test")
 
@@ -15,9 +19,9 @@ def linked_groups(rows: DataFrame, order: str, *keys: str, ignore: tuple[str, ..
     """(order, component): rows that share a value of any key are one component, named by its smallest row.
 
     Rows link to the first row of each of their values, a star for each value, so a value with a third of all rows costs as
-    many edges as it has rows.
+    many edges as it has rows. The keys are written once, as a narrow table: whatever they are computed from is read once.
     """
-    edges = None
+    edges, rows = None, materialise(rows.select(order, *keys), "keys")
     for k in keys:
         own = rows.where(F.col(k).isNotNull() & ~F.trim(F.col(k).cast("string")).isin(*ignore)).select(F.col(order).alias("a"), F.trim(F.col(k).cast("string")).alias("v"))
         star = own.join(own.groupBy("v").agg(F.min("a").alias("b")), "v").where("a <> b").select("a", "b")
@@ -98,6 +102,100 @@ def holdout(rows: DataFrame, group: str, share: float = 0.2) -> DataFrame:
     return ranked.crossJoin(F.broadcast(total)).select(group, "n", F.when(F.col("above") + F.col("turn") * F.col("n") < F.col("target"), "test").otherwise("train").alias("part"))
 
 
+def _rounded_share(n: int, share: float) -> int:
+    """The least whole number of rows that is at least ``share`` of ``n``, exactly for shares of up to nine places."""
+    return -(-n * round(share * 10**9) // 10**9)
+
+
+def class_quotas(counts: dict, n: int) -> dict:
+    """``n`` rows shared out to classes by their counts: whole parts, then the largest remainders, of equal ones the first by name."""
+    total = sum(counts.values())
+    quota = {c: n * k // total for c, k in counts.items()}
+    by_rest = sorted(counts, key=lambda c: (-(n * counts[c] % total), str(c)))
+    for c in by_rest[: n - sum(quota.values())]:
+        quota[c] += 1
+    return quota
+
+
+def stratified_split(rows: DataFrame, key: str, label: str | None, share: float = 0.2, seed: str = "7") -> DataFrame:
+    """(key, part): of each class its exact share of the test rows, those with the least hashes of seed and key; the rest train.
+
+    Without ``label``, or where a class has one row only, all rows are one class. What reaches the driver is a number for each class.
+    """
+    classed = rows.select(key, (F.col(label) if label else F.lit(0)).alias("class_"), F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))).alias("hash_"))
+    counts = {r["class_"]: r["n"] for r in classed.groupBy("class_").agg(F.count("*").alias("n")).collect()}
+    if counts and min(counts.values()) < 2:
+        classed, counts = classed.withColumn("class_", F.lit(0)), {0: sum(counts.values())}
+    quotas = class_quotas(counts, _rounded_share(sum(counts.values()), share)) if counts else {}
+    plan = rows.sparkSession.createDataFrame(list(quotas.items()), T.StructType([T.StructField("of_", classed.schema["class_"].dataType), T.StructField("quota_", T.LongType())]))
+    turned = numbered(classed, "class_", "hash_", key)
+    return turned.join(F.broadcast(plan), turned["class_"].eqNullSafe(plan["of_"])).select(key, F.when(F.col("place") < F.col("quota_"), "test").otherwise("train").alias("part"))
+
+
+def holdout_split(rows: DataFrame, key: str, group: str, label: str | None = None, share: float = 0.2) -> DataFrame:
+    """(key, part, reason): whole groups held out, or where that can't serve, an exact stratified split and the reason why.
+
+    Without a train or test row the reason is ``random_fallback_single_scaffold``; with ``label``, where either part has fewer than
+    two classes, ``random_fallback_class_coverage``; else ``scaffold``. One row of counts decides.
+    """
+    own = rows.select(key, group, *([label] if label else []))
+    placed = own.join(holdout(own, group, share).select(group, "part"), group)
+    by = {r["part"]: r["classes"] for r in placed.groupBy("part").agg((F.count_distinct(label) if label else F.lit(2)).alias("classes")).collect()}
+    if len(by) < 2:
+        reason = "random_fallback_single_scaffold"
+    elif min(by.values()) < 2:
+        reason = "random_fallback_class_coverage"
+    else:
+        reason = "scaffold"
+    parts = placed.select(key, "part") if reason == "scaffold" else stratified_split(own, key, label, share)
+    return parts.withColumn("reason", F.lit(reason))
+
+
+def recheck_quotas(counts: dict[str, int], n: int, turn: list[str]) -> dict[str, int]:
+    """How many of ``n`` rows each stratum gets: its share, at least one, at most all it has.
+
+    Surplus over ``n`` is taken from where the share is exceeded most, what is missing goes to where it falls short most. With
+    fewer rows than strata, the first ``n`` of ``turn`` get one each.
+    """
+    if n < len(counts):
+        return {s: int(s in turn[:n]) for s in counts}
+    total = sum(counts.values())
+    quota = {s: min(k, max(1, n * k // total)) for s, k in counts.items()}
+    short = lambda s: n * counts[s] - quota[s] * total
+    while sum(quota.values()) > n:
+        quota[min((s for s in quota if quota[s] > 1), key=lambda s: (short(s), s))] -= 1
+    while sum(quota.values()) < n:
+        quota[max((s for s in quota if quota[s] < counts[s]), key=lambda s: (short(s), counts[s], s))] += 1
+    return quota
+
+
+def recheck_sample(rows: DataFrame, existing: DataFrame, stratum: str, key: str, share: float, most: int | None = None, seed: str = "7") -> DataFrame:
+    """(stratum, key, origin): a queue with ``share`` of the rows, to which rows that are in it already count.
+
+    ``origin`` is ``existing``, ``quota`` (the rows that a stratum lacks, by least hashes of seed and key), or ``refill`` (where strata
+    have run out, by least hashes over all strata). Existing keys that no row has are left out; a null stratum is the empty one.
+    No row leaves the queue, so it may be larger than asked for. What reaches the driver is a number for each stratum.
+    """
+    hashed = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    known = existing.select(key).distinct().withColumn("known_", F.lit(True))
+    own = materialise(rows.select(F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias(stratum), key, hashed.alias("hash_")).join(known, key, "left"), "recheck")
+    found = own.groupBy(stratum).agg(F.count("*").alias("n"), F.count("known_").alias("known")).collect()
+    counts, had = {r[stratum]: r["n"] for r in found}, {r[stratum]: r["known"] for r in found}
+    total = sum(counts.values())
+    n = round(total * share)
+    n = min(max(n, 1) if share > 0 and total else n, total, total if most is None else most)
+    turn = sorted(counts, key=lambda s: (hashlib.md5(f"{seed}:{s}".encode()).hexdigest(), s))
+    lacking = {s: max(0, q - had[s]) for s, q in recheck_quotas(counts, n, turn).items()}
+    plan = rows.sparkSession.createDataFrame([(s, k, counts[s] - had[s]) for s, k in lacking.items()], f"{stratum} string, lacking_ long, there_ long")
+    spare = max(0, n - sum(had.values()) - sum(min(k, counts[s] - had[s]) for s, k in lacking.items()))
+    new = numbered(own.where("known_ is null").select(stratum, key, "hash_"), stratum, "hash_", key).join(F.broadcast(plan), stratum)
+    out = own.where("known_").select(stratum, key, F.lit("existing").alias("origin")).unionByName(new.where("place < lacking_").select(stratum, key, F.lit("quota").alias("origin")))
+    if not spare:
+        return out
+    rest = new.where("place >= lacking_").orderBy("hash_", key).limit(spare)
+    return out.unionByName(rest.select(stratum, key, F.lit("refill").alias("origin")))
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, train: int, seed: str = "7") -> DataFrame:
     """The ``n`` keys with the least hashes of seed and key, in that order; the first ``train`` of them train."""
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))

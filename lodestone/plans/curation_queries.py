@@ -172,6 +172,28 @@ def g04(spark, d):
     return splits.holdout(records(spark, d, "samples"), "scaffold_key")
 
 
+_CASES = """c AS (SELECT 'scaffolds' AS split_of, sample_id, scaffold_key AS g, category AS y FROM samples UNION ALL SELECT 'one scaffold', sample_id, 'x', category FROM samples
+    UNION ALL SELECT 'classes apart', sample_id, CASE WHEN category = 'en' THEN 'x' ELSE scaffold_key END, CASE WHEN category = 'en' THEN 'en' ELSE 'other' END FROM samples)"""
+
+
+@query("g04_holdout_with_fallback", twin(_CASES + """, s AS (SELECT split_of, g, count(*) AS n FROM c GROUP BY 1, 2), t AS (SELECT split_of, sum(n) AS total, greatest(1, round_even(sum(n) * 0.2::DOUBLE, 0)) AS target FROM s GROUP BY 1),
+    r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY split_of ORDER BY n DESC, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM s),
+    p AS (SELECT c.*, CASE WHEN above < target THEN 'test' ELSE 'train' END AS part FROM c JOIN r USING (split_of, g) JOIN t USING (split_of)),
+    k AS (SELECT split_of, min(classes) AS least, count(*) AS parts FROM (SELECT split_of, part, count(DISTINCT y) AS classes FROM p GROUP BY 1, 2) GROUP BY 1),
+    w AS (SELECT split_of, CASE WHEN parts < 2 THEN 'random_fallback_single_scaffold' WHEN least < 2 THEN 'random_fallback_class_coverage' ELSE 'scaffold' END AS reason FROM k),
+    n AS (SELECT split_of, y, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY split_of) AS BIGINT) AS total FROM c GROUP BY 1, 2), m AS (SELECT *, (total + 4) // 5 AS test FROM n),
+    q AS (SELECT *, test * n // total + CASE WHEN row_number() OVER (PARTITION BY split_of ORDER BY test * n % total DESC, y) <= test - sum(test * n // total) OVER (PARTITION BY split_of) THEN 1 ELSE 0 END AS quota FROM m),
+    h AS (SELECT split_of, sample_id, CASE WHEN row_number() OVER (PARTITION BY split_of, y ORDER BY md5('7:' || CAST(sample_id AS VARCHAR)), sample_id) <= quota THEN 'test' ELSE 'train' END AS part FROM c JOIN q USING (split_of, y))
+    SELECT split_of, sample_id, CASE WHEN reason = 'scaffold' THEN p.part ELSE h.part END AS part, reason FROM p JOIN w USING (split_of) JOIN h USING (split_of, sample_id)""", "samples"))
+def g04_fallback(spark, d):
+    # As it is, with one group of all rows, and with all rows of the largest class in one group.
+    rows = records(spark, d, "samples").select("sample_id", "scaffold_key", "category")
+    apart = rows.select("sample_id", F.when(F.col("category") == "en", "x").otherwise(F.col("scaffold_key")).alias("scaffold_key"), F.when(F.col("category") == "en", "en").otherwise("other").alias("category"))
+    cases = {"scaffolds": rows, "one scaffold": rows.withColumn("scaffold_key", F.lit("x")), "classes apart": apart}
+    done = [splits.holdout_split(r, "sample_id", "scaffold_key", "category").withColumn("split_of", F.lit(k)) for k, r in cases.items()]
+    return done[0].unionByName(done[1]).unionByName(done[2])
+
+
 @query("a35_split_leakage", twin("""l AS (SELECT split, 'inchikey' AS key, inchikey AS value FROM samples UNION ALL SELECT split, 'scaffold_key', scaffold_key FROM samples UNION ALL SELECT split, 'content_key', content_key FROM samples)
     SELECT key, value, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM l GROUP BY 1, 2 HAVING count(DISTINCT split) > 1""", "samples"))
 def a35(spark, d):
@@ -190,6 +212,15 @@ def w12(spark, d):
     return splits.strata_sample(records(spark, d, "samples"), "category", "sample_id", 120)
 
 
+@query("w12_recheck_queue", twin("""e AS (SELECT sample_id, category AS s, sample_id % 25 = 1 OR category = 'es' AS had FROM samples), c AS (SELECT s, count(*) AS n, count(*) FILTER (had) AS h FROM e GROUP BY 1), t AS (SELECT CAST(sum(n) AS BIGINT) AS total, CAST(round_even(sum(n) * 0.3, 0) AS BIGINT) AS target FROM c),
+    b AS (SELECT *, greatest(1, target * n // total) AS base FROM c, t), r AS (SELECT *, row_number() OVER (ORDER BY target * n - base * total DESC, n DESC, s DESC) <= target - sum(base) OVER () AS more FROM b),
+    q AS (SELECT s, greatest(0, base + more::INT - h) AS lacking FROM r), o AS (SELECT e.s, sample_id, row_number() OVER (PARTITION BY e.s ORDER BY md5('7:' || CAST(sample_id AS VARCHAR)), sample_id) AS turn, lacking FROM e JOIN q USING (s) WHERE NOT had)
+    SELECT s AS category, sample_id, 'quota' AS origin FROM o WHERE turn <= lacking UNION ALL SELECT s, sample_id, 'existing' FROM e WHERE had""", "samples"))
+def w12_recheck(spark, d):
+    rows = records(spark, d, "samples").select("category", "sample_id")
+    return splits.recheck_sample(rows, rows.where("sample_id % 25 = 1 or category = 'es'"), "category", "sample_id", 0.3)
+
+
 @query("w13_slice_sample", twin("""e AS (SELECT category, max(sample_id + 1) AS last FROM samples GROUP BY 1), s AS (SELECT category, CAST(floor(sample_id * 3 / last) AS BIGINT) AS slice, sample_id FROM samples JOIN e USING (category)) SELECT category, slice, arg_min(sample_id, (md5('7:' || CAST(sample_id AS VARCHAR)), sample_id)) AS sample_id FROM s GROUP BY 1, 2""", "samples"))
 def w13(spark, d):
     rows = records(spark, d, "samples").select("category", "sample_id", (F.col("sample_id") + 1).alias("position"))

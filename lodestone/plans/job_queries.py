@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.operators import confusion, edits, forest, reports
 from lodestone.plans.registry import query
 from lodestone.sources.adapters import records, twin
-from lodestone.streaming import jobs
+from lodestone.streaming import jobs, tracking
 
 
 def nested_reports(spark, d):
@@ -120,6 +120,20 @@ def t03(spark, d):
     return jobs.job_machine(_events(spark, d))
 
 
+_STEP = " ".join(f"WHEN '{a} {e}' THEN '{b}'" for (a, e), b in tracking.STEPS.items())
+_GONE = lambda s: f"CASE {s} WHEN 'cancelling' THEN 'cancelled' ELSE 'failed' END"
+_LIVE = "('queued', 'running', 'paused', 'cancelling')"
+
+
+@query("t03_tracked_jobs", f"""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS tm FROM events), l AS (SELECT user_id, list({{'s': event_type, 'tm': tm, 'n': 0::BIGINT, 'g': false}} ORDER BY tm, event_id) AS es, min(tm) AS first FROM e GROUP BY 1),
+    f AS (SELECT user_id, list_reduce(es, lambda a, e: CASE WHEN a.s IN {_LIVE} AND e.tm - a.tm >= 86400000 THEN {{'s': {_GONE('a.s')}, 'tm': e.tm, 'n': a.n + 1, 'g': true}}
+      ELSE {{'s': CASE a.s || ' ' || e.s {_STEP} ELSE a.s END, 'tm': e.tm, 'n': a.n + (CASE a.s || ' ' || e.s {_STEP} ELSE a.s END <> a.s)::INT, 'g': a.g}} END, {{'s': 'queued', 'tm': first, 'n': 0::BIGINT, 'g': false}}) AS f FROM l),
+    w AS (SELECT max(tm) - 172800000 AS mark FROM e), r AS (SELECT user_id, f.s AS s, f.n AS n, f.g AS g, f.tm AS tm, f.s IN {_LIVE} AND f.tm + 86400000 <= mark AS gone FROM f, w)
+    SELECT user_id, CASE WHEN gone THEN {_GONE('s')} ELSE s END AS status, n + gone::INT AS transitions, g OR gone AS reconciled, tm AS seen_ms FROM r""")
+def t03_tracked(spark, d):
+    return tracking.tracked_jobs(_events(spark, d), 86400, "2 days")
+
+
 @query("t04_streamed_agreement", twin("""l AS (SELECT sample_id, reviewer, max(seq) AS seq, arg_max(decision, seq) AS decision, arg_max(canonical_key, seq) AS k FROM votes GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY seq DESC) AS turn FROM l),
   g AS (SELECT sample_id, count(*) AS n, max(decision) FILTER (turn = 1) AS d1, max(decision) FILTER (turn = 2) AS d2, max(k) FILTER (turn = 1) AS k1, max(k) FILTER (turn = 2) AS k2 FROM r WHERE turn <= 2 GROUP BY 1)
   SELECT sample_id, CASE WHEN n < 2 THEN 'pending' WHEN d1 <> d2 OR (d1 = 'approve' AND k1 <> k2) THEN 'disagreement' WHEN d1 = 'approve' THEN 'verified' ELSE 'rejected' END AS status FROM g""", "votes"))
@@ -149,6 +163,14 @@ def t07(spark, d):
     return jobs.throughput(_events(spark, d))
 
 
+@query("t07_remaining_time", """WITH t AS (SELECT user_id, count(*) + 5 AS total FROM events GROUP BY 1), c AS (SELECT user_id, epoch(time_bucket(INTERVAL '6 hours', ts))::BIGINT + 21600 AS e, count(*) AS n FROM events GROUP BY 1, 2),
+    k AS (SELECT * FROM c WHERE e * 1000 <= (SELECT epoch_us(max(ts)) // 1000 - 86400000 FROM events)), s AS (SELECT user_id, e, sum(n) OVER (PARTITION BY user_id ORDER BY e) AS done, sum(n) OVER (PARTITION BY user_id ORDER BY e RANGE BETWEEN 172799 PRECEDING AND CURRENT ROW) AS lately FROM k)
+    SELECT user_id, make_timestamp(e * 1000000) AS window_end, CAST(done AS BIGINT) AS done, total, CAST(greatest(0, total - done) * 172800 // lately AS BIGINT) AS remaining_seconds FROM s JOIN t USING (user_id)""")
+def t07_remaining(spark, d):
+    totals = spark.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg((F.count("*") + 5).alias("total"))
+    return tracking.progress(_events(spark, d), totals, "48 hours", "6 hours", "1 day")
+
+
 @query("t08_late_events", """WITH s AS (SELECT greatest(1, ceil((max(event_id) + 1) / 10)) AS size FROM events), o AS (SELECT CAST(floor(event_id / size) AS BIGINT) AS batch, ts FROM events, s), t AS (SELECT batch, max(ts) AS top FROM o GROUP BY 1), m AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM t)
     SELECT batch, count(*) AS n, count(*) FILTER (ts < seen - INTERVAL 600 SECONDS) AS n_late FROM o JOIN m USING (batch) GROUP BY 1""")
 def t08(spark, d):

@@ -1,8 +1,8 @@
 """The given tables in the shape of the records that the operators work on.
 
 Each adapter is one SELECT over the given tables, in SQL that Spark and DuckDB both read, so a query and its SQL twin start
-from the same rows. The second key of samples, inchikey, is of the whole text in lower case with white space collapsed; this is
-written with replace, as both engines read it: each space becomes the marks 1 2, then the pairs 2 1 inside a run go.
+from the same rows; only ``SPACES`` is written for each engine. The second key of samples, inchikey, is of the whole text in lower
+case with white space collapsed.
 """
 
 from __future__ import annotations
@@ -11,14 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels")
 
+
+
+#: Runs of white space made one space, as each engine writes it.
+SPACES = "one_space(lower(d.text))"
+SPACES_SPARK = r"regexp_replace(lower(d.text), '[\\x09-\\x0d ]+', ' ')"
+SPACES_DUCKDB = r"regexp_replace(lower(d.text), '[\x09-\x0d ]+', ' ', 'g')"
+
 SQL = {
-    "samples": """
+    "samples": f"""
         SELECT d.doc_id AS sample_id, d.source AS source_document, d.lang AS category,
           CASE WHEN l.toxic = 1 THEN 'reject' ELSE 'recognize' END AS expected_action,
           CASE l.quality WHEN 1 THEN 'verified' WHEN 0 THEN 'rejected' ELSE 'pending' END AS review_status,
-          md5(d.text) AS content_key, md5(trim(replace(replace(replace(lower(translate(d.text,
-            CONCAT(chr(1), chr(2), chr(9), chr(10), chr(11), chr(12), chr(13)), '       ')), ' ', CONCAT(chr(1), chr(2))),
-            CONCAT(chr(2), chr(1)), ''), CONCAT(chr(1), chr(2)), ' '))) AS inchikey,
+          md5(d.text) AS content_key, md5(trim({SPACES})) AS inchikey,
           CONCAT(d.lang, ':', CAST(d.n_chars % 23 AS STRING)) AS scaffold_key,
           CASE WHEN d.doc_id % 10 < 8 THEN 'train' WHEN d.doc_id % 10 = 8 THEN 'validation' ELSE 'test' END AS split,
           CASE d.doc_id % 8 WHEN 0 THEN 'CC BY 4.0' WHEN 1 THEN 'https://creativecommons.org/licenses/by-sa/3.0/'
@@ -95,7 +100,7 @@ SQL = {
 
 def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The rows of an adapter over the tables in ``sf_dir``."""
-    text = SQL[name]
+    text = SQL[name].replace(SPACES, SPACES_SPARK)
     for t in TABLES:
         for word in ("FROM", "JOIN"):
             text = text.replace(f"{word} {t}", f"{word} parquet.`{sf_dir}/{t}.parquet`")
@@ -104,4 +109,4 @@ def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def twin(body: str, *names: str) -> str:
     """SQL text for DuckDB: ``body`` after the adapters that it names."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + (", " if body.lstrip()[:6].upper() != "SELECT" else " ") + body
+    return "WITH " + ", ".join(f"{n} AS ({SQL[n].replace(SPACES, SPACES_DUCKDB)})" for n in names) + (", " if body.lstrip()[:6].upper() != "SELECT" else " ") + body
