@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import count_if, rate0
@@ -91,3 +91,50 @@ def regression(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
     one = rows.agg(F.count("*").alias("n"), F.sum(F.abs(e)).alias("absolute"), F.sum(e * e).alias("square"), F.sum(t).alias("total"), F.sum(t * t).alias("total2"))
     c = F.col
     return one.select("n", F.bround(c("absolute") / c("n"), 6).alias("mae"), F.bround(F.sqrt(c("square") / c("n")), 6).alias("rmse"), F.bround(1 - c("square") / (c("total2") - c("total") * c("total") / c("n")), 6).alias("r2"))
+
+
+#: The least measures at which a model's numbers are shown.
+LEAST_ROWS, LEAST_AUC, LEAST_F1, LEAST_R2 = 4, 0.6, 0.5, 0.0
+
+
+def quality_gate(task: Column, n: Column, roc_auc: Column, f1_macro: Column, r2: Column) -> Column:
+    """(passed, reason) of a model by its validation measures.
+
+    Fewer than four rows never pass. A classifier needs its area under the curve and its macro F1, or the F1 alone where there
+    is no area (one class only); a missing F1 counts as 0. Any other model needs its R2, which is below every limit if missing.
+    """
+    f1, fit = F.coalesce(f1_macro, F.lit(0.0)), F.coalesce(r2, F.lit(-999.0))
+    few, classes, area = n < LEAST_ROWS, task == "classification", roc_auc.isNotNull()
+    both, only, regression = (roc_auc >= LEAST_AUC) & (f1 >= LEAST_F1), f1 >= LEAST_F1, fit >= LEAST_R2
+    passed = F.when(few, False).when(classes & area, both).when(classes, only).otherwise(regression)
+    said = lambda ok, name: F.when(ok, f"{name}_met").otherwise(f"{name}_below")
+    reason = F.when(few, "validation_rows_below_4").when(classes & area, said(both, "roc_auc_f1")).when(classes, said(only, "f1")).otherwise(said(regression, "r2"))
+    return F.struct(passed.alias("passed"), reason.alias("reason"))
+
+
+def group_scores(rows: DataFrame, group: str, truth: str, score: str, threshold: float = 0.5) -> DataFrame:
+    """(group, n, f1_macro, roc_auc) of binary classifiers, each with its own group of rows; six places, the area null for one class.
+
+    The area counts pairs over the distinct scores of a group, each with its numbers of true and false rows, so what is ordered
+    are distinct scores and not rows.
+    """
+    cells = rows.groupBy(group, score).agg(F.count(F.when(F.col(truth), 1)).alias("p"), F.count(F.when(~F.col(truth), 1)).alias("q"))
+    below = Window.partitionBy(group).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumns({"under": F.coalesce(F.sum("q").over(below), F.lit(0)), "said": F.col(score) >= threshold})
+    total = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0))
+    by = placed.groupBy(group).agg(F.sum("p").alias("p"), F.sum("q").alias("q"), F.sum(F.col("p") * (2 * F.col("under") + F.col("q"))).alias("pairs"), total("p", F.col("said")).alias("tp"), total("q", F.col("said")).alias("fp"))
+    f1 = lambda hit, wrong, missed: F.when(2 * hit + wrong + missed > 0, 2 * hit / (2 * hit + wrong + missed)).otherwise(0.0)
+    c = F.col
+    yes, no = f1(c("tp"), c("fp"), c("p") - c("tp")), f1(c("q") - c("fp"), c("p") - c("tp"), c("fp"))
+    # A class that is neither there nor predicted does not count.
+    there = lambda n, m: (n + m > 0).cast("int")
+    n_classes = there(c("p"), c("tp") + c("fp")) + there(c("q"), c("p") + c("q") - c("tp") - c("fp"))
+    return by.select(group, (c("p") + c("q")).alias("n"), F.bround((yes + no) / n_classes, 6).alias("f1_macro"), F.when((c("p") > 0) & (c("q") > 0), F.bround(c("pairs") / (2 * c("p") * c("q")), 6)).alias("roc_auc"))
+
+
+def group_r2(rows: DataFrame, group: str, truth: str, predicted: str) -> DataFrame:
+    """(group, n, r2) of regressions over whole numbers, from exact sums; six places, null where the truth does not vary."""
+    y, e = F.col(truth).cast("decimal(19,0)"), (F.col(truth) - F.col(predicted)).cast("decimal(19,0)")
+    by = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("ss"), F.sum(e * e).alias("residual"))
+    spread = F.col("ss").cast("double") - F.col("s").cast("double") * F.col("s").cast("double") / F.col("n")
+    return by.select(group, "n", F.when(spread > 0, F.bround(1 - F.col("residual").cast("double") / F.when(spread > 0, spread), 6)).alias("r2"))

@@ -241,3 +241,18 @@ def modification_rate(rows: DataFrame, modified: Column, *by: str) -> DataFrame:
 def reasons_once(rows: DataFrame, key: str, reason: Column) -> DataFrame:
     """How many keys have each reason, however many of a key's rows have it; rows without one don't count."""
     return rows.select(key, reason.alias("reason")).where("reason is not null").distinct().groupBy("reason").agg(F.count("*").alias("n"))
+
+
+#: What tells the models of a run apart.
+ARTIFACT_FIELDS = ("model_name", "model_version", "model_sha256", "package_version", "device")
+
+
+def model_artifacts(predictions: DataFrame, *by: str) -> DataFrame:
+    """The distinct models that made the predictions (of each run), with all their fields; a field that is missing is null."""
+    fields = [F.col(c) if c in predictions.columns else F.lit(None).cast("string").alias(c) for c in ARTIFACT_FIELDS]
+    return predictions.select(*by, *fields).distinct()
+
+
+def error_counts(runs: DataFrame, run: str = "backend", counts: str = "error_distribution") -> DataFrame:
+    """(run, error_type, count): the counter maps of several runs as rows. An empty or missing map gives none."""
+    return runs.select(run, F.explode(counts).alias("error_type", "count"))

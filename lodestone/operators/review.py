@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import count_if, ladder
+from lodestone.functions.columns import count_if, filled, ladder
+from lodestone.sources.writers import VISUAL_REJECTED
 
 
 def vote_status(votes: DataFrame) -> DataFrame:
@@ -95,3 +96,33 @@ def batch_category(rows: DataFrame) -> DataFrame:
     status, decision = F.lower(F.coalesce("status", F.lit(""))), F.lower(F.coalesce("recognition_decision", F.lit("")))
     known = ("accepted", "accepted_with_warning", "review_needed", "rejected")
     return rows.withColumn("main_category", ladder("accepted", (status == "skipped", "skipped"), (status != "success", "failed"), (decision.isin(*known), decision), (F.coalesce("manual_review_recommended", F.lit(False)), "review_needed")))
+
+
+#: Where a trusted structure may come from.
+TRUSTED_ORIGINS = ("pubchem", "chembl", "supplementary_sdf", "supplementary_smiles", "curated_database", "chemist_manual")
+
+
+def review_queue_statistics(rows: DataFrame, audits: DataFrame, rejected: tuple[str, ...] = VISUAL_REJECTED, origins: tuple[str, ...] = TRUSTED_ORIGINS) -> DataFrame:
+    """One row of counters of a review queue and its audits.
+
+    ``rows`` has sample_id, verification_status, machine_category, category, ground_truth_origin and structure_valid, perhaps more than
+    once for a sample; ``audits`` has one row for each audited sample_id, with visual_review_status. Counters of samples are of
+    distinct ids, and a sample is rejected if a row of it or its audit says so: each id is brought to one row of flags,
+    both sides are joined on it, and nothing but flags is counted. Null and empty ids count as rows only.
+    """
+    status = F.coalesce(F.col("verification_status"), F.lit(""))
+    kind = filled(F.col("machine_category"), F.col("category"))
+    trusted = F.lower(F.trim(F.coalesce("ground_truth_origin", F.lit("")))).isin(*origins) & F.coalesce("structure_valid", F.lit(False))
+    flags = {"routed": status == "pending_human_review", "machine_rejected": status.startswith("rejected_"), "verified": status == "machine_verified", "pending": status == "pending_machine_review", "positive": kind.eqNullSafe(F.lit("molecule")), "trusted": trusted}
+    by_id = rows.select("sample_id", *[v.alias(k) for k, v in flags.items()]).groupBy("sample_id").agg(F.count("*").alias("n"), *[count_if(F.col(k)).alias(k) for k in flags])
+    seen = audits.select(F.col("sample_id").alias("audited"), F.col("visual_review_status").isin(*rejected).alias("negative"))
+    both = by_id.join(seen, by_id["sample_id"] == seen["audited"], "full_outer")
+    named, c = F.coalesce(F.col("sample_id").cast("string"), F.col("audited").cast("string"), F.lit("")) != "", F.col
+    rows_of = lambda k: F.coalesce(F.sum(k), F.lit(0))
+    routed = named & (c("routed") > 0)
+    return both.agg(
+        rows_of("n").alias("total"), count_if(routed).alias("machine_routed_visual"), count_if(routed & c("audited").isNull()).alias("visual_remaining"), count_if(routed).alias("pending_human"),
+        rows_of("verified").alias("machine_verified"), rows_of("pending").alias("pending_machine"), F.count("audited").alias("reviewed"),
+        count_if(named & (F.coalesce(c("machine_rejected") > 0, F.lit(False)) | F.coalesce("negative", F.lit(False)))).alias("rejected"), rows_of("machine_rejected").alias("machine_rejected"),
+        count_if(c("negative")).alias("visual_negative"), rows_of("positive").alias("positive_candidates"), (rows_of("n") - rows_of("positive")).alias("negative_candidates"), rows_of("trusted").alias("trusted_structure_labels"),
+    )

@@ -112,3 +112,45 @@ def duplicate_entries(entries: DataFrame) -> DataFrame:
     valid = entries.where(F.col("valid") & (F.col("sha256") != ""))
     firsts = valid.groupBy("sha256").agg(F.min(F.struct("position", "name")).alias("first"))
     return valid.join(firsts, "sha256").where(F.col("position") > F.col("first.position")).select("name", F.col("first.name").alias("duplicate_of"))
+
+
+#: Fields that a labelled sample must have.
+SAMPLE_FIELDS = ("sample_id", "source_document", "source_url", "source_license", "attribution", "category", "expected_action", "review_status")
+#: Categories of crops that show no single molecule.
+NEGATIVE = ("reaction", "multiple_molecules", "text", "table", "figure", "logo", "blank", "invalid_crop")
+
+
+def row_findings(rows: DataFrame, least_quality: float = 0.55, negative: tuple[str, ...] = NEGATIVE) -> DataFrame:
+    """(sample_id, errors, risks): what is certainly wrong with each labelled sample, and what asks for a look; arrays of codes in a fixed order.
+
+    Reads the fields of a sample; ``image_sha256`` and ``perceptual_hash`` as given and as found (``found_sha256``, ``found_phash``);
+    ``bbox`` (array of whole numbers, or null) with ``page_width`` and ``page_height``; ``edge_ink`` and ``quality``; ``reference_smiles`` and
+    ``reference_inchikey`` as given, ``reference_valid`` and ``source_inchikey`` of the structure read from them; and ``backends``, an array of
+    (backend, valid, key) in the order of preference, whose first two must agree. A missing value is found nowhere else than
+    in its own code: what can't be compared has no mismatch.
+    """
+    c, text = F.col, lambda k: F.trim(F.coalesce(F.col(k).cast("string"), F.lit("")))
+    differ = lambda a, b: (text(a) != "") & (text(b) != "") & (text(a) != text(b))
+    x1, y1, x2, y2 = (F.get("bbox", F.lit(k)) for k in range(4))
+    boxed = F.coalesce(F.size("bbox") > 0, F.lit(False))
+    shaped = boxed & (F.size("bbox") == 4) & ~F.exists("bbox", lambda v: v.isNull())
+    empty = shaped & ((F.least(x1, y1) < 0) | (x2 <= x1) | (y2 <= y1))
+    beyond = shaped & ~empty & F.coalesce((c("page_width") > 0) & (c("page_height") > 0) & ((x2 > c("page_width")) | (y2 > c("page_height"))), F.lit(False))
+    category = F.lower(text("category"))
+    kind = F.when(category.isin("molecule", *negative), category).otherwise("invalid_crop")
+    named = F.when(category == "", "invalid_crop").otherwise(category)
+    valid = F.filter("backends", lambda b: b["valid"])
+    first, second = F.get("backends", F.lit(0)), F.get("backends", F.lit(1))
+    agree = F.coalesce(first["valid"] & second["valid"] & (first["key"] == second["key"]), F.lit(False))
+    errors = codes(
+        *[(f"missing_{k}", text(k) == "") for k in SAMPLE_FIELDS], ("image_sha256_mismatch", differ("image_sha256", "found_sha256")),
+        ("invalid_bbox", boxed & ~shaped), ("bbox_out_of_bounds_or_empty", empty), ("bbox_out_of_bounds", beyond), ("invalid_category", (kind == "invalid_crop") & (named != "invalid_crop")),
+        ("invalid_reference_smiles", (text("reference_smiles") != "") & ~F.coalesce("reference_valid", F.lit(False))), ("source_inchikey_mismatch", differ("reference_inchikey", "source_inchikey")),
+    )
+    faulty_box = (boxed & ~shaped) | empty | beyond
+    risks = codes(
+        ("perceptual_hash_mismatch", differ("perceptual_hash", "found_phash")), ("bbox_touches_structure_edge", ~faulty_box & F.coalesce("edge_ink", F.lit(False))),
+        ("model_disagreement", (kind == "molecule") & ~agree), ("only_one_valid_model", (kind == "molecule") & (F.size(valid) == 1)),
+        ("negative_sample_has_valid_smiles", kind.isin(*negative) & (F.size(valid) > 0)), ("low_image_quality", F.coalesce("quality", F.lit(0.0)) < least_quality),
+    )
+    return rows.select("sample_id", errors.alias("errors"), risks.alias("risks"))
