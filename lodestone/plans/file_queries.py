@@ -7,7 +7,8 @@ import uuid
 import zipfile
 
 import pandas as pd
-from pyspark.errors import AnalysisException
+from pyarrow import fs
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import functions as F
 
 from lodestone.operators import extension, forest, reports, validation
@@ -15,7 +16,7 @@ from lodestone.operators.review import resumed
 from lodestone.operators.tables import shared_dir
 from lodestone.plans.job_queries import nested_reports
 from lodestone.plans.registry import query
-from lodestone.sources import readers, writers
+from lodestone.sources import archives, readers, snapshots, writers
 from lodestone.sources.adapters import records, twin
 
 
@@ -139,6 +140,27 @@ def s11(spark, d):
     return readers.entries_of(files)
 
 
+@query("s11_archive_ranges", """SELECT 'a' || CAST(s_suppkey // 50 AS VARCHAR) || '.zip' AS archive, CASE s_suppkey % 4 WHEN 0 THEN '../' ELSE 'ok/' END || CAST(s_suppkey AS VARCHAR) AS entry, CAST(length(s_name) AS BIGINT) AS size, CASE s_suppkey % 4 WHEN 0 THEN 'unsafe_path' ELSE '' END AS code FROM supplier WHERE s_suppkey // 50 % 5 <> 0
+    UNION ALL SELECT DISTINCT 'a' || CAST(s_suppkey // 50 AS VARCHAR) || '.zip', '', CAST(0 AS BIGINT), 'bad_archive' FROM supplier WHERE s_suppkey // 50 % 5 = 0""")
+def s11_ranges(spark, d):
+    path = folder(spark, "archives")
+
+    def pack(own: pd.DataFrame) -> pd.DataFrame:
+        store, root = (fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path))
+        store.create_dir(root)
+        number, out = int(own["number"].iloc[0]), io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for key, name in zip(own["s_suppkey"], own["s_name"], strict=True):
+                z.writestr(f"{'../' if key % 4 == 0 else 'ok/'}{key}", name)
+        with store.open_output_stream(f"{root}/a{number}.zip") as file:
+            file.write(out.getvalue() if number % 5 else b"no archive")
+        return pd.DataFrame({"n": [len(own)]})
+
+    table(spark, d, "supplier").withColumn("number", F.floor(F.col("s_suppkey") / 50)).groupBy("number").applyInPandas(pack, "n long").agg(F.sum("n")).collect()
+    spark.dataSource.register(archives.ArchiveEntries)
+    return spark.read.format("archive_entries").option("task_bytes", 4096).load(path)
+
+
 @query("s14_resumed", twin("SELECT sample_id, CASE WHEN sample_id % 3 = 0 THEN 'stored' ELSE 'new' END AS origin, CASE WHEN sample_id % 3 = 0 THEN 'old' ELSE content_key END AS result FROM samples", "samples"))
 def s14(spark, d):
     rows = records(spark, d, "samples").select("sample_id", F.col("content_key").alias("result"))
@@ -224,6 +246,23 @@ def k08(spark, d):
     return spark.read.parquet(path).withColumn("frozen", F.lit(frozen))
 
 
+@query("k08_committed_snapshot", twin("SELECT sample_id, inchikey, true AS frozen, count(*) OVER () AS n_rows FROM samples", "samples"))
+def k08_committed(spark, d):
+    path, rows = folder(spark, "snapshot"), records(spark, d, "samples").select("sample_id", "inchikey")
+    snapshots.freeze(rows, rows.where("false"), path)
+    try:
+        snapshots.freeze(rows, rows.where("false"), path)
+        frozen = False
+    except PySparkException:
+        frozen = True
+    files = snapshots.manifest(spark, path)
+    found = readers.file_checksums(spark, path, "*.parquet")
+    same = files.join(found.withColumnRenamed("size", "bytes"), ["name", "bytes", "sha256"]).agg(F.count("*").alias("same"))
+    told = files.agg(F.sum("rows").alias("n_rows"), F.count("*").alias("files")).crossJoin(same)  # one row each
+    state = told.select("n_rows", ((F.col("files") == F.col("same")) & F.lit(frozen)).alias("frozen"))
+    return snapshots.thawed(spark, path, rows.schema).crossJoin(F.broadcast(state))
+
+
 @query("k09_appended_log", "SELECT event_id, event_type FROM events")
 def k09(spark, d):
     path, rows = folder(spark, "log"), table(spark, d, "events").select("event_id", "event_type")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodestone.sources.archives import entry_code
+
 #: Names of the value and name columns of a delimited list.
 VALUE_NAMES = ("smiles", "canonical_smiles", "structure", "molecule")
 NAME_NAMES = ("name", "id", "compound_id", "title")
@@ -137,7 +138,7 @@ def entries_of(files: DataFrame, most_archive: int = 1 << 30, most_bytes: int =
     """(archive, entry, size, code) of zip files given as (archive, length, content).
 
     The code says what is wrong with an entry or archive, and is empty if nothing is. Archives of more than ``most_archive``
-    bytes are not opened: a worker holds one archive.
+    bytes are not opened, as a worker holds one archive; the data source ``ArchiveEntries`` reads files of any size.
     """
 
     def rows(batches):
@@ -149,12 +150,7 @@ def entries_of(files: DataFrame, most_archive: int = 1 << 30, most_bytes: int =
                 except (zipfile.BadZipFile, OSError):
                     found = []
                     out.append((name, "", 0, "bad_archive"))
-                for e in found:
-                    pure = PurePosixPath(e.filename.replace("\\", "/"))
-                    unsafe, locked = pure.is_absolute() or ".." in pure.parts, e.flag_bits & 1
-                    code = "unsafe_path" if unsafe else "encrypted" if locked else "too_large" if e.file_size > most_bytes else "odd_ratio" if e.file_size > most_ratio * max(1, e.compress_size) else ""
-                    if not e.is_dir():
-                        out.append((name, e.filename, e.file_size, code))
+                out += [(name, e.filename, e.file_size, entry_code(e.filename, bool(e.flag_bits & 1), e.file_size, e.compress_size, most_bytes, most_ratio)) for e in found if not e.is_dir()]
                 yield pd.DataFrame(out, columns=["archive", "entry", "size", "code"])
 
     opened = files.where(F.col("length") <= most_archive).select("archive", "content").mapInPandas(rows, "archive string, entry string, size long, code string")
