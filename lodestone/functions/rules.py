@@ -46,46 +46,41 @@ def rejection_target(expected: Column, markers: tuple[str, ...], *fields: Column
     return ladder(marked, (action == "reject", True), (action == "recognize", False))
 
 
-def _without_path(word: Column) -> Column:
-    """A word with a path in it cut to ``<path>``: from its first separator on, if names with a separator between them follow."""
-    parts = F.split(word, "[/\\\\]")
-    head, names = F.get(parts, F.lit(0)), F.filter(F.slice(parts, 2, F.size(parts)), lambda p: p != "")
-    drive = F.rlike(head, F.lit("(^|[^A-Za-z])[A-Za-z]:$"))
-    before = F.when(drive, F.substring(head, F.lit(1), F.length(head) - 2)).otherwise(head)
-    return F.when(F.size(names) >= 2, F.concat(before, F.lit("<path>"))).otherwise(word)
+#: A path in a line: a drive's letter if there is one, and two names or more, each after a separator, to the end of the word.
+PATH = r"(?:(?<![A-Za-z])[A-Za-z]:)?[/\\]+[^\s/\\]+[/\\]+[^\s/\\]\S*"
 
 
 def tidy_message(message: Column, limit: int = 500) -> Column:
-    """One line without paths, at most ``limit`` characters."""
-    words = F.filter(F.split(F.regexp_replace(F.coalesce(message, F.lit("")), "\\x00", " "), "\\s+"), lambda w: w != "")
-    return F.substring(F.array_join(F.transform(words, _without_path), " "), 1, limit)
+    """One line with single spaces and ``<path>`` for each path, at most ``limit`` characters. Nulls and zero bytes are blanks."""
+    line = F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), r"[\s\x00]+", " "))
+    return F.substring(F.regexp_replace(line, PATH, "<path>"), 1, limit)
+
+
+#: How licence statements are written, on words and numbers with hyphens and single spaces between them, and the key of each; ``#`` stands for a
+#: version, which the key takes over.
+LICENSES = (
+    ("cc ?(?:0|zero)", "cc0-1.0"),
+    ("publicdomain zero #", "cc0-#"),
+    ("(?:cc ?|licenses )by ?-? ?sa ?(?:version )?#", "cc-by-sa-#"),
+    ("(?:cc ?|licenses )by ?(?:version )?#", "cc-by-#"),
+)
+_VERSION = r"([0-9](?:[.][0-9])?)(?![0-9]|[.][0-9])"
 
 
 def license_key(value: Column) -> Column:
     """A short key of a licence statement; empty where it names no version or is unknown.
 
-    The statement is read as words and numbers. A family name is looked for, then the clause and version that follow it.
+    A statement of the public domain that names PubChem comes first, then the rows of ``LICENSES`` in their order.
     """
-    words = F.regexp_extract_all(F.lower(F.coalesce(value, F.lit(""))), F.lit("[a-z]+(?:-[a-z]+)*|[0-9]+(?:[.][0-9]+)?"), 0)
-    has = lambda *names: F.size(F.array_intersect(words, F.array(*map(F.lit, names)))) == len(names)
-    word = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    places = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)))
-    clauses = ("by", "by-sa")
-    named = F.filter(places, lambda i: word(i).isin("ccby", "ccby-sa") | (word(i).isin(*clauses) & F.when(i > 0, word(i - 1).isin("cc", "licenses")).otherwise(False)))
-    at = F.get(named, F.lit(0))
-    spelled = word(at + 1) == "sa"
-    number = at + 1 + spelled.cast("int")
-    number = number + (word(number) == "version").cast("int")
-    version = F.when(F.rlike(word(number), F.lit("^[0-9]([.][0-9])?$")), word(number)).otherwise("")
-    zero = F.filter(places, lambda i: (word(i) == "cc") & word(i + 1).isin("0", "zero"))
-    freed = F.get(F.filter(places, lambda i: (word(i) == "publicdomain") & (word(i + 1) == "zero")), F.lit(0))
-    return ladder(
-        "",
-        (has("public", "domain", "pubchem"), F.lit("public-domain-pubchem")),
-        (F.size(zero) > 0, F.lit("cc0-1.0")),
-        (freed.isNotNull() & (word(freed + 2) != ""), F.concat(F.lit("cc0-"), word(freed + 2))),
-        (at.isNotNull() & (version != ""), F.concat(F.lit("cc-by"), F.when(spelled | F.endswith(word(at), F.lit("-sa")), "-sa").otherwise(""), F.lit("-"), version)),
-    )
+    words = F.trim(F.regexp_replace(F.lower(F.coalesce(value, F.lit(""))), "[^a-z0-9.-]+", " "))
+    forms = []
+    for form, key in LICENSES:
+        pattern = rf"(?<![a-z0-9]){form.replace('#', _VERSION)}(?![a-z])"
+        parts = key.partition("#")
+        made = F.concat(F.lit(parts[0]), F.regexp_extract(words, pattern, 1)) if parts[1] else F.lit(key)
+        forms.append((F.rlike(words, F.lit(pattern)), made))
+    named = [F.rlike(words, F.lit(rf"\b{w}\b")) for w in ("public", "domain", "pubchem")]
+    return ladder("", (named[0] & named[1] & named[2], F.lit("public-domain-pubchem")), *forms)
 
 
 def license_allowed(value: Column) -> Column:

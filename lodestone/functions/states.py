@@ -30,9 +30,7 @@ def changed_fields(**changed: Column) -> Column:
 
 def class_from_id(name: Column, classes: tuple[str, ...]) -> Column:
     """The class that stands before the number at the end of an id; empty if it is none of ``classes``."""
-    parts = F.split(name, "_")
-    found, number = F.get(parts, F.size(parts) - 2), F.get(parts, F.size(parts) - 1)
-    return F.when(found.isin(*classes) & (F.length(F.translate(number, "0123456789abcdef", "")) == 0) & (number != ""), found).otherwise("")
+    return F.regexp_extract(name, f"(?:^|_)({'|'.join(classes)})_[0-9a-f]+$", 1)
 
 
 def severity(value: Column, medium: float, high: float) -> Column:
