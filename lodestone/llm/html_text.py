@@ -40,8 +40,6 @@ _MARKS = frozenset("ad ads adv advert adverts advertisement banner breadcrumb br
 _BESIDE = frozenset("area bar block body bottom box container content global inner item items left link links list main page panel primary right section site text title top widget wrap wrapper".split())
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile("[a-z]+|[0-9]+")
-#: Features that have a learnt weight, at most: the most usual ones.
-FEATURES = 5_000
 #: What a word, and a tag, of an unseen context score.
 WORD, BAD_WORD, TAG = 1.0, -1.0, -0.05
 
@@ -110,6 +108,7 @@ def tokens(page: str, marked: _Marked | None = None):
     """(is a word run, feature, text or tag, innermost container in ``marked`` or -1, in a labelled element) in page order."""
     marked = _Marked() if marked is None else marked
     stack: list[tuple[str, str, int, bool]] = [("", "", -1, False)]
+    opened: Counter = Counter()  # containers in the stack by name, so that an end without a start looks for none
     inner, links, at, n_tokens = "", 0, 0, 0
 
     def words(raw):
@@ -117,8 +116,8 @@ def tokens(page: str, marked: _Marked | None = None):
         return True, f"{label}|{inner}|{'a' if links else ''}", html.unescape(raw), never, main
 
     end = page.rfind(">") + 1  # what opens after it has no end
-    if opened := re.search("<[a-zA-Z/!?]", page[end:]):
-        page = page[: end + opened.start()]
+    if unended := re.search("<[a-zA-Z/!?]", page[end:]):
+        page = page[: end + unended.start()]
     dead: set[int] = set()
     while m := _TOKEN.search(page, at):
         if m.start() > at:
@@ -131,18 +130,19 @@ def tokens(page: str, marked: _Marked | None = None):
         name = name.lower()
         at = _tag_end(page, at, dead)
         if name in _RAW and not close:
-            if page[at - 2] != "/":
+            if name != "svg" or page[at - 2] != "/":  # no other of these can close itself
                 at = end.end() if (end := _RAW[name].search(page, at)) else len(page)
             continue
         attributes = page[m.end() : at - 1]
         if name == "a":
             links = 0 if close else 1
         if close and name in _CONTAINERS:
-            k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name), 0)
+            k = next(k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == name) if opened[name] else 0
             main = stack[k][3] if k else False
             label = stack[k][1]
             if k:
-                for *_, never, _main in stack[k:]:
+                for gone, _, never, _main in stack[k:]:
+                    opened[gone] -= 1
                     if never >= 0 and marked.end[never] is None and never != stack[k - 1][2]:
                         marked.end[never] = n_tokens
                 del stack[k:]
@@ -157,6 +157,7 @@ def tokens(page: str, marked: _Marked | None = None):
                 marked.wrap(never)
             main = stack[-1][3] or name in ("article", "main")
             stack.append((name, label, never, main))
+            opened[name] += 1
             inner, links = "", 0
         else:
             label, main = stack[-1][1], stack[-1][3]
@@ -184,14 +185,14 @@ def observe(pages, seen: Counter) -> None:
                     seen[is_text, feature, main] += n
 
 
-def weights(seen: Counter, most: int = FEATURES) -> dict[tuple[bool, str], float]:
-    """Weights of the ``most`` usual features: log-odds of lying inside, held to positive words, negative words and small costs of tags."""
+def weights(seen: Counter) -> dict[tuple[bool, str], float]:
+    """Weights of all features: log-odds of lying inside, held to positive words, negative words and small costs of tags."""
     total = {main: sum(n for (_, _, m), n in seen.items() if m == main) + 1 for main in (True, False)}
     by = Counter()
     for (is_text, feature, _), n in seen.items():
         by[is_text, feature] += n
     found = {}
-    for (is_text, feature), _ in by.most_common(most):
+    for is_text, feature in by:
         odds = math.log((seen[is_text, feature, True] + 0.5) / total[True]) - math.log((seen[is_text, feature, False] + 0.5) / total[False])
         found[is_text, feature] = (max(BAD_WORD * 2, min(WORD, odds)) if abs(odds) > 0.1 else 0.1) if is_text else max(-1.0, min(TAG, odds))
     return found
@@ -249,10 +250,17 @@ def extract(page: str, known: dict[tuple[bool, str], float]) -> str:
     return "\n".join(b for b in (" ".join(b.split()) for b in blocks) if b)
 
 
+def is_labelled(html: F.Column) -> F.Column:
+    """``labelled`` as a column."""
+    low = F.lower(html)
+    return (F.regexp_count(low, F.lit(r"<article[\s>]")) == 1) | (~F.contains(low, F.lit("<article")) & (F.regexp_count(low, F.lit(r"<main[\s>]")) == 1))
+
+
 def learn(pages: DataFrame, key_col: str, html_col: str, sample: int) -> dict[tuple[bool, str], float]:
-    """Weights from the labelled ones of at most ``sample`` pages, those whose keys have the least hashes."""
-    chosen = pages.select(F.col(f"`{key_col}`").alias("k")).where("k is not null").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
-    own = pages.select(F.col(f"`{key_col}`").alias("k"), whole(html_col).alias("html")).join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("html").alias("html"))
+    """Weights from at most ``sample`` labelled pages, those whose keys have the least hashes. All contexts of these pages count."""
+    marked = pages.select(F.col(f"`{key_col}`").alias("k"), whole(html_col).alias("html")).where(F.col("k").isNotNull() & is_labelled(F.col("html")))
+    chosen = marked.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
+    own = marked.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("html").alias("html"))
 
     def run(batches):
         seen: Counter = Counter()
@@ -262,14 +270,14 @@ def learn(pages: DataFrame, key_col: str, html_col: str, sample: int) -> dict[tu
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k, _ in rows], pa.bool_()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([k[2] for k, _ in rows], pa.bool_()), pa.array([n for _, n in rows], pa.int64())], names=["is_text", "feature", "main", "n"])
 
     counted = own.select("html").mapInArrow(run, "is_text boolean, feature string, main boolean, n long").groupBy("is_text", "feature", "main").agg(F.sum("n").alias("n"))
-    return weights(Counter({(r.is_text, r.feature, r.main): r.n for r in counted.orderBy(F.desc("n"), "feature", "is_text", "main").limit(4 * FEATURES).collect()}))  # a bounded table
+    return weights(Counter({(r.is_text, r.feature, r.main): r.n for r in counted.orderBy("feature", "is_text", "main").collect()}))  # the contexts of ``sample`` pages
 
 
 def extract_text(pages: DataFrame, key_col: str = "page_id", html_col: str = "html", sample: int = 2000, columns: list[str] | None = None) -> DataFrame:
     """All rows of ``pages``, with all columns or those named, with ``text`` and ``n_chars`` (its code points).
 
-    Weights are learnt when this is called: from at most ``sample`` pages, for at most ``FEATURES`` contexts; others have the
-    weights of unseen ones. White space inside a block becomes one space, blocks are joined by one line end; ``br`` is white space inside a block.
+    Weights are learnt when this is called, from at most ``sample`` labelled pages; contexts that these don't have get the weights
+    of unseen ones. White space inside a block becomes one space, blocks are joined by one line end; ``br`` is white space inside a block.
 
     - A null or empty page, and one without main text, has the empty text.
     - Pages that are repeated, or have no key, are extracted alike; of equal keys one page at most is learnt from.
@@ -277,7 +285,7 @@ def extract_text(pages: DataFrame, key_col: str = "page_id", html_col: str = "ht
     - An empty table gives an empty result. Columns of ``pages`` named like a new one are replaced by it.
     """
     small_batches(pages.sparkSession)
-    sent = pages.sparkSession.sparkContext.broadcast(learn(pages, key_col, html_col, sample))  # at most 5,000 weights
+    sent = pages.sparkSession.sparkContext.broadcast(learn(pages, key_col, html_col, sample))  # the contexts of ``sample`` pages
     page = fresh(pages, "whole_html")
     named = [c for c in (pages.columns if columns is None else columns) if c not in ("text", "n_chars")]
     rows = pages.select(*[F.col(f"`{c}`") for c in named], whole(html_col).alias(page))

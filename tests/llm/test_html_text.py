@@ -1,9 +1,11 @@
 """Main texts of hand-made pages, and the scan against trying every run."""
 
 import random
+import time
 from collections import Counter
 
 from lodestone.llm import html_text
+from lodestone.llm.common import whole
 
 PAGE = (
     '<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>'
@@ -115,3 +117,28 @@ def test_given_pages_against_a_plain_version(spark, sf):
     assert len(own) > 0.9 * pages.count()
     for r in own:
         assert got[r.page_id] == plain_article(r.html), r.page_id
+
+
+def test_unclosed_containers_take_linear_time():
+    for page in ("<div>" * 50_000 + "</section>" * 50_000, "<section>" + "<div>" * 50_000 + "</section>" * 50_000, "<div></section>" * 50_000):
+        began = time.process_time()
+        assert html_text.extract(page + "<p>last words of it</p>", {}) == "last words of it"
+        assert time.process_time() - began < 20
+
+
+def test_raw_elements_do_not_close_themselves():
+    page = "<article><p>one two three</p><{0} src=a.js />var x = 1; alert(x)</{0}><p>four five</p></article>"
+    for name in ("script", "style", "textarea", "title", "noscript"):
+        assert html_text.extract(page.format(name), {}) == "one two three\nfour five"
+    assert html_text.extract("<p>one two <svg viewBox='0' /> three four</p>", {}) == "one two three four"
+
+
+def test_few_labelled_pages_are_found(spark):
+    rows = [(i, "<article>one</article><article>two</article>" if i % 100 else f"<div class=menu>a b</div><article><p>text {i} of it</p></article>") for i in range(400)]
+    pages = spark.createDataFrame([*rows, (None, "<article>x</article>"), (900, None)], "page_id long, html string")
+    marked = {r.page_id: r.m for r in pages.where("page_id is not null").select("page_id", html_text.is_labelled(whole("html")).alias("m")).collect()}
+    assert marked == {i: html_text.labelled(t) for i, t in rows} | {900: False}
+    found = html_text.learn(pages, "page_id", "html", 4)
+    seen = Counter()
+    html_text.observe([t for i, t in rows if not i % 100], seen)
+    assert found == html_text.weights(seen) and found
