@@ -152,12 +152,20 @@ def _scanned(rows: DataFrame, n: int, items: list[tuple], size: int, schema: T.S
 
 
 def _blocks(items: DataFrame, size: int, most: int):
-    """The benchmark in blocks of about ``most`` windows: (block by number, as a list on the driver; how many there are)."""
-    n_words = F.size(F.split("text", " "))
-    total = items.agg(F.sum(n_words)).first()[0] or 0
+    """The benchmark in blocks of about ``most`` windows: (block by number, as a list on the driver; how many there are).
+
+    Windows are counted as they are taken, from the words. An item of more than ``most`` of them is cut into pieces that share
+    ``size`` - 1 words, so each window is in one piece.
+    """
+    low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = items.select("item", F.regexp_extract_all(low, F.lit(WORD), 0).alias("words")).where("size(words) > 0")
+    starts = F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)), F.lit(most))
+    pieces = words.select("item", "words", F.explode(starts).alias("start")).select("item", "start", F.slice("words", F.col("start") + 1, F.lit(most + size - 1)).alias("words"))
+    counted = pieces.select("item", "start", F.greatest(F.size("words") - size + 1, F.lit(1)).alias("n"), F.array_join("words", " ").alias("text"))
+    total = counted.agg(F.sum("n")).first()[0] or 0
     n_blocks = max(1, -(-total // most))
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks))
-    return lambda k: [(r["item"], r["text"]) for r in items.where(block == k).collect()], n_blocks
+    block = F.pmod(F.xxhash64("item", "start", "text"), F.lit(n_blocks))
+    return lambda k: [(r["item"], r["text"]) for r in counted.where(block == k).select("item", "text").collect()], n_blocks
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

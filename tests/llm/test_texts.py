@@ -183,3 +183,18 @@ def test_benchmark_in_several_blocks(spark):
     docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     one, many = (sorted(tuple(r) for r in decontaminate.find_contamination(docs, benchmark, size=4, block_windows=n).collect()) for n in (10**6, 60))
     assert one == many and any(r[-2] for r in one)
+
+
+@pytest.mark.parametrize("separator", ["\n", "\t,", "?", " "])
+def test_windows_of_items_without_spaces_are_counted(spark, separator):
+    words = [f"W{i}é" for i in range(500)]
+    items = [(1, separator.join(words)), (2, "one two"), (3, "?!"), (4, None)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    get, n = decontaminate._blocks(benchmark.select("item_id", "text").toDF("item", "text"), 10, 100)
+    blocks = [get(k) for k in range(n)]
+    held = [[len(decontaminate.windows(t, 10)) for _, t in b] for b in blocks]
+    assert n == 5 and sum(map(sum, held)) == 492 and max(map(max, filter(None, held))) <= 100
+    assert {w for b in blocks for _, t in b for w in decontaminate.windows(t, 10)} == {w for _, t in items for w in decontaminate.windows(t or "", 10)}
+    docs = spark.createDataFrame([(k, " ".join(words[k : k + 30])) for k in range(0, 480, 7)], "doc_id long, text string")
+    one, many = (sorted(tuple(r) for r in decontaminate.find_contamination(docs, benchmark, block_windows=m).collect()) for m in (10**6, 100))
+    assert one == many and all(r[-2] for r in one)
