@@ -258,9 +258,9 @@ def is_labelled(html: F.Column) -> F.Column:
 
 def learn(pages: DataFrame, key_col: str, html_col: str, sample: int) -> dict[tuple[bool, str], float]:
     """Weights from at most ``sample`` labelled pages, those whose keys have the least hashes. All contexts of these pages count."""
-    marked = pages.select(F.col(f"`{key_col}`").alias("k"), whole(html_col).alias("html")).where(F.col("k").isNotNull() & is_labelled(F.col("html")))
-    chosen = marked.select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
-    own = marked.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("html").alias("html"))
+    named = pages.select(F.col(f"`{key_col}`").alias("k"), whole(html_col).alias("html"))
+    chosen = named.where(F.col("k").isNotNull() & is_labelled(F.col("html"))).select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
+    own = named.join(F.broadcast(chosen), "k").groupBy("k").agg(F.min("html").alias("html"))
 
     def run(batches):
         seen: Counter = Counter()
