@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import tanimoto
+from lodestone.operators.order import exact_percentile
 from lodestone.operators.tables import materialise
 
 
@@ -81,5 +82,12 @@ def _best(batches, ids: np.ndarray, bits: list):
 
 
 def domain(similarities: DataFrame, share: float = 0.05) -> DataFrame:
-    """The similarity that a share of training sets stays below (linear interpolation), the least and the mean."""
-    return similarities.agg(F.bround(F.percentile("similarity", F.lit(share)), 6).alias("threshold"), F.min("similarity").alias("least"), F.bround(F.sum(F.col("similarity").cast("decimal(18,4)")).cast("double") / F.count("*"), 6).alias("mean"), F.count("*").alias("n"))
+    """The similarity that a share of training sets stays below (linear interpolation), the least and the mean.
+
+    The similarities are written once; the threshold is an exact order statistic by rounds of histograms, so no task holds all
+    distinct values.
+    """
+    own = materialise(similarities.select("similarity"), "similarities")
+    threshold = F.bround(F.lit(exact_percentile(own, "similarity", share)).cast("double"), 6)
+    mean = F.bround(F.sum(F.col("similarity").cast("decimal(18,4)")).cast("double") / F.count("*"), 6)
+    return own.agg(F.min("similarity").alias("least"), mean.alias("mean"), F.count("*").alias("n")).select(threshold.alias("threshold"), "least", "mean", "n")

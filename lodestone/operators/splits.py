@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,23 +34,26 @@ def linked_groups(rows: DataFrame, order: str, *keys: str, ignore: tuple[str, ..
 def fill_plan(sizes: dict[int, int], shares: tuple[float, ...]) -> list[tuple[int, int, int, int]]:
     """Places for groups, the largest first, each in the split that is filled least: (size, from turn, to turn, split).
 
-    Works on how many groups there are of each size. Of the groups of one size, each split takes as many as it would get one
-    by one, in a run of turns.
+    Works on how many groups there are of each size. One by one, a group goes to the split with the least filled share of its target
+    (of equal shares that with fewer rows, then the first); so of the groups of one size the splits take those steps that start at the
+    lowest shares, as many as there are groups. Their numbers are those of filling one by one; a split's groups are a run of turns.
     """
     total = sum(s * n for s, n in sizes.items())
     target = [max(1.0, total * x / sum(shares)) for x in shares]
     filled, rows = [0] * len(shares), []
     for size in sorted(sizes, reverse=True):
         left = sizes[size]
-        # The common fill level that these groups reach, found by halving; what is left over goes one by one.
-        take = lambda level: [max(0, int((level * t - f) // size)) for t, f in zip(target, filled, strict=True)]  # noqa: B023, E731
+        # Steps that start below a common share, which is found by halving; the last ones go one by one.
+        take = lambda level: [max(0, math.ceil((level * t - f) / size) - 1) for t, f in zip(target, filled, strict=True)]  # noqa: B023, E731
         low, high = 0.0, max(f / t for f, t in zip(filled, target, strict=True)) + left * size / min(target) + 1
         for _ in range(80):
             middle = (low + high) / 2
             low, high = (middle, high) if sum(take(middle)) <= left else (low, middle)
         counts = take(low)
+        while sum(counts) > left - len(shares) and any(counts):  # leave a few, as shares are rounded
+            counts[max(range(len(shares)), key=lambda i: (filled[i] + counts[i] * size) / target[i] if counts[i] else -1)] -= 1  # noqa: B023
         for _ in range(left - sum(counts)):
-            k = min(range(len(shares)), key=lambda i: ((filled[i] + counts[i] * size) / target[i], i))  # noqa: B023
+            k = min(range(len(shares)), key=lambda i: ((filled[i] + counts[i] * size) / target[i], filled[i] + counts[i] * size, i))  # noqa: B023
             counts[k] += 1
         turn = 0
         for k, n in enumerate(counts):
@@ -78,6 +82,12 @@ def grouped_split(groups: DataFrame, order: str, component: str = "component", s
     return groups.join(at.select(component, "split"), component).select(order, component, "split")
 
 
+def split_plan(split: DataFrame, component: str = "component") -> DataFrame:
+    """(size, split, n): how many components of each size a split got."""
+    sizes = split.groupBy(component, "split").agg(F.count("*").alias("size"))
+    return sizes.groupBy("size", "split").agg(F.count("*").alias("n"))
+
+
 def leakage(rows: DataFrame, split: str, *keys: str, ignore: tuple[str, ...] = ("", "negative", "invalid", "acyclic")) -> DataFrame:
     """Values of the keys that occur in more than one split: (key, value, n_splits, n_rows)."""
     long = rows.select(split, F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.trim(F.col(k).cast("string")).alias("value")) for k in keys])).alias("k")).select(split, "k.*")

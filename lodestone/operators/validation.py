@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.columns import codes, count_if
+from lodestone.functions.columns import codes, contains_any, count_if, ladder
 from lodestone.operators.splits import leakage
 
 #: The images that each compound has.
@@ -154,3 +154,34 @@ def row_findings(rows: DataFrame, least_quality: float = 0.55, negative: tuple[s
         ("negative_sample_has_valid_smiles", kind.isin(*negative) & (F.size(valid) > 0)), ("low_image_quality", F.coalesce("quality", F.lit(0.0)) < least_quality),
     )
     return rows.select("sample_id", errors.alias("errors"), risks.alias("risks"))
+
+
+#: What a feature that gives the truth away has in its name.
+TELLTALE = ("ground_truth", "truth", "target", "label", "expected", "test_correct", "inchikey_exact", "canonical_exact", "formula_match")
+
+
+def feature_finding(name: Column, allowed: tuple[str, ...], telltale: tuple[str, ...] = TELLTALE) -> Column:
+    """What is wrong with a feature's name: it may not be read (``forbidden``), or is not known (``unsupported``); null if nothing is."""
+    return ladder(None, (contains_any(F.lower(F.trim(name)), telltale), "forbidden"), (~name.isin(*allowed), "unsupported"))
+
+
+def feature_findings(rows: DataFrame, features: str, allowed: tuple[str, ...]) -> DataFrame:
+    """(feature, finding, n): the features that a router must not be given, and those that it lacks, with the number of rows.
+
+    ``features`` is a map column of a row's features by name. A row without an allowed feature counts for it as ``missing``; a null map
+    lacks all.
+    """
+    names = F.coalesce(F.map_keys(features), F.array().cast("array<string>"))
+    given = F.transform(names, lambda k: F.struct(k.alias("feature"), feature_finding(k, allowed).alias("finding")))
+    absent = F.transform(F.array_except(F.array(*map(F.lit, allowed)), names), lambda k: F.struct(k.alias("feature"), F.lit("missing").alias("finding")))
+    found = rows.select(F.explode(F.concat(F.filter(given, lambda x: x["finding"].isNotNull()), absent)).alias("x"))
+    return found.groupBy("x.feature", "x.finding").agg(F.count("*").alias("n"))
+
+
+def guarded_features(df: DataFrame, allowed: tuple[str, ...], telltale: tuple[str, ...] = TELLTALE) -> DataFrame:
+    """``df`` with exactly the allowed features as columns; an error names the forbidden, else the unsupported, else the missing ones."""
+    told = [c for c in df.columns if any(t in c.strip().lower() for t in telltale)]
+    for what, names in (("must not be read", told), ("are not supported", set(df.columns) - set(allowed)), ("are missing", set(allowed) - set(df.columns))):
+        if names:
+            raise ValueError(f"features {what}: {', '.join(sorted(names))}")
+    return df.select(*allowed)

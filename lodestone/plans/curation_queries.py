@@ -166,6 +166,27 @@ def g03(spark, d):
     return splits.grouped_split(rows, "sample_id", shares=(0.7, 0.15, 0.15), labels=("train", "dev", "test"))
 
 
+def _one_by_one(groups: str, shares: tuple[float, ...], labels: tuple[str, ...]) -> str:
+    """SQL that gives groups (component, n), the largest first, one by one to the split that is filled least; the counts of each size and split."""
+    target = ", ".join(f"greatest(1.0, (SELECT sum(n) FROM c) * {x}::DOUBLE / {sum(shares)}::DOUBLE)" for x in shares)
+    least = "list_sort(list_transform(range(1, len(a.f) + 1), lambda i: {'l': a.f[i] / t[i], 'f': a.f[i], 'i': i}))[1].i"
+    return f"""{groups}, t AS (SELECT [{target}] AS t), l AS (SELECT list({{'f': [n::DOUBLE], 'o': CAST([] AS STRUCT(s BIGINT, k BIGINT)[])}} ORDER BY n DESC) AS ns FROM c),
+    r AS (SELECT list_reduce(ns, lambda a, x: {{'f': list_transform(range(1, len(a.f) + 1), lambda i: a.f[i] + CASE WHEN i = {least} THEN x.f[1] ELSE 0 END),
+      'o': list_append(a.o, {{'s': x.f[1]::BIGINT, 'k': {least}::BIGINT}})}}, {{'f': [{', '.join('0::DOUBLE' for _ in shares)}], 'o': CAST([] AS STRUCT(s BIGINT, k BIGINT)[])}}) AS r FROM l, t),
+    u AS (SELECT unnest(r.o) AS u FROM r) SELECT u.s AS size, {list(labels)}[u.k] AS split, count(*) AS n FROM u GROUP BY 1, 2"""
+
+
+@query("g02_split_plan", twin(_one_by_one("""k AS (SELECT sample_id AS id, 'a' || inchikey AS v FROM samples UNION ALL SELECT sample_id, 'b' || content_key FROM samples), e AS (SELECT DISTINCT x.id AS a, y.id AS b FROM k x JOIN k y USING (v)),
+    reach AS (SELECT sample_id AS id, sample_id AS seen FROM samples UNION SELECT reach.id, e.b FROM reach JOIN e ON reach.seen = e.a), p AS (SELECT id, min(seen) AS component FROM reach GROUP BY 1), c AS (SELECT component, count(*) AS n FROM p GROUP BY 1)""", (0.8, 0.1, 0.1), splits.LABELS), "samples").replace("WITH ", "WITH RECURSIVE ", 1))
+def g02_plan(spark, d):
+    return splits.split_plan(g02(spark, d))
+
+
+@query("g03_split_plan", twin(_one_by_one("c AS (SELECT scaffold_key AS component, count(*) AS n FROM samples GROUP BY 1)", (0.7, 0.15, 0.15), ("train", "dev", "test")), "samples"))
+def g03_plan(spark, d):
+    return splits.split_plan(g03(spark, d))
+
+
 @query("g04_scaffold_holdout", twin("""s AS (SELECT scaffold_key, count(*) AS n FROM samples GROUP BY 1), r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY n DESC, scaffold_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM s)
     SELECT scaffold_key, n, CASE WHEN above < greatest(1, round_even((SELECT sum(n) FROM s) * 0.2::DOUBLE, 0)) THEN 'test' ELSE 'train' END AS part FROM r""", "samples"))
 def g04(spark, d):

@@ -92,3 +92,18 @@ def a28(spark, d):
     rows = s.select((n - n % 2).alias("sample_id"), status.alias("verification_status"), F.when(n % 4 == 0, "molecule").when(n % 4 == 1, "").alias("machine_category"), F.when(n % 3 == 0, "molecule").otherwise("text").alias("category"), origin.alias("ground_truth_origin"), (n % 2 == 0).alias("structure_valid"))
     audits = s.where(n % 5 == 0).select((n + 3).alias("sample_id"), F.when(n % 10 == 5, "text").otherwise("valid_single_molecule_crop").alias("visual_review_status"))
     return review.review_queue_statistics(rows, audits)
+
+
+_FEATURES = ("confidence", "image_quality", "outputs_agree")
+
+
+@query("p43_feature_guard", twin("""f AS (SELECT 'confidence' AS feature, sample_id % 3 = 0 AS lacks FROM predictions UNION ALL SELECT 'image_quality', image_quality = 'P' FROM predictions UNION ALL SELECT 'outputs_agree', true FROM predictions)
+    SELECT feature, 'missing' AS finding, count(*) AS n FROM f WHERE lacks GROUP BY 1 UNION ALL SELECT CASE WHEN sample_id % 2 = 0 THEN 'Truth_Key' ELSE 'canonical_exact_match' END, 'forbidden', count(*) FROM predictions GROUP BY 1
+    UNION ALL SELECT 'latency ' || category, 'unsupported', count(*) FROM predictions GROUP BY 1""", "predictions"))
+def p43(spark, d):
+    c = F.col
+    name = F.when(c("sample_id") % 2 == 0, "Truth_Key").otherwise("canonical_exact_match")
+    pairs = [F.when(c("sample_id") % 3 != 0, F.struct(F.lit("confidence").alias("k"), F.lit("1").alias("v"))), F.when(c("image_quality") != "P", F.struct(F.lit("image_quality").alias("k"), F.lit("1").alias("v")))]
+    pairs += [F.struct(n.alias("k"), F.lit("1").alias("v")) for n in (name, F.concat(F.lit("latency "), "category"))]
+    rows = records(spark, d, "predictions").select(F.map_from_entries(F.filter(F.array(*pairs), lambda x: x.isNotNull())).alias("features"))
+    return validation.feature_findings(rows, "features", _FEATURES)

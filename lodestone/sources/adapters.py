@@ -10,9 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels")
-
-
-
 #: Runs of white space made one space, as each engine writes it.
 SPACES = "one_space(lower(d.text))"
 SPACES_SPARK = r"regexp_replace(lower(d.text), '[\\x09-\\x0d ]+', ' ')"

@@ -11,7 +11,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import confusion, dedup, splits
+from lodestone.operators import confusion, dedup, splits, validation
+from lodestone.operators.order import exact_percentile
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -114,6 +115,23 @@ def test_quality_gate(spark):
     assert got == [(False, "validation_rows_below_4"), (True, "roc_auc_f1_met"), (False, "roc_auc_f1_below"), (True, "f1_met"), (False, "f1_below"), (True, "r2_met"), (False, "r2_below")]
 
 
+def test_feature_guard(spark):
+    df = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert validation.guarded_features(df, ("b", "a")).columns == ["b", "a"]
+    for bad, allowed, said in ((df.withColumn(" Truth", F.lit(1)), ("a", "b"), "must not be read"), (df, ("a",), "not supported"), (df, ("a", "b", "c"), "missing")):
+        with pytest.raises(ValueError, match=said):
+            validation.guarded_features(bad, allowed)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.5, 0.77, 1.0])
+def test_exact_percentile(spark, share):
+    rng = random.Random(share)
+    for values in ([rng.choice([0.1, 0.2, 0.25, 1.0]) for _ in range(101)], [rng.lognormvariate(0, 9) for _ in range(300)], [3.0], [2.0, 2.0, None]):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        assert exact_percentile(df, "v", share) == pytest.approx(df.agg(F.percentile("v", F.lit(share))).first()[0], rel=1e-12)
+    assert exact_percentile(df.limit(0), "v", share) is None
+
+
 def test_the_rest_works_without_the_subpackage(tmp_path):
     copy = tmp_path / "repo"
     shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "__pycache__"))
