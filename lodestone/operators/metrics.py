@@ -26,8 +26,25 @@ GATES = (
 )
 
 
+#: Fields in which a word of ``HIGH_RISK`` marks a sample.
+RISK_FIELDS = ("category", "complexity", "structure_features", "supported_scope", "notes")
+
+
+def _text(rows: DataFrame, name: str) -> Column:
+    """A text column, empty where it or the whole column is missing."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in rows.columns else F.lit("")
+
+
+def _true(rows: DataFrame, name: str) -> Column:
+    """A flag, false where it or the whole column is missing."""
+    return F.coalesce(F.col(name).cast("boolean"), F.lit(False)) if name in rows.columns else F.lit(False)
+
+
 def flags(predictions: DataFrame) -> DataFrame:
-    """Predictions with what each counts for: polarity, validity, exactness, acceptance, review, error, risk and failure reason."""
+    """Predictions with what each counts for: polarity, validity, exactness, acceptance, review, error, risk and failure reason.
+
+    Of the fields that risk is read from, those that a table lacks count as empty.
+    """
     c = F.col
     action = F.lower(F.trim(F.coalesce(F.nullif(c("expected_action"), F.lit("")), F.lit("recognize"))))
     decision = F.lower(F.coalesce(c("recognition_decision"), F.lit("")))
@@ -36,7 +53,7 @@ def flags(predictions: DataFrame) -> DataFrame:
     exact = F.coalesce(c("predicted_key") == c("truth_key"), F.lit(False))
     success = F.coalesce(c("recognition_success"), F.lit(False))
     recommended = F.coalesce(c("manual_review_recommended"), F.lit(False))
-    fields = F.lower(F.concat_ws(" ", action, F.coalesce("category", F.lit("")), F.coalesce("structure_features", F.lit(""))))
+    fields = F.lower(F.concat_ws(" ", action, *[_text(predictions, k) for k in RISK_FIELDS]))
     return predictions.withColumns({
         "is_negative": negative, "is_positive": ~negative, "valid": valid, "exact": exact, "success": success,
         "auto_accept": (decision == "accepted") & ~recommended,
@@ -77,22 +94,95 @@ def summary(predictions: DataFrame, *by: str) -> DataFrame:
     return flags(predictions).groupBy(*by).agg(*[v.alias(k) for k, v in _counts().items()]).withColumns(_rates())
 
 
-def grouped_summary(predictions: DataFrame, dimensions: list[str]) -> DataFrame:
-    """The summary for each value of each dimension at once: (dimension, value, counts and rates); empty values are ``unknown``.
+#: Dimensions by which a release is reported.
+DIMENSIONS = ("category", "source", "image_quality", "complexity", "perturbation", "structure_features", "split", "backend", "preprocessing_strategy")
+#: Similarities are ranked in whole millionths.
+MILLIONTHS = 1_000_000
+
+
+def _structure_counts(threshold: float) -> dict[str, Column]:
+    c = F.col
+    positive = c("is_positive")
+    compared = positive & c("valid")
+    return {
+        "n_equivalent": count_if(positive & c("equivalent")),
+        "n_stereo_required": count_if(positive & c("stereo_required")), "n_stereo_exact": count_if(positive & c("stereo_required") & c("stereo_match")),
+        "n_atom_count_error": count_if(compared & ~c("atom_count_match")), "n_charge_error": count_if(compared & ~c("charge_match")),
+        "n_bond_type_error": count_if(compared & ~c("bond_type_match")), "n_similarity": count_if(positive & c("similarity").isNotNull()),
+        "n_above_threshold": count_if(positive & (c("similarity") >= round(threshold * MILLIONTHS))),
+        "n_derived": count_if(c("derived")), "n_verified": count_if(c("verified")), "n_unclear_license": count_if(c("unclear_license")),
+    }
+
+
+def _structure_rates() -> dict[str, Column]:
+    c = F.col
+    return {
+        "valid_of_all_rate": rate0(c("n_valid"), c("n_total")), "equivalent_rate": rate_null(c("n_equivalent"), c("n_positive")),
+        "stereo_exact_rate": rate_null(c("n_stereo_exact"), c("n_stereo_required")), "atom_count_error_rate": rate_null(c("n_atom_count_error"), c("n_valid_positive")),
+        "charge_error_rate": rate_null(c("n_charge_error"), c("n_valid_positive")), "bond_type_error_rate": rate_null(c("n_bond_type_error"), c("n_valid_positive")),
+        "above_threshold_rate": rate_null(c("n_above_threshold"), c("n_similarity")), "verified_rate": rate_null(c("n_verified"), c("n_total")),
+    }
 
-    One pass over the rows: the counts by all dimensions together are taken first, and only those rows are expanded.
-    """
-    named = flags(predictions).withColumns({d: F.coalesce(F.nullif(F.col(d).cast("string"), F.lit("")), F.lit("unknown")) for d in dimensions})
-    counts = _counts()
-    cells = named.groupBy(*dimensions).agg(*[v.alias(k) for k, v in counts.items()])
-    long = cells.select(F.explode(F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in dimensions])).alias("at"), *counts)
-    return long.groupBy("at.dimension", "at.value").agg(*[F.sum(k).alias(k) for k in counts]).withColumns(_rates())
 
+def release_summary(predictions: DataFrame, dimensions: tuple[str, ...] = (), *, overall: bool = True, threshold: float = 0.95, bins: int = 10) -> DataFrame:
+    """The whole report of a release: a row for all predictions, (``all``, ``all``), and one for each value of each dimension.
 
-def all_summaries(predictions: DataFrame, dimensions: list[str]) -> DataFrame:
-    """The overall summary and all groups in one table, (``all``, ``all``) being the former."""
-    overall = summary(predictions).select(F.lit("all").alias("dimension"), F.lit("all").alias("value"), *_counts(), *_rates())
-    return overall.unionByName(grouped_summary(predictions, dimensions))
+    Columns are dimension, value, the counts and rates of ``summary``, and
+    - of structures: equivalent results, stereochemistry where the truth has some, errors in atoms, charges and bonds of valid results;
+    - of similarity (positive samples that have one): number, mean, median, and how many reach ``threshold``;
+    - of latency: number, mean, median and the nearest ranks p50 and p95;
+    - of confidence (positive samples, 0 to 1): number and expected calibration error over ``bins`` equal bins;
+    - of the data: distinct source documents, originals, identities and scaffolds, derived, verified and unclearly licensed samples;
+    - failure_distribution: category=number of the failures, sorted and joined by semicolons (raw messages: ``failure_reasons``).
+
+    Empty values of a dimension are ``unknown``. Columns that a table lacks count as missing in all its rows; rates over nothing are
+    null (or 0.0, as in ``summary``), and an empty table has no row. Each row is told to its groups within its task; what is
+    shuffled is a row for each group, for each group and distinct number (whole milliseconds, millionths), and for each group
+    and distinct name. Nothing but distinct numbers is ordered.
+    """
+    c = F.col
+    optional = {k: _true(predictions, k) for k in ("stereo_required", "stereo_match", "atom_count_match", "charge_match", "bond_type_match")}
+    similarity = F.bround(c("tanimoto_similarity").cast("double") * MILLIONTHS, 0).cast("long") if "tanimoto_similarity" in predictions.columns else F.lit(None).cast("long")
+    confidence = F.when((c("confidence_milli") >= 0) & (c("confidence_milli") <= 1000), c("confidence_milli").cast("long"))
+    rows = flags(predictions).withColumns({
+        **optional, "equivalent": _true(predictions, "equivalent") | c("exact"), "similarity": similarity,
+        "latency": F.bround("inference_time_ms", 0).cast("long"), "confidence_milli": confidence,
+        "verified": F.lower(F.trim(_text(predictions, "review_status"))) == "verified", "unclear_license": unclear_license(_text(predictions, "source_license")),
+    })
+    name = lambda k, also=F.lit(True): F.when(also & ~blank_metadata(_text(predictions, k)), F.trim(_text(predictions, k)))
+    # What is counted as distinct names, or as numbers of a kind.
+    names = {"source": name("source_document"), "original": name("source_document", ~c("derived")), "identity": name("identity_key", c("is_positive")), "scaffold": name("scaffold_key", c("is_positive")), "failure": F.when(c("failure_reason").isNotNull(), failure_category(c("failure_reason")))}
+    at = [F.struct(F.lit(d).alias("dimension"), F.coalesce(F.nullif(_text(predictions, d), F.lit("")), F.lit("unknown")).alias("value")) for d in dimensions]
+    at += [F.struct(F.lit("all").alias("dimension"), F.lit("all").alias("value"))] if overall else []
+    long = rows.withColumns({f"name_{k}": v for k, v in names.items()}).withColumn("at", F.explode(F.array(*at))).withColumns({"dimension": c("at.dimension"), "value": c("at.value")})
+    group = ("dimension", "value")
+
+    counts = {**_counts(), **_structure_counts(threshold)}
+    counted = long.groupBy(*group).agg(*[v.alias(k) for k, v in counts.items()]).withColumns(_rates() | _structure_rates())
+
+    number = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("number"))
+    numbers = long.select(*group, F.explode(F.array(number("latency", c("latency")), number("similarity", F.when(c("is_positive"), c("similarity"))))).alias("x")).select(*group, "x.*")
+    ranked = _ranked(numbers.where("number is not null").groupBy(*group, "kind", "number").agg(F.count("*").alias("n")), "number", *group, "kind", digits=6)
+    of = lambda kind, k: F.max(F.when(c("kind") == kind, c(k)))
+    ranked = ranked.groupBy(*group).agg(
+        F.coalesce(of("latency", "n"), F.lit(0)).alias("n_latency"), F.bround(of("latency", "mean"), 3).alias("mean_latency_ms"), F.bround(of("latency", "median"), 3).alias("median_latency_ms"),
+        of("latency", "p50").alias("p50_latency_ms"), of("latency", "p95").alias("p95_latency_ms"),
+        F.bround(of("similarity", "mean") / MILLIONTHS, 6).alias("mean_similarity"), F.bround(of("similarity", "median") / MILLIONTHS, 6).alias("median_similarity"))
+
+    fact = lambda kind, key, v: F.struct(F.lit(kind).alias("kind"), key.alias("key"), v.alias("number"))
+    nothing = F.lit(None).cast("long")
+    facts = [fact(k, c(f"name_{k}"), nothing) for k in names] + [fact("confidence", F.when(c("is_positive") & c("confidence_milli").isNotNull(), c("exact").cast("string")), c("confidence_milli"))]
+    cells = long.select(*group, F.explode(F.array(*facts)).alias("x")).select(*group, "x.*").where("key is not null").groupBy(*group, "kind", "key", "number").agg(F.count("*").alias("n"))
+    bin_ = F.least(F.floor(c("number") * bins / 1000), F.lit(bins - 1))
+    part = lambda b, v: F.coalesce(F.sum(F.when((c("kind") == "confidence") & (bin_ == b), v)), F.lit(0))
+    off = sum((F.abs(part(b, c("number") * c("n")) - 1000 * part(b, F.when(c("key") == "true", c("n")).otherwise(0))) for b in range(bins)), F.lit(0))
+    n_confidence = F.coalesce(F.sum(F.when(c("kind") == "confidence", c("n"))), F.lit(0))
+    failures = F.array_join(F.array_sort(F.collect_list(F.when(c("kind") == "failure", F.concat_ws("=", "key", c("n").cast("string"))))), ";")
+    told = cells.groupBy(*group).agg(
+        n_confidence.alias("n_confidence"), rate_null(off, 1000 * n_confidence).alias("calibration_error"), F.nullif(failures, F.lit("")).alias("failure_distribution"),
+        *[count_if(c("kind") == k).alias(f"n_{k}s") for k in ("source", "original", "scaffold")], count_if(c("kind") == "identity").alias("n_identities"))
+    made = counted.join(ranked, list(group), "left").join(told, list(group), "left")
+    return made.na.fill(0, [k for k in made.columns if k.startswith("n_")])
 
 
 def failure_reasons(predictions: DataFrame) -> DataFrame:
@@ -120,7 +210,11 @@ def ranks(rows: DataFrame, value: str, *by: str, percents: tuple[int, ...] = (50
 
     Values are counted first, so what is ordered within a group is its distinct values.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    return _ranked(rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n")), value, *by, percents=percents)
+
+
+def _ranked(counts: DataFrame, value: str, *by: str, percents: tuple[int, ...] = (50, 95), digits: int = 3) -> DataFrame:
+    """``ranks`` of values that come with their number ``n``."""
     own = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     upto = own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     at = counts.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(own)})
@@ -128,7 +222,7 @@ def ranks(rows: DataFrame, value: str, *by: str, percents: tuple[int, ...] = (50
     picks = [F.min(F.when(F.col("upto") > index(p), F.col(value))).alias(f"p{p}") for p in percents]
     low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
     median = (F.min(F.when(F.col("upto") > low, F.col(value))) + F.min(F.when(F.col("upto") > high, F.col(value)))) / 2.0
-    return at.groupBy(*by).agg(F.sum("n").alias("n"), F.bround(F.sum(F.col(value) * F.col("n")) / F.sum("n"), 3).alias("mean"), F.bround(median, 3).alias("median"), *picks)
+    return at.groupBy(*by).agg(F.sum("n").alias("n"), F.bround(F.sum(F.col(value) * F.col("n")) / F.sum("n"), digits).alias("mean"), F.bround(median, digits).alias("median"), *picks)
 
 
 def calibration(predictions: DataFrame, *by: str, bins: int = 10) -> DataFrame:
@@ -195,19 +289,40 @@ def only_correct(candidates: DataFrame) -> DataFrame:
     return joined.select("first", "second", (F.coalesce("n", F.lit(0)) - F.coalesce("shared", F.lit(0))).alias("n_only_first"))
 
 
+#: What trusted predictions are rated by: (measure, column of the predictions or flag).
+TRUSTED = {
+    "run": "recognition_success", "success": "backend_success", "valid": "valid", "exact": "exact", "isomeric_exact": "isomeric_exact",
+    "key_exact": "key_exact", "full_key_exact": "full_key_exact", "connectivity_exact": "connectivity_exact", "formula_match": "formula_match",
+    "connectivity_match": "connectivity_match", "nonisomeric_exact": "nonisomeric_exact", "stereo_match": "stereo_match",
+    "stereo_wrong": "stereo_wrong", "charge_differs": "charge_differs",
+}
+IF_SUCCESS = ("valid", "exact", "isomeric_exact", "full_key_exact", "connectivity_exact", "formula_match")
+IF_RUN = ("valid", "full_key_exact", "connectivity_exact")
+
+
 def trusted_summary(predictions: DataFrame, *by: str) -> DataFrame:
-    """Rates over all samples and over successful ones, acceptance and abstention."""
+    """Counts and rates of the measures of ``TRUSTED``, overall or by groups: over all samples, over those whose backend
+    succeeded and over those that ran; failures to run, acceptance, acceptance without the full key, and abstention.
+
+    Connectivity that is right with wrong stereochemistry or another charge follows from the flags of a row where a table has no
+    such column. A flag that is missing counts as false.
+    """
     c = F.col
-    rows = flags(predictions).withColumn("accepted", c("recognition_decision").isin("accepted", "accepted_with_warning"))
+    rows = flags(predictions)
+    right = _true(predictions, "connectivity_exact")
+    derived = {"stereo_wrong": right & ~_true(predictions, "stereo_match"), "charge_differs": right & ~_true(predictions, "charge_match")}
+    made = {f"is_{k}": c(f) if f in ("valid", "exact") else derived[f] if f in derived and f not in predictions.columns else _true(predictions, f) for k, f in TRUSTED.items()}
+    rows = rows.withColumns(made).withColumn("accepted", F.coalesce(c("recognition_decision").isin("accepted", "accepted_with_warning"), F.lit(False)))
     counted = rows.groupBy(*by).agg(
-        F.count("*").alias("n"), count_if(c("success")).alias("n_success"), count_if(c("valid")).alias("n_valid"), count_if(c("exact")).alias("n_exact"),
-        count_if(c("accepted")).alias("n_accepted"), count_if(c("accepted") & ~c("exact")).alias("n_false_accepted"),
-        count_if(c("success") & c("valid")).alias("n_valid_if_success"), count_if(c("success") & c("exact")).alias("n_exact_if_success"),
-    )
+        F.count("*").alias("n"), *[count_if(c(f"is_{k}")).alias(f"n_{k}") for k in TRUSTED],
+        count_if(c("accepted")).alias("n_accepted"), count_if(c("accepted") & ~c("is_full_key_exact")).alias("n_false_accepted"),
+        *[count_if(c("is_success") & c(f"is_{k}")).alias(f"n_{k}_if_success") for k in IF_SUCCESS],
+        *[count_if(c("is_run") & c(f"is_{k}")).alias(f"n_{k}_if_run") for k in IF_RUN],
+    ).withColumns({"n_not_run": c("n") - c("n_run"), "n_abstained": c("n") - c("n_accepted")})
     return counted.withColumns({
-        "success_rate": rate0(c("n_success"), c("n")), "valid_rate": rate0(c("n_valid"), c("n")), "exact_rate": rate0(c("n_exact"), c("n")),
-        "accepted_rate": rate0(c("n_accepted"), c("n")), "false_accepted_rate": rate0(c("n_false_accepted"), c("n")), "n_abstained": c("n") - c("n_accepted"),
-        "valid_if_success_rate": rate0(c("n_valid_if_success"), c("n_success")), "exact_if_success_rate": rate0(c("n_exact_if_success"), c("n_success")),
+        **{f"{k}_rate": rate0(c(f"n_{k}"), c("n")) for k in (*TRUSTED, "not_run", "accepted", "false_accepted", "abstained")},
+        **{f"{k}_if_success_rate": rate0(c(f"n_{k}_if_success"), c("n_success")) for k in IF_SUCCESS},
+        **{f"{k}_if_run_rate": rate0(c(f"n_{k}_if_run"), c("n_run")) for k in IF_RUN},
     })
 
 

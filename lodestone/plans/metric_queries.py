@@ -14,7 +14,7 @@ FLAGS = """f AS (
   SELECT *, expected_action = 'reject' AS neg, predicted_key IS NOT NULL AS valid, coalesce(predicted_key = truth_key, false) AS exact,
     recognition_decision = 'accepted' AND NOT manual_review_recommended AS auto, recognition_decision = 'review_needed' OR manual_review_recommended AS review,
     CASE WHEN expected_action = 'reject' THEN predicted_key IS NOT NULL ELSE NOT coalesce(predicted_key = truth_key, false) END AS err,
-    regexp_matches(lower(expected_action || ' ' || category || ' ' || structure_features), 'reject|distractor|non_molecule|reaction|stereo|charge|salt|fragment|metal|multiple|multi|high') AS risky
+    regexp_matches(lower(concat_ws(' ', expected_action, category, complexity, structure_features, supported_scope, notes)), 'reject|distractor|non_molecule|reaction|stereo|charge|salt|fragment|metal|multiple|multi|high') AS risky
   FROM predictions)"""
 COUNTS = """count(*) AS n_total, count(*) FILTER (NOT neg) AS n_positive, count(*) FILTER (neg) AS n_negative, count(*) FILTER (recognition_success) AS n_success,
     count(*) FILTER (valid) AS n_valid, count(*) FILTER (valid AND NOT neg) AS n_valid_positive, count(*) FILTER (exact AND NOT neg) AS n_exact,
@@ -23,30 +23,57 @@ COUNTS = """count(*) AS n_total, count(*) FILTER (NOT neg) AS n_positive, count(
 RATES = f"""{rate('n_success', 'n_total')} AS success_rate, {rate('n_valid_positive', 'n_positive', 'NULL')} AS valid_rate, {rate('n_exact', 'n_positive', 'NULL')} AS exact_rate,
     {rate('n_total - n_success', 'n_total')} AS failed_rate, {rate('n_rejected', 'n_negative', 'NULL')} AS rejection_coverage, {rate('n_hallucinated', 'n_negative', 'NULL')} AS hallucination_rate,
     {rate('n_false_accept', 'n_negative', 'NULL')} AS false_accept_rate, {rate('n_review', 'n_total')} AS review_rate, {rate('n_high_risk_reviewed', 'n_high_risk_error')} AS high_risk_reviewed_rate"""
-DIMENSIONS = ["category", "image_quality", "source_document", "perturbation", "structure_features", "recognition_decision"]
-LONG = "(" + " UNION ALL ".join(f"SELECT '{d}' AS dimension, coalesce(nullif({d}, ''), 'unknown') AS value, * FROM f" for d in DIMENSIONS) + ")"
+STRUCTURE_COUNTS = """count(*) FILTER (NOT neg AND (equivalent OR exact)) AS n_equivalent, count(*) FILTER (NOT neg AND stereo_required) AS n_stereo_required,
+    count(*) FILTER (NOT neg AND stereo_required AND stereo_match) AS n_stereo_exact, count(*) FILTER (NOT neg AND valid AND NOT atom_count_match) AS n_atom_count_error,
+    count(*) FILTER (NOT neg AND valid AND NOT charge_match) AS n_charge_error, count(*) FILTER (NOT neg AND valid AND NOT bond_type_match) AS n_bond_type_error,
+    count(*) FILTER (NOT neg AND tanimoto_similarity IS NOT NULL) AS n_similarity, count(*) FILTER (NOT neg AND tanimoto_similarity >= 0.95) AS n_above_threshold,
+    count(*) FILTER (perturbation NOT IN ('', 'none')) AS n_derived, count(*) FILTER (review_status = 'verified') AS n_verified,
+    count(*) FILTER (source_license IN ('', 'license unclear')) AS n_unclear_license"""
+STRUCTURE_RATES = f"""{rate('n_valid', 'n_total')} AS valid_of_all_rate, {rate('n_equivalent', 'n_positive', 'NULL')} AS equivalent_rate, {rate('n_stereo_exact', 'n_stereo_required', 'NULL')} AS stereo_exact_rate,
+    {rate('n_atom_count_error', 'n_valid_positive', 'NULL')} AS atom_count_error_rate, {rate('n_charge_error', 'n_valid_positive', 'NULL')} AS charge_error_rate, {rate('n_bond_type_error', 'n_valid_positive', 'NULL')} AS bond_type_error_rate,
+    {rate('n_above_threshold', 'n_similarity', 'NULL')} AS above_threshold_rate, {rate('n_verified', 'n_total', 'NULL')} AS verified_rate"""
 
 
-@query("a01_release_summary", twin(f"{FLAGS}, s AS (SELECT {COUNTS} FROM f) SELECT *, {RATES} FROM s", "predictions"))
+REASON = "CASE WHEN recognition_success AND predicted_key IS NULL THEN 'invalid_predicted_key' WHEN NOT recognition_success THEN coalesce(nullif(message, ''), 'recognition_failed') END"
+CATEGORY = """CASE WHEN regexp_matches(lower({m}), 'timeout|timed out|超时') THEN 'timeout' WHEN regexp_matches(lower({m}), 'cuda|cudnn|cublas|gpu|out of memory|oom') THEN 'cuda_failure'
+    WHEN regexp_matches(lower({m}), 'no such file|cannot identify image|decode|truncated image') THEN 'image_decode_failure' WHEN regexp_matches(lower({m}), 'preprocess|normalize|unsupported image|array dimensions') THEN 'input_preprocessing_failure'
+    WHEN regexp_matches(lower({m}), 'dependency|modulenotfound|importerror|not installed') THEN 'dependency_failure' WHEN regexp_matches(lower({m}), 'subprocess|child process|return code|worker|子进程') THEN 'subprocess_failure'
+    WHEN regexp_matches(lower({m}), 'inference|predict|model|推理') THEN 'model_inference_failure' ELSE 'unknown_backend_failure' END"""
+
+
+def _release_sql(dimensions: list[str], overall: bool = True) -> str:
+    """The whole report of a release in SQL, each part by its own plain statement."""
+    parts = [f"SELECT '{d}' AS dimension, coalesce(nullif({d}, ''), 'unknown') AS value, * FROM f" for d in dimensions] + (["SELECT 'all' AS dimension, 'all' AS value, * FROM f"] if overall else [])
+    return twin(f"""{FLAGS}, l AS ({' UNION ALL '.join(parts)}), s AS (SELECT dimension, value, {COUNTS}, {STRUCTURE_COUNTS} FROM l GROUP BY 1, 2),
+      tr AS (SELECT *, row_number() OVER (PARTITION BY dimension, value ORDER BY inference_time_ms) - 1 AS at_, count(*) OVER (PARTITION BY dimension, value) AS n FROM l WHERE inference_time_ms IS NOT NULL),
+      t AS (SELECT dimension, value, count(*) AS n_latency, round_even(CAST(sum(inference_time_ms) AS BIGINT) / count(*), 3) AS mean_latency_ms, round_even(median(inference_time_ms), 3) AS median_latency_ms,
+        min(inference_time_ms) FILTER (at_ = round_even(0.5::DOUBLE * (n - 1), 0)) AS p50_latency_ms, min(inference_time_ms) FILTER (at_ = round_even(0.95::DOUBLE * (n - 1), 0)) AS p95_latency_ms FROM tr GROUP BY 1, 2),
+      m AS (SELECT dimension, value, round_even(round_even(CAST(sum(CAST(tanimoto_similarity * 1000000 AS BIGINT)) AS BIGINT) / count(*), 6) / 1000000, 6) AS mean_similarity,
+        round_even(median(CAST(tanimoto_similarity * 1000000 AS BIGINT)) / 1000000, 6) AS median_similarity FROM l WHERE NOT neg AND tanimoto_similarity IS NOT NULL GROUP BY 1, 2),
+      b AS (SELECT dimension, value, least(confidence_milli // 100, 9) AS bin, count(*) AS n, CAST(sum(confidence_milli) AS BIGINT) AS milli, count(*) FILTER (exact) AS correct FROM l WHERE NOT neg AND confidence_milli BETWEEN 0 AND 1000 GROUP BY 1, 2, 3),
+      e AS (SELECT dimension, value, CAST(sum(n) AS BIGINT) AS n_confidence, round_even(CAST(sum(abs(milli - 1000 * correct)) AS BIGINT) / CAST(1000 * sum(n) AS BIGINT), 6) AS calibration_error FROM b GROUP BY 1, 2),
+      d AS (SELECT dimension, value, count(DISTINCT source_document) AS n_sources, count(DISTINCT source_document) FILTER (perturbation IN ('', 'none')) AS n_originals,
+        count(DISTINCT identity_key) FILTER (NOT neg) AS n_identities, count(DISTINCT scaffold_key) FILTER (NOT neg AND scaffold_key <> 'none') AS n_scaffolds FROM l GROUP BY 1, 2),
+      q AS (SELECT dimension, value, {REASON} AS why FROM l), r AS (SELECT dimension, value, {CATEGORY.format(m='why')} AS kind, count(*) AS n FROM q WHERE why IS NOT NULL GROUP BY 1, 2, 3),
+      x AS (SELECT dimension, value, string_agg(kind || '=' || n, ';' ORDER BY kind || '=' || n) AS failure_distribution FROM r GROUP BY 1, 2)
+      SELECT s.*, {RATES}, {STRUCTURE_RATES}, t.* EXCLUDE (dimension, value, n_latency), coalesce(n_latency, 0) AS n_latency, mean_similarity, median_similarity, coalesce(n_confidence, 0) AS n_confidence, calibration_error,
+        n_sources, n_originals, n_identities, n_scaffolds, failure_distribution
+      FROM s LEFT JOIN t USING (dimension, value) LEFT JOIN m USING (dimension, value) LEFT JOIN e USING (dimension, value) LEFT JOIN d USING (dimension, value) LEFT JOIN x USING (dimension, value)""", "predictions")
+
+
+@query("a01_release_summary", _release_sql([]))
 def a01(spark, d):
-    return metrics.summary(records(spark, d, "predictions"))
+    return metrics.release_summary(records(spark, d, "predictions"))
 
 
-@query("a02_grouped_summary", twin(f"{FLAGS}, s AS (SELECT dimension, value, {COUNTS} FROM {LONG} GROUP BY 1, 2) SELECT *, {RATES} FROM s", "predictions"))
+@query("a02_grouped_summary", _release_sql(list(metrics.DIMENSIONS), overall=False))
 def a02(spark, d):
-    return metrics.grouped_summary(records(spark, d, "predictions"), DIMENSIONS)
+    return metrics.release_summary(records(spark, d, "predictions"), metrics.DIMENSIONS, overall=False)
 
 
-@query("a03_all_summaries", twin(f"{FLAGS}, s AS (SELECT 'all' AS dimension, 'all' AS value, {COUNTS} FROM f UNION ALL SELECT dimension, value, {COUNTS} FROM {LONG} GROUP BY 1, 2) SELECT *, {RATES} FROM s", "predictions"))
+@query("a03_all_summaries", _release_sql(list(metrics.DIMENSIONS)))
 def a03(spark, d):
-    return metrics.all_summaries(records(spark, d, "predictions"), DIMENSIONS)
-
-
-REASON = "CASE WHEN recognition_success AND predicted_key IS NULL THEN 'invalid_predicted_key' WHEN NOT recognition_success THEN coalesce(nullif(message, ''), 'recognition_failed') END"
-CATEGORY = """CASE WHEN regexp_matches(lower({m}), 'timeout|timed out|超时') THEN 'timeout' WHEN regexp_matches(lower({m}), 'cuda|cudnn|cublas|gpu|out of memory|oom') THEN 'cuda_failure'
-    WHEN regexp_matches(lower({m}), 'no such file|cannot identify image|decode|truncated image') THEN 'image_decode_failure' WHEN regexp_matches(lower({m}), 'preprocess|normalize|unsupported image|array dimensions') THEN 'input_preprocessing_failure'
-    WHEN regexp_matches(lower({m}), 'dependency|modulenotfound|importerror|not installed') THEN 'dependency_failure' WHEN regexp_matches(lower({m}), 'subprocess|child process|return code|worker|子进程') THEN 'subprocess_failure'
-    WHEN regexp_matches(lower({m}), 'inference|predict|model|推理') THEN 'model_inference_failure' ELSE 'unknown_backend_failure' END"""
+    return metrics.release_summary(records(spark, d, "predictions"), metrics.DIMENSIONS)
 
 
 @query("a04_failure_reasons", twin(f"r AS (SELECT {REASON} AS failure_reason FROM predictions) SELECT failure_reason, count(*) AS n, {CATEGORY.format(m='failure_reason')} AS category FROM r WHERE failure_reason IS NOT NULL GROUP BY 1", "predictions"))
@@ -112,10 +139,16 @@ def a09(spark, d):
     return metrics.summary(records(spark, d, "predictions"), "category")
 
 
-_TRUSTED = f"""g AS (SELECT *, recognition_decision IN ('accepted', 'accepted_with_warning') AS acc FROM f), s AS (SELECT {{by}} count(*) AS n, count(*) FILTER (recognition_success) AS n_success, count(*) FILTER (valid) AS n_valid, count(*) FILTER (exact) AS n_exact,
-    count(*) FILTER (acc) AS n_accepted, count(*) FILTER (acc AND NOT exact) AS n_false_accepted, count(*) FILTER (recognition_success AND valid) AS n_valid_if_success, count(*) FILTER (recognition_success AND exact) AS n_exact_if_success FROM {{rows}} {{group}})
-    SELECT *, {rate('n_success', 'n')} AS success_rate, {rate('n_valid', 'n')} AS valid_rate, {rate('n_exact', 'n')} AS exact_rate, {rate('n_accepted', 'n')} AS accepted_rate, {rate('n_false_accepted', 'n')} AS false_accepted_rate, n - n_accepted AS n_abstained,
-    {rate('n_valid_if_success', 'n_success')} AS valid_if_success_rate, {rate('n_exact_if_success', 'n_success')} AS exact_if_success_rate FROM s"""
+_MEASURES = {
+    "run": "recognition_success", "success": "backend_success", "valid": "valid", "exact": "exact", "isomeric_exact": "isomeric_exact", "key_exact": "key_exact", "full_key_exact": "full_key_exact",
+    "connectivity_exact": "connectivity_exact", "formula_match": "formula_match", "connectivity_match": "connectivity_match", "nonisomeric_exact": "nonisomeric_exact", "stereo_match": "stereo_match",
+    "stereo_wrong": "connectivity_exact AND NOT stereo_match", "charge_differs": "connectivity_exact AND NOT charge_match",
+}
+_IF = [(k, "success") for k in ("valid", "exact", "isomeric_exact", "full_key_exact", "connectivity_exact", "formula_match")] + [(k, "run") for k in ("valid", "full_key_exact", "connectivity_exact")]
+_TRUSTED = f"""g AS (SELECT *, recognition_decision IN ('accepted', 'accepted_with_warning') AS acc FROM f), c AS (SELECT {{by}} count(*) AS n, {', '.join(f"count(*) FILTER ({v}) AS n_{k}" for k, v in _MEASURES.items())},
+    count(*) FILTER (acc) AS n_accepted, count(*) FILTER (acc AND NOT full_key_exact) AS n_false_accepted, {', '.join(f"count(*) FILTER ({_MEASURES[k]} AND {_MEASURES[w]}) AS n_{k}_if_{w}" for k, w in _IF)} FROM {{rows}} {{group}}),
+    s AS (SELECT *, n - n_run AS n_not_run, n - n_accepted AS n_abstained FROM c)
+    SELECT *, {', '.join(f"{rate(f'n_{k}', 'n')} AS {k}_rate" for k in (*_MEASURES, 'not_run', 'accepted', 'false_accepted', 'abstained'))}, {', '.join(f"{rate(f'n_{k}_if_{w}', f'n_{w}')} AS {k}_if_{w}_rate" for k, w in _IF)} FROM s"""
 
 
 @query("a11_trusted_summary", twin(f"{FLAGS}, " + _TRUSTED.format(by="", rows="g", group=""), "predictions"))

@@ -46,7 +46,22 @@ SQL = {
           CASE o_orderkey % 5 WHEN 0 THEN 'none' WHEN 1 THEN '' ELSE 'blur' END AS perturbation,
           CASE o_orderkey % 6 WHEN 0 THEN 'stereo;charge' WHEN 1 THEN 'ring' WHEN 2 THEN 'ring;salt' ELSE '' END AS structure_features,
           CASE WHEN o_custkey % 13 = 0 THEN CASE o_orderkey % 5 WHEN 0 THEN 'CUDA out of memory at /var/lib/models/a.bin' WHEN 1 THEN 'request timed out'
-            WHEN 2 THEN 'cannot identify image file' WHEN 3 THEN 'worker return code 9' ELSE 'strange' END ELSE '' END AS message
+            WHEN 2 THEN 'cannot identify image file' WHEN 3 THEN 'worker return code 9' ELSE 'strange' END ELSE '' END AS message,
+          CASE WHEN o_custkey % 11 = 0 THEN NULL WHEN o_custkey % 4 <> 0 THEN 1.0 ELSE (CAST(floor(o_totalprice * 7) AS BIGINT) % 1000) / 1000.0 END AS tanimoto_similarity,
+          o_orderkey % 3 = 1 AS stereo_required, o_custkey % 5 <> 0 AS stereo_match, o_custkey % 6 <> 0 AS atom_count_match,
+          o_custkey % 9 <> 0 AS charge_match, o_custkey % 10 <> 0 AS bond_type_match, o_custkey % 8 = 4 AS equivalent,
+          o_custkey % 13 <> 0 AND o_orderkey % 9 <> 0 AS backend_success, o_custkey % 11 <> 0 AND o_custkey % 7 <> 0 AS connectivity_exact,
+          o_custkey % 4 <> 0 AND o_custkey % 5 <> 0 AS isomeric_exact, o_custkey % 4 <> 0 AND o_custkey % 11 <> 0 AS key_exact,
+          o_custkey % 4 <> 0 AND o_custkey % 9 <> 0 AND o_custkey % 11 <> 0 AS full_key_exact, o_custkey % 6 <> 0 AND o_custkey % 11 <> 0 AS formula_match,
+          o_custkey % 11 <> 0 AS connectivity_match, o_custkey % 7 <> 0 AND o_custkey % 4 <> 0 AS nonisomeric_exact,
+          CASE o_custkey % 4 WHEN 0 THEN 'journal' WHEN 1 THEN 'patent' WHEN 2 THEN 'render' ELSE '' END AS source,
+          CASE o_orderkey % 9 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN NULL ELSE 'low' END AS complexity,
+          CASE o_orderkey % 10 WHEN 8 THEN 'validation' WHEN 9 THEN 'test' ELSE 'train' END AS split,
+          CONCAT('m', CAST(o_orderkey % 3 AS STRING)) AS backend, CASE o_custkey % 3 WHEN 0 THEN 'raw' WHEN 1 THEN 'binary' ELSE 'denoised' END AS preprocessing_strategy,
+          CASE WHEN o_custkey % 17 = 0 THEN 'Multiple fragments' ELSE 'single' END AS supported_scope, CASE WHEN o_custkey % 19 = 0 THEN 'metal complex' END AS notes,
+          CASE o_orderkey % 5 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' ELSE 'verified' END AS review_status,
+          CASE o_orderkey % 7 WHEN 0 THEN 'license unclear' WHEN 1 THEN '' ELSE 'CC BY 4.0' END AS source_license,
+          CONCAT('I', CAST(o_custkey AS STRING)) AS identity_key, CASE WHEN o_custkey % 23 = 0 THEN 'none' ELSE CONCAT('S', CAST(o_custkey % 101 AS STRING)) END AS scaffold_key
         FROM orders
     """,
     "candidates": """
