@@ -87,17 +87,71 @@ def routing(boxes: DataFrame, *by: str) -> DataFrame:
     return boxes.groupBy(*by).agg(count_if(c("side") == "truth").alias("n_truth"), count_if(p).alias("n_proposals"), count_if(p & (c("decision") == "accept_molecule")).alias("n_accepted"), count_if(p & (c("decision") == "review_needed")).alias("n_review"), count_if(p & (c("decision") == "reject_negative")).alias("n_rejected"))
 
 
+class _Grid:
+    """Boxes by place: a box lies in the cells that it touches of a grid about as coarse as the box is large, four at most."""
+
+    def __init__(self):
+        self.levels = {}
+
+    @staticmethod
+    def _touched(box, level: int) -> tuple[int, int, int, int]:
+        side = 1 << level
+        return int(box[0] // side), int(box[1] // side), int(box[2] // side), int(box[3] // side)
+
+    def _cells(self, box) -> tuple[int, list[tuple[int, int]]]:
+        level = int(max(box[2] - box[0], box[3] - box[1], 0)).bit_length()
+        i, j, k, m = self._touched(box, level)
+        return level, [(x, y) for x in range(i, k + 1) for y in range(j, m + 1)]
+
+    def add(self, name: int, box) -> None:
+        level, cells = self._cells(box)
+        grid = self.levels.setdefault(level, {})
+        for c in cells:
+            grid.setdefault(c, {})[name] = box
+
+    def remove(self, name: int, box) -> None:
+        level, cells = self._cells(box)
+        grid = self.levels[level]
+        for c in cells:
+            del grid[c][name]
+            if not grid[c]:
+                del grid[c]
+        if not grid:
+            del self.levels[level]
+
+    def near(self, box) -> dict:
+        """All boxes that may overlap a box, by name."""
+        found = {}
+        for level, grid in self.levels.items():
+            i, j, k, m = self._touched(box, level)
+            if (k - i + 1) * (m - j + 1) > len(grid):
+                for (x, y), held in grid.items():
+                    if i <= x <= k and j <= y <= m:
+                        found.update(held)
+            else:
+                for x in range(i, k + 1):
+                    for y in range(j, m + 1):
+                        found.update(grid.get((x, y), ()))
+        return found
+
+
+def _positive(threshold: float) -> None:
+    if threshold <= 0:
+        raise ValueError("the threshold of overlap must be over 0")
+
+
 class _Uncovered:
     """True boxes are chosen; a proposal is chosen unless a chosen box covers it."""
 
     def __init__(self, page, threshold: float):
-        self.page, self.threshold, self.chosen = page, threshold, []
+        self.page, self.threshold, self.chosen, self.n = page, threshold, _Grid(), 0
 
     def take(self, box_id, side, x1, y1, x2, y2):
         box = (x1, y1, x2, y2)
-        if side != "truth" and any(_smaller(box, o) >= self.threshold for o in self.chosen):
+        if side != "truth" and any(_smaller(box, o) >= self.threshold for o in self.chosen.near(box).values()):
             return ()
-        self.chosen.append(box)
+        self.n += 1
+        self.chosen.add(self.n, box)
         return ((self.page, box_id, side),)
 
     def end(self):
@@ -105,7 +159,11 @@ class _Uncovered:
 
 
 def suppress(boxes: DataFrame, threshold: float = 0.68) -> DataFrame:
-    """True boxes of a page, then proposals in reading order that no box chosen so far covers: share of the smaller area."""
+    """True boxes of a page, then proposals in reading order that no box chosen so far covers: share of the smaller area.
+
+    A box is compared with those near it only, by a grid over the page; the threshold is over 0.
+    """
+    _positive(threshold)
     rows = boxes.select("page_id", "box_id", "side", "x1", "y1", "x2", "y2")
     return fold(rows, "page_id", [F.col("side") != "truth", "y1", "x1", "box_id"], lambda page: _Uncovered(page, threshold), "page_id long, box_id long, side string")
 
@@ -119,25 +177,28 @@ class _Regions:
     """Regions of a page; a box that covers some, or is covered, becomes one with them and may then reach others."""
 
     def __init__(self, page, threshold: float):
-        self.page, self.threshold, self.regions = page, threshold, []
+        self.page, self.threshold, self.regions, self.places, self.n = page, threshold, {}, _Grid(), 0
 
     def take(self, box_id, *box):
-        grown = True
-        while grown:
-            hit = [o for o in self.regions if _smaller(box, o) >= self.threshold]
-            self.regions = [o for o in self.regions if _smaller(box, o) < self.threshold]
-            grown = bool(hit)
-            for o in hit:
+        while hit := [(k, o) for k, o in self.places.near(box).items() if _smaller(box, o) >= self.threshold]:
+            for k, o in hit:
+                self.places.remove(k, self.regions.pop(k))
                 box = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3]))
-        self.regions.append(box)
+        self.n += 1
+        self.regions[self.n] = box
+        self.places.add(self.n, box)
         return ()
 
     def end(self):
-        return [(self.page, k, *b) for k, b in enumerate(sorted(self.regions, key=lambda b: (b[1], b[0], b[3], b[2])), 1)]
+        return [(self.page, k, *b) for k, b in enumerate(sorted(self.regions.values(), key=lambda b: (b[1], b[0], b[3], b[2])), 1)]
 
 
 def merge(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Boxes of a page grown over the boxes they cover, until nothing changes: (page_id, region, x1, y1, x2, y2)."""
+    """Boxes of a page grown over the boxes they cover, until nothing changes: (page_id, region, x1, y1, x2, y2).
+
+    A box is compared with the regions near it only, by a grid over the page; the threshold is over 0.
+    """
+    _positive(threshold)
     rows = boxes.select("page_id", "box_id", "x1", "y1", "x2", "y2")
     return fold(rows, "page_id", ["y1", "x1", "box_id"], lambda page: _Regions(page, threshold), "page_id long, region long, x1 long, y1 long, x2 long, y2 long")
 

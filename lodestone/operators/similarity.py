@@ -24,63 +24,156 @@ def pair_similarity(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").select("a", "b", tanimoto(F.col("a_bits"), F.col("b_bits")).alias("similarity"))
 
 
-#: Queries that are told to all tasks at once.
-BLOCK = 20_000
+#: Pivots that sets are placed by, sets of a chunk, rings of distance around a pivot, and the ratio of sizes within a band.
+PIVOTS, CHUNK, RINGS, BAND = 32, 4096, 8, 1.5
+#: What rounding may take off a bound.
+SLACK = 1e-9
 
 
-def nearest(queries: DataFrame, train: DataFrame, block: int = BLOCK) -> DataFrame:
+class _Index:
+    """Inverted lists of some sets, for counting what a set shares with each of them."""
+
+    def __init__(self, bits: list):
+        self.sizes = np.array([len(b) for b in bits], dtype=np.int64)
+        flat = np.concatenate([np.asarray(b, dtype=np.int64) for b in bits]) if len(bits) else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(len(bits)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.names, starts = np.unique(flat[order], return_index=True)
+        self.lists, self.starts, self.ends = owner[order], starts, np.append(starts[1:], len(flat))
+
+    def shared(self, bits) -> np.ndarray:
+        bits = np.asarray(bits, dtype=np.int64)
+        at = np.searchsorted(self.names, bits)
+        at = at[(at < len(self.names)) & (self.names[np.minimum(at, len(self.names) - 1)] == bits)] if len(self.names) else at[:0]
+        if not len(at):
+            return np.zeros(len(self.sizes), np.int64)
+        return np.bincount(np.concatenate([self.lists[self.starts[k] : self.ends[k]] for k in at]), minlength=len(self.sizes))
+
+    def distances(self, bits) -> np.ndarray:
+        both = self.shared(bits)
+        return 1.0 - both / (self.sizes + len(bits) - both)
+
+
+def _clean(sets: DataFrame) -> DataFrame:
+    bits = F.sort_array(F.array_distinct(F.filter("bits", lambda x: x.isNotNull())))
+    return sets.select("vec_id", bits.alias("bits")).where(F.size("bits") > 0)
+
+
+def _cells(sets: DataFrame, pivots: list, chunk: int) -> tuple[DataFrame, pd.DataFrame]:
+    """The sets with their cell and chunk, and the cells: ends of distance to the pivot, ends of size, and number of chunks.
+
+    A cell is a pivot (the nearest), a band of sizes and a ring of distance, so there are as many cells as pivots times rings
+    times bands at most, however many sets there are.
+    """
+    kind = sets.schema["vec_id"].dataType.simpleString()
+    to = _Index(pivots)
+
+    def place(batches):
+        for part in batches:
+            far = [to.distances(b) for b in part["bits"]]
+            near = [int(d.argmin()) for d in far]
+            least = np.array([d[k] for d, k in zip(far, near, strict=True)], dtype=np.float64)
+            size = part["bits"].map(len).to_numpy(dtype=np.int64)
+            yield part[["vec_id", "bits"]].assign(pivot=near, band=np.floor(np.log(size) / np.log(BAND)).astype(np.int64), ring=np.floor(least * RINGS).astype(np.int64), distance=least, size=size)
+
+    key = ["pivot", "band", "ring"]
+    placed = materialise(sets.mapInPandas(place, f"vec_id {kind}, bits array<long>, pivot long, band long, ring long, distance double, size long"), "placed")
+    about = placed.groupBy(*key).agg(F.min("distance").alias("near"), F.max("distance").alias("far"), F.min("size").alias("least"), F.max("size").alias("most"), F.count("*").alias("n")).orderBy(*key).toPandas()
+    about["cell"], about["chunks"] = np.arange(len(about)), -(-about["n"] // chunk)
+    told = sets.sparkSession.createDataFrame(about[[*key, "cell", "chunks"]], "pivot long, band long, ring long, cell long, chunks long")
+    dealt = placed.join(F.broadcast(told), key).select("cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).alias("chunk"), "vec_id", "bits")
+    return dealt, about
+
+
+def _asked(queries: DataFrame, pivots: list, about: pd.DataFrame, first: bool) -> DataFrame:
+    """(cell, chunk, vec_id, bits): where each query is to be searched for: its most promising cell, or after that all others
+    that may hold a set at least as similar as the column ``found`` says.
+
+    The distance of sets is a metric, so a set in a cell is at least as far as the query is from the cell's ring; and sets of
+    different sizes are no more similar than their sizes are.
+    """
+    kind = queries.schema["vec_id"].dataType.simpleString()
+    to = _Index(pivots)
+    pivot, near, far, least, most, chunks = (about[k].to_numpy() for k in ("pivot", "near", "far", "least", "most", "chunks"))
+
+    def ask(batches):
+        for part in batches:
+            rows = []
+            for k, (qid, bits) in enumerate(zip(part["vec_id"], part["bits"], strict=True)):
+                away, size = to.distances(bits)[pivot], len(bits)
+                bound = np.minimum(1.0 - np.maximum(np.maximum(away - far, near - away), 0.0), np.minimum(size / least, most / size))
+                best = int(bound.argmax())
+                if first:
+                    cells = [best]
+                else:
+                    cells = np.flatnonzero((bound > 0) & (bound >= part["found"].iat[k] - SLACK))
+                    cells = cells[cells != best]
+                rows += [(int(c), j, qid, bits) for c in cells for j in range(chunks[c])]
+                if len(rows) >= 10_000:
+                    yield pd.DataFrame(rows, columns=["cell", "chunk", "vec_id", "bits"])
+                    rows = []
+            yield pd.DataFrame(rows, columns=["cell", "chunk", "vec_id", "bits"])
+
+    return queries.mapInPandas(ask, f"cell long, chunk long, vec_id {kind}, bits array<long>")
+
+
+def _searched(dealt: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, tid, shared, total) of the best set of each chunk that a query was sent to; none where nothing is shared.
+
+    A task reads the sets of a chunk into inverted lists, and then the queries for it, in any number, one after another.
+    """
+    kind = dealt.schema["vec_id"].dataType.simpleString()
+
+    def search(batches):
+        at, ids, sets, index = None, [], [], None
+        for part in batches:
+            out = []
+            for cell, chunk, is_query, own, bits in zip(part["cell"], part["chunk"], part["is_query"], part["vec_id"], part["bits"], strict=True):
+                if (cell, chunk) != at:
+                    at, ids, sets, index = (cell, chunk), [], [], None
+                if not is_query:
+                    ids.append(own)
+                    sets.append(bits)
+                    continue
+                index = index or _Index(sets)
+                both = index.shared(bits)
+                union = index.sizes + len(bits) - both
+                k = int((both / union).argmax())  # sets come by rising id, so of equals the least
+                if both[k]:
+                    out.append((own, ids[k], int(both[k]), int(union[k])))
+            yield pd.DataFrame(out, columns=["qid", "tid", "shared", "total"])
+
+    both = dealt.withColumn("is_query", F.lit(False)).unionByName(asked.withColumn("is_query", F.lit(True)))
+    order = both.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "is_query", "vec_id")
+    return order.mapInPandas(search, f"qid {kind}, tid {kind}, shared long, total long").withColumn("similarity", F.col("shared") / F.col("total"))
+
+
+def nearest(queries: DataFrame, train: DataFrame, pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
     """For each query set the most similar training set, exactly: (vec_id, match, similarity to four places).
 
-    Queries are told to the tasks in blocks of ``block`` sets, and every task compares its training sets with a block as
-    products of bit matrices; it gives one row for each query, whatever it holds. No training set moves. Of equally similar
-    sets that with the least id is the match. A query that shares no element with any set has similarity 0 and no match.
+    Equal training sets count once, with their least id. Sets lie in cells by their nearest pivot, their distance to it and
+    their size, in chunks of about ``chunk``. A query is first searched for in its most promising cell; what it finds there
+    rules out all cells whose bound is below, and it is searched for in the others. Pivots change what is compared, never
+    what is found. Of equally similar sets that with the least id is the match. A query that is null, empty, or shares no
+    element with any set has similarity 0 and no match; repeated elements and nulls in a set don't count.
+
+    The driver gets the pivots and a row for each cell. No task holds more than a chunk of sets and a batch of queries.
     """
-    spark = queries.sparkSession
-    dealt = materialise(queries.select("vec_id", "bits", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-queries.count() // block)))).alias("block")), "queries")
-    n_blocks = dealt.agg(F.max("block")).first()[0]
     kind = queries.schema["vec_id"].dataType.simpleString()
-    scored = None
-    for k in range((n_blocks if n_blocks is not None else -1) + 1):
-        # A block at a time, of a bounded size.
-        own = dealt.where(F.col("block") == k).select("vec_id", "bits").toPandas()
-        sent = spark.sparkContext.broadcast((own["vec_id"].to_numpy(), own["bits"].tolist()))
-        made = train.select("vec_id", "bits").mapInPandas(lambda batches, sent=sent: _best(batches, *sent.value), f"qid {kind}, tid {kind}, shared long, total long")
-        scored = made if scored is None else scored.unionByName(made)
-    if scored is None:
+    clean = _clean(train)
+    # Copies may take the places of several pivots: then there are fewer.
+    chosen = [list(b) for b in dict.fromkeys(tuple(r.bits) for r in clean.orderBy(F.xxhash64("bits"), "bits").limit(pivots).select("bits").collect())]
+    if not chosen:
         return queries.select("vec_id", F.lit(None).cast(kind).alias("match"), F.lit(0.0).alias("similarity"))
-    scored = scored.withColumn("similarity", F.col("shared") / F.col("total"))
+    dealt, about = _cells(clean.groupBy("bits").agg(F.min("vec_id").alias("vec_id")), chosen, chunk)
+    asking = _clean(queries).distinct()
+    first = materialise(_searched(dealt, _asked(asking, chosen, about, True)), "first")
+    known = asking.join(first.groupBy(F.col("qid").alias("vec_id")).agg(F.max("similarity").alias("found")), "vec_id", "left").na.fill(0.0, ["found"])
+    scored = first.unionByName(_searched(dealt, _asked(known, chosen, about, False)))
     best = scored.groupBy("qid").agg(F.max_by("tid", F.struct("similarity", -F.col("tid"))).alias("match"), F.max("similarity").alias("similarity"))
     return queries.select(F.col("vec_id").alias("qid")).join(best, "qid", "left").select(F.col("qid").alias("vec_id"), "match", F.bround(F.coalesce("similarity", F.lit(0.0)), 4).alias("similarity"))
 
 
-def _best(batches, ids: np.ndarray, bits: list):
-    """For each query the best training set of a task: (query, set, shared elements, elements of both); none where nothing is shared."""
-    size = max((int(max(b)) for b in bits if len(b)), default=-1) + 1
-
-    def matrix(sets) -> np.ndarray:
-        out = np.zeros((len(sets), size), dtype=np.float32)
-        for r, b in enumerate(sets):
-            b = np.asarray(b, dtype=np.int64)
-            out[r, b[b < size]] = 1
-        return out
-
-    asked, counts = matrix(bits), np.array([len(b) for b in bits], dtype=np.int64)
-    shared, total, match = np.zeros(len(ids), np.int64), np.ones(len(ids), np.int64), np.zeros(len(ids), ids.dtype)
-    for part in batches:
-        for at in range(0, len(part), 1024):
-            own = part.iloc[at : at + 1024].sort_values("vec_id")
-            both = (asked @ matrix(own["bits"].tolist()).T).astype(np.int64)
-            union = counts[:, None] + own["bits"].map(len).to_numpy()[None, :] - both
-            top = (both / np.maximum(union, 1)).argmax(1)
-            rows = np.arange(len(ids))
-            b, u, t = both[rows, top], np.maximum(union[rows, top], 1), own["vec_id"].to_numpy()[top]
-            # Shares are compared as products of whole numbers.
-            better = (b * total > shared * u) | ((b * total == shared * u) & (b > 0) & (t < match))
-            shared, total, match = np.where(better, b, shared), np.where(better, u, total), np.where(better, t, match)
-    there = shared > 0
-    yield pd.DataFrame({"qid": ids[there], "tid": match[there], "shared": shared[there], "total": total[there]})
-
-
 def domain(similarities: DataFrame, share: float = 0.05) -> DataFrame:
     """The similarity that a share of training sets stays below (linear interpolation), the least and the mean.
 

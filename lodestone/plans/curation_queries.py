@@ -69,7 +69,15 @@ def j16(spark, d):
     return boxes.suppress(records(spark, d, "boxes"))
 
 
-@query("g05_box_merge")
+_UNION = "{'x1': list_min(list_transform(h, lambda y: y.x1)), 'y1': list_min(list_transform(h, lambda y: y.y1)), 'x2': list_max(list_transform(h, lambda y: y.x2)), 'y2': list_max(list_transform(h, lambda y: y.y2))}"
+
+
+@query("g05_box_merge", twin(f"""o AS (SELECT page_id, list({{'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY y1, x1, box_id) AS found FROM boxes GROUP BY 1),
+    s AS (SELECT page_id, 1 AS k, found[1] AS x, found[1:0] AS regions FROM o
+      UNION ALL SELECT page_id, CASE WHEN len(hit) = 0 THEN k + 1 ELSE k END, CASE WHEN len(hit) = 0 THEN found[k + 1] ELSE {_UNION} END, CASE WHEN len(hit) = 0 THEN list_append(regions, x) ELSE rest END
+      FROM (SELECT *, list_append(hit, x) AS h FROM (SELECT page_id, k, x, regions, list_filter(regions, lambda y: {_share('x', 'y')} >= 0.5) AS hit, list_filter(regions, lambda y: {_share('x', 'y')} < 0.5) AS rest FROM s) JOIN o USING (page_id)) WHERE k <= len(found)),
+    e AS (SELECT page_id, unnest(regions) AS b FROM s JOIN o USING (page_id) WHERE k = len(found) + 1)
+    SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY b.y1, b.x1, b.y2, b.x2) AS region, b.x1 AS x1, b.y1 AS y1, b.x2 AS x2, b.y2 AS y2 FROM e""", "boxes").replace("WITH ", "WITH RECURSIVE ", 1))
 def g05(spark, d):
     return boxes.merge(records(spark, d, "boxes"))
 

@@ -1,6 +1,7 @@
 """Folds and joins whose steps depend on each other, against plain versions; odd inputs."""
 
 import random
+import time
 from collections import defaultdict
 
 import pandas as pd
@@ -258,3 +259,81 @@ def test_numbered(spark):
     for g, own in by.items():
         own.sort()
         assert [p for p, _ in own] == list(range(len(own))) and [v for _, v in own] == sorted(v for h, v in rows if h == g)
+
+
+def test_nearest_by_pivots_is_exact_and_skips(spark):
+    rng = random.Random(18)
+    # Forty families whose members share most of their elements, one copied over a third of the rows, and odd sets.
+    sets = []
+    for i in range(600):
+        family = i % 40
+        core = range(1000 * family, 1000 * family + 30)
+        sets.append((i, 0, sorted(rng.sample(core, 24))))
+    sets += [(600 + i, 0, list(range(5000, 5020))) for i in range(300)]
+    sets += [(900, 0, None), (901, 0, []), (902, 0, [7777777]), (903, 0, [3, 3, None, 4])]
+    df = spark.createDataFrame(sets, "vec_id long, label int, bits array<int>")
+    asked = "vec_id % 20 = 0 or vec_id >= 900"
+    got = {r.vec_id: (r.match, r.similarity) for r in similarity.nearest(df.where(asked), df.where(f"not ({asked})"), chunk=16).collect()}
+    plain = {i: set(b or ()) - {None} for i, _, b in sets}
+    train = [i for i in plain if i % 20 and i < 900]
+    assert set(got) == set(plain) - set(train)
+    for i in got:
+        best = max(((len(plain[i] & plain[j]) / len(plain[i] | plain[j]), -j) for j in train if plain[i] & plain[j]), default=None)
+        assert got[i] == ((None, 0.0) if best is None else (-best[1], round(best[0], 4))), i
+    # Pairs compared: whole chunks that a query is sent to.
+    clean = similarity._clean(df)
+    pivots = [list(r.bits) for r in clean.orderBy(F.xxhash64("bits")).dropDuplicates(["bits"]).limit(32).collect()]
+    dealt, about = similarity._cells(clean.where(f"not ({asked})"), pivots, 16)
+    asking = clean.where("vec_id % 20 = 0").withColumn("found", F.lit(0.5))
+    sent = similarity._asked(asking, pivots, about, False).groupBy("cell", "chunk").agg(F.count("*").alias("q")).join(dealt.groupBy("cell", "chunk").agg(F.count("*").alias("t")), ["cell", "chunk"])
+    assert sent.agg(F.sum(F.col("q") * F.col("t"))).first()[0] < 0.3 * asking.count() * len(train)
+    assert [tuple(r) for r in similarity.nearest(df.where("vec_id = 3"), df.where("false")).collect()] == [(3, None, 0.0)]
+
+
+def test_dense_pages_compare_near_boxes_only():
+    rng = random.Random(4)
+
+    def plain(rows):
+        regions = []
+        for box in rows:
+            while hit := [o for o in regions if boxes._smaller(box, o) >= 0.5]:
+                regions = [o for o in regions if o not in hit]
+                for o in hit:
+                    box = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3]))
+            regions.append(box)
+        return sorted(regions)
+
+    for side in (60, 400, 3000):
+        rows = [(x, y, x + rng.randrange(-1, rng.choice((3, 30, 300))), y + rng.randrange(30)) for x, y in ((rng.randrange(-side, side), rng.randrange(side)) for _ in range(400))]
+        state = boxes._Regions(1, 0.5)
+        for k, b in enumerate(rows):
+            state.take(k, *b)
+        assert sorted(state.regions.values()) == plain(rows)
+        chosen, kept = boxes._Uncovered(1, 0.68), []
+        for k, b in enumerate(rows):
+            free = not any(boxes._smaller(b, o) >= 0.68 for o in kept)
+            assert bool(chosen.take(k, "proposal", *b)) == free
+            kept += [b] if free else []
+    start = time.time()
+    state = boxes._Regions(1, 0.5)
+    for k in range(100_000):
+        x, y = rng.randrange(60_000), rng.randrange(60_000)
+        state.take(k, x, y, x + 40, y + 40)
+    assert len(state.end()) > 50_000 and time.time() - start < 60
+    with pytest.raises(ValueError):
+        boxes.merge(None, 0.0)
+
+
+def test_release_summary_of_few_columns(spark):
+    schema = "sample_id long, expected_action string, truth_key string, predicted_key string, recognition_success boolean, confidence_milli long, inference_time_ms long, recognition_decision string, manual_review_recommended boolean, category string, perturbation string, message string"
+    rows = [(1, "recognize", "A", "A", True, 900, 10, "accepted", False, "x", "", ""), (2, None, "A", None, None, None, None, None, None, None, None, None), (3, "reject", "B", "B", True, 2000, 30, "accepted", False, "x", "blur", "")]
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.dimension, r.value): r for r in metrics.release_summary(df, ("category", "backend")).collect()}
+    assert set(got) == {("all", "all"), ("category", "x"), ("category", "unknown"), ("backend", "unknown")}
+    r = got["all", "all"]
+    assert (r.n_total, r.n_positive, r.n_exact, r.n_false_accept, r.n_confidence, r.calibration_error, r.n_latency, r.p95_latency_ms) == (3, 2, 1, 1, 1, 0.1, 2, 30)
+    assert (r.n_similarity, r.mean_similarity, r.stereo_exact_rate, r.n_sources, r.failure_distribution) == (0, None, None, 0, "unknown_backend_failure=1")
+    alone = got["category", "unknown"]
+    assert (alone.n_total, alone.n_latency, alone.median_latency_ms, alone.calibration_error) == (1, 0, None, None)
+    assert metrics.release_summary(df.where("false")).count() == 0
+    assert metrics.trusted_summary(df).first().n_charge_differs == 0
