@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import codes, count_if, ladder
@@ -90,3 +90,14 @@ def outcome_flags(candidates: DataFrame) -> DataFrame:
     both = consensus(candidates).join(truth, "sample_id")
     right, accepted, c = F.coalesce(F.col("recommended_key") == F.col("truth_key"), F.lit(False)), F.col("decision") == "accepted_with_warning", F.col
     return both.agg(F.count("*").alias("n"), count_if(accepted & right).alias("correct_accept"), count_if(accepted & ~right).alias("wrong_accept"), count_if((c("decision") == "rejected") & ~c("any_right")).alias("correct_reject"), count_if((c("decision") == "rejected") & c("any_right")).alias("unnecessary_reject"), count_if(c("decision") == "review_needed").alias("abstention"))
+
+
+def attempts_made(attempts: DataFrame, key: str, turn: str, success: Column, valid: Column, reasons: Column) -> DataFrame:
+    """Attempts with their reasons to go on, whether each could be the last, and whether it is made at all.
+
+    An attempt that succeeds with a valid result and no reason to go on stops those after it: ``reasons``, ``stops``, ``made``. A
+    key has a handful of attempts; of equal turns all are made or none.
+    """
+    stops = F.coalesce(success & valid, F.lit(False)) & (F.size("reasons") == 0)
+    before = Window.partitionBy(key).orderBy(turn).rangeBetween(Window.unboundedPreceding, -1)
+    return attempts.withColumn("reasons", reasons).withColumn("stops", stops).withColumn("made", ~F.coalesce(F.max("stops").over(before), F.lit(False)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,3 +187,34 @@ def guarded_features(df: DataFrame, allowed: tuple[str, ...], telltale: tuple[st
         if names:
             raise ValueError(f"features {what}: {', '.join(sorted(names))}")
     return df.select(*allowed)
+
+
+def holdout_findings(held: DataFrame, reference: DataFrame, sources: DataFrame, keys: tuple[str, ...], identity: str, types: tuple[str, ...], *, role: str = "external_holdout", least: int = 300) -> DataFrame:
+    """(code, n): what speaks against a held-out set, each code with how often; no row if nothing does.
+
+    - ``<key>_leakage``: values of each of ``keys`` that the reference set has too;
+    - ``wrong_split``: rows whose split is not ``role``;
+    - ``untyped_perturbation``: perturbed rows whose perturbation is none of ``types``; ``type_missing``: types that no row has;
+    - ``not_byte_exact``: official rows whose checksum is not that of their source, or that have no source;
+    - ``too_few_identities``: how many identities are missing to ``least``.
+
+    Rows are perturbed or official by ``image_variant``; ``sources`` has ``identity`` once and ``response_sha256``. Missing
+    values of keys are no leak; missing checksums are not exact.
+    """
+    c = F.col
+    found = []
+    for k in keys:
+        shared = held.select(k).where(c(k).isNotNull()).distinct().join(reference.select(k).distinct(), k, "left_semi")
+        found.append(shared.agg(F.count("*").alias("n")).select(F.lit(f"{k}_leakage").alias("code"), "n"))
+    perturbed = c("image_variant") == "synthetic_perturbation"
+    typed = F.coalesce(c("perturbation").isin(*types), F.lit(False))
+    has = [F.max(F.when(perturbed & (c("perturbation") == t), 1)).isNull().cast("long") for t in types]
+    counts = {
+        "wrong_split": count_if(~c("split").eqNullSafe(role)), "untyped_perturbation": count_if(perturbed & ~typed),
+        "type_missing": sum(has[1:], has[0]), "too_few_identities": F.greatest(F.lit(0), least - F.count_distinct(identity)).cast("long"),
+    }
+    one = held.agg(*[v.alias(k) for k, v in counts.items()])
+    found.append(one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("code"), c(k).alias("n")) for k in counts])).alias("x")).select("x.*"))
+    official = held.where("image_variant = 'official_clean'").join(sources.select(identity, "response_sha256"), identity, "left")
+    found.append(official.where(~F.coalesce(c("image_sha256") == c("response_sha256"), F.lit(False))).agg(F.count("*").alias("n")).select(F.lit("not_byte_exact").alias("code"), "n"))
+    return reduce(DataFrame.unionByName, found).where("n > 0")

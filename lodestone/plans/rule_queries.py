@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import decisions, measures, states
 from lodestone.functions.columns import codes, count_if, filled, ladder
 from lodestone.functions.rules import license_allowed
-from lodestone.operators import consensus, dedup, metrics, reports, review, splits
+from lodestone.operators import consensus, dedup, metrics, reports, review, splits, validation
 from lodestone.operators.tables import materialise
 from lodestone.plans.job_queries import nested_reports
 from lodestone.plans.registry import query
@@ -58,6 +58,23 @@ def p47(spark, d):
     return records(spark, d, "predictions").select("sample_id", F.array_join(found, ",").alias("reasons"))
 
 
+@query("p47_attempts_made", twin("""a AS (SELECT *, coalesce(canonical_key, '') <> '' AS there, atom_count * 20 AS conf, priority = 1 AS orig, atom_count % 7 = 0 AS blurred, atom_count % 5 = 0 AND priority = 1 AS faint, atom_count % 6 = 1 AS small, atom_count % 4 <> 0 AS passed FROM candidates),
+    u AS (SELECT *, status = 'success' AND there AND valid AND conf >= 300 AS good FROM a),
+    r AS (SELECT *, concat_ws(',', CASE WHEN blurred THEN 'image_quality_blurred' END, CASE WHEN NOT good AND NOT passed AND NOT blurred AND NOT faint AND NOT small THEN 'image_quality_failed' END, CASE WHEN faint THEN 'image_quality_low_contrast' END,
+      CASE WHEN small AND (NOT good OR blurred OR faint) THEN 'image_quality_low_resolution' END, CASE WHEN there AND NOT valid THEN 'invalid' END, CASE WHEN conf < 300 THEN 'low_confidence' END, CASE WHEN NOT there THEN 'missing_result' END,
+      CASE WHEN status <> 'success' THEN 'recognition_failed' END, CASE WHEN formal_charge = 1 THEN 'result_review_needed' END) AS reasons FROM u),
+    s AS (SELECT *, status = 'success' AND valid AND reasons = '' AS stops FROM r)
+    SELECT sample_id, backend, reasons, stops, NOT coalesce(bool_or(stops) OVER (PARTITION BY sample_id ORDER BY priority RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS made FROM s""", "candidates"))
+def p47_attempts(spark, d):
+    c = F.col
+    n = c("atom_count")
+    quality = codes(("blurred", n % 7 == 0), ("low_contrast", n % 5 == 0), ("low_resolution", n % 6 == 1))
+    success = c("status") == "success"
+    why = decisions.retry_codes(success, c("canonical_key"), c("valid"), n * 20, F.when(c("formal_charge") == 1, "review_needed"), 300, quality, n % 4 != 0, c("priority") == 1)
+    made = consensus.attempts_made(records(spark, d, "candidates"), "sample_id", "priority", success, c("valid"), why)
+    return made.select("sample_id", "backend", F.array_join("reasons", ",").alias("reasons"), "stops", "made")
+
+
 @query("p26_consensus_decisions", twin("""v AS (SELECT sample_id, canonical_key, count(*) AS n FROM candidates WHERE status = 'success' AND canonical_key IS NOT NULL AND valid GROUP BY 1, 2), g AS (SELECT sample_id, sum(n) AS n_valid, max(n) AS most FROM v GROUP BY 1),
     a AS (SELECT sample_id, count(*) FILTER (status = 'success' AND canonical_key IS NOT NULL) AS tried FROM candidates GROUP BY 1)
     SELECT sample_id, CASE WHEN n_valid IS NULL THEN 'rejected' WHEN most > 1 OR n_valid = 1 THEN 'accepted_with_warning' ELSE 'review_needed' END AS decision FROM a LEFT JOIN g USING (sample_id)""", "candidates"))
@@ -258,6 +275,25 @@ def v03(spark, d):
     return shared.crossJoin(test)  # one row each
 
 
+_HELD = """h AS (SELECT CASE WHEN split = 'test' THEN 'external_holdout' ELSE split END AS split, sample_id, inchikey, content_key, CASE WHEN perturbation = 'blur' THEN 'synthetic_perturbation' ELSE 'official_clean' END AS image_variant,
+      CASE WHEN perturbation = 'blur' THEN CASE sample_id % 4 WHEN 0 THEN 'blur' WHEN 1 THEN 'noise' WHEN 2 THEN 'rotation' END END AS perturbation, CASE WHEN size_bytes % 11 = 0 THEN inchikey ELSE content_key END AS image_sha256 FROM samples WHERE split <> 'train')"""
+
+
+@query("v03_holdout_findings", twin(f"""{_HELD}, t AS (SELECT unnest(['blur', 'noise', 'rotation', 'skew']) AS t),
+    f AS (SELECT 'inchikey_leakage' AS code, (SELECT count(DISTINCT inchikey) FROM h WHERE inchikey IN (SELECT inchikey FROM samples WHERE split = 'train' AND inchikey IS NOT NULL)) AS n
+    UNION ALL SELECT 'content_key_leakage', (SELECT count(DISTINCT content_key) FROM h WHERE content_key IN (SELECT content_key FROM samples WHERE split = 'train' AND content_key IS NOT NULL))
+    UNION ALL SELECT 'wrong_split', (SELECT count(*) FROM h WHERE split <> 'external_holdout') UNION ALL SELECT 'untyped_perturbation', (SELECT count(*) FROM h WHERE image_variant = 'synthetic_perturbation' AND perturbation IS NULL)
+    UNION ALL SELECT 'type_missing', (SELECT count(*) FROM t WHERE t NOT IN (SELECT perturbation FROM h WHERE perturbation IS NOT NULL)) UNION ALL SELECT 'too_few_identities', (SELECT greatest(0, 300 - count(DISTINCT sample_id)) FROM h)
+    UNION ALL SELECT 'not_byte_exact', (SELECT count(*) FROM h WHERE image_variant = 'official_clean' AND image_sha256 IS DISTINCT FROM CASE WHEN sample_id % 20 <> 0 THEN content_key END)) SELECT * FROM f WHERE n > 0""", "samples"))
+def v03_findings(spark, d):
+    rows, c = records(spark, d, "samples"), F.col
+    blurred = c("perturbation") == "blur"
+    kind = F.when(c("sample_id") % 4 == 0, "blur").when(c("sample_id") % 4 == 1, "noise").when(c("sample_id") % 4 == 2, "rotation")
+    held = rows.where("split <> 'train'").select("sample_id", "inchikey", "content_key", F.when(c("split") == "test", "external_holdout").otherwise(c("split")).alias("split"), F.when(blurred, "synthetic_perturbation").otherwise("official_clean").alias("image_variant"), F.when(blurred, kind).alias("perturbation"), F.when(c("size_bytes") % 11 == 0, c("inchikey")).otherwise(c("content_key")).alias("image_sha256"))
+    sources = rows.where("sample_id % 20 <> 0").select("sample_id", c("content_key").alias("response_sha256"))
+    return validation.holdout_findings(held, rows.where("split = 'train'"), sources, ("inchikey", "content_key"), "sample_id", ("blur", "noise", "rotation", "skew"))
+
+
 @query("v05_annotation_errors", twin("SELECT page_id, box_id, CASE WHEN x2 > 450 OR y2 > 450 THEN 'outside_page' WHEN decision = 'reject_negative' THEN 'unknown_class' ELSE 'incomplete' END AS error FROM boxes WHERE x2 > 450 OR y2 > 450 OR decision = 'reject_negative' OR x1 = y1", "boxes"))
 def v05(spark, d):
     c = F.col

@@ -9,9 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import tanimoto
-from lodestone.functions.decisions import short_text
+from lodestone.functions.decisions import retry_codes, short_text
 from lodestone.functions.rules import license_allowed, license_key, tidy_message
-from lodestone.operators import boxes, confusion, consensus, dedup, edits, metrics, review, similarity, splits
+from lodestone.operators import boxes, confusion, consensus, dedup, edits, metrics, review, similarity, splits, validation
 from lodestone.operators.graph import components
 from lodestone.operators.order import numbered
 
@@ -337,3 +337,26 @@ def test_release_summary_of_few_columns(spark):
     assert (alone.n_total, alone.n_latency, alone.median_latency_ms, alone.calibration_error) == (1, 0, None, None)
     assert metrics.release_summary(df.where("false")).count() == 0
     assert metrics.trusted_summary(df).first().n_charge_differs == 0
+
+
+def test_attempts_stop_at_the_first_usable_one(spark):
+    rows = [(1, 1, False, None, False, None, None), (1, 2, True, "A", True, 900, None), (1, 3, True, "A", True, 900, None), (2, 1, True, "A", True, None, ["low_contrast"]), (2, 2, True, "A", True, 900, ["low_contrast"]), (2, 3, True, "B", True, 900, []), (3, 1, True, "", False, 100, [])]
+    df = spark.createDataFrame(rows, "k long, turn int, success boolean, result string, valid boolean, confidence long, quality array<string>")
+    c = F.col
+    why = retry_codes(c("success"), c("result"), c("valid"), c("confidence"), F.lit(None).cast("string"), 300, c("quality"), F.lit(False), c("turn") == 1)
+    got = {(r.k, r.turn): (r.reasons, r.stops, r.made) for r in consensus.attempts_made(df, "k", "turn", c("success"), c("valid"), why).collect()}
+    assert got[1, 1] == (["image_quality_failed", "missing_result", "recognition_failed"], False, True)
+    assert got[1, 2] == ([], True, True) and not got[1, 3][2]
+    assert got[2, 1] == (["image_quality_low_contrast"], False, True) and got[2, 2] == ([], True, True) and not got[2, 3][2]
+    assert got[3, 1][0] == ["image_quality_failed", "low_confidence", "missing_result"]
+
+
+def test_holdout_findings_of_odd_sets(spark):
+    schema = "cid string, key string, split string, image_variant string, perturbation string, image_sha256 string"
+    sources = spark.createDataFrame([("1", "s1")], "cid string, response_sha256 string")
+    found = lambda rows, least: {r.code: r.n for r in validation.holdout_findings(spark.createDataFrame(rows, schema), reference, sources, ("key",), "cid", ("blur",), least=least).collect()}
+    reference = spark.createDataFrame([("9", "k9", "train", None, None, None)], schema)
+    good = [("1", "k1", "external_holdout", "official_clean", None, "s1"), ("2", None, "external_holdout", "synthetic_perturbation", "blur", None)]
+    assert found(good, 2) == {}
+    assert found([("1", "k9", None, "official_clean", None, None), ("2", "k9", "external_holdout", "synthetic_perturbation", None, None)], 3) == {"key_leakage": 1, "wrong_split": 1, "untyped_perturbation": 1, "type_missing": 1, "not_byte_exact": 1, "too_few_identities": 1}
+    assert found([], 2) == {"type_missing": 1, "too_few_identities": 2}
