@@ -88,14 +88,16 @@ SETTINGS = {"blank_ink": 20, "text_lines": 5, "least_width": 70, "least_height":
 
 @query("p34_p35_crop_screening", twin("""m AS (SELECT sample_id, atom_count * 17 % 900 AS ink, atom_count AS parts, priority AS lines, 400 + atom_count * 53 % 1700 AS aspect, valid AS sk, 1 + priority % 4 AS cl, 50 + atom_count * 7 % 200 AS w, 60 + atom_count * 11 % 200 AS h, CASE WHEN priority = 7 THEN 'Fig. 2' ELSE '' END AS t FROM candidates),
     s AS (SELECT *, 240 + CASE WHEN ink BETWEEN 50 AND 600 THEN 180 ELSE 0 END + CASE WHEN parts >= 4 THEN 120 ELSE 0 END + CASE WHEN sk THEN 180 ELSE 0 END + CASE WHEN aspect BETWEEN 500 AND 1500 THEN 100 ELSE 0 END + CASE WHEN cl = 1 THEN 60 ELSE 0 END AS score FROM m),
-    l AS (SELECT *, CASE WHEN ink < 20 THEN 'blank' WHEN t <> '' AND NOT sk THEN 'text' WHEN lines >= 5 AND NOT sk THEN 'text' WHEN w < 70 OR h < 70 THEN 'text' WHEN aspect >= 1800 AND parts <= 3 THEN 'reaction' WHEN cl >= 3 AND parts >= 20 THEN 'multiple_molecules' WHEN sk AND score >= 500 THEN 'molecule' ELSE 'uncertain' END AS label FROM s)
-    SELECT label, CASE WHEN label = 'molecule' THEN 'accept_molecule' WHEN label IN ('blank', 'text', 'reaction') THEN 'reject_negative' ELSE 'review_needed' END AS decision, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM l GROUP BY 1""", "candidates"))
+    l AS (SELECT *, CASE WHEN ink < 20 THEN 'blank' WHEN t <> '' AND NOT sk THEN 'text' WHEN lines >= 5 AND NOT sk THEN 'text' WHEN w < 70 OR h < 70 THEN 'text' WHEN aspect >= 1800 AND parts <= 3 THEN 'reaction' WHEN cl >= 3 AND parts >= 20 THEN 'multiple_molecules' WHEN sk AND score >= 500 THEN 'molecule' ELSE 'uncertain' END AS label,
+      CASE WHEN ink < 20 THEN 'blank' WHEN t <> '' AND NOT sk THEN 'short_text_hard_reject,pdf_text_token' WHEN lines >= 5 AND NOT sk THEN 'text_like' WHEN w < 70 OR h < 70 THEN 'too_small,text_like' WHEN aspect >= 1800 AND parts <= 3 THEN 'reaction_arrow'
+        WHEN cl >= 3 AND parts >= 20 THEN 'multiple_or_merged_region' WHEN sk AND score >= 500 THEN 'possible_molecule' WHEN NOT sk THEN 'missing_skeleton_evidence' ELSE 'uncertain' END AS reasons FROM s)
+    SELECT label, reasons, CASE WHEN label = 'molecule' THEN 'accept_molecule' WHEN label IN ('blank', 'text', 'reaction') THEN 'reject_negative' ELSE 'review_needed' END AS decision, count(*) AS n, CAST(sum(score) AS BIGINT) AS score FROM l GROUP BY 1, 2""", "candidates"))
 def p34(spark, d):
     a, p = F.col("atom_count"), F.col("priority")
     rows = records(spark, d, "candidates").select(
         (a * 17 % 900).alias("ink_milli"), a.alias("components"), p.alias("text_lines"), (400 + a * 53 % 1700).alias("aspect_milli"), F.col("valid").alias("skeleton"), (1 + p % 4).alias("clusters"), (50 + a * 7 % 200).alias("width"), (60 + a * 11 % 200).alias("height"), F.when(p == 7, "Fig. 2").otherwise("").alias("text")
     )
-    return rows.select(decisions.screening(F.col, SETTINGS).alias("s")).groupBy("s.label", "s.decision").agg(F.count("*").alias("n"), F.sum("s.score_milli").alias("score"))
+    return rows.select(decisions.screening(F.col, SETTINGS).alias("s")).groupBy("s.label", "s.decision", F.array_join("s.reasons", ",").alias("reasons")).agg(F.count("*").alias("n"), F.sum("s.score_milli").alias("score"))
 
 
 @query("p36_short_tokens", """WITH k AS (SELECT p_partkey, p_partkey % 12 AS kind, CASE p_partkey % 12 WHEN 0 THEN 'Fig. ' || CAST(p_size AS VARCHAR) WHEN 1 THEN '(' || substr(p_name, 1, 1) || ').' WHEN 2 THEN CAST(p_size AS VARCHAR) || '.' || CAST(p_size % 7 AS VARCHAR) WHEN 3 THEN CAST(p_size AS VARCHAR) || ' mg' WHEN 4 THEN 'K g' WHEN 5 THEN p_brand WHEN 6 THEN p_name
