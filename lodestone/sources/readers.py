@@ -101,9 +101,12 @@ def metrics_files(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("backend", F.regexp_extract(F.col("_metadata.file_name"), "^(.*)_metrics[.]json$", 1))
 
 
-def audits(spark: SparkSession, path: str, key: str = "sample_id") -> DataFrame:
-    """One JSON record a file; unreadable files are skipped and the last file of a key counts."""
-    df = spark.read.json(path, multiLine=True, mode="DROPMALFORMED").withColumn("file", F.col("_metadata.file_name"))
+def audits(spark: SparkSession, path: str, key: str = "sample_id", schema: str | None = None) -> DataFrame:
+    """One JSON record a file, in folders of any depth; unreadable files are skipped and the last file of a key counts.
+
+    Without ``schema`` all files are read once more to find it, and the driver lists them one by one.
+    """
+    df = spark.read.json(path, schema, multiLine=True, mode="DROPMALFORMED", recursiveFileLookup=True).withColumn("file", F.col("_metadata.file_name"))
     return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), "file").alias("r")).select("r.*")
 
 

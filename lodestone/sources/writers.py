@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +35,31 @@ def named_list(df: DataFrame, path: str, value: str, name: str) -> None:
     df.select(F.concat_ws("\t", value, name).alias("value")).write.text(path)
 
 
+def small_files(rows: DataFrame, path: str, name: Column, content: Column, per_folder: int = 250) -> None:
+    """A file for each row, in numbered folders of about ``per_folder``; names differ, so a task that runs again writes the same files.
+
+    Each folder is written by one task straight into its place: nothing is renamed by the driver, and readers list the folders
+    in tasks.
+    """
+    folders = max(1, -(-rows.count() // per_folder))
+
+    def write(batches):
+        store, root = fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+        made, n = set(), 0
+        for part in batches:
+            for folder, own, text in zip(part["folder"], part["name"], part["content"], strict=True):
+                if folder not in made:
+                    store.create_dir(f"{root}/{folder}")
+                    made.add(folder)
+                with store.open_output_stream(f"{root}/{folder}/{own}") as file:
+                    file.write(text.encode())
+                n += 1
+        yield pd.DataFrame({"n": [n]})
+
+    named = rows.select(name.alias("name"), content.alias("content")).withColumn("folder", F.pmod(F.xxhash64("name"), F.lit(folders)))
+    named.repartition(folders, "folder").mapInPandas(write, "n long").agg(F.sum("n")).collect()  # one number
+
+
 def routed(df: DataFrame, folder: str, routes: dict[str, Column]) -> None:
     """A Parquet table for each route with the rows that meet its condition; a row may go to several."""
     for name, condition in routes.items():

@@ -46,6 +46,15 @@ def test_json_and_checksums(spark, tmp_path):
     assert {r.name: r.sha256 for r in readers.checksum_list(spark, str(tmp_path / "sums.txt")).collect()} == sums
 
 
+def test_small_files_lie_in_folders(spark, tmp_path):
+    rows, path = spark.range(600), str(tmp_path / "audits")
+    writers.small_files(rows, path, F.format_string("a%d.json", "id"), F.format_string('{"sample_id": %d, "v": "é"}', "id"), per_folder=50)
+    (tmp_path / "audits" / "broken.json").write_text('{"sample_id": 1, "v')
+    held = [len(list(f.iterdir())) for f in (tmp_path / "audits").iterdir() if f.is_dir()]
+    assert sum(held) == 600 and len(held) > 8 and max(held) < 100
+    assert sorted(tuple(r)[:2] for r in readers.audits(spark, path, schema="sample_id long, v string").collect()) == [(i, "é") for i in range(600)]
+
+
 def test_archives(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
