@@ -121,8 +121,9 @@ def page_annotations(spark: SparkSession, path: str) -> DataFrame:
 
 def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """(name, size, sha256) of files under a folder."""
+    # Each task gets a few files only: their rows are put together again.
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).hint("rebalance")
 
 
 def checksum_list(spark: SparkSession, path: str) -> DataFrame:

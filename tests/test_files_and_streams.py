@@ -1,5 +1,6 @@
 """Readers, writers and streams over small files that the tests write."""
 
+import hashlib
 import io
 import json
 import zipfile
@@ -55,6 +56,14 @@ def test_small_files_lie_in_folders(spark, tmp_path):
     assert sorted(tuple(r)[:2] for r in readers.audits(spark, path, schema="sample_id long, v string").collect()) == [(i, "é") for i in range(600)]
 
 
+def test_checksums_of_many_files_come_in_few_parts(spark, tmp_path):
+    writers.small_files(spark.range(300), str(tmp_path), F.format_string("part-%d", "id"), F.format_string("%d\n", "id"), per_folder=10)
+    sums = readers.file_checksums(spark, str(tmp_path), "part-*")
+    assert {(r.name, r.size, r.sha256) for r in sums.collect()} == {(f"part-{i}", len(f"{i}\n"), hashlib.sha256(f"{i}\n".encode()).hexdigest()) for i in range(300)}
+    sums.write.parquet(str(tmp_path / "sums"))
+    assert len(list((tmp_path / "sums").glob("*.parquet"))) == 1
+
+
 def test_archives(spark, tmp_path):
     data = io.BytesIO()
     with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
