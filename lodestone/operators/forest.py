@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.similarity import bit_sets, domain, nearest
+from lodestone.operators.tables import materialise
 
 
 def cleaned(rows: DataFrame, label: str, vector: str, least: int = 20) -> DataFrame:
@@ -49,9 +50,10 @@ def baseline(rows: DataFrame, test: Column, label: str, vector: str, least_accur
     train, held = rows.where(~test), rows.where(test)
     model = fit(train, label, vector, **options)
     measures = evaluate(score(model, held, vector), label)
-    measures["threshold"] = domain(nearest(bit_sets(held), bit_sets(train)), share).first()["threshold"]
+    near = materialise(nearest(bit_sets(held), bit_sets(train)).select("vec_id", "similarity"), "near")  # searched once
+    measures["threshold"] = domain(near, share).first()["threshold"]
     measures["qualified"] = measures["accuracy"] >= least_accuracy
-    return batch_scores(model, held, train, measures["qualified"], measures["threshold"]), measures
+    return batch_scores(model, held, train, measures["qualified"], measures["threshold"], near), measures
 
 
 def fit(train: DataFrame, label: str, vector: str, trees: int = 300, depth: int = 8, seed: int = 42) -> PipelineModel:
@@ -76,9 +78,12 @@ def score(model: PipelineModel, rows: DataFrame, vector: str) -> DataFrame:
     return model.transform(rows.withColumn("features", array_to_vector(F.col(vector).cast("array<double>")))).drop("features", "rawPrediction", "probability")
 
 
-def batch_scores(model: PipelineModel, rows: DataFrame, train: DataFrame, qualified: bool, threshold: float) -> DataFrame:
-    """(vec_id, label, prediction, similarity, status): a prediction counts where the model is qualified and a training row is near."""
-    near = nearest(bit_sets(rows), bit_sets(train)).select("vec_id", "similarity")
+def batch_scores(model: PipelineModel, rows: DataFrame, train: DataFrame, qualified: bool, threshold: float, near: DataFrame | None = None) -> DataFrame:
+    """(vec_id, label, prediction, similarity, status): a prediction counts where the model is qualified and a training row is near.
+
+    ``near`` is (vec_id, similarity) of the rows, if they have been searched for already.
+    """
+    near = near if near is not None else nearest(bit_sets(rows), bit_sets(train)).select("vec_id", "similarity")
     made = score(model, rows, "embedding").join(near, "vec_id")
     status = F.when(F.lit(not qualified), "unqualified").when(F.col("similarity") < threshold, "outside_domain").otherwise("success")
     return made.select("vec_id", "label", F.col("prediction").cast("int").alias("prediction"), "similarity", status.alias("status"))
