@@ -26,6 +26,8 @@ def pair_similarity(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 #: Pivots that sets are placed by, sets of a chunk, rings of distance around a pivot, and the ratio of sizes within a band.
 PIVOTS, CHUNK, RINGS, BAND = 32, 4096, 8, 1.5
+#: Elements of a pack of queries, about, and names up to which a chunk is a matrix.
+PACK, DENSE = 1024, 1024
 #: What rounding may take off a bound.
 SLACK = 1e-9
 
@@ -39,7 +41,7 @@ class _Index:
         owner = np.repeat(np.arange(len(bits)), self.sizes)
         order = np.argsort(flat, kind="stable")
         self.names, starts = np.unique(flat[order], return_index=True)
-        self.lists, self.starts, self.ends = owner[order], starts, np.append(starts[1:], len(flat))
+        self.lists, self.starts, self.ends, self.dense = owner[order], starts, np.append(starts[1:], len(flat)), None
 
     def shared(self, bits) -> np.ndarray:
         bits = np.asarray(bits, dtype=np.int64)
@@ -49,6 +51,20 @@ class _Index:
             return np.zeros(len(self.sizes), np.int64)
         return np.bincount(np.concatenate([self.lists[self.starts[k] : self.ends[k]] for k in at]), minlength=len(self.sizes))
 
+    def shared_each(self, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """A row for each of several sets, given one after another: what it shares. With few names as a product of matrices."""
+        if len(self.names) > DENSE:
+            return np.stack([self.shared(b) for b in np.split(flat, np.cumsum(sizes)[:-1])])
+        if self.dense is None:
+            self.dense = np.zeros((len(self.names), len(self.sizes)), np.float32)
+            self.dense[np.repeat(np.arange(len(self.names)), self.ends - self.starts), self.lists] = 1
+        at, row = np.searchsorted(self.names, flat), np.repeat(np.arange(len(sizes)), sizes)
+        known = at < len(self.names)
+        known[known] = self.names[at[known]] == flat[known]
+        asked = np.zeros((len(sizes), len(self.names)), np.float32)
+        asked[row[known], at[known]] = 1
+        return (asked @ self.dense).astype(np.int64)
+
     def distances(self, bits) -> np.ndarray:
         both = self.shared(bits)
         return 1.0 - both / (self.sizes + len(bits) - both)
@@ -85,9 +101,14 @@ def _cells(sets: DataFrame, pivots: list, chunk: int) -> tuple[DataFrame, pd.Dat
     return dealt, about
 
 
-def _asked(queries: DataFrame, pivots: list, about: pd.DataFrame, first: bool) -> DataFrame:
-    """(cell, chunk, vec_id, bits): where each query is to be searched for: its most promising cell, or after that all others
-    that may hold a set at least as similar as the column ``found`` says.
+def _packs(own: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Numbers of sets in runs of at most ``PACK`` elements, or one set."""
+    return np.split(own, np.flatnonzero(np.diff(np.cumsum(sizes[own]) // PACK)) + 1) if len(own) else []
+
+
+def _packed(queries: DataFrame, pivots: list, about: pd.DataFrame, first: bool) -> DataFrame:
+    """(cell, chunk, ids, sizes, flat): where queries are to be searched for, in packs: the most promising cell of each, or after
+    that all others that may hold a set at least as similar as the column ``found`` says.
 
     The distance of sets is a metric, so a set in a cell is at least as far as the query is from the cell's ring; and sets of
     different sizes are no more similar than their sizes are.
@@ -98,29 +119,44 @@ def _asked(queries: DataFrame, pivots: list, about: pd.DataFrame, first: bool) -
 
     def ask(batches):
         for part in batches:
-            rows = []
-            for k, (qid, bits) in enumerate(zip(part["vec_id"], part["bits"], strict=True)):
+            ids, sets, to_cells = part["vec_id"].to_numpy(), part["bits"].to_list(), []
+            for k, bits in enumerate(sets):
                 away, size = to.distances(bits)[pivot], len(bits)
                 bound = np.minimum(1.0 - np.maximum(np.maximum(away - far, near - away), 0.0), np.minimum(size / least, most / size))
                 best = int(bound.argmax())
                 if first:
-                    cells = [best]
+                    cells = np.array([best])
                 else:
                     cells = np.flatnonzero((bound > 0) & (bound >= part["found"].iat[k] - SLACK))
                     cells = cells[cells != best]
-                rows += [(int(c), j, qid, bits) for c in cells for j in range(chunks[c])]
-                if len(rows) >= 10_000:
-                    yield pd.DataFrame(rows, columns=["cell", "chunk", "vec_id", "bits"])
-                    rows = []
-            yield pd.DataFrame(rows, columns=["cell", "chunk", "vec_id", "bits"])
+                to_cells.append(cells)
+            sizes = np.array([len(b) for b in sets], dtype=np.int64)
+            cells = np.concatenate(to_cells) if to_cells else np.empty(0, np.int64)
+            order = np.argsort(cells, kind="stable")
+            asking = np.repeat(np.arange(len(sets)), [len(c) for c in to_cells])[order]
+            names, starts = np.unique(cells[order], return_index=True)
+            rows = []
+            for c, own in zip(names, np.split(asking, starts[1:]), strict=False):
+                for pack in _packs(own, sizes):
+                    flat = np.concatenate([sets[k] for k in pack])
+                    rows += [(int(c), j, ids[pack], sizes[pack], flat) for j in range(chunks[c])]
+                    if len(rows) >= 1000:
+                        yield pd.DataFrame(rows, columns=["cell", "chunk", "ids", "sizes", "flat"])
+                        rows = []
+            yield pd.DataFrame(rows, columns=["cell", "chunk", "ids", "sizes", "flat"])
+
+    return queries.mapInPandas(ask, f"cell long, chunk long, ids array<{kind}>, sizes array<long>, flat array<long>")
 
-    return queries.mapInPandas(ask, f"cell long, chunk long, vec_id {kind}, bits array<long>")
+
+def _asked(queries: DataFrame, pivots: list, about: pd.DataFrame, first: bool) -> DataFrame:
+    """(cell, chunk, vec_id): what ``_packed`` sends, a row for each query and chunk."""
+    return _packed(queries, pivots, about, first).select("cell", "chunk", F.explode("ids").alias("vec_id"))
 
 
 def _searched(dealt: DataFrame, asked: DataFrame) -> DataFrame:
     """(qid, tid, shared, total) of the best set of each chunk that a query was sent to; none where nothing is shared.
 
-    A task reads the sets of a chunk into inverted lists, and then the queries for it, in any number, one after another.
+    A task reads the sets of a chunk, and then the queries for it, in any number, pack by pack.
     """
     kind = dealt.schema["vec_id"].dataType.simpleString()
 
@@ -128,23 +164,27 @@ def _searched(dealt: DataFrame, asked: DataFrame) -> DataFrame:
         at, ids, sets, index = None, [], [], None
         for part in batches:
             out = []
-            for cell, chunk, is_query, own, bits in zip(part["cell"], part["chunk"], part["is_query"], part["vec_id"], part["bits"], strict=True):
+            for cell, chunk, is_query, own, sizes, flat in zip(part["cell"], part["chunk"], part["is_query"], part["ids"], part["sizes"], part["flat"], strict=True):
                 if (cell, chunk) != at:
                     at, ids, sets, index = (cell, chunk), [], [], None
                 if not is_query:
-                    ids.append(own)
-                    sets.append(bits)
+                    ids.append(own[0])
+                    sets.append(flat)
+                    continue
+                if not sets:
                     continue
                 index = index or _Index(sets)
-                both = index.shared(bits)
-                union = index.sizes + len(bits) - both
-                k = int((both / union).argmax())  # sets come by rising id, so of equals the least
-                if both[k]:
-                    out.append((own, ids[k], int(both[k]), int(union[k])))
+                both = index.shared_each(sizes, flat)
+                union = index.sizes[None, :] + sizes[:, None] - both
+                k = (both / union).argmax(axis=1)  # sets come by rising id, so of equals the least
+                row = np.arange(len(k))
+                both, union = both[row, k], union[row, k]
+                out += [(own[i], ids[k[i]], int(both[i]), int(union[i])) for i in np.flatnonzero(both)]
             yield pd.DataFrame(out, columns=["qid", "tid", "shared", "total"])
 
-    both = dealt.withColumn("is_query", F.lit(False)).unionByName(asked.withColumn("is_query", F.lit(True)))
-    order = both.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "is_query", "vec_id")
+    alone = dealt.select("cell", "chunk", F.array("vec_id").alias("ids"), F.array(F.size("bits").cast("long")).alias("sizes"), F.col("bits").alias("flat"))
+    both = alone.withColumn("is_query", F.lit(False)).unionByName(asked.withColumn("is_query", F.lit(True)))
+    order = both.repartition("cell", "chunk").sortWithinPartitions("cell", "chunk", "is_query", "ids")
     return order.mapInPandas(search, f"qid {kind}, tid {kind}, shared long, total long").withColumn("similarity", F.col("shared") / F.col("total"))
 
 
@@ -167,9 +207,9 @@ def nearest(queries: DataFrame, train: DataFrame, pivots: int = PIVOTS, chunk: i
         return queries.select("vec_id", F.lit(None).cast(kind).alias("match"), F.lit(0.0).alias("similarity"))
     dealt, about = _cells(clean.groupBy("bits").agg(F.min("vec_id").alias("vec_id")), chosen, chunk)
     asking = _clean(queries).distinct()
-    first = materialise(_searched(dealt, _asked(asking, chosen, about, True)), "first")
+    first = materialise(_searched(dealt, _packed(asking, chosen, about, True)), "first")
     known = asking.join(first.groupBy(F.col("qid").alias("vec_id")).agg(F.max("similarity").alias("found")), "vec_id", "left").na.fill(0.0, ["found"])
-    scored = first.unionByName(_searched(dealt, _asked(known, chosen, about, False)))
+    scored = first.unionByName(_searched(dealt, _packed(known, chosen, about, False)))
     best = scored.groupBy("qid").agg(F.max_by("tid", F.struct("similarity", -F.col("tid"))).alias("match"), F.max("similarity").alias("similarity"))
     return queries.select(F.col("vec_id").alias("qid")).join(best, "qid", "left").select(F.col("qid").alias("vec_id"), "match", F.bround(F.coalesce("similarity", F.lit(0.0)), 4).alias("similarity"))
 

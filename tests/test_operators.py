@@ -4,6 +4,7 @@ import random
 import time
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -370,3 +371,16 @@ def test_forest_baseline_searches_once(spark, sf, monkeypatch):
     rows = forest.cleaned(spark.read.parquet(f"{sf}/embeddings.parquet"), "label", "embedding", least=2)
     scores, measures = forest.baseline(rows, F.col("vec_id") % 5 == 0, "label", "embedding", 0.0, trees=2, depth=2)
     assert scores.count() == rows.where("vec_id % 5 = 0").count() and measures["qualified"] and len(calls) == 1
+
+
+@pytest.mark.parametrize("dense", [0, 1024])
+def test_packs_of_queries_share_what_each_query_does(spark, monkeypatch, dense):
+    monkeypatch.setattr(similarity, "DENSE", dense)
+    rng = random.Random(5)
+    sets = [sorted(rng.sample(range(60), rng.randrange(1, 25))) for _ in range(300)]
+    index, asking = similarity._Index(sets[:200]), [*sets[200:], [99], [0, 77]]
+    both = index.shared_each(np.array([len(b) for b in asking]), np.concatenate(asking))
+    assert both.tolist() == [[len(set(a) & set(b)) for b in sets[:200]] for a in asking]
+    sizes = np.array([len(b) for b in sets])
+    packs = similarity._packs(np.arange(300), sizes)
+    assert np.concatenate(packs).tolist() == list(range(300)) and len(packs) < 10 and max(sizes[p].sum() for p in packs) <= similarity.PACK + 25
