@@ -173,20 +173,37 @@ def _smaller(a, b) -> float:
     return shared / min(max((a[2] - a[0]) * (a[3] - a[1]), 1), max((b[2] - b[0]) * (b[3] - b[1]), 1))
 
 
+#: Up to so many regions a page has a list, beyond it a grid.
+FEW = 64
+
+
 class _Regions:
     """Regions of a page; a box that covers some, or is covered, becomes one with them and may then reach others."""
 
     def __init__(self, page, threshold: float):
-        self.page, self.threshold, self.regions, self.places, self.n = page, threshold, {}, _Grid(), 0
+        self.page, self.threshold, self.regions, self.places, self.n = page, threshold, {}, None, 0
+
+    def near(self, box) -> list:
+        if self.places is not None:
+            return list(self.places.near(box).items())
+        x1, y1, x2, y2 = box
+        return [(k, o) for k, o in self.regions.items() if o[0] < x2 and x1 < o[2] and o[1] < y2 and y1 < o[3]]
 
     def take(self, box_id, *box):
-        while hit := [(k, o) for k, o in self.places.near(box).items() if _smaller(box, o) >= self.threshold]:
+        while hit := [(k, o) for k, o in self.near(box) if _smaller(box, o) >= self.threshold]:
             for k, o in hit:
-                self.places.remove(k, self.regions.pop(k))
+                del self.regions[k]
+                if self.places is not None:
+                    self.places.remove(k, o)
                 box = (min(box[0], o[0]), min(box[1], o[1]), max(box[2], o[2]), max(box[3], o[3]))
         self.n += 1
         self.regions[self.n] = box
-        self.places.add(self.n, box)
+        if self.places is not None:
+            self.places.add(self.n, box)
+        elif len(self.regions) > FEW:
+            self.places = _Grid()
+            for k, o in self.regions.items():
+                self.places.add(k, o)
         return ()
 
     def end(self):

@@ -25,6 +25,18 @@ class Fold(Protocol):
         """The rows that come out when the key has no more."""
 
 
+def values(column: pa.Array) -> list:
+    """The values of a column as ``to_pylist`` gives them, by way of numpy for common kinds, which is some ten times as fast."""
+    kind, nulls = column.type, column.null_count
+    if nulls == len(column):
+        return [None] * nulls
+    if pa.types.is_integer(kind) and nulls:
+        return column.to_pandas(integer_object_nulls=True).tolist()
+    if pa.types.is_string(kind) or pa.types.is_boolean(kind) or pa.types.is_integer(kind) or (pa.types.is_floating(kind) and not nulls):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def fold(rows: DataFrame, key: str, order: list[str | Column], start: Callable[[object], Fold], schema: str | StructType, rows_out: int = 4096) -> DataFrame:
     """Fold the rows of each ``key`` (the first column) in the order of ``order``; ``start`` makes the state of a key."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -37,7 +49,7 @@ def fold(rows: DataFrame, key: str, order: list[str | Column], start: Callable[[
     def run(batches):
         state, at, out = None, None, []
         for part in batches:
-            for own, *row in zip(*(c.to_pylist() for c in part.columns), strict=True):
+            for own, *row in zip(*map(values, part.columns), strict=True):
                 if state is None or own != at:
                     if state is not None:
                         out += state.end()

@@ -1,18 +1,20 @@
 """Folds and joins whose steps depend on each other, against plain versions; odd inputs."""
 
+import datetime
 import random
 import time
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions.columns import tanimoto
 from lodestone.functions.decisions import retry_codes, short_text
 from lodestone.functions.rules import license_allowed, license_key, tidy_message
-from lodestone.operators import boxes, confusion, consensus, dedup, edits, metrics, review, similarity, splits, validation
+from lodestone.operators import boxes, confusion, consensus, dedup, edits, folds, metrics, review, similarity, splits, validation
 from lodestone.operators.graph import components
 from lodestone.operators.order import numbered
 
@@ -384,3 +386,31 @@ def test_packs_of_queries_share_what_each_query_does(spark, monkeypatch, dense):
     sizes = np.array([len(b) for b in sets])
     packs = similarity._packs(np.arange(300), sizes)
     assert np.concatenate(packs).tolist() == list(range(300)) and len(packs) < 10 and max(sizes[p].sum() for p in packs) <= similarity.PACK + 25
+
+
+def test_merging_by_list_and_by_grid_is_the_same(monkeypatch):
+    rng, found = random.Random(7), []
+    rows = [(i, x, y, x + rng.randrange(0, 12), y + rng.randrange(0, 12)) for i in range(400) for x, y in [(rng.randrange(120), rng.randrange(120))]]
+    for few in (0, 20, 10**6):
+        monkeypatch.setattr(boxes, "FEW", few)
+        page = boxes._Regions(1, 0.5)
+        for r in rows:
+            page.take(*r)
+        assert (page.places is None) == (few == 10**6)
+        found.append(page.end())
+    assert found[0] == found[1] == found[2] and 20 < len(found[0]) < 400
+
+
+def test_columns_of_a_fold_keep_their_values():
+    columns = [[1, None, 2**62 + 1], [1, 2, 3], [None, None], [True, None, False], [True, False], ["a", None, "é"], ["a"], [0.5, None], [0.5, float("inf")], [[1], None], []]
+    for c in columns:
+        for array in (pa.array(c), pa.array([*c, *c]).slice(len(c))):
+            got = folds.values(array)
+            assert got == c and [type(x) for x in got] == [type(x) for x in array.to_pylist()]
+    assert folds.values(pa.array([datetime.date(2020, 1, 2)])) == [datetime.date(2020, 1, 2)]
+    numbers = pa.array(range(500_000))
+    began = time.process_time()
+    folds.values(numbers)
+    middle = time.process_time()
+    numbers.to_pylist()
+    assert middle - began < (time.process_time() - middle) / 2
