@@ -3,7 +3,7 @@
 import datetime
 import random
 import time
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.columns import tanimoto
 from lodestone.functions.decisions import retry_codes, short_text
 from lodestone.functions.rules import license_allowed, license_key, tidy_message
-from lodestone.operators import boxes, confusion, consensus, dedup, edits, folds, metrics, review, similarity, splits, validation
+from lodestone.operators import boxes, confusion, consensus, dedup, edits, folds, metrics, review, similarity, splits, tables, validation
 from lodestone.operators.graph import components
 from lodestone.operators.order import numbered
 
@@ -414,3 +414,11 @@ def test_columns_of_a_fold_keep_their_values():
     middle = time.process_time()
     numbers.to_pylist()
     assert middle - began < (time.process_time() - middle) / 2
+
+
+def test_key_difference_in_tasks_of_so_many_rows(spark):
+    a = spark.createDataFrame([(i,) for i in [*range(500), 7, 7, 600, 600, None, None]], "k long")
+    b = spark.createDataFrame([(i,) for i in [*range(10, 520), 515, 515, None, None]], "k long")
+    found = tables.key_difference(a, b, "k", 100)
+    want = [(i, "missing") for i in [*range(10), 7, 7, 600, 600, None, None]] + [(i, "unexpected") for i in [*range(500, 520), None]]
+    assert Counter(tuple(r) for r in found.collect()) == Counter(want) and found.rdd.getNumPartitions() == 11
