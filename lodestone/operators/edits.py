@@ -6,6 +6,8 @@ kept as an error row instead of ending the job.
 
 from __future__ import annotations
 
+from operator import itemgetter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,8 @@ from lodestone.operators.folds import fold
 
 #: What an action makes of an item: (status, goes to training).
 ACTIONS = {"approve": ("verified", True), "return": ("needs_revision", False), "reject": ("rejected", False), "duplicate": ("duplicate", False), "license_unclear": ("license_unclear", False), "resubmit": ("pending_review", False)}
-_COLUMNS = ["document_id", "page", "region_id", "x1", "y1", "x2", "y2", "region_type", "status", "confirmed", "audit"]
+#: The columns of a region before its audit.
+_PLAIN = itemgetter("document_id", "page", "region_id", "x1", "y1", "x2", "y2", "region_type", "status", "confirmed")
 
 
 class _Regions:
@@ -28,11 +31,14 @@ class _Regions:
         box = max(0, x1), max(0, y1), min(self.width, x2), min(self.height, y2)
         return box if box[2] > box[0] and box[3] > box[1] else None
 
+    def region(self, page, region_id, x1, y1, x2, y2, kind, status, confirmed) -> dict:
+        return {"document_id": self.document_id, "page": page, "region_id": region_id, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "region_type": kind, "status": status, "confirmed": confirmed, "audit": []}
+
     def take(self, is_edit, seq, action, region_id, other_id, page, x1, y1, x2, y2, kind, status, confirmed):
         if not is_edit:
-            self.state[region_id] = dict(zip(_COLUMNS, (self.document_id, page, region_id, x1, y1, x2, y2, kind, status, confirmed, []), strict=True))
+            self.state[region_id] = self.region(page, region_id, x1, y1, x2, y2, kind, status, confirmed)
             return ()
-        r, box = self.state.get(region_id), self.clamp(x1, y1, x2, y2)
+        r, box = self.state.get(region_id), self.clamp(x1, y1, x2, y2) if action in ("add", "update") else None
         done = [r] if r else []
         if action == "confirm_page":
             done = [x for x in self.state.values() if x["page"] == page and x["status"] != "deleted"]
@@ -42,7 +48,7 @@ class _Regions:
         elif action == "add":
             ok = r is None and box is not None
             if ok:
-                r = dict(zip(_COLUMNS, (self.document_id, page, region_id, *box, kind or "molecule", "edited", False, []), strict=True))
+                r = self.region(page, region_id, *box, kind or "molecule", "edited", False)
                 self.state[region_id], done = r, [r]
         else:
             ok = r is not None and self.change(r, action, box, kind, other_id)
@@ -89,7 +95,7 @@ class _Regions:
         return True
 
     def end(self):
-        return [(*(r[c] for c in _COLUMNS[:-1]), ",".join(r["audit"])) for r in self.state.values()]
+        return [(*_PLAIN(r), ",".join(r["audit"])) for r in self.state.values()]
 
 
 def apply_edits(regions: DataFrame, edits: DataFrame, width: int, height: int) -> DataFrame:

@@ -422,3 +422,18 @@ def test_key_difference_in_tasks_of_so_many_rows(spark):
     found = tables.key_difference(a, b, "k", 100)
     want = [(i, "missing") for i in [*range(10), 7, 7, 600, 600, None, None]] + [(i, "unexpected") for i in [*range(500, 520), None]]
     assert Counter(tuple(r) for r in found.collect()) == Counter(want) and found.rdd.getNumPartitions() == 11
+
+
+def test_only_edits_that_need_a_box_are_held_to_the_page(monkeypatch):
+    held, clamp = [], edits._Regions.clamp
+    monkeypatch.setattr(edits._Regions, "clamp", lambda self, *box: held.append(box) or clamp(self, *box))
+    page = edits._Regions("d", 100, 100)
+    page.take(False, None, None, "r", None, 1, 5, 5, 50, 60, "molecule", "detected", False)
+    for n, (action, own) in enumerate((("confirm", "r"), ("split", "r"), ("delete", "rb"), ("update", "r"), ("add", "s"), ("noop", "r"), ("confirm_page", "r")), 1):
+        page.take(True, n, action, own, own + "b", 1, -4, 5, 120, 60, None, None, None)
+    assert len(held) == 2
+    assert page.end() == [
+        ("d", 1, "r", 0, 5, 100, 60, "molecule", "confirmed", True, "confirm,split,update,noop!,confirm_page"),
+        ("d", 1, "rb", 27, 5, 50, 60, "non_molecule", "deleted", False, "split_from,delete"),
+        ("d", 1, "s", 0, 5, 100, 60, "molecule", "confirmed", True, "add,confirm_page"),
+    ]
